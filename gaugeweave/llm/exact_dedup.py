@@ -65,5 +65,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """The rows of ``docs`` that stay, all columns as they were."""
     groups = copies(docs, id_col, text_col, **options)
     marked = docs.select(F.col(id_col).alias("_id"), digest(text_col).alias("text_sha256"))
-    losers = cut(marked.join(groups, "text_sha256").where("_id > keep_id").select("_id").distinct(), "copies-to-drop")
-    return docs.join(small(losers, most_ids), docs[id_col] == F.col("_id"), "left_anti")
+    losers = cut(marked.join(groups, "text_sha256").where("_id > keep_id").select(F.col("_id").alias("_gw_id")).distinct(), "copies-to-drop")
+    return docs.join(small(losers, most_ids), F.col(id_col) == F.col("_gw_id"), "left_anti")

@@ -61,6 +61,6 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken.  Rows that repeat an id each get the largest of its counts."""
-    counts = mix_counts(docs, id_col, text_col, **options).where("copies > 0").groupBy(F.col(id_col).alias("_id")).agg(F.max("copies").alias("_copies"))
-    taken = docs.join(counts, docs[id_col].eqNullSafe(F.col("_id")))
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    counts = mix_counts(docs, id_col, text_col, **options).where("copies > 0").groupBy(F.col(id_col).alias("_gw_id")).agg(F.max("copies").cast("int").alias("_gw_copies"))
+    taken = docs.join(counts, F.col(id_col).eqNullSafe(F.col("_gw_id")))
+    return taken.withColumn("_gw_copy", F.explode(F.sequence(F.lit(1), F.col("_gw_copies")))).select(*docs.columns)

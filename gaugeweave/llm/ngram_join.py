@@ -249,5 +249,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_ids: int = 2_000_000, **options) -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its component."""
     places = near_duplicates(docs, id_col, text_col, most_ids=most_ids, **options)
-    losers = cut(places.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "near-copies")
-    return docs.join(small(losers, most_ids), F.col(id_col) == F.col("_gone"), "left_anti")
+    losers = cut(places.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gw_id")).distinct(), "near-copies")
+    return docs.join(small(losers, most_ids), F.col(id_col) == F.col("_gw_id"), "left_anti")

@@ -75,15 +75,15 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``_stats``, a struct of STATS."""
-    schema = T.StructType([*docs.schema.fields, T.StructField("_stats", T.StructType([T.StructField(k, T.DoubleType()) for k in STATS]))])
+    """``docs`` with the column ``_gw_stats``, a struct of STATS."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("_gw_stats", T.StructType([T.StructField(k, T.DoubleType()) for k in STATS]))])
     place = docs.columns.index(text_col)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = statistics(batch.column(place))
             stats = pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(STATS))], names=STATS)
-            yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*batch.schema.names, "_stats"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*batch.schema.names, "_gw_stats"])
 
     return docs.mapInArrow(add, schema)
 
@@ -168,7 +168,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 0.001) -> tuple[float, li
     return bias, [(rule, float(w)) for rule, w in zip(rules, weights, strict=True) if abs(w) > 1e-6]
 
 
-def compiled(model: tuple[float, list[tuple[tuple, float]]], stats: str = "_stats") -> Column:
+def compiled(model: tuple[float, list[tuple[tuple, float]]], stats: str = "_gw_stats") -> Column:
     """The model as one Spark expression with values from 0 to 1."""
     bias, rules = model
     z = F.lit(bias)
@@ -190,15 +190,15 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold))
     known = known.groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample)
     rows = with_statistics(docs.select(id_col, text_col).join(F.broadcast(known), F.col(id_col) == F.col("_label_id")).select(text_col, "_label"), text_col)
-    rows = rows.select("_label", *[F.col(f"_stats.{k}").alias(k) for k in STATS]).orderBy(*STATS, "_label").limit(2 * sample).toPandas()
+    rows = rows.select("_label", *[F.col(f"_gw_stats.{k}").alias(k) for k in STATS]).orderBy(*STATS, "_label").limit(2 * sample).toPandas()
     return fit(rows[STATS].to_numpy(float), rows["_label"].to_numpy(float))
 
 
 def scored(docs: DataFrame, model, text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``_score``."""
-    return with_statistics(docs, text_col).withColumn("_score", compiled(model)).drop("_stats")
+    """``docs`` with the column ``_gw_score``."""
+    return with_statistics(docs, text_col).withColumn("_gw_score", compiled(model)).drop("_gw_stats")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``."""
-    return scored(docs, train(docs, labels, id_col, text_col, **options), text_col).where(F.col("_score") >= threshold).select(*docs.columns)
+    return scored(docs, train(docs, labels, id_col, text_col, **options), text_col).where(F.col("_gw_score") >= threshold).select(*docs.columns)

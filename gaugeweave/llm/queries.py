@@ -80,7 +80,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, _table(spark, sf_dir, "labels"))
     rows = quality.scored(docs, model)
-    return rows.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+    return rows.select("doc_id", quality.held_out("doc_id", 5, 0).alias("held_out"), F.col("_gw_score").alias("score"), (F.col("_gw_score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 U = np.uint64
 
 
