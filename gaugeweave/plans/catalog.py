@@ -1,5 +1,487 @@
-"""Registered queries over the driver's tables, with their SQL."""
+"""Registered queries over the driver's tables, each with the SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+The driver's tables stand in for measurements: a line item's quantity is a length, its discount and tax make widths, and
+each kind of estimate is missing for some rows by its key, so that every branch of a cascade occurs.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.nulls import finite, log10
+from ..operators import classify, clean, dedup, hierarchy, keys, measures, regress, stats, textmine
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+FLAGSHIP = "measure_summary"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimates of length and width per line item, with part attributes."""
+    items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", "p_size")
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    q = F.col("l_quantity")
+    return items.join(parts, "l_partkey").select(
+        "l_orderkey", "l_linenumber", "l_returnflag", "p_brand", "p_type", "p_size", "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
+        F.when(k % 5 != 0, q).alias("al"), F.when(k % 3 == 0, q * 0.8).alias("ml"), F.when(k % 7 != 0, q * 1.2).alias("xl"), F.when(k % 2 == 0, q + 1).alias("pl"),
+        ((F.col("l_tax") + 0.01) * 100).alias("w"), F.when(k % 4 == 0, (F.col("l_discount") + 0.01) * 100).alias("b"),
+    )
+
+
+_RAW = """
+WITH raw AS (
+  SELECT l_orderkey, l_linenumber, l_returnflag, p_brand, p_type, p_size, l_extendedprice, l_discount, l_tax, l_shipdate,
+    CASE WHEN k % 5 <> 0 THEN q END AS al, CASE WHEN k % 3 = 0 THEN q * 0.8::DOUBLE END AS ml, CASE WHEN k % 7 <> 0 THEN q * 1.2::DOUBLE END AS xl,
+    CASE WHEN k % 2 = 0 THEN q + 1 END AS pl, (l_tax + 0.01::DOUBLE) * 100 AS w, CASE WHEN k % 4 = 0 THEN (l_discount + 0.01::DOUBLE) * 100 END AS b
+  FROM (SELECT *, l_orderkey + l_linenumber AS k, l_quantity AS q FROM lineitem) JOIN part ON l_partkey = p_partkey),
+m AS (
+  SELECT *, CASE WHEN al IS NOT NULL THEN al WHEN ml IS NOT NULL THEN xl - (xl - ml) / 2 ELSE pl END AS len,
+    greatest(w, b) AS wide, CASE WHEN b IS NOT NULL THEN least(w, b) END AS narrow FROM raw)
+"""
+
+
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide, narrow = measures.axes("w", "b")
+    return _raw(spark, sf_dir).withColumns({"len": measures.estimate("al", "ml", "xl", "pl"), "wide": wide, "narrow": narrow})
+
+
+@query(_RAW + """, t AS (
+  SELECT *, len / wide AS ratio FROM m), u AS (
+  SELECT * FROM t WHERE ratio IS NULL OR ratio < (SELECT quantile_cont(ratio, 0.999) FROM t))
+SELECT coalesce(grp, p_brand) AS grp, count(*) AS n, round(avg(ratio), 6) AS mean_ratio, round(avg(len), 6) AS mean_len
+FROM u LEFT JOIN (VALUES ('Brand#11', 'first'), ('Brand#12', 'first'), ('Brand#21', 'second')) d(brand, grp) ON p_brand = brand GROUP BY 1
+""")
+def measure_summary(spark, sf_dir):
+    """Estimate cascade, derived ratio, quantile trim, dictionary lookup, grouped mean."""
+    rows = _measured(spark, sf_dir).withColumn("ratio", measures.ratio("len", "wide"))
+    groups = spark.createDataFrame([("Brand#11", "first"), ("Brand#12", "first"), ("Brand#21", "second")], "brand string, grp string")
+    named = classify.lookup(measures.trim_above(rows, "ratio", 0.999), groups, "p_brand", "brand", "grp", "grp")
+    return named.groupBy("grp").agg(F.count("*").alias("n"), F.round(F.avg("ratio"), 6).alias("mean_ratio"), F.round(F.avg("len"), 6).alias("mean_len"))
+
+
+@query(_RAW + "SELECT l_orderkey, l_linenumber, round(len, 6) AS len, round(wide, 6) AS wide, round(narrow, 6) AS narrow FROM m")
+def estimate_cascade(spark, sf_dir):
+    r = lambda c: F.round(c, 6).alias(c)
+    return _measured(spark, sf_dir).select("l_orderkey", "l_linenumber", r("len"), r("wide"), r("narrow"))
+
+
+@query(_RAW + """
+SELECT l_orderkey, l_linenumber,
+  round(CASE WHEN narrow IS NOT NULL THEN 4 / 3.0::DOUBLE * pi() * (len / 2) * (wide / 2) * (narrow / 2) ELSE 4 / 3.0::DOUBLE * pi() * (len / 2) * (wide / 2) * (wide / 2) END, 3) AS volume,
+  round(len / wide, 6) AS aspect, round(len / wide - 1, 6) + 0 AS ellipticity,
+  round(CASE WHEN len / wide > 1 THEN l_discount END, 6) + 0 AS curvature, round(log10(len), 6) AS log_len,
+  round(sqrt(wide), 6) AS root_wide FROM m
+""")
+def derived_measures(spark, sf_dir):
+    rows = _measured(spark, sf_dir)
+    volume = measures.ellipsoid_volume(F.lit(None).cast("double"), "len", "wide", "narrow")
+    aspect = measures.ratio("len", "wide")
+    out = {"volume": (volume, 3), "aspect": (aspect, 6), "ellipticity": (measures.ellipticity("len", "wide"), 6), "curvature": (measures.void_unless("l_discount", aspect > 1), 6), "log_len": (log10("len"), 6), "root_wide": (measures.root("wide"), 6)}
+    return rows.select("l_orderkey", "l_linenumber", *[F.round(v, n).alias(k) for k, (v, n) in out.items()])
+
+
+@query(_RAW + """
+SELECT count(*) AS n, count_if(len IS NULL) AS n_null, round(sum(len), 3) AS total FROM (
+  SELECT * FROM (SELECT * FROM m WHERE len IS NULL OR len < (SELECT quantile_cont(len, 0.999) FROM m)) a
+  WHERE wide IS NULL OR wide < (SELECT quantile_cont(wide, 0.999) FROM m WHERE len IS NULL OR len < (SELECT quantile_cont(len, 0.999) FROM m)))
+""")
+def two_quantile_trims(spark, sf_dir):
+    rows = measures.trim_above(measures.trim_above(_measured(spark, sf_dir).select("len", "wide"), "len", 0.999), "wide", 0.999)
+    return rows.agg(F.count("*").alias("n"), F.count_if(F.col("len").isNull()).alias("n_null"), F.round(F.sum("len"), 3).alias("total"))
+
+
+@query(_RAW + """
+SELECT l_returnflag, count(*) AS n, round(avg(abs(xl - ml) / ((xl + ml) / 2)), 6) AS spread, round(avg(100 * (wide - narrow) / wide), 6) AS gap,
+  round(avg(100 * (wide - narrow) / wide), 6) AS volume_gap FROM m GROUP BY 1
+""")
+def agreement(spark, sf_dir):
+    gap, volume_gap = measures.shape_gap("w", "b", "len")
+    rows = _measured(spark, sf_dir).where("1 = 1").withColumns({"s": measures.relative_spread("xl", "ml"), "g": gap, "v": F.when(F.col("b").isNotNull(), gap)})
+    return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("spread"), F.round(F.avg("g"), 6).alias("gap"), F.round(F.avg("v"), 6).alias("volume_gap"))
+
+
+@query("""
+WITH t AS (SELECT cast(round(p_retailprice, 1) AS DECIMAL(12, 1))::VARCHAR AS x FROM part), d AS (
+  SELECT x, replace(x, '.', '') AS plain, x::DOUBLE AS v FROM t)
+SELECT length(plain) - CASE WHEN v > 10 THEN 1 ELSE 0 END AS figures, ltrim(plain, '0')[1] AS first_digit, right(plain, 1) AS last_digit, count(*) AS n FROM d GROUP BY 1, 2, 3
+""")
+def digit_counts(spark, sf_dir):
+    text = table(spark, sf_dir, "part").select(F.round("p_retailprice", 1).cast("decimal(12,1)").cast("string").alias("x"))
+    d = measures.digits("x")
+    return text.select(*[d[k].alias(k) for k in ("figures", "first_digit", "last_digit")]).groupBy("figures", "first_digit", "last_digit").agg(F.count("*").alias("n"))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(l_quantity / exp(-8000 * (1 / 293.15::DOUBLE - 1 / (l_extendedprice / 1000 + 250))), 6) AS normalised FROM lineitem
+""")
+def temperature_durations(spark, sf_dir):
+    kelvin = F.col("l_extendedprice") / 1000 + 250
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(measures.temperature_normalised("l_quantity", kelvin), 6).alias("normalised"))
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '5-LOW')
+""")
+def without_problem_codes(spark, sf_dir):
+    return measures.without_codes(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["1-URGENT", "5-LOW"])
+
+
+@query("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey IN (SELECT c_nationkey FROM customer GROUP BY 1 HAVING count(*) > 60)")
+def large_groups(spark, sf_dir):
+    return measures.large_groups(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 60)
+
+
+@query("SELECT p_type, count(*) AS n, CASE WHEN p_size IN (1, 2, 3) THEN 'small' WHEN p_size IN (49, 50) THEN 'large' END AS label FROM part WHERE p_size IN (1, 2, 3, 49, 50) GROUP BY ALL")
+def relabelled_groups(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("s", F.col("p_size").cast("string"))
+    label = measures.relabelled("s", {"small": ["1", "2", "3"], "large": ["49", "50"]})
+    return rows.withColumn("label", label).where("label is not null").groupBy("p_type", "label").agg(F.count("*").alias("n"))
+
+
+_RULES = [("region", "ASIA", "TRUE"), ("region", "EUROPE", "SOME"), ("nation", "NATION_2", "FALSE"), ("nation", "NATION_16", "TRUE"), ("segment", "BUILDING", "SOME"), ("nation", "NATION_16", "FALSE")]
+
+
+def _places(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.col("c_mktsegment").alias("segment"))
+
+
+@query("""
+SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN 'derived' WHEN n_name = 'NATION_2' THEN 'ancestral' WHEN n_name = 'NATION_16' THEN 'ancestral'
+  WHEN r_name IN ('ASIA', 'EUROPE') THEN 'derived' ELSE 'ancestral' END AS relaxed,
+  CASE WHEN c_mktsegment = 'BUILDING' THEN 'ancestral' WHEN n_name = 'NATION_2' THEN 'ancestral' WHEN n_name = 'NATION_16' THEN 'ancestral'
+  WHEN r_name = 'ASIA' THEN 'derived' ELSE 'ancestral' END AS strict
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+""")
+def rank_cascade(spark, sf_dir):
+    rules = spark.createDataFrame(_RULES, "rank string, name string, state string")
+    ranks = ["region", "nation", "segment"]
+    states = {"TRUE": "derived", "FALSE": "ancestral", "SOME": "derived"}
+    rows = classify.cascade(_places(spark, sf_dir), rules, ranks, states, "ancestral", "relaxed")
+    return classify.cascade(rows, rules, ranks, states | {"SOME": "ancestral"}, "ancestral", "strict").select("c_custkey", "relaxed", "strict")
+
+
+@query("""
+SELECT n_name, CASE WHEN n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) THEN 'fine'
+  WHEN n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name = 'AFRICA') THEN 'coarse' ELSE 'none' END AS level FROM nation
+""")
+def multi_level_flag(spark, sf_dir):
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9900").select(F.col("c_nationkey").alias("n_nationkey"))
+    africa = table(spark, sf_dir, "region").where("r_name = 'AFRICA'").select(F.col("r_regionkey").alias("n_regionkey"))
+    return classify.finest_match(table(spark, sf_dir, "nation"), rich, africa, "n_nationkey", "n_regionkey", "level").select("n_name", "level")
+
+
+@query("""
+WITH p AS (SELECT r_name, n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+c AS (SELECT 'region' AS rank, r_name AS taxon FROM p UNION ALL SELECT 'nation', n_name FROM p UNION ALL SELECT 'segment', c_mktsegment FROM p)
+SELECT rank, taxon, count(*) AS n, any_value(total)::BIGINT AS total FROM c
+LEFT JOIN (SELECT n_name AS name, count(*) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1) ON rank = 'nation' AND taxon = name GROUP BY 1, 2
+""")
+def taxon_counts(spark, sf_dir):
+    totals = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("taxon")).agg(F.count("*").alias("total")).withColumn("rank", F.lit("nation"))
+    return classify.counts_by_rank(_places(spark, sf_dir), ["region", "nation", "segment"], totals)
+
+
+@query("""
+WITH again AS (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1 AND max(o_totalprice) - min(o_totalprice) < 200000)
+SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey NOT IN (SELECT * FROM again) UNION ALL
+SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS r FROM orders WHERE o_custkey IN (SELECT * FROM again)) WHERE r = 1
+""")
+def newest_of_repeats(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_totalprice") / 2e11).alias("v"), "o_orderdate")
+    return dedup.newest_of_repeats(rows, "o_custkey", "v", "o_orderdate", "o_orderkey").select("o_orderkey", "o_custkey")
+
+
+@query("SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY md5('5/' || o_orderkey)) AS r FROM orders) WHERE r = 1")
+def one_random_each(spark, sf_dir):
+    return dedup.random_per(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), "o_custkey", "o_orderkey", 5)
+
+
+@query("""
+SELECT c_custkey, c_nationkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY md5('3/' || c_custkey)) AS r, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer) WHERE r <= round(n * 0.25)
+""")
+def sampled_fraction(spark, sf_dir):
+    return dedup.sample_fraction(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", "c_custkey", 0.25, 3)
+
+
+@query("WITH s AS (SELECT max(l_tax) - min(l_tax) AS s FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1) SELECT count_if(s < 1e-6) AS repeated, count_if(s > 1e-6) AS independent FROM s")
+def repeat_split(spark, sf_dir):
+    return dedup.repeat_split(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_tax")
+
+
+@query("SELECT o_orderkey, dense_rank() OVER (ORDER BY o_orderpriority) AS code FROM orders WHERE o_orderpriority IS NOT NULL")
+def level_codes(spark, sf_dir):
+    return dedup.level_codes(table(spark, sf_dir, "orders"), "o_orderpriority", "code").where("code is not null").select("o_orderkey", F.col("code").cast("long").alias("code"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n, count(DISTINCT o_orderstatus) AS n_distinct FROM orders GROUP BY 1")
+def distinct_per_group(spark, sf_dir):
+    return stats.distinct_per(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
+
+
+@query(_RAW + """
+SELECT unnest(['long', 'no_breadth', 'cheap']) AS what, unnest([count_if(len > 40), count_if(b IS NULL), count_if(l_extendedprice < 1000)]) AS n FROM m
+""")
+def condition_report(spark, sf_dir):
+    return stats.report(_measured(spark, sf_dir), {"long": F.col("len") > 40, "no_breadth": F.col("b").isNull(), "cheap": F.col("l_extendedprice") < 1000})
+
+
+@query("SELECT p_brand, round(avg(p_size), 6) AS p_size, round(avg(p_retailprice), 6) AS p_retailprice FROM part GROUP BY 1")
+def grouped_means(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").withColumn("p_size", F.col("p_size").cast("double"))
+    out = stats.grouped_means(rows, "p_brand", ["p_size", "p_retailprice"])
+    return out.select("p_brand", F.round("p_size", 6).alias("p_size"), F.round("p_retailprice", 6).alias("p_retailprice"))
+
+
+@query("""
+WITH v AS (SELECT l_returnflag, floor((log10(l_extendedprice) - 2.5) / 0.1)::INT AS bin FROM lineitem), g AS (
+  SELECT l_returnflag, unnest(range(30))::INT AS bin FROM (SELECT DISTINCT l_returnflag FROM lineitem))
+SELECT l_returnflag, bin, count(v.bin) AS n FROM g LEFT JOIN v USING (l_returnflag, bin) GROUP BY 1, 2
+""")
+def log_histogram(spark, sf_dir):
+    return stats.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 2.5, 0.1, 30, ("l_returnflag",))
+
+
+@query("""
+SELECT l_returnflag, quantile_cont(l_quantity, 0) AS low, quantile_cont(l_quantity, 0.25) AS q1, quantile_cont(l_quantity, 0.5) AS mid,
+  quantile_cont(l_quantity, 0.75) AS q3, quantile_cont(l_quantity, 1) AS high FROM lineitem GROUP BY 1
+""")
+def five_numbers(spark, sf_dir):
+    return stats.five_numbers(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity")
+
+
+@query("SELECT 'value' AS what, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM events")
+def percentile_interval(spark, sf_dir):
+    return stats.interval(table(spark, sf_dir, "events"), ["value"])
+
+
+@query("""
+WITH f AS (SELECT o_orderpriority AS grp, year(o_orderdate) % 3 AS tree, regr_slope(o_totalprice, o_custkey) AS slope, regr_intercept(o_totalprice, o_custkey) AS intercept, count(*) AS n FROM orders GROUP BY 1, 2)
+SELECT grp, round(min(slope), 4) AS min_slope, round(max(slope), 4) AS max_slope, round(min(intercept), 4) AS min_intercept, round(max(intercept), 4) AS max_intercept, min(n) AS min_n FROM f GROUP BY 1
+""")
+def slope_envelope(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").withColumns({"tree": F.year("o_orderdate") % 3, "grp": F.col("o_orderpriority"), "x": F.col("o_custkey").cast("double")})
+    return stats.envelope(regress.plain(rows, ["grp", "tree"], "x", "o_totalprice"), ["grp"], ["slope", "intercept"], "n")
+
+
+@query("""
+SELECT l_returnflag AS grp, round(regr_slope(l_extendedprice, l_quantity), 6) AS slope, round(regr_intercept(l_extendedprice, l_quantity), 4) AS intercept, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, count(*) AS n FROM lineitem GROUP BY 1
+UNION ALL SELECT 'ALL', round(regr_slope(l_extendedprice, l_quantity), 6), round(regr_intercept(l_extendedprice, l_quantity), 4), round(regr_r2(l_extendedprice, l_quantity), 6), count(*) FROM lineitem
+""")
+def plain_regressions(spark, sf_dir):
+    rows = regress.with_whole(table(spark, sf_dir, "lineitem").withColumnRenamed("l_returnflag", "grp"), "grp")
+    out = regress.plain(rows, ["grp"], "l_quantity", "l_extendedprice")
+    return out.select("grp", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"), "n")
+
+
+@query("""
+WITH v AS (SELECT c_nationkey AS k, c_mktsegment AS model, avg(c_acctbal) AS v FROM customer GROUP BY 1, 2),
+w AS (SELECT k, max(v) FILTER (model = 'BUILDING') AS BUILDING, max(v) FILTER (model = 'MACHINERY') AS MACHINERY, max(v) FILTER (model = 'FURNITURE') AS FURNITURE FROM v GROUP BY 1),
+s AS (SELECT *, list_sort([BUILDING, MACHINERY, FURNITURE]) AS l FROM w)
+SELECT k, CASE WHEN l[2] - l[1] > 2 THEN CASE l[1] WHEN BUILDING THEN 'BUILDING' WHEN MACHINERY THEN 'MACHINERY' ELSE 'FURNITURE' END ELSE 'none' END AS choice, round(l[2] - l[1], 5) AS lead FROM s
+WHERE BUILDING IS NOT NULL AND MACHINERY IS NOT NULL AND FURNITURE IS NOT NULL
+""")
+def model_choice(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("model")).agg(F.avg("c_acctbal").alias("v"))
+    models = ["BUILDING", "MACHINERY", "FURNITURE"]
+    return stats.model_choice(rows, ["k"], "model", "v", models).dropna(subset=models).select("k", "choice", F.round("lead", 5).alias("lead"))
+
+
+@query("""
+WITH t AS (SELECT o_orderstatus AS s, min(o_totalprice) * 3 AS t FROM orders GROUP BY 1)
+SELECT s, round(avg((o_totalprice > t)::INT::DOUBLE), 6) AS share FROM orders JOIN t ON s = o_orderstatus GROUP BY 1
+""")
+def tail_share(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("s"), F.col("o_totalprice").alias("v"))
+    return stats.tail_share(rows, rows.withColumn("v", F.col("v") * 3), "s", "v").select("s", F.round("share", 6).alias("share"))
+
+
+@query("SELECT o_orderpriority, what, round(value, 2) AS value FROM (SELECT o_orderpriority, avg(o_totalprice) AS mean, max(o_totalprice) AS most FROM orders GROUP BY 1) UNPIVOT (value FOR what IN (mean, most))")
+def wide_to_long(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"), F.max("o_totalprice").alias("most"))
+    return stats.wide_to_long(rows, ["o_orderpriority"], ["mean", "most"]).withColumn("value", F.round("value", 2))
+
+
+@query("SELECT c_custkey, (SELECT max(c_custkey) FROM customer) + row_number() OVER (ORDER BY c_name, c_custkey) AS new_id FROM customer")
+def next_free_ids(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    return keys.numbered(rows, ["c_name", "c_custkey"], rows, "c_custkey", "new_id").select("c_custkey", "new_id")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1) AND (o_custkey, o_orderpriority) IN (SELECT (o_custkey, o_orderpriority) FROM orders GROUP BY o_custkey, o_orderpriority HAVING count(*) > 1)")
+def repeated_tags(spark, sf_dir):
+    return keys.repeated_tags(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"]).select("o_orderkey")
+
+
+@query("""
+WITH n AS (SELECT o_orderkey, 'ref' || (o_custkey % 400) AS id FROM orders WHERE o_orderkey % 4 = 0),
+s AS (SELECT unnest(['', 'a', 'ab', 'abc', 'abcd', 'abcde', 'abcdef', 'abcdefg', 'abcdefga1', 'abcdefga1a2', 'abcdefga1a2a3', 'abcdefga1a2a3a4', 'abcdefga1a2a3a4a5']) AS s, unnest(range(13)) AS i),
+f AS (SELECT id, id || s AS u, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM (SELECT DISTINCT id FROM n) CROSS JOIN s WHERE id || s NOT IN (SELECT 'ref' || c_custkey || 'a' FROM customer WHERE c_custkey < 100))
+SELECT o_orderkey, u AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderkey) AS k FROM n) LEFT JOIN f USING (id, k)
+""")
+def unique_references(spark, sf_dir):
+    new = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select("o_orderkey", F.concat(F.lit("ref"), (F.col("o_custkey") % 400).cast("string")).alias("id"))
+    used = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.concat(F.lit("ref"), F.col("c_custkey").cast("string"), F.lit("a")).alias("id"))
+    return keys.unique_references(new, used, "id", "o_orderkey").select("o_orderkey", "unique_id")
+
+
+@query("""
+SELECT doc_id, round(CASE WHEN n > 0 THEN length(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]', '', 'g')) / n ELSE 0 END, 6) AS mean, n FROM (
+  SELECT doc_id, text, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\x0B\\f\\r]+')) AS n FROM documents)
+""")
+def word_stats(spark, sf_dir):
+    mean, n = textmine.word_stats("text")
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(mean, 6).alias("mean"), n.cast("long").alias("n"))
+
+
+_FREQ = r"""
+WITH w AS (SELECT lower(regexp_replace(unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')), '^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$', '', 'g')) AS word FROM documents),
+c AS (SELECT word, count(*) AS n FROM w GROUP BY 1), f AS (SELECT word, n / (SELECT sum(n) FROM c) AS freq FROM c WHERE n > 1)
+"""
+
+
+@query(_FREQ + "SELECT word, round(freq, 12) AS freq FROM f")
+def word_frequencies(spark, sf_dir):
+    return textmine.corpus_frequencies(table(spark, sf_dir, "documents"), "text").select("word", F.round("freq", 12).alias("freq"))
+
+
+@query(_FREQ + r""", d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS word FROM documents),
+t AS (SELECT doc_id, count(*) AS total FROM d GROUP BY 1),
+g AS (SELECT doc_id, word, count(*) AS n FROM d WHERE regexp_full_match(word, '[a-z][A-Za-z]{4,}') AND right(word, 1) IN ('a','e','i','m','n','o','r','s','x') GROUP BY 1, 2 HAVING count(*) > 5),
+r AS (SELECT doc_id, word, n, coalesce(n::DOUBLE / total / freq, 100000) AS rel FROM g JOIN t USING (doc_id) LEFT JOIN f USING (word))
+SELECT doc_id, word, n, round(rel, 4) AS rel, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rel DESC, n DESC, word) AS place FROM r) WHERE place <= 5
+""")
+def distinctive_terms(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    out = textmine.distinctive_terms(docs, "doc_id", "text", textmine.corpus_frequencies(docs, "text"))
+    return out.select("doc_id", "word", "n", F.round("rel", 4).alias("rel"), F.col("place").cast("long").alias("place"))
+
+
+@query()
+def preceding_names(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return textmine.preceding_name(docs, "doc_id", "text", textmine.distinctive_terms(docs, "doc_id", "text", textmine.corpus_frequencies(docs, "text")))
+
+
+_SCORE = " + ".join(f"CASE WHEN {' OR '.join(f'contains(s, $${t}$$)' for t in terms)} THEN {w} ELSE 0 END" for terms, w in textmine.TERMS)
+
+
+@query(f"""
+WITH k AS (SELECT doc_id, text, unnest(range(greatest(length(text) // 20, 1))) * 20 AS start FROM documents WHERE length(text) >= 400),
+s AS (SELECT doc_id, start, substr(text, start + 1, 400) AS s FROM k), c AS (
+  SELECT doc_id, start, {_SCORE} + CASE WHEN length(regexp_replace(s, '[^0-9]', '', 'g')) > 3 THEN 2 ELSE 0 END AS score FROM s)
+SELECT doc_id, arg_max(start, score * 1000000000 - start) AS start, max(score)::BIGINT AS score FROM c WHERE score > 0 GROUP BY 1
+""")
+def best_windows(spark, sf_dir):
+    out = textmine.best_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
+    return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("score").cast("long").alias("score"))
+
+
+@query()
+def mined_documents(spark, sf_dir):
+    return textmine.mined(table(spark, sf_dir, "documents"), "doc_id", "text", ["mm", "length", "egg", "the"])
+
+
+def _entries(spark, sf_dir):
+    """Records of parts with faults by key."""
+    k = F.col("p_partkey")
+    pairs = {"ID": k.cast("string"), "b": F.when(k % 11 != 0, "r"), "g": F.when(k % 13 != 0, F.concat(F.lit(" "), F.col("p_brand"))), "al": F.col("p_size").cast("string"), "dl": F.when(k % 3 == 0, F.when(k % 6 == 0, "99").otherwise("0.5")), "odd": F.when(k % 17 == 0, "7"), "xw": F.when(k % 5 == 0, "x1")}
+    filled = F.map_filter(F.map_from_entries(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in pairs.items()])), lambda n, v: v.isNotNull())
+    return table(spark, sf_dir, "part").select("p_partkey", filled.alias("entry"))
+
+
+@query("""
+WITH e AS (SELECT p_partkey AS k, p_size AS s FROM part)
+SELECT k AS p_partkey, CASE WHEN k % 5 = 0 OR k % 3 <> 0 OR k % 11 = 0 OR k % 13 = 0 THEN 'rnsd' WHEN k % 17 = 0 THEN 'comp' WHEN s > 30 OR k % 6 = 0 OR (0.5 >= s) THEN 'cols' ELSE 'sqky' END AS status,
+  k % 17 = 0 AND (k % 3 <> 0) <> (k % 5 = 0) AS repairable FROM e
+""")
+def record_status(spark, sf_dir):
+    rows = clean.checked(_entries(spark, sf_dir), "entry")
+    return rows.select("p_partkey", "status", clean.suggestion("entry").isNotNull().alias("repairable"))
+
+
+def _edges(spark, sf_dir, lengths: bool = True):
+    """region > nation > customer > order as one tree per region; lengths from numeric columns."""
+    nation = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("tree_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent"), F.concat(F.lit("n"), "n_nationkey").alias("child"), (F.col("n_nationkey") + 1.0).alias("length"), "n_nationkey")
+    cust = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("tree_id", F.col("child").alias("parent"), F.concat(F.lit("c"), "c_custkey").alias("child"), (F.col("c_custkey") % 7 + 1.0).alias("length"), "c_custkey")
+    order = table(spark, sf_dir, "orders").join(cust, F.col("o_custkey") == F.col("c_custkey")).select("tree_id", F.col("child").alias("parent"), F.concat(F.lit("o"), "o_orderkey").alias("child"), (F.col("o_orderkey") % 5 + 1.0).alias("length"))
+    return nation.drop("n_nationkey").unionByName(cust.drop("c_custkey")).unionByName(order)
+
+
+_CUST = "SELECT n_regionkey, n_nationkey, c_custkey, count(o_orderkey) AS orders, greatest(count(o_orderkey), 1) AS tips FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1, 2, 3"
+
+
+@query(f"""
+WITH c AS ({_CUST}) SELECT n_regionkey::VARCHAR AS tree_id, 'c' || c_custkey AS node, tips FROM c UNION ALL
+SELECT n_regionkey::VARCHAR, 'n' || n_nationkey, sum(tips)::BIGINT FROM c GROUP BY ALL UNION ALL
+SELECT n_regionkey::VARCHAR, 'r' || n_regionkey, sum(tips)::BIGINT FROM c GROUP BY ALL
+""")
+def tips_below(spark, sf_dir):
+    return hierarchy.tip_counts(_edges(spark, sf_dir)).where("node not like 'o%'")
+
+
+@query(f"""
+WITH c AS ({_CUST}), n AS (SELECT n_nationkey, sum(tips) AS t FROM c GROUP BY 1), r AS (SELECT n_regionkey, sum(tips) AS t FROM c GROUP BY 1)
+SELECT CASE WHEN r.t <= 20 THEN 'r' || n_regionkey WHEN n.t <= 20 THEN 'n' || n_nationkey WHEN c.tips <= 20 THEN 'c' || c_custkey END AS clade, sum(tips)::BIGINT AS n
+FROM c JOIN n USING (n_nationkey) JOIN r USING (n_regionkey) WHERE c.tips <= 20 GROUP BY 1
+""")
+def clades_of_tips(spark, sf_dir):
+    cut = hierarchy.clades(_edges(spark, sf_dir), 20)
+    return cut.where("clade not like 'o%'").groupBy("clade").agg(F.count("*").alias("n"))
+
+
+def _tips(spark, sf_dir):
+    x = table(spark, sf_dir, "orders")
+    edges = _edges(spark, sf_dir)
+    return x.join(edges.select("tree_id", "child"), F.concat(F.lit("o"), F.col("o_orderkey")) == F.col("child")).select("tree_id", F.lit("price").alias("fit"), F.col("child").alias("node"), (F.col("o_orderkey") % 97).cast("double").alias("x"), (F.col("o_totalprice") / 1000).alias("y"))
+
+
+def _level(src: str, up: str, own: str, keep: str) -> str:
+    return f"""
+  m AS (SELECT {up}, sum(1 / v) AS w, sum(x / v) / sum(1 / v) AS mx, sum(y / v) / sum(1 / v) AS my FROM {src} GROUP BY ALL),
+  t AS (SELECT {up}, w, mx AS x, my AS y, sum(sxx + (x - mx) ** 2 / v) AS sxx, sum(sxy + (x - mx) * (y - my) / v) AS sxy, sum(n) AS n FROM {src} JOIN m USING ({keep}) GROUP BY ALL)
+  SELECT * EXCLUDE (w), {own} + 1 / w AS v FROM t"""
+
+
+@query(f"""
+WITH o AS (SELECT n_regionkey AS r, n_nationkey AS k, c_custkey AS c, o_orderkey % 5 + 1.0::DOUBLE AS v, (o_orderkey % 97)::DOUBLE AS x, o_totalprice / 1000 AS y, 0.0::DOUBLE AS sxx, 0.0::DOUBLE AS sxy, 1 AS n
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+c AS (WITH {_level("o", "r, k, c", "c % 7 + 1.0::DOUBLE", "r, k, c").strip()}),
+k AS (WITH {_level("c", "r, k", "k + 1.0::DOUBLE", "r, k").strip()}),
+g AS (WITH {_level("k", "r", "0.0::DOUBLE", "r").strip()})
+SELECT r::VARCHAR AS tree_id, round(sxy / sxx, 6) AS slope, round(y - sxy / sxx * x, 4) AS intercept, n::BIGINT AS n FROM g
+""")
+def tree_regressions(spark, sf_dir):
+    fits = hierarchy.fold(_edges(spark, sf_dir), _tips(spark, sf_dir))
+    return fits.select("tree_id", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
+@query()
+def tree_regression_tests(spark, sf_dir):
+    return regress.along_tree(_edges(spark, sf_dir), _tips(spark, sf_dir))
+
+
+@query("""
+SELECT o_orderkey, finite_price FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE o_totalprice END AS finite_price FROM orders) WHERE finite_price IS NOT NULL
+""")
+def complete_rows(spark, sf_dir):
+    price = F.when(F.col("o_orderkey") % 9 == 0, F.when(F.col("o_orderkey") % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("o_totalprice"))
+    return measures.complete(table(spark, sf_dir, "orders").select("o_orderkey", finite(price).alias("finite_price")), ["finite_price"])
