@@ -4,7 +4,8 @@
 2. Classes meet in buckets: groups of rows of a min-hash table.  With 50 bands of 4 rows, a pair of similarity 0.8 misses
    all buckets with a chance of 4e-12 (``miss_chance``), far below that of a hash collision elsewhere.
 3. Each class is checked against the smallest class that it meets most often; what links is joined into groups.  So a
-   group of thousands of near copies costs thousands of checks, not millions.
+   group of thousands of near copies costs thousands of checks, not millions.  In ``passes`` more turns, buckets whose
+   classes are still in different groups draw another centre.
 4. Buckets whose classes are still in different groups are joined in full by signature trees: leaves hold a bitmap of
    the set and its size, inner nodes the OR of their bitmaps and a range of sizes.  Two trees are walked at once; a pair
    of nodes is left when one group holds all of it or the largest overlap that its bitmaps allow can't reach the
@@ -205,7 +206,7 @@ def tree_candidates(members: DataFrame, sets: DataFrame, percent: int, block: in
     rows = members.join(once.select("_key", "_m"), "_key")
     rows = rows.join(rows.groupBy("_key", "_c").agg(F.count("*").alias("_of_c")), ["_key", "_c"])
     large = F.col("_of_c") > block
-    part = F.when(large, F.xxhash64("_c", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_of_c") / block)))).otherwise(F.pmod(F.xxhash64("_c"), F.ceil(2 * F.col("_m") / block)))
+    part = F.when(large, F.xxhash64("_c", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_of_c") / block)))).otherwise(F.pmod(F.xxhash64("_c"), F.ceil(F.col("_m") / block)))
     rows = cut(rows.join(sets.select("_id", "_n"), "_id").select("_key", "_id", "_c", "_n", part.alias("_part")), "bucket-rows")
     roots = rows.groupBy("_key", "_part").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.min("_c").alias("_g"), F.max("_c").alias("_h"))
     other = roots.select("_key", *[F.col(c).alias(f"{c}2") for c in ("_part", "_lo", "_hi", "_g", "_h")])
@@ -218,7 +219,7 @@ def tree_candidates(members: DataFrame, sets: DataFrame, percent: int, block: in
     return sides.groupBy("_key", "_part", "_part2").applyInArrow(_tree_join(percent), "_x long, _y long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 50, rows: int = 4, block: int = 512, most_ids: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 50, rows: int = 4, block: int = 2048, passes: int = 3, most_ids: int = 2_000_000) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id that links reach).  Ids are whole numbers.
 
     Up to ``most_ids`` ids of classes that met another are broadcast to pick their texts; beyond it Spark shuffles.
@@ -233,13 +234,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     picked = plain.join(small(met, most_ids), "_id", "left_semi").mapInArrow(_sets(width), "_id long, _n long, _set binary, _map binary")
     sets = cut(picked.dropDuplicates(["_id"]), "sets")
 
-    stars = members.where("_id <> _low").groupBy("_id", "_low").agg(F.count("*").alias("_times"))
-    nearest = stars.groupBy("_id").agg(F.max(F.struct("_times", (-F.col("_low")).alias("_low"))).alias("_best"))
-    first = cut(verified(nearest.select(F.col("_id").alias("_x"), (-F.col("_best._low")).alias("_y")), sets, percent, "long"), "links-a")
-    groups = components(first, "_x", "_y")
-    grouped = members.select("_key", "_id").join(groups.withColumnRenamed("node", "_id"), "_id", "left").select("_key", "_id", F.coalesce("component", "_id").alias("_c"))
+    def checked(stars: DataFrame) -> DataFrame:
+        """Links of each class to the centre (_low) that it meets most often."""
+        times = stars.groupBy("_id", "_low").agg(F.count("*").alias("_times"))
+        best = times.groupBy("_id").agg(F.max(F.struct("_times", (-F.col("_low")).alias("_low"))).alias("_best"))
+        return verified(best.select(F.col("_id").alias("_x"), (-F.col("_best._low")).alias("_y")), sets, percent, "long")
+
+    links = cut(checked(members.where("_id <> _low")), "links-a")
+    for turn in range(passes + 1):
+        groups = components(links, "_x", "_y")
+        grouped = members.select("_key", "_id").join(groups.withColumnRenamed("node", "_id"), "_id", "left").select("_key", "_id", F.coalesce("component", "_id").alias("_c"))
+        grouped = cut(grouped, "grouped")
+        if turn == passes:
+            break
+        # Buckets still in several groups choose another centre, each its own.
+        draw = F.xxhash64(F.lit(turn), "_key", "_id")
+        centres = grouped.groupBy("_key").agg(F.min_by("_id", draw).alias("_low"), F.min_by("_c", draw).alias("_of"), F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a <> _b")
+        fresh = checked(grouped.join(centres.select("_key", "_low", "_of"), "_key").where("_c <> _of"))
+        links = cut(groups.select(F.col("node").alias("_x"), F.col("component").alias("_y")).unionByName(fresh), "links-a")
     found = cut(tree_candidates(grouped, sets, percent, block), "candidates")
-    second = verified(found, sets, percent, "long")
+    first, second = links, verified(found, sets, percent, "long")
     whole = components(first.unionByName(second), "_x", "_y")
 
     placed = signed.select("_id", "_n", "_f", "_g").join(classes, ["_n", "_f", "_g"], "left").join(whole.withColumnRenamed("node", "_rep"), "_rep", "left")
