@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.nulls import finite, log10
-from ..operators import classify, clean, dedup, hierarchy, keys, measures, regress, stats, textmine
+from ..operators import classify, clean, dedup, hierarchy, hulls, keys, measures, regress, reports, stats, textmine, treemodels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -485,3 +485,90 @@ SELECT o_orderkey, finite_price FROM (SELECT o_orderkey, CASE WHEN o_orderkey %
 def complete_rows(spark, sf_dir):
     price = F.when(F.col("o_orderkey") % 9 == 0, F.when(F.col("o_orderkey") % 2 == 0, float("nan")).otherwise(float("inf"))).otherwise(F.col("o_totalprice"))
     return measures.complete(table(spark, sf_dir, "orders").select("o_orderkey", finite(price).alias("finite_price")), ["finite_price"])
+
+
+@query(f"""
+WITH d AS (SELECT n_regionkey AS r, n_nationkey AS k, c_custkey AS c, n_nationkey + 1.0::DOUBLE AS dk, n_nationkey + 1.0::DOUBLE + c_custkey % 7 + 1 AS dc, o_orderkey, o_totalprice
+  FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey),
+o AS (SELECT r, k, c, (dc + o_orderkey % 5 + 1) ** (1 / 1.3::DOUBLE) - dc ** (1 / 1.3::DOUBLE) AS v, dc, dk, (o_orderkey % 97)::DOUBLE AS x, o_totalprice / 1000 AS y, 0.0::DOUBLE AS sxx, 0.0::DOUBLE AS sxy, 1 AS n FROM d),
+c AS (WITH {_level("o", "r, k, c, dc, dk", "dc ** (1 / 1.3::DOUBLE) - dk ** (1 / 1.3::DOUBLE)", "r, k, c, dc, dk").strip()}),
+k AS (WITH {_level("c", "r, k, dk", "dk ** (1 / 1.3::DOUBLE)", "r, k, dk").strip()}),
+g AS (WITH {_level("k", "r", "0.0::DOUBLE", "r").strip()})
+SELECT r::VARCHAR AS tree_id, round(sxy / sxx, 6) AS slope, round(y - sxy / sxx * x, 4) AS intercept, n::BIGINT AS n FROM g
+""")
+def accelerated_regressions(spark, sf_dir):
+    fits = hierarchy.fold(treemodels.accelerated(_edges(spark, sf_dir)), _tips(spark, sf_dir))
+    return fits.select("tree_id", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
+
+
+@query()
+def tree_models(spark, sf_dir):
+    traits = _tips(spark, sf_dir).select("tree_id", F.col("fit").alias("trait"), "node", "y")
+    return treemodels.best_models(treemodels.model_fits(_edges(spark, sf_dir), traits, {"lambda": [0.25, 0.5, 0.75], "early": [-0.1, 0.1], "pull": [0.1, 0.5]}))
+
+
+@query()
+def vector_hulls(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("label", F.col("embedding")[0].alias("a"), F.col("embedding")[1].alias("b"))
+    return hulls.convex_hulls(e, ["label"], "a", "b")
+
+
+@query("""
+WITH p AS (SELECT p_brand AS grp, p_partkey AS k, p_type, p_name FROM part),
+a AS (SELECT grp, count(*)::BIGINT AS refs FROM p GROUP BY 1),
+b AS (SELECT grp, count(*) AS examined, count(*) FILTER (k % 4 = 0) AS no_access, count(*) FILTER (k % 4 = 1) AS kept FROM p WHERE k % 3 <> 0 AND grp NOT LIKE '%2' GROUP BY 1),
+c AS (SELECT grp, count(*) AS entries, count(DISTINCT p_type) AS genera, count(DISTINCT p_type || p_name) AS species FROM p WHERE k % 2 = 0 AND grp NOT LIKE '%1' GROUP BY 1),
+w AS (SELECT grp, refs, examined, no_access, kept, examined - no_access - kept AS good, entries, genera, species FROM a LEFT JOIN b USING (grp) LEFT JOIN c USING (grp)),
+t AS (SELECT * FROM w UNION ALL SELECT 'total', sum(refs), sum(examined), sum(no_access), sum(kept), sum(good), sum(entries), sum(genera), sum(species) FROM w)
+SELECT grp, coalesce(refs::BIGINT::VARCHAR, '-') AS refs, coalesce(examined::BIGINT::VARCHAR, '-') AS examined, coalesce(no_access::BIGINT::VARCHAR, '-') AS no_access, coalesce(kept::BIGINT::VARCHAR, '-') AS kept,
+  coalesce(good::BIGINT::VARCHAR, '-') AS good, coalesce(entries::BIGINT::VARCHAR, '-') AS entries, coalesce(genera::BIGINT::VARCHAR, '-') AS genera, coalesce(species::BIGINT::VARCHAR, '-') AS species FROM t
+""")
+def progress_report(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "grp")
+    examined = p.where((k % 3 != 0) & ~F.col("grp").endswith("2")).withColumn("mark", F.when(k % 4 == 0, "x #NO").when(k % 4 == 1, "#KP"))
+    return reports.progress(p, examined, p.where((k % 2 == 0) & ~F.col("grp").endswith("1")), "grp", "mark", "p_type", "p_name")
+
+
+@query("SELECT 'p_brand' AS what, count(DISTINCT coalesce(p_brand, ''))::BIGINT AS n FROM part UNION ALL SELECT 'p_type', count(DISTINCT coalesce(p_type, ''))::BIGINT FROM part")
+def distinct_sources(spark, sf_dir):
+    return reports.distinct_values(table(spark, sf_dir, "part"), ["p_brand", "p_type"])
+
+
+@query("""
+WITH a AS (SELECT o_orderpriority, median(o_totalprice) AS mid, count(*)::BIGINT AS n FROM orders GROUP BY 1),
+b AS (SELECT o_orderpriority, median(o_totalprice) AS mid, count(*)::BIGINT AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+SELECT o_orderpriority, a.mid AS whole_mid, a.n AS whole_n, b.mid AS done_mid, b.n AS done_n FROM a LEFT JOIN b USING (o_orderpriority)
+""")
+def results_side_by_side(spark, sf_dir):
+    each = lambda t: t.groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("mid"), F.count("*").alias("n"))
+    orders = table(spark, sf_dir, "orders")
+    return reports.side_by_side(each(orders), each(orders.where("o_orderstatus = 'F'")), ["o_orderpriority"], ["mid", "n"], ("whole", "done"))
+
+
+@query("""
+WITH s AS (SELECT o_custkey, max(CASE WHEN o_totalprice > 200000 THEN 2 ELSE 1 END) AS s FROM orders GROUP BY 1)
+SELECT c_custkey AS custkey, (CASE WHEN c_acctbal < 0 THEN 2 WHEN s = 2 THEN 3 ELSE 1 END)::INTEGER AS state FROM customer LEFT JOIN s ON o_custkey = c_custkey
+""")
+def three_state_overlay(spark, sf_dir):
+    first = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.when(F.col("c_acctbal") < 0, 2).otherwise(1).alias("state"))
+    second = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.when(F.col("o_totalprice") > 200000, 2).otherwise(1).alias("state"))
+    return reports.three_states(first, second, "custkey", "state")
+
+
+@query("""
+SELECT n_name AS label, n_nationkey, s.n FROM nation FULL JOIN (SELECT s_nationkey, count(*)::BIGINT AS n FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON n_nationkey = s_nationkey
+""")
+def nodes_and_tips(spark, sf_dir):
+    nation = table(spark, sf_dir, "nation").select(F.col("n_name").alias("label"), "n_nationkey")
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy("label").agg(F.count("*").alias("n"))
+    return reports.nodes_with_tips(nation, rich, "label")
+
+
+@query("""
+WITH g AS (SELECT p_brand, min((p_size, p_type)) AS g FROM part GROUP BY 1)
+SELECT p_partkey, p_brand, g[1] AS least_size, g[2] AS least_type FROM part JOIN g USING (p_brand)
+""")
+def named_groups(spark, sf_dir):
+    part = table(spark, sf_dir, "part")
+    return reports.with_groups(part.select("p_partkey", "p_brand"), part.select("p_brand", F.col("p_size").alias("least_size"), F.col("p_type").alias("least_type")), "p_brand")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeweave.operators import clean, hierarchy, keys, measures, regress, textmine
+from gaugeweave.operators import clean, hierarchy, hulls, keys, measures, regress, reports, textmine, treemodels
 from gaugeweave.sources import files
 from gaugeweave.streaming import ingest
 
@@ -118,3 +118,59 @@ def test_student_tail():
 
     got = regress.student_tail(np.array([0.0, 1.0, 2.0, 12.706204736]), np.array([5.0, 1.0, 10.0, 1.0]))
     assert got == pytest.approx([1.0, 0.5, 0.0733880, 0.05], abs=1e-6) and math.isfinite(got.sum())
+
+
+def test_hulls_hold_all_points(spark):
+    rng = random.Random(5)
+    rows = [(g, rng.gauss(0, 1), rng.gauss(0, 1)) for g in ("a", "b") for _ in range(300)] + [("one", 1.0, 2.0), ("one", 1.0, 2.0), (None, 0.0, 0.0), (None, 1.0, 1.0), (None, 2.0, 2.0), ("bad", float("nan"), 1.0), ("bad", None, 1.0)]
+    got = hulls.convex_hulls(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()
+    of = {g: [(r.x, r.y) for r in sorted(got, key=lambda r: r.place) if r.g == g] for g in {r.g for r in got}}
+    assert set(of) == {"a", "b", "one", None} and of["one"] == [(1.0, 2.0)] and of[None] == [(0.0, 0.0), (2.0, 2.0)]
+    for g in ("a", "b"):
+        edges = list(zip(of[g], of[g][1:] + of[g][:1], strict=True))
+        assert set(of[g]) <= {(x, y) for h, x, y in rows if h == g}
+        assert all((q[0] - p[0]) * (y - p[1]) - (q[1] - p[1]) * (x - p[0]) >= -1e-12 for p, q in edges for h, x, y in rows if h == g)
+
+
+def test_tree_models_equal_dense_likelihoods(spark):
+    import numpy as np
+
+    edges = [("r", "a", 1.0), ("r", "b", 2.0), ("a", "t1", 3.0), ("a", "t2", 3.0), ("b", "t3", 2.0), ("b", "c", 1.0), ("c", "t4", 1.0), ("c", "t5", 1.0), ("r", "t6", 4.0)]
+    tips, y = ["t1", "t2", "t3", "t4", "t5", "t6"], np.array([1.0, 2.5, 0.5, 3.0, 2.0, 4.0])
+    shared = np.zeros((6, 6))
+    up = {c: (p, v) for p, c, v in edges}
+
+    def path(n):
+        return [] if n == "r" else [n, *path(up[n][0])]
+
+    for i, s in enumerate(tips):
+        for j, t in enumerate(tips):
+            shared[i, j] = sum(up[n][1] for n in set(path(s)) & set(path(t)))
+    eye = np.eye(6, dtype=bool)
+    dense = {
+        ("brownian", 0.0): shared, ("white", 0.0): np.eye(6), ("lambda", 0.5): np.where(eye, shared, shared * 0.5),
+        ("early", -0.2): (np.exp(-0.2 * shared) - 1) / -0.2, ("pull", 0.3): (np.exp(-0.6 * (4 - shared)) - np.exp(-0.6 * 4)) / 0.6,
+    }
+    e = spark.createDataFrame([("x", *r) for r in edges], "tree_id string, parent string, child string, length double")
+    traits = spark.createDataFrame([("x", "y", t, float(v)) for t, v in zip(tips, y, strict=True)], "tree_id string, trait string, node string, y double")
+    fits = treemodels.model_fits(e, traits, {"lambda": [0.5], "early": [-0.2], "pull": [0.3]})
+    got = {(r.model, r.value): r for r in fits.collect()}
+    assert set(got) == set(dense)
+    for key, v in dense.items():
+        inverse, one = np.linalg.inv(v), np.ones(6)
+        rest = y - (one @ inverse @ y) / (one @ inverse @ one)
+        loglik = -0.5 * (6 * (math.log(2 * math.pi) + math.log(rest @ inverse @ rest / 6) + 1) + np.linalg.slogdet(v)[1])
+        assert got[key].loglik == pytest.approx(loglik, abs=1e-6)
+    best = treemodels.best_models(fits).first()
+    assert best.aicc == min(r.aicc for r in got.values())
+
+
+def test_fan_out_and_missing_sides(spark):
+    a = spark.createDataFrame([("g", 1), ("h", 2), ("i", 1)], "genus string, state int")
+    b = spark.createDataFrame([("g", 1), ("g", 2), ("h", 2)], "genus string, state int")
+    assert sorted(map(tuple, reports.three_states(a, b, "genus", "state").collect())) == [("g", 3), ("h", 2), ("i", 1)]
+    assert reports.three_states(a, b, "genus", "state", fan_out=True).count() == 4
+    groups = b.withColumnRenamed("state", "size")
+    assert reports.with_groups(a, groups, "genus").count() == 3 and reports.with_groups(a, groups, "genus", fan_out=True).count() == 4
+    rows = reports.progress(a, a.limit(0).withColumn("mark", F.lit("")), a.withColumn("sp", F.lit(None).cast("string")), "genus", "mark", "genus", "sp").collect()
+    assert {r.genus: r.examined for r in rows} == {"g": "-", "h": "-", "i": "-", "total": "-"}
