@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
+from .textbytes import tidy
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +38,7 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataF
     and sums can be split by Spark, so one node may hold most links.  It ends when a round changes nothing.
     """
     edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
-    edges = cut(edges.mapInArrow(_forest, "u long, v long").distinct(), "links")
+    edges = cut(edges.mapInArrow(tidy(_forest), "u long, v long").distinct(), "links")
     seen = None
     for _ in range(most_rounds):
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .graph import components
 from .shared import cut, small
-from .textbytes import U, blocks, mix, stream, words
+from .textbytes import U, blocks, mix, stream, tidy, words
 
 BITS = 4096
 FANOUT = 8
@@ -121,7 +121,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> D
     near = (100 * F.least("_nx", "_ny")) >= percent * F.greatest("_nx", "_ny")
     sized = pairs.join(sets.select(F.col("_id").alias("_x"), F.col("_n").alias("_nx")), "_x").join(sets.select(F.col("_id").alias("_y"), F.col("_n").alias("_ny")), "_y").where(near).select("_x", "_y")
     both = sized.join(x.drop("_nx"), "_x").join(y.drop("_ny"), "_y").select("_x", "_y", "_sx", "_sy")
-    return both.mapInArrow(_overlaps(percent), f"_x {id_type}, _y {id_type}")
+    return both.mapInArrow(tidy(_overlaps(percent)), f"_x {id_type}, _y {id_type}")
 
 
 class Tree:
@@ -225,13 +225,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Up to ``most_ids`` ids of classes that met another are broadcast to pick their texts; beyond it Spark shuffles.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = cut(plain.mapInArrow(_signer(width, bands, rows), "_id long, _n long, _f long, _g long, _keys array<long>"), "signed")
+    signed = cut(plain.mapInArrow(tidy(_signer(width, bands, rows)), "_id long, _n long, _f long, _g long, _keys array<long>"), "signed")
     classes = signed.where("_n > 0").groupBy("_n", "_f", "_g").agg(F.min("_id").alias("_rep"))
     keyed = signed.join(classes, ["_n", "_f", "_g"]).where("_id = _rep").select("_id", F.explode("_keys").alias("_key"))
     buckets = keyed.groupBy("_key").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low <> _high").select("_key", "_low")
     members = cut(keyed.join(buckets, "_key").select("_key", "_id", "_low").distinct(), "members")
     met = cut(members.select("_id").distinct(), "met")
-    picked = plain.join(small(met, most_ids), "_id", "left_semi").mapInArrow(_sets(width), "_id long, _n long, _set binary, _map binary")
+    picked = plain.join(small(met, most_ids), "_id", "left_semi").mapInArrow(tidy(_sets(width)), "_id long, _n long, _set binary, _map binary")
     sets = cut(picked.dropDuplicates(["_id"]), "sets")
 
     def checked(stars: DataFrame) -> DataFrame:

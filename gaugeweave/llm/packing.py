@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, rank_within
-from .textbytes import blocks, span_hashes
+from .textbytes import blocks, span_hashes, tidy
 
 #: The end-of-document id of the contract, and the special string that the vocabulary file itself maps to an id.
 END_ID, SPECIAL = 2, "<|endoftext|>"
@@ -186,7 +186,7 @@ def tokenized(docs: DataFrame, tokenizer: str, ranks: str, capacity: int, id_col
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[id_col, "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids)
 
-    return docs.select(id_col, text_col).mapInArrow(pieces, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(pieces), schema)
 
 
 def _sums_of_two_or_more(sizes: list[int], capacity: int) -> int:

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textbytes import U, blocks, runs, span_hashes, words
+from .textbytes import U, blocks, runs, span_hashes, tidy, words
 
 STATS = ["words", "mean_word", "upper", "digits", "symbols", "pipes", "bangs", "non_ascii", "distinct_words", "top_word", "next_equal", "lines", "mean_line", "distinct_lines", "top_line"]
 
@@ -85,7 +85,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
             stats = pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(STATS))], names=STATS)
             yield pa.RecordBatch.from_arrays([*batch.columns, stats], names=[*batch.schema.names, "_gw_stats"])
 
-    return docs.mapInArrow(add, schema)
+    return docs.mapInArrow(tidy(add), schema)
 
 
 def _grow(x: np.ndarray, cuts: list[np.ndarray], grad: np.ndarray, hess: np.ndarray, rows: np.ndarray, path: tuple, depth: int, step: np.ndarray, rules: list) -> None:

@@ -7,7 +7,9 @@ two different ones agree with a chance of about 2**-64.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +53,27 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
+def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step for mapInArrow that gives unused memory back to the system at the end of every partition.
+
+    Spark keeps its Python workers for later tasks, and what idle ones hold counts against their executor.
+    """
+
+    @functools.wraps(step)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from step(batches)
+        finally:
+            if len(_powers["up"]) > BLOCK + 1:  # grown for one long text
+                _powers.update(up=np.ones(0, U), down=np.ones(0, U))
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+            if trim:
+                trim(0)
+
+    return run
+
+
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of each block; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):
