@@ -28,7 +28,7 @@ from .textbytes import blocks, span_hashes, tidy
 END_ID, SPECIAL = 2, "<|endoftext|>"
 
 #: Bytes of text whose distinct pre-tokens are encoded together.
-TOGETHER = 8 << 20
+TOGETHER = 2 << 20
 
 #: Classes of characters: letter, number, white space; all else is 0.
 LETTER, NUMBER, SPACE = 1, 2, 3
