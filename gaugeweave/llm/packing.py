@@ -47,19 +47,32 @@ def _classes() -> np.ndarray:
     return out
 
 
+class _Whole:
+    """The tokenizer itself, loaded when a text first needs it: few workers meet one with the special string."""
+
+    def __init__(self, path: str) -> None:
+        self.path, self.of = path, None
+
+    def encode(self, text: str, **options):
+        if self.of is None:
+            from tokenizers import Tokenizer
+
+            self.of = Tokenizer.from_file(self.path)
+        return self.of.encode(text, **options)
+
+
 def _tools(tokenizer: str, ranks: str) -> tuple:
     """Class table, encoder of plain words, and the tokenizer itself for texts that hold its special string."""
     if (tokenizer, ranks) not in _loaded:
         import base64
 
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks, "rb") as f:
             table = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, f)}
         # Fixed value: the byte-level BPE's published way of splitting a text into words.
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-        _loaded[tokenizer, ranks] = _classes(), tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table, special_tokens={}), Tokenizer.from_file(tokenizer)
+        _loaded[tokenizer, ranks] = _classes(), tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=table, special_tokens={}), _Whole(tokenizer)
     return _loaded[tokenizer, ranks]
 
 
