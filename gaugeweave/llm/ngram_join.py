@@ -225,14 +225,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Up to ``most_ids`` ids of classes that met another are broadcast to pick their texts; beyond it Spark shuffles.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = cut(plain.mapInArrow(tidy(_signer(width, bands, rows)), "_id long, _n long, _f long, _g long, _keys array<long>"), "signed")
+    signed = cut(plain.mapInArrow(tidy(_signer(width, bands, rows)), "_id long, _n long, _f long, _g long, _keys array<long>"), "signed", texts=True)
     classes = signed.where("_n > 0").groupBy("_n", "_f", "_g").agg(F.min("_id").alias("_rep"))
     keyed = signed.join(classes, ["_n", "_f", "_g"]).where("_id = _rep").select("_id", F.explode("_keys").alias("_key"))
     buckets = keyed.groupBy("_key").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low <> _high").select("_key", "_low")
     members = cut(keyed.join(buckets, "_key").select("_key", "_id", "_low").distinct(), "members")
     met = cut(members.select("_id").distinct(), "met")
     picked = plain.join(small(met, most_ids), "_id", "left_semi").mapInArrow(tidy(_sets(width)), "_id long, _n long, _set binary, _map binary")
-    sets = cut(picked.dropDuplicates(["_id"]), "sets")
+    sets = cut(picked.dropDuplicates(["_id"]), "sets", texts=True)
 
     def checked(stars: DataFrame) -> DataFrame:
         """Links of each class to the centre (_low) that it meets most often."""

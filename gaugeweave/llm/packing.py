@@ -297,7 +297,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str, capacity: int = 1024, id_c
     ``tokenizer`` is the vocabulary's tokenizers file, ``ranks`` the same vocabulary as tiktoken ranks, which encode
     single words several times faster.
     """
-    pieces = cut(tokenized(docs, tokenizer, ranks, capacity, id_col, text_col, keep_ids), "pieces")
+    pieces = cut(tokenized(docs, tokenizer, ranks, capacity, id_col, text_col, keep_ids), "pieces", texts=True)
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     table = intervals(plan(histogram, capacity), capacity)
     shared = docs.sparkSession.sparkContext.broadcast(table)

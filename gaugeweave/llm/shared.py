@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,11 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later jobs survive lost executors without redoing it."""
+#: Bytes of rows that go to a Python worker at a time where rows hold whole texts; a longer row goes alone.
+TEXT_BATCH = 4 << 20
+
+
+@contextlib.contextmanager
+def text_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside send batches of about TEXT_BATCH bytes to Python: executors hold each several times while it is sent."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(TEXT_BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def cut(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: later jobs survive lost executors without redoing it.
+
+    ``texts``: Python steps of ``df`` get whole texts, and so smaller batches.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with text_batches(spark) if texts else contextlib.nullcontext():
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
