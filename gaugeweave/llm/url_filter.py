@@ -12,6 +12,8 @@ repeated rows are judged alike and their links count once; an empty table gives
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,20 +50,26 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 30, tolerance: float = 1e-4) -> DataFrame:
+#: Scores above 0 and below this are about to lose their digits.
+SMALLEST = 1e-300
+
+
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust) from ``links`` (src, dst) and ``seeds`` (host, good, bad: seed weights).
 
-    Ends when a round changes all values together by less than ``tolerance`` of the seeds' weight.  Only two numbers a
-    round reach the driver.
+    Ends when a round changes no host's trust or distrust by more than ``tolerance`` of that value (at least by more
+    than rounding does).  A host that is reached for the first time changes by its whole value; and since scores flow
+    in fixed shares, after a round without a larger change none follows.  Raises where that takes more than ``rounds``
+    rounds (None: as many as it takes), or where a score gets too small for a float.  Only two numbers a round reach
+    the driver.
     """
     links = cut(links.join(links.groupBy("src").agg(F.count("*").alias("n_out")), "src").join(links.groupBy("dst").agg(F.count("*").alias("n_in")), "dst"), "host-links")
     ends = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host")))
     zero = F.lit(0.0)
     base = seeds.select("host", "good", "bad").unionByName(ends.distinct().select("host", zero.alias("good"), zero.alias("bad")))
     base = cut(base.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "host-seeds")
-    weight = base.agg(F.sum(F.col("good") + F.col("bad"))).first()[0] or 0.0
     scores = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    for _ in range(rounds):
+    for k in itertools.count(1):
         forth = links.join(scores.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("trust") / F.col("n_out")).alias("t"), zero.alias("d"))
         back = links.join(scores.withColumnRenamed("host", "dst"), "dst").select(F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") / F.col("n_in")).alias("d"))
         flow = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
@@ -69,10 +77,16 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         new = base.join(flow, "host", "left").select("host", mixed("good", "t").alias("trust"), mixed("bad", "d").alias("distrust"))
         old = scores.select("host", F.col("trust").alias("_t"), F.col("distrust").alias("_d"))
         new = cut(new.join(old, "host"), "host-scores")
-        moved = new.agg(F.sum(F.abs(F.col("trust") - F.col("_t")) + F.abs(F.col("distrust") - F.col("_d")))).first()[0] or 0.0
+        moved = lambda v, was: F.abs(F.col(v) - F.col(was)) > max(tolerance, 1e-12) * F.col(v)
+        small = lambda v: (F.col(v) > 0) & (F.col(v) < SMALLEST)
+        left, lost = new.agg(F.count_if(moved("trust", "_t") | moved("distrust", "_d")), F.count_if(small("trust") | small("distrust"))).first()
         scores = new.select("host", "trust", "distrust")
-        if moved <= tolerance * weight:
+        if lost:
+            raise ArithmeticError(f"scores of {lost} hosts are too small for a float after {k} rounds")
+        if not left:
             break
+        if k == rounds:
+            raise RuntimeError(f"scores of {left} hosts did not settle in {rounds} rounds")
     return scores
 
 

@@ -207,6 +207,24 @@ def test_urls_of_whole_table(spark):
     assert url_filter.judge(pages.limit(0), RULES).count() == 0
 
 
+def test_urls_far_from_few_seeds_among_many(spark):
+    """With the production parameters, a chain of 36 hosts up to a blocked one, and a loop, beside 10,000 seeds without links."""
+    chain = [f"h{i}.net" for i in range(36)] + ["x.com"]
+    links = [*zip(chain, chain[1:]), ("s0.org", "a.net"), ("a.net", "b.net"), ("b.net", "c.net"), ("c.net", "a.net"), ("c.net", "x.com")]
+    html = {}
+    for a, b in links:
+        html[a] = html.get(a, "") + f'<a href="http://{b}/de/1">'
+    hosts = [*dict.fromkeys(x for e in links for x in e), *(f"s{i}.org" for i in range(1, 10_000))]
+    rows = [(i, f"http://{h}/de/1", html.get(h)) for i, h in enumerate(hosts)]
+    got = {r["host"]: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), RULES).collect()}
+    want = brute_walk(links, {"s0.org": 1.0}, {"x.com": 1.0}, 0.85, 400)
+    for h, (t, d) in want.items():
+        assert got[h]["trust"] == pytest.approx(t, rel=1e-2) and got[h]["distrust"] == pytest.approx(d, rel=1e-2)
+    assert {got[h]["verdict"] for h in chain} == {"block"} and got["s9.org"]["verdict"] == "allow"
+    with pytest.raises(RuntimeError, match="did not settle in 30 rounds"):
+        url_filter.judge(spark.createDataFrame(rows[:60], "page_id long, url string, html string"), RULES, rounds=30)
+
+
 def check_pack(rows, texts, capacity):
     plain = packing._tools(*tokenizer_files())[2]
     by, room = {}, {}
