@@ -2,7 +2,7 @@
 
 Tokens are words and, as languages inflect, word stems: the first 4 and the first 5 bytes.  Training counts, over a
 bounded sample of labelled documents (equal texts once), in how many documents of each class each token occurs.  Tokens
-that mark label 1 beyond chance are candidates; the lexicon takes the most telling one, leaves aside the documents that
+that mark label 1 beyond chance, whatever its share, are candidates; the lexicon takes the most telling one, leaves aside the documents that
 hold two chosen ones already, and goes on, so that what copies of a toxic text share by accident is not learnt.  A
 token's score is its log-odds with a Dirichlet prior in proportion to the whole (Monroe et al. 2008), a word's the
 largest among its tokens, and words without a token score ``-drift``.  A linear scan (Ruzzo and Tompa
@@ -116,7 +116,7 @@ def lexicon(rows: DataFrame, toxic: int, clean: int, prior: float, least: float,
     n = rows.select("text", "label").mapInArrow(_counts, "word long, label int, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
     q = F.col("a") / (F.col("a") + F.col("b"))
     over = F.col("a") * F.log(q / rate) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - q) / (1 - rate))).otherwise(0.0)
-    best = n.where((F.col("a") > 2) & (q > 3 * rate)).withColumn("over", over).where(F.col("over") >= least).orderBy(F.desc("over"), "word").limit(most_words).collect()
+    best = n.where((F.col("a") > 2) & (q > rate)).withColumn("over", over).where(F.col("over") >= least).orderBy(F.desc("over"), "word").limit(most_words).collect()
     hashes = np.array([r["word"] for r in best], np.int64).view(U)
     order = np.argsort(hashes)
     hashes, a, b = hashes[order], np.array([r["a"] for r in best], float)[order], np.array([r["b"] for r in best], float)[order]
@@ -248,16 +248,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = np.array(out, float).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([pa.array(x[:, i]) for i in range(4)], names=["n", "best", "hits", "sum"])
 
-    x = rows.where("label = 0").select("text").mapInArrow(clean_rows, "n double, best double, hits double, sum double").toPandas().to_numpy()
+    of_clean = lambda: rows.where("label = 0").select("text").mapInArrow(clean_rows, "n double, best double, hits double, sum double").toPandas().to_numpy()
+    x = of_clean()
     total, found = x[:, 0].sum(), x[:, 2].sum()
     # Words of clean texts: a share of lexicon words with their mean score, the rest with -drift.  At least one word in
     # a million counts as found, so that lambda exists.
     p = max(found / max(total, 1), 1e-6)
     s = x[:, 3].sum() / found if found else float(model.scores.mean())
+    # Lambda exists only where the mean is below 0; frequent tokens can lift it, and then the drift grows with them.
+    if p * s >= (1 - p) * drift and p < 1:
+        model.drift = 2 * p * s / (1 - p)
+        x = of_clean()
     low, high = 1e-6, 50.0 / s
     for _ in range(200):
         mid = (low + high) / 2
-        low, high = (mid, high) if p * np.exp(mid * s) + (1 - p) * np.exp(-mid * drift) < 1 else (low, mid)
+        low, high = (mid, high) if p * np.exp(mid * s) + (1 - p) * np.exp(-mid * model.drift) < 1 else (low, mid)
     model.lam = low
     # K from the share of clean texts with a segment of at least the mean lexicon score: 1 - exp(-K n exp(-lambda s)).
     with_one = np.clip((x[:, 1] >= s).mean(), 0.5 / len(x), 0.99)

@@ -334,6 +334,25 @@ def test_toxicity_on_held_out_rows(spark, odd, none):
     assert toxicity.score(odd, model).count() == len(ODD) and toxicity.score(none, toxicity.train(none, labels)).count() == 0
 
 
+@pytest.mark.parametrize("share, often", [(0.5, 0), (0.35, 0), (0.5, 12)])
+def test_toxicity_of_balanced_labels(spark, share, often):
+    """Toxic texts hold 3 of 6 marks; ``often``: a word of many clean texts that is in more toxic ones, so many times."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(600):
+        toxic = rng.random() < share
+        own = [f"w{rng.randrange(2000)}" for _ in range(60)] + rng.sample([f"mark{k}" for k in range(6)], 3) * toxic
+        own += ["usual"] * (often * (rng.random() < (0.9 if toxic else 0.5)))
+        rng.shuffle(own)
+        rows.append((i, " ".join(own), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs, docs)
+    got = {r["doc_id"]: r["score"] >= 0.3 for r in toxicity.score(docs, model).collect()}
+    assert len(model.hashes) and model.lam > 1e-3
+    for kind in (0, 1):
+        assert np.mean([got[i] == kind for i, _, t in rows if t == kind]) > 0.95
+
+
 def test_segments_equal_brute_force():
     rng = random.Random(4)
     for _ in range(300):
