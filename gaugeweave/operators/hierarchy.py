@@ -5,6 +5,9 @@ All trees are worked on at once; the number of shuffles is the depth of the deep
 
 from __future__ import annotations
 
+import functools
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,24 +23,34 @@ def tips_of(edges: DataFrame) -> DataFrame:
     return nodes.join(edges.select("tree_id", F.col("parent").alias("node")), ["tree_id", "node"], "left_anti").distinct()
 
 
-def heights(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(tree_id, node, height): tips 0, every other node one above its highest child; ``most`` bounds the depth."""
-    edges = cut(edges.select("tree_id", "parent", "child"), "edges")
-    level = tips_of(edges)
-    out = level.withColumn("height", F.lit(0))
-    for h in range(1, most + 1):
-        level = cut(edges.join(level.withColumnRenamed("node", "child"), ["tree_id", "child"]).select("tree_id", F.col("parent").alias("node")).distinct(), "level")
-        if level.isEmpty():
+def heights(edges: DataFrame) -> DataFrame:
+    """(tree_id, node, height): tips 0, every other node one above its highest child.  Raises on a cycle.
+
+    A node is done in the round after its last child, so each edge goes up once, however deep the tree.
+    """
+    edges = cut(edges.select("tree_id", "parent", "child").distinct(), "edges")
+    level = tips_of(edges).withColumn("height", F.lit(0))
+    done, left = [level], cut(edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("open")), "open")
+    for h in itertools.count(1):
+        up = edges.join(level.withColumnRenamed("node", "child"), ["tree_id", "child"]).groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("_n"))
+        left = cut(left.where("open > 0").join(up, ["tree_id", "node"], "left").select("tree_id", "node", (F.col("open") - F.coalesce("_n", F.lit(0))).alias("open")), "open")
+        ready, waiting = left.agg(F.count_if(F.col("open") == 0), F.count_if(F.col("open") > 0)).first()
+        if not ready:
             break
-        out = out.unionByName(level.withColumn("height", F.lit(h)))
-    return out.groupBy("tree_id", "node").agg(F.max("height").alias("height"))
+        level = left.where("open = 0").select("tree_id", "node", F.lit(h).alias("height"))
+        done.append(level)
+    if waiting:
+        raise ValueError(f"{waiting} nodes are on or above a cycle")
+    return functools.reduce(DataFrame.unionByName, done)
 
 
-def ancestors(edges: DataFrame, most: int = 16) -> DataFrame:
-    """(tree_id, node, ancestor, steps), every node its own ancestor at 0; paths double each round."""
+def ancestors(edges: DataFrame) -> DataFrame:
+    """(tree_id, node, ancestor, steps), every node its own ancestor at 0; paths double each round.  Raises on a cycle."""
     edges = cut(edges.select("tree_id", "parent", "child"), "edges")
     reach = edges.select("tree_id", F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("steps"))
-    for k in range(most):  # all paths of up to 2^k steps are known; the longest ones go on
+    for k in itertools.count():  # all paths of up to 2^k steps are known; the longest ones go on
+        if not reach.where("node = ancestor").isEmpty():
+            raise ValueError("a node is its own ancestor")
         far = reach.where(F.col("steps") == 2**k).alias("a")
         longer = far.join(reach.alias("b"), (F.col("a.tree_id") == F.col("b.tree_id")) & (F.col("a.ancestor") == F.col("b.node")))
         longer = cut(longer.select("a.tree_id", "a.node", "b.ancestor", (F.col("a.steps") + F.col("b.steps")).alias("steps")), "paths")
@@ -80,7 +93,7 @@ def shifts(edges: DataFrame, states: DataFrame) -> DataFrame:
     return near.groupBy("tree_id", "node").agg(F.min_by("ancestor", F.when(F.col("_x"), F.col("steps"))).alias("_near"), F.max("_x").alias("_any")).select("tree_id", "node", F.when(F.col("_any"), F.col("_near")).alias("shift"))
 
 
-def fold(edges: DataFrame, tips: DataFrame, most: int = 64) -> DataFrame:
+def fold(edges: DataFrame, tips: DataFrame) -> DataFrame:
     """Regression sums of every fit (tree_id, fit): (slope, intercept, sxx, sxy, syy, logdet, n) along the tree.
 
     ``tips`` has (tree_id, fit, node, x, y).  A node's children i weigh 1 / v_i; their weighted means go up with the
@@ -88,7 +101,7 @@ def fold(edges: DataFrame, tips: DataFrame, most: int = 64) -> DataFrame:
     1985).  One groupBy per level serves all trees and fits together.
     """
     edges = cut(edges, "edges")
-    high = cut(heights(edges, most), "heights")
+    high = cut(heights(edges), "heights")
     lengths = edges.select("tree_id", F.col("child").alias("node"), "parent", F.greatest("length", F.lit(FLOOR)).alias("v"))
     top = high.agg(F.max("height")).first()[0] or 0
     up = tips.where("x is not null and y is not null").join(lengths, ["tree_id", "node"]).select("tree_id", "fit", F.col("parent").alias("node"), "x", "y", "v", *[F.lit(0.0).alias(c) for c in ("sxx", "sxy", "syy", "logdet")], F.lit(1).alias("n"))

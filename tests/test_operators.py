@@ -107,6 +107,37 @@ def test_single_child_nodes_and_missing_tips(spark):
     assert {r["node"]: r["height"] for r in hierarchy.heights(e).collect()} == {"x": 0, "y": 0, "z": 0, "w": 0, "b": 1, "a": 2, "r": 3}
 
 
+def test_heights_of_deep_tree(spark):
+    e = spark.createDataFrame([("t", f"k{i}", f"k{i + 1}", 1.0) for i in range(68)], EDGES).coalesce(1)
+    assert {r["node"]: r["height"] for r in hierarchy.heights(e).collect()} == {f"k{i}": 68 - i for i in range(69)}
+
+
+def test_unbalanced_tree_equals_dense_least_squares(spark):
+    import numpy as np
+
+    rng, n = random.Random(3), 7
+    edges = [("t", f"k{i}", f"k{i + 1}", rng.uniform(0.5, 2)) for i in range(n - 1)]
+    edges += [("t", f"k{i}", f"t{i}", rng.uniform(0.5, 2)) for i in range(n)] + [("t", f"k{n - 1}", f"t{n}", 1.0)]
+    tips = [("t", "f", f"t{i}", rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(n + 1)]
+    e = spark.createDataFrame(edges, EDGES).coalesce(1)
+    got = hierarchy.fold(e, spark.createDataFrame(tips, TIPS)).collect()
+    depth = np.cumsum([0.0, *(v for *_, v in edges[: n - 1])])  # of k0, k1, ...
+    at = [min(i, n - 1) for i in range(n + 1)]
+    v = np.array([[depth[min(a, b)] for b in at] for a in at]) + np.diag([length for *_, length in edges[n - 1 :]])
+    x, y, inverse = np.array([[1.0, r[3]] for r in tips]), np.array([r[4] for r in tips]), np.linalg.inv(v)
+    intercept, slope = np.linalg.solve(x.T @ inverse @ x, x.T @ inverse @ y)
+    assert [r["n"] for r in got] == [n + 1]
+    assert got[0]["slope"] == pytest.approx(slope) and got[0]["intercept"] == pytest.approx(intercept) and got[0]["logdet"] == pytest.approx(np.linalg.slogdet(v)[1])
+
+
+def test_cycles_raise(spark):
+    for rows in ([("t", "a", "b", 1.0), ("t", "b", "a", 1.0)], [("t", "a", "b", 1.0), ("t", "b", "c", 1.0), ("t", "c", "a", 1.0), ("t", "c", "x", 1.0)]):
+        e = spark.createDataFrame(rows, EDGES)
+        for f in (hierarchy.heights, hierarchy.ancestors):
+            with pytest.raises(ValueError):
+                f(e)
+
+
 def test_shifts(spark):
     edges = spark.createDataFrame([("t", "r", "a", 1.0), ("t", "a", "b", 1.0), ("t", "b", "c", 1.0), ("t", "r", "d", 1.0)], EDGES)
     states = spark.createDataFrame([("t", "r", 0), ("t", "a", 1), ("t", "b", 1), ("t", "c", 0), ("t", "d", 0)], "tree_id string, node string, state int")
