@@ -12,23 +12,32 @@ from .shared import cut
 from .textbytes import tidy
 
 
+#: Nodes whose trees a task holds at a time.
+HELD = 300_000
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each batch of links as stars around the smallest node that the batch's links reach: no more links than before."""
-    for batch in batches:
-        parent: dict[int, int] = {}
+    """A task's links, as many at a time as HELD nodes have, as stars around the smallest node reached: no more links than before."""
+    parent: dict[int, int] = {}
 
-        def top(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
-                parent[x] = x = parent[up]
-            return x
+    def top(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
 
+    def stars() -> pa.RecordBatch:
+        own = [(x, y) for x in list(parent) if (y := top(x)) != x]
+        parent.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([y for _, y in own], pa.int64())], names=["u", "v"])
+
+    for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = top(a), top(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-        own = [(x, top(x)) for x in parent]
-        own = [(x, y) for x, y in own if x != y]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in own], pa.int64()), pa.array([y for _, y in own], pa.int64())], names=["u", "v"])
+        if len(parent) > HELD:
+            yield stars()
+    yield stars()
 
 
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataFrame:

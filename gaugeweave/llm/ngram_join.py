@@ -1,22 +1,26 @@
 """Near duplicates by n-gram Jaccard, with signature trees.
 
-1. Every text becomes its set of hashed 5-word shingles.  Equal sets are one class from here on.
-2. Classes meet in buckets: groups of rows of a min-hash table.  With 50 bands of 4 rows, a pair of similarity 0.8 misses
-   all buckets with a chance of 4e-12 (``miss_chance``), far below that of a hash collision elsewhere.
-3. Each class is checked against the smallest class that it meets most often; what links is joined into groups.  So a
-   group of thousands of near copies costs thousands of checks, not millions.  In ``passes`` more turns, buckets whose
-   classes are still in different groups draw another centre.
-4. Buckets whose classes are still in different groups are joined in full by signature trees: leaves hold a bitmap of
-   the set and its size, inner nodes the OR of their bitmaps and a range of sizes.  Two trees are walked at once; a pair
-   of nodes is left when one group holds all of it or the largest overlap that its bitmaps allow can't reach the
-   threshold.  Large buckets are cut into blocks, and the same test on the blocks' roots runs before rows are moved.
-5. Candidates are checked on the full sets; groups and links give the components.
+1. Every text becomes its set of hashed 5-word shingles.  Equal sets are one node from here on.
+2. Each node is listed under the first shingles of its set, in one order of all shingles.  Two sets that reach the
+   threshold share one of these (prefix filtering, Chaudhuri et al. 2006), so a bucket (the nodes under one shingle) is
+   where trees have to look; no link is lost here.  The order, rare shingles first, is only an aid: a passage that many
+   texts share comes last and brings few of them together.
+3. Signature trees find all links.  A leaf holds a set's bitmap and size, an inner node the OR of the bitmaps below and
+   their range of sizes.  Two subtrees are walked at once; a pair of nodes is left when the largest overlap that its
+   bitmaps and sizes allow can't reach the threshold, or when all below both is in one group already.  Pairs of leaves
+   that are reached are compared in full at once, and a link joins their groups.
+4. In ``passes`` turns every node goes to one of its buckets, the one with the smallest draw of the turn, where a tree
+   joins most near copies at little cost: of a bucket's group one node goes on to the next turn.
+5. What is left are buckets with nodes of several groups.  Each is joined in full: its nodes are cut into blocks by range
+   of sizes, and pairs of blocks whose sizes or groups rule a link out are left before rows are moved.
+6. Links and copies give the components.
 
 Similarity is compared in whole numbers: 100 * intersection >= percent * union.
 
 Defined results: null and empty texts, or texts without words, have no shingle and link with nothing; texts with fewer
-words than ``width`` are one shingle of all their words; equal texts link; a null id gets a null component; an empty table
-gives an empty table.
+words than ``width`` are one shingle of all their words; equal texts link; rows that repeat an id with different texts
+are documents of their own under one id; a null id gets a null component and links with nothing; an empty table gives an
+empty table; further columns are untouched.
 """
 
 from __future__ import annotations
@@ -25,23 +29,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, small
+from .shared import cut, small, text_batches
 from .textbytes import U, blocks, mix, stream, tidy, words
 
 BITS = 4096
 FANOUT = 8
 
+#: Shingles are counted in so many slots for the order of rarity.
+SLOTS = 1 << 18
 
-def miss_chance(similarity: float, bands: int, rows: int) -> float:
-    return (1 - similarity**rows) ** bands
 
-
-def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of every text."""
+def shingles(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the shingles of a block of texts, in order and with repeats, and where each text's begin."""
     factor = stream(21, width)
     for _, data, offsets in blocks(column):
         _, _, text, h = words(data, offsets)
@@ -51,37 +54,70 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
         s = np.zeros(max(0, len(h) - width + 1), U)
         for k in range(width):
             s += h[k : k + len(s)] * factor[k]
-        s = mix(s)
-        for i in range(n):
-            if count[i] >= width:
-                own = np.sort(s[first[i] : first[i + 1] - width + 1])
-                yield own[np.append(True, own[1:] != own[:-1])]
-            elif count[i]:
-                yield mix(np.array([(h[first[i] : first[i + 1]] * factor[: count[i]]).sum() + U(count[i])], U))
-            else:
-                yield np.zeros(0, U)
+        own = text[: len(s)] == text[width - 1 :] if len(s) else np.zeros(0, bool)
+        whole, of = [mix(s[own])], [text[: len(s)][own]]
+        brief = np.flatnonzero((count > 0) & (count < width))
+        if len(brief):
+            whole.append(mix(np.array([(h[first[i] : first[i + 1]] * factor[: count[i]]).sum() + U(count[i]) for i in brief.tolist()], U)))
+            of.append(brief)
+        s, of = np.concatenate(whole), np.concatenate(of)
+        order = np.argsort(of, kind="stable")
+        yield s[order], np.append(0, np.cumsum(np.bincount(of, minlength=n)))
+
+
+def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of every text."""
+    for s, first in shingles(column, width):
+        for lo, hi in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+            own = np.sort(s[lo:hi])
+            yield own[np.append(True, own[1:] != own[:-1])] if len(own) else own
+
+
+def identity(own: np.ndarray) -> np.ndarray:
+    """A 64-bit number of a set of shingles."""
+    return mix(np.array([own.sum(dtype=U)]) + mix(np.array([mix(own).sum(dtype=U) ^ U(len(own))])))
+
+
+def rarity(texts: DataFrame, width: int) -> np.ndarray:
+    """Of each slot of shingles how common it is, from 0 to 63: four steps for every doubling beyond 1.2 times the mean.
+
+    ``texts`` has one column.  All shingles of all texts are counted; SLOTS numbers, whatever the input, reach the driver.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for s, _ in shingles(batch.column(0), width):
+                total += np.bincount((s >> U(64 - SLOTS.bit_length() + 1)).astype(np.int64), minlength=SLOTS)
+        there = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(total[there])], names=["slot", "n"])
+
+    rows = texts.mapInArrow(tidy(count), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(SLOTS)
+    n[rows["slot"].to_numpy(int)] = rows["n"].to_numpy(float)
+    return np.clip(np.ceil(4 * np.log2(np.maximum(n, 1) / max(n.mean(), 1) / 1.2)), 0, 63).astype(np.uint8)
 
 
-def _signer(width: int, bands: int, rows: int):
-    a, b = stream(31, bands * rows).astype(np.uint32)[:, None] | np.uint32(1), (stream(32, bands * rows) >> U(32)).astype(np.uint32)[:, None]
-    in_band, of_band = stream(33, rows), stream(34, bands)
+def prefix(own: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set, rare ones first, and how many of them are its core.
 
+    Of two sets that reach the threshold the first common shingle is in the larger one's prefix and in the smaller one's
+    core: what comes before it is not shared, and so at most what the overlap leaves of either set.
+    """
+    n = len(own)
+    size, core = n - (percent * n + 99) // 100 + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+    level = common[(own >> U(64 - SLOTS.bit_length() + 1)).astype(np.int64)].astype(U)
+    return np.sort(np.partition(level << U(58) | own >> U(6), size - 1)[:size]), core
+
+
+def _signer(width: int, percent: int, common: np.ndarray):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, marks, other, keys = [], [], [], []
+            sizes, nodes, keys, cores = [], [], [], []
             for own in shingle_sets(batch.column(1), width):
-                sizes.append(len(own))
-                marks.append(own.sum(dtype=U))
-                other.append(mix(own).sum(dtype=U) ^ U(len(own)))
-                if not len(own):
-                    keys.append(None)
-                    continue
-                x = (own >> U(32)).astype(np.uint32)[None, :]
-                low = np.full(bands * rows, 2**32 - 1, np.uint32)
-                for lo in range(0, len(own), 1024):
-                    np.minimum(low, (x[:, lo : lo + 1024] * a + b).min(axis=1), out=low)
-                keys.append(mix((low.reshape(bands, rows).astype(U) * in_band).sum(axis=1, dtype=U) + of_band).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(np.array(marks, U).view(np.int64)), pa.array(np.array(other, U).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], names=["_id", "_n", "_f", "_g", "_keys"])
+                first, core = prefix(own, percent, common) if len(own) else (own, 0)
+                sizes.append(len(own)), nodes.append(identity(own)[0]), keys.append(first.view(np.int64)), cores.append(core)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(nodes, U).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(cores, pa.int32())], names=["_id", "_node", "_n", "_keys", "_core"])
 
     return sign
 
@@ -89,179 +125,253 @@ def _signer(width: int, bands: int, rows: int):
 def _sets(width: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, maps, sizes = [], [], []
-            for own in shingle_sets(batch.column(1), width):
-                bits = np.zeros(BITS, bool)
-                bits[(own >> U(52)).astype(np.int64)] = True
-                values.append(own.tobytes()), maps.append(np.packbits(bits).tobytes()), sizes.append(len(own))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(values, pa.binary()), pa.array(maps, pa.binary())], names=["_id", "_n", "_set", "_map"])
+            nodes, values = [], []
+            for own in shingle_sets(batch.column(0), width):
+                nodes.append(identity(own)[0]), values.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, U).view(np.int64)), pa.array(values, pa.binary())], names=["_node", "_set"])
 
     return full
 
 
-def _overlaps(percent: int):
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
-                good.append(len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_x", "_y"]).filter(pa.array(good, pa.bool_()))
+class Node:
+    """A node of a signature tree: OR of the bitmaps, range of sizes, group (None where several), children or the set.
 
-    return check
+    ``excess`` is the most by which a set below is larger than its bitmap: so many elements of an overlap can hide behind
+    shared bits.
+    """
 
+    __slots__ = ("bits", "low", "high", "excess", "group", "below", "own", "name")
+
+    def __init__(self, below: list[Node]):
+        self.below, self.own, self.name = below, None, 0
+        self.bits = 0
+        for x in below:
+            self.bits |= x.bits
+        self.low, self.high = min(x.low for x in below), max(x.high for x in below)
+        self.excess = max(x.excess for x in below)
+        self.group = None
+
+    @classmethod
+    def leaf(cls, name: int, group: int, own: np.ndarray) -> Node:
+        out = cls.__new__(cls)
+        marks = np.zeros(BITS, bool)
+        marks[(own >> U(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+        out.bits = int.from_bytes(np.packbits(marks).tobytes(), "big")
+        out.low = out.high = len(own)
+        out.excess = len(own) - out.bits.bit_count()
+        out.group, out.below, out.own, out.name = group, [], own, name
+        return out
+
+
+class Groups:
+    """Groups that links join."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def top(self, x: int) -> int:
+        while (above := self.up.get(x, x)) != x:
+            self.up[x] = self.up.get(above, above)
+            x = above
+        return x
+
+    def join(self, x: int, y: int) -> None:
+        x, y = self.top(x), self.top(y)
+        self.up[max(x, y)] = min(x, y)
+
+
+def reachable(a: Node, b: Node, percent: int) -> bool:
+    """Whether sets below two nodes can reach the threshold: their overlap is at most the shared bits and an excess."""
+    most = min(a.high, b.high, (a.bits & b.bits).bit_count() + min(a.excess, b.excess))
+    return most > 0 and 100 * most >= percent * (max(a.low, most) + max(b.low, most) - most)
+
+
+def alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if len(x) > len(y):
+        x, y = y, x
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()) if len(x) else 0
+    return len(x) > 0 and 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def walk(a: Node, b: Node, groups: Groups, percent: int, links: list[tuple[int, int]]) -> None:
+    """Walk two subtrees at once; append a link for every two groups that are joined."""
+    stack = [(a, b)]
+    while stack:
+        a, b = stack.pop()
+        if a.group is not None and b.group is not None and groups.top(a.group) == groups.top(b.group):
+            continue
+        if not reachable(a, b, percent):
+            continue
+        if not a.below and not b.below:
+            if alike(a.own, b.own, percent):
+                groups.join(a.group, b.group)
+                links.append((a.name, b.name))
+        elif a.below and (a.high - a.low >= b.high - b.low or not b.below):
+            stack += [(x, b) for x in a.below]
+        else:
+            stack += [(a, x) for x in b.below]
+
+
+def tree_of(leaves: list[Node], groups: Groups, percent: int, links: list[tuple[int, int]] | None) -> Node:
+    """The tree over ``leaves``; with ``links``, every level's children are walked against each other as it grows.
+
+    From below, so that what few comparisons have joined is one group when larger subtrees meet.
+    """
+    count: dict[int, int] = {}
+    for x in leaves:
+        count[x.group] = count.get(x.group, 0) + 1
+    level = sorted(leaves, key=lambda x: (x.group if count[x.group] > 1 else 0, x.low, x.name))
+    while True:
+        above = []
+        for k in range(0, len(level), FANOUT):
+            own = level[k : k + FANOUT]
+            if links is not None:
+                for i, x in enumerate(own):
+                    for y in own[:i]:
+                        walk(x, y, groups, percent, links)
+            node = Node(own)
+            if all(x.group is not None for x in own) and len({groups.top(x.group) for x in own}) == 1:
+                node.group = own[0].group
+            above.append(node)
+        level = above
+        if len(level) == 1:
+            return level[0]
+
+
+def _join(percent: int):
+    """Links of every ``_meeting`` of a task: of its rows, or where it has two sides, between them."""
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int, id_type: str) -> DataFrame:
-    """The pairs (_x, _y) whose full sets reach the threshold."""
-    x = sets.select(F.col("_id").alias("_x"), F.col("_n").alias("_nx"), F.col("_set").alias("_sx"))
-    y = sets.select(F.col("_id").alias("_y"), F.col("_n").alias("_ny"), F.col("_set").alias("_sy"))
-    near = (100 * F.least("_nx", "_ny")) >= percent * F.greatest("_nx", "_ny")
-    sized = pairs.join(sets.select(F.col("_id").alias("_x"), F.col("_n").alias("_nx")), "_x").join(sets.select(F.col("_id").alias("_y"), F.col("_n").alias("_ny")), "_y").where(near).select("_x", "_y")
-    both = sized.join(x.drop("_nx"), "_x").join(y.drop("_ny"), "_y").select("_x", "_y", "_sx", "_sy")
-    return both.mapInArrow(tidy(_overlaps(percent)), f"_x {id_type}, _y {id_type}")
+    def join(table: pa.Table) -> pa.Table:
+        columns = [table[c].to_pylist() for c in ("_meeting", "_side", "_node", "_c")]
+        sets = table["_set"].combine_chunks()
+        meetings: dict[int, tuple[list, list]] = {}
+        for i, (meeting, side, name, group) in enumerate(zip(*columns, strict=True)):
+            meetings.setdefault(meeting, ([], []))[side].append((name, group, i))
+        links: list[tuple[int, int]] = []
+        for sides in meetings.values():
+            groups = Groups()
+            leaves = [[Node.leaf(name, group, np.frombuffer(sets[i].as_buffer(), U)) for name, group, i in side] for side in sides]
+            if leaves[0] and leaves[1]:
+                walk(*[tree_of(x, groups, percent, None) for x in leaves], groups, percent, links)
+            else:
+                tree_of(leaves[0] or leaves[1], groups, percent, links)
+        return pa.table({"_x": pa.array([x for x, _ in links], pa.int64()), "_y": pa.array([y for _, y in links], pa.int64())})
+
+    return join
 
 
-class Tree:
-    """Levels of a signature tree over rows sorted by size: bitmaps, size ranges, group ranges, and bit-sharing excess.
+def meeting_members(keyed: DataFrame, percent: int, block: int) -> DataFrame:
+    """Of ``keyed`` (_key, _node, _n, _id, _in_core) the rows that may link inside their bucket.
 
-    ``excess`` is the most by which a set below a node is larger than its bitmap: that many elements of an overlap can
-    hide behind shared bits.
+    A pair meets in a bucket only if the smaller of its sets has the shingle in its core, and only if their sizes are
+    near.  Sizes are compared with the next ones in the bucket, in a bucket beyond ``block`` rows of a part of it only.
     """
+    core = lambda f: f(F.when(F.col("_in_core"), F.col("_n")))
+    shared = keyed.groupBy("_key").agg(F.min("_node").alias("_lo"), F.max("_node").alias("_hi"), core(F.min).alias("_a"), core(F.max).alias("_b"), F.count("*").alias("_m"))
+    shared = shared.where("_lo <> _hi and _a is not null").select("_key", "_a", "_b", "_m")
+    size = F.col("_n")
+    rows = keyed.join(shared, "_key").where(F.col("_in_core") | ((size >= F.col("_a")) & (percent * size <= 100 * F.col("_b"))))
+    crowd = F.when(F.col("_m") > block, F.xxhash64("_node")).otherwise(F.lit(0))
+    by_size = Window.partitionBy("_key", crowd).orderBy("_n", "_node")
+    near = (percent * size <= 100 * F.lag("_n").over(by_size)) | (percent * F.lead("_n").over(by_size) <= 100 * size)
+    return rows.withColumn("_near", (F.col("_m") > block) | F.coalesce(near, F.lit(False))).where("_near").select("_key", "_node", "_n", "_id")
 
-    def __init__(self, maps: np.ndarray, n: np.ndarray, group: np.ndarray):
-        self.order = np.lexsort((group, n))
-        maps, n, group = maps[self.order], n[self.order], group[self.order]
-        excess = n - np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
-        self.levels = [(maps, n, n, group, group, excess)]
-        while len(self.levels[-1][0]) > 1:
-            maps, lo, hi, g, h, excess = self.levels[-1]
-            at = np.arange(0, len(maps), FANOUT)
-            self.levels.append((np.bitwise_or.reduceat(maps, at), np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.minimum.reduceat(g, at), np.maximum.reduceat(h, at), np.maximum.reduceat(excess, at)))
-
-
-def reachable(shared_bits, excess_a, excess_b, lo_a, hi_a, lo_b, hi_b, percent: int):
-    """Whether any two sets with these sizes can reach the threshold: their overlap is at most the common bits and an excess."""
-    most = np.minimum(np.minimum(hi_a, hi_b), shared_bits + np.minimum(excess_a, excess_b))
-    return (most > 0) & (100 * most >= percent * (np.maximum(lo_a, most) + np.maximum(lo_b, most) - most))
-
-
-def walk(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two trees (or of one, each once) in different groups that may reach the threshold."""
-    depth = max(len(a.levels), len(b.levels)) - 1
-    x = y = np.zeros(1, np.int64)
-    for level in range(depth, -1, -1):
-        la, lb = a.levels[min(level, len(a.levels) - 1)], b.levels[min(level, len(b.levels) - 1)]
-        keep = []
-        for lo in range(0, len(x), 4096):
-            i, j = x[lo : lo + 4096], y[lo : lo + 4096]
-            bits = np.bitwise_count(la[0][i] & lb[0][j]).sum(axis=1, dtype=np.int64)
-            ok = reachable(bits, la[5][i], lb[5][j], la[1][i], la[2][i], lb[1][j], lb[2][j], percent)
-            keep.append(ok & ~((la[3][i] == la[4][i]) & (lb[3][j] == lb[4][j]) & (la[3][i] == lb[3][j])))
-        keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-        x, y = x[keep], y[keep]
-        if level == 0:
-            break
-        for tree, side in ((a, "x"), (b, "y")):
-            if level > len(tree.levels) - 1:
-                continue
-            below = len(tree.levels[level - 1][0])
-            own = x if side == "x" else y
-            fan = np.minimum(FANOUT, below - own * FANOUT)
-            child = np.repeat(own * FANOUT, fan) + np.arange(fan.sum()) - np.repeat(np.cumsum(fan) - fan, fan)
-            x, y = (child, np.repeat(y, fan)) if side == "x" else (np.repeat(x, fan), child)
-        if a is b:
-            x, y = x[x <= y], y[x <= y]
-    if a is b:
-        x, y = x[x < y], y[x < y]
-    return a.order[x], b.order[y]
-
-
-def _tree_join(percent: int):
-    def join(table: pa.Table) -> pa.Table:
-        side = table["_side"].to_numpy()
-        ids = table["_id"].to_numpy()
-        n, group = table["_n"].to_numpy(), table["_c"].to_numpy()
-        maps = np.frombuffer(b"".join(table["_map"].to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        parts = [np.flatnonzero(side == s) for s in (0, 1)]
-        trees = [Tree(maps[p], n[p], group[p]) for p in parts if len(p)]
-        left, right = walk(trees[0], trees[-1], percent) if trees else (np.zeros(0, int),) * 2
-        p, q = parts[0] if len(parts[0]) else parts[1], parts[1] if len(parts[1]) else parts[0]
-        x, y = ids[p[left]], ids[q[right]]
-        return pa.table({"_x": pa.array(np.maximum(x, y), pa.int64()), "_y": pa.array(np.minimum(x, y), pa.int64())})
 
-    return join
+def tree_links(rows: DataFrame, sets: DataFrame, percent: int, per_task: int) -> DataFrame:
+    """Links (_x, _y) from ``rows`` (_meeting, _side, _node, _c): enough to join all groups that links join.
+
+    Meetings are dealt to tasks of about ``per_task`` rows, each of which goes with its set once.
+    """
+    tasks = max(1, -(-rows.count() // per_task))
+    dealt = rows.withColumn("_task", F.pmod(F.xxhash64("_meeting"), F.lit(tasks))).join(sets, "_node")
+    return dealt.groupBy("_task").applyInArrow(_join(percent), "_x long, _y long")
 
 
-def tree_candidates(members: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Pairs (_x, _y) in different groups, from buckets ``members`` (_key, _id, _c), by signature trees.
+def block_meetings(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """(_meeting, _side, _node, _c) of buckets ``rows`` (_key, _node, _n, _c) with nodes of several groups.
 
-    Buckets that hold the same rows are joined once.  A bucket is cut into blocks of about ``block`` rows, rows of one
-    group together; pairs of blocks that the sizes or groups of their roots rule out are not formed.
+    Buckets that hold the same nodes meet once.  A bucket beyond ``block`` rows is cut into blocks by range of sizes (a
+    factor of 1.25 each) and, within one, by group; pairs of blocks that sizes or groups of their roots rule out are not
+    formed.
     """
-    mixed = members.groupBy("_key").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_id").cast("decimal(38,0)")).alias("_h"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi")
+    mixed = rows.groupBy("_key").agg(F.count("*").alias("_m"), F.sum(F.xxhash64("_node").cast("decimal(38,0)")).alias("_h"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi"), F.min("_n").alias("_a"), F.max("_n").alias("_b"))
+    mixed = mixed.where((F.col("_lo") != F.col("_hi")) & ((F.col("_m") > 2) | (100 * F.col("_a") >= percent * F.col("_b"))))
     once = mixed.groupBy("_m", "_h").agg(F.min("_key").alias("_key"))
-    rows = members.join(once.select("_key", "_m"), "_key")
-    rows = rows.join(rows.groupBy("_key", "_c").agg(F.count("*").alias("_of_c")), ["_key", "_c"])
-    large = F.col("_of_c") > block
-    part = F.when(large, F.xxhash64("_c", F.pmod(F.xxhash64("_id"), F.ceil(F.col("_of_c") / block)))).otherwise(F.pmod(F.xxhash64("_c"), F.ceil(F.col("_m") / block)))
-    rows = cut(rows.join(sets.select("_id", "_n"), "_id").select("_key", "_id", "_c", "_n", part.alias("_part")), "bucket-rows")
+    rows = rows.join(once.select("_key", "_m"), "_key")
+    span = F.floor(F.log(F.col("_n")) / F.log(F.lit(1.25)))
+    part = F.when(F.col("_m") <= block, F.lit(0)).otherwise(F.xxhash64(span, F.pmod(F.xxhash64("_c"), F.ceil(F.col("_m") / block))))
+    rows = rows.withColumn("_part", part)
+    large = rows.groupBy("_key", "_part").agg(F.count("*").alias("_of"))
+    rows = rows.join(large, ["_key", "_part"]).withColumn("_part", F.when(F.col("_of") > 2 * block, F.xxhash64("_part", F.pmod(F.xxhash64("_node"), F.ceil(F.col("_of") / block)))).otherwise(F.col("_part")))
+    rows = cut(rows.select("_key", "_part", "_node", "_n", "_c"), "blocks")
     roots = rows.groupBy("_key", "_part").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.min("_c").alias("_g"), F.max("_c").alias("_h"))
     other = roots.select("_key", *[F.col(c).alias(f"{c}2") for c in ("_part", "_lo", "_hi", "_g", "_h")])
     near = (100 * F.col("_hi") >= percent * F.col("_lo2")) & (100 * F.col("_hi2") >= percent * F.col("_lo"))
     one = (F.col("_g") == F.col("_h")) & (F.col("_g2") == F.col("_h2")) & (F.col("_g") == F.col("_g2"))
     pairs = roots.join(other, "_key").where((F.col("_part") <= F.col("_part2")) & near & ~one).select("_key", "_part", "_part2")
-    left = rows.join(pairs, ["_key", "_part"]).select("_key", "_part", "_part2", F.lit(0).alias("_side"), "_id", "_n", "_c")
-    right = rows.withColumnRenamed("_part", "_part2").join(pairs, ["_key", "_part2"]).where("_part <> _part2").select("_key", "_part", "_part2", F.lit(1).alias("_side"), "_id", "_n", "_c")
-    sides = left.unionByName(right).join(sets.select("_id", "_map"), "_id")
-    return sides.groupBy("_key", "_part", "_part2").applyInArrow(_tree_join(percent), "_x long, _y long").distinct()
+    meeting = F.xxhash64("_key", "_part", "_part2").alias("_meeting")
+    left = rows.join(pairs, ["_key", "_part"]).select(meeting, F.lit(0).alias("_side"), "_node", "_c")
+    right = rows.withColumnRenamed("_part", "_part2").join(pairs, ["_key", "_part2"]).where("_part <> _part2").select(meeting, F.lit(1).alias("_side"), "_node", "_c")
+    return left.unionByName(right)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = 50, rows: int = 4, block: int = 2048, passes: int = 3, most_ids: int = 2_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 1024, passes: int = 2, per_task: int = 8192, most_rows: int = 1_000_000) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id that links reach).  Ids are whole numbers.
 
-    Up to ``most_ids`` ids of classes that met another are broadcast to pick their texts; beyond it Spark shuffles.
+    Tables of up to ``most_rows`` rows of two numbers are broadcast; beyond it Spark shuffles.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-    signed = cut(plain.mapInArrow(tidy(_signer(width, bands, rows)), "_id long, _n long, _f long, _g long, _keys array<long>"), "signed", texts=True)
-    classes = signed.where("_n > 0").groupBy("_n", "_f", "_g").agg(F.min("_id").alias("_rep"))
-    keyed = signed.join(classes, ["_n", "_f", "_g"]).where("_id = _rep").select("_id", F.explode("_keys").alias("_key"))
-    buckets = keyed.groupBy("_key").agg(F.min("_id").alias("_low"), F.max("_id").alias("_high")).where("_low <> _high").select("_key", "_low")
-    members = cut(keyed.join(buckets, "_key").select("_key", "_id", "_low").distinct(), "members")
+    with text_batches(docs.sparkSession):
+        common = rarity(plain.select("_text"), width)
+    signed = cut(plain.mapInArrow(tidy(_signer(width, percent, common)), "_id long, _node long, _n long, _keys array<long>, _core int"), "signed", texts=True)
+    usable = signed.where("_n > 0 and _id is not null")
+    copied = cut(usable.groupBy("_node").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")).where("_copies > 1").select("_node", "_rep"), "copies")
+    one = usable.join(small(copied, most_rows), "_node", "left").where("_rep is null or _id = _rep")
+    keyed = one.select("_node", "_n", "_id", "_core", F.posexplode("_keys").alias("_at", "_key")).withColumn("_in_core", F.col("_at") < F.col("_core")).drop("_at", "_core")
+    members = cut(meeting_members(keyed, percent, block).distinct(), "members")
     met = cut(members.select("_id").distinct(), "met")
-    picked = plain.join(small(met, most_ids), "_id", "left_semi").mapInArrow(tidy(_sets(width)), "_id long, _n long, _set binary, _map binary")
-    sets = cut(picked.dropDuplicates(["_id"]), "sets", texts=True)
-
-    def checked(stars: DataFrame) -> DataFrame:
-        """Links of each class to the centre (_low) that it meets most often."""
-        times = stars.groupBy("_id", "_low").agg(F.count("*").alias("_times"))
-        best = times.groupBy("_id").agg(F.max(F.struct("_times", (-F.col("_low")).alias("_low"))).alias("_best"))
-        return verified(best.select(F.col("_id").alias("_x"), (-F.col("_best._low")).alias("_y")), sets, percent, "long")
+    picked = plain.join(small(met, most_rows), "_id", "left_semi").select("_text").mapInArrow(tidy(_sets(width)), "_node long, _set binary")
+    sets = cut(picked.dropDuplicates(["_node"]), "sets", texts=True)
 
-    links = cut(checked(members.where("_id <> _low")), "links-a")
+    members = members.select("_key", "_node", "_n")
+    links = None
     for turn in range(passes + 1):
-        groups = components(links, "_x", "_y")
-        grouped = members.select("_key", "_id").join(groups.withColumnRenamed("node", "_id"), "_id", "left").select("_key", "_id", F.coalesce("component", "_id").alias("_c"))
-        grouped = cut(grouped, "grouped")
+        grouped = members.withColumn("_c", F.col("_node"))
+        if links is not None:
+            groups = components(links, "_x", "_y")
+            grouped = members.join(groups.withColumnRenamed("node", "_node"), "_node", "left").select("_key", "_node", "_n", F.coalesce("component", "_node").alias("_c"))
         if turn == passes:
             break
-        # Buckets still in several groups choose another centre, each its own.
-        draw = F.xxhash64(F.lit(turn), "_key", "_id")
-        centres = grouped.groupBy("_key").agg(F.min_by("_id", draw).alias("_low"), F.min_by("_c", draw).alias("_of"), F.min("_c").alias("_a"), F.max("_c").alias("_b")).where("_a <> _b")
-        fresh = checked(grouped.join(centres.select("_key", "_low", "_of"), "_key").where("_c <> _of"))
-        links = cut(groups.select(F.col("node").alias("_x"), F.col("component").alias("_y")).unionByName(fresh), "links-a")
-    found = cut(tree_candidates(grouped, sets, percent, block), "candidates")
-    first, second = links, verified(found, sets, percent, "long")
-    whole = components(first.unionByName(second), "_x", "_y")
-
-    placed = signed.select("_id", "_n", "_f", "_g").join(classes, ["_n", "_f", "_g"], "left").join(whole.withColumnRenamed("node", "_rep"), "_rep", "left")
-    return placed.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.coalesce("component", "_rep", "_id").alias("component_id"))
-
-
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_ids: int = 2_000_000, **options) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component."""
-    places = near_duplicates(docs, id_col, text_col, most_ids=most_ids, **options)
-    losers = cut(places.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gw_id")).distinct(), "near-copies")
-    return docs.join(small(losers, most_ids), F.col(id_col) == F.col("_gw_id"), "left_anti")
+        going = grouped
+        if links is not None:  # of buckets with several groups, one node of each
+            draw = F.xxhash64(F.lit(turn), "_key", "_node")
+            going = grouped.groupBy("_key", "_c").agg(F.min_by("_node", draw).alias("_node"))
+            several = going.groupBy("_key").agg(F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi").select("_key")
+            going = going.join(several, "_key")
+        home = going.groupBy("_node", "_c").agg(F.min_by("_key", F.xxhash64(F.lit(turn), "_key")).alias("_key"))
+        home = cut(home, "homes")
+        full = home.groupBy("_key").agg(F.count("*").alias("_m")).where("_m > 1")
+        part = F.pmod(F.xxhash64("_node"), F.ceil(F.col("_m") / block))
+        rows = cut(home.join(full, "_key").select(F.xxhash64("_key", part).alias("_meeting"), F.lit(0).alias("_side"), "_node", "_c"), "meetings")
+        fresh = tree_links(rows, sets, percent, per_task)
+        if links is not None:
+            fresh = fresh.unionByName(groups.select(F.col("node").alias("_x"), F.col("component").alias("_y")))
+        links = cut(fresh, "tree-links")
+    rows = cut(block_meetings(cut(grouped, "grouped"), percent, block), "meetings")
+    whole = components(cut(tree_links(rows, sets, percent, per_task), "tree-links").unionByName(links), "_x", "_y")
+
+    # Rows with copies or links; all others stand for themselves.
+    rep = usable.join(whole.select(F.col("node").alias("_node"), "component"), "_node").groupBy("component").agg(F.min("_id").alias("_first"))
+    linked = whole.select(F.col("node").alias("_node"), "component").join(rep, "component").select("_node", "_first")
+    known = cut(copied.join(linked, "_node", "full_outer").select("_node", F.coalesce("_first", "_rep").alias("_first")), "placed")
+    placed = signed.select("_id", "_node", "_n").join(small(known, most_rows), "_node", "left")
+    component = F.when(F.col("_id").isNotNull(), F.when(F.col("_n") > 0, F.coalesce("_first", "_id")).otherwise(F.col("_id")))
+    return placed.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_rows: int = 1_000_000, **options) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; rows that repeat an id stay if one of them does."""
+    places = near_duplicates(docs, id_col, text_col, most_rows=most_rows, **options)
+    stays = F.max(F.col(id_col) == F.col("component_id"))
+    losers = cut(places.groupBy(F.col(id_col).alias("_gw_id")).agg(stays.alias("_gw_stays")).where("not _gw_stays").select("_gw_id"), "near-copies")
+    return docs.join(small(losers, most_rows), F.col(id_col) == F.col("_gw_id"), "left_anti")

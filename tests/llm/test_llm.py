@@ -94,35 +94,86 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert got[1] == (0, 1) and got[2] == (0, 2) and got[3] == (0, 3)
     assert got[4] == (1, 4) and got[5] == (1, 4) and got[8] == (1, 4) and got[7][1] == 6
     assert ngram_join.near_duplicates(none).count() == 0
+    twice = odd.sparkSession.createDataFrame([(1, "a b c d e f g"), (1, "p q r s t u v w x y z 1 2 3"), (2, "p q r s t u v w x y z 1 2 3"), (None, "a b c d e f g"), (3, "A b c d e f g"), (3, "A b c d e f g")], "doc_id long, text string")
+    rows = sorted(ngram_join.near_duplicates(twice).collect(), key=str)
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in rows) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (3, 1)]
+    assert sorted(r["doc_id"] or 0 for r in ngram_join.one_of_each(twice).collect()) == [0, 1, 1]
     assert sorted(r["doc_id"] for r in ngram_join.one_of_each(odd).collect()) == [1, 2, 3, 4, 6, 9, 9, 10]
     assert ngram_join.one_of_each(odd).columns == odd.columns
 
 
-def test_signature_tree_walk_loses_nothing():
-    rng = np.random.default_rng(3)
+def some_sets(seed, n=120):
+    rng = np.random.default_rng(seed)
     sets = []
-    for i in range(120):
+    for _ in range(n):
         own = set(rng.integers(0, 2**63, rng.integers(1, 80)).tolist())
-        sets.append(own)
-        sets.append({x for x in own if rng.random() > 0.08} or own)
+        sets += [own, {x for x in own if rng.random() > 0.08} or own]
+    return sets, {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * (i := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - i)}
+
+
+def test_signature_trees_find_all_groups(monkeypatch):
+    sets, links = some_sets(3)
     values = [np.array(sorted(s), np.uint64) for s in sets]
-    maps = np.zeros((len(sets), ngram_join.BITS), bool)
-    for k, v in enumerate(values):
-        maps[k, (v >> np.uint64(52)).astype(int)] = True
-    maps = np.packbits(maps, axis=1).view(np.uint64)
-    n, group = np.array([len(s) for s in sets]), np.arange(len(sets))
-    links = {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * (i := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - i)}
-    tree = ngram_join.Tree(maps, n, group)
-    x, y = ngram_join.walk(tree, tree, 80)
-    found = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-    assert links <= found and len(found) < len(links) + 200
-    half = len(sets) // 2
-    x, y = ngram_join.walk(ngram_join.Tree(maps[:half], n[:half], group[:half]), ngram_join.Tree(maps[half:], n[half:], group[half:]), 80)
-    assert {(a, b) for a, b in links if a < half <= b} <= {(a, half + b) for a, b in zip(x.tolist(), y.tolist(), strict=True)}
-
-
-def test_miss_chance_of_the_bands():
-    assert ngram_join.miss_chance(0.8, 50, 4) < 1e-11
+    compared = []
+    real = ngram_join.alike
+    monkeypatch.setattr(ngram_join, "alike", lambda x, y, percent: compared.append(1) or real(x, y, percent))
+    leaves = [ngram_join.Node.leaf(i, i, v) for i, v in enumerate(values)]
+    found = []
+    ngram_join.tree_of(leaves, ngram_join.Groups(), 80, found)
+    whole = brute_components(dict.fromkeys(range(len(sets))), links)
+    assert {(min(e), max(e)) for e in found} <= links and brute_components(dict.fromkeys(range(len(sets))), found) == whole
+    assert len(compared) < len(links) + 200
+    half, groups, across = len(sets) // 2, ngram_join.Groups(), []
+    sides = [ngram_join.tree_of([ngram_join.Node.leaf(i, i, values[i]) for i in part], groups, 80, None) for part in (range(half), range(half, len(sets)))]
+    ngram_join.walk(*sides, groups, 80, across)
+    split = {(a, b) for a, b in links if a < half <= b}
+    assert brute_components(dict.fromkeys(range(len(sets))), across) == brute_components(dict.fromkeys(range(len(sets))), split)
+
+
+def test_trees_of_near_copies_compare_few(monkeypatch):
+    """500 near copies of one set are joined by about as many comparisons, not by all pairs."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 300).astype(np.uint64)
+    compared = []
+    real = ngram_join.alike
+    monkeypatch.setattr(ngram_join, "alike", lambda x, y, percent: compared.append(1) or real(x, y, percent))
+    leaves = [ngram_join.Node.leaf(i, i, np.unique(np.append(base[rng.random(300) > 0.02], rng.integers(0, 2**63, 3).astype(np.uint64)))) for i in range(500)]
+    found = []
+    ngram_join.tree_of(leaves, ngram_join.Groups(), 80, found)
+    assert len(found) == 499 and len(compared) < 600
+
+
+def test_prefixes_of_linked_sets_meet():
+    """Of linked sets the first common shingle is in the larger one's prefix and the smaller one's core."""
+    sets, links = some_sets(9)
+    common = np.random.default_rng(1).integers(0, 5, ngram_join.SLOTS).astype(np.uint8)
+    first = [ngram_join.prefix(np.array(sorted(s), np.uint64), 80, common) for s in sets]
+    assert links
+    for a, b in links:
+        a, b = sorted((a, b), key=lambda i: len(sets[i]))
+        assert set(first[a][0][: first[a][1]].tolist()) & set(first[b][0].tolist())
+
+
+def test_all_links_come_from_trees(spark, docs):
+    """Copies aside, every component is joined by links that trees returned."""
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    rng = random.Random(6)
+    base = [f"b{rng.randrange(300)}" for _ in range(120)]
+    rows += [(10_000 + i, edited(base, rng.randrange(5), rng)) for i in range(60)]
+    got = []
+    real = ngram_join.tree_links
+    try:
+        ngram_join.tree_links = lambda *a: got.append(ngram_join.cut(real(*a), "kept")) or got[-1]
+        near = near_rows(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16))
+    finally:
+        ngram_join.tree_links = real
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(frozenset(shingles(t)), []).append(i)
+    joined = len(sets) - (frozenset() in sets) - len({c for i, (n, c) in near.items() if n})
+    links = [(r["_x"], r["_y"]) for t in got for r in t.collect()]
+    whole = brute_components({x: 0 for e in links for x in e}, links)
+    assert joined > 0 and len(whole) - len(set(whole.values())) == joined
 
 
 def test_components(spark):
