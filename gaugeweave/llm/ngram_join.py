@@ -98,16 +98,23 @@ def rarity(texts: DataFrame, width: int) -> np.ndarray:
     return np.clip(np.ceil(4 * np.log2(np.maximum(n, 1) / max(n.mean(), 1) / 1.2)), 0, 63).astype(np.uint8)
 
 
+def spare(n: int, percent: int) -> int:
+    """How many elements of a set of ``n`` another one at the threshold may lack."""
+    return n - (percent * n + 99) // 100
+
+
 def prefix(own: np.ndarray, percent: int, common: np.ndarray) -> tuple[np.ndarray, int]:
     """The first shingles of a set, rare ones first, and how many of them are its core.
 
-    Of two sets that reach the threshold the first common shingle is in the larger one's prefix and in the smaller one's
-    core: what comes before it is not shared, and so at most what the overlap leaves of either set.
+    A prefix has ``extra`` = 1 + spare // 4 more shingles than another set at the threshold may lack, so both share that
+    many of them (the smaller number of the two).  They are in the smaller set's core, which counts what the smaller of two
+    sets may lack.
     """
     n = len(own)
-    size, core = n - (percent * n + 99) // 100 + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+    lack, extra = spare(n, percent), 1 + spare(n, percent) // 4
     level = common[(own >> U(64 - SLOTS.bit_length() + 1)).astype(np.int64)].astype(U)
-    return np.sort(np.partition(level << U(58) | own >> U(6), size - 1)[:size]), core
+    first = np.sort(np.partition(level << U(58) | own >> U(6), min(n, lack + extra) - 1)[: lack + extra])
+    return first, n - -(-2 * percent * n // (100 + percent)) + extra
 
 
 def _signer(width: int, percent: int, common: np.ndarray):
@@ -122,13 +129,21 @@ def _signer(width: int, percent: int, common: np.ndarray):
     return sign
 
 
+def bitmap(own: np.ndarray) -> bytes:
+    marks = np.zeros(BITS, bool)
+    marks[(own >> U(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
+    return np.packbits(marks).tobytes()
+
+
 def _sets(width: int):
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()  # rows that repeat an id and its text
         for batch in batches:
-            nodes, values = [], []
+            nodes, values, maps, sizes = [], [], [], []
             for own in shingle_sets(batch.column(0), width):
-                nodes.append(identity(own)[0]), values.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, U).view(np.int64)), pa.array(values, pa.binary())], names=["_node", "_set"])
+                if len(own) and (node := int(identity(own)[0])) not in seen:
+                    seen.add(node), nodes.append(node), values.append(own.tobytes()), maps.append(bitmap(own)), sizes.append(len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(nodes, U).view(np.int64)), pa.array(values, pa.binary()), pa.array(maps, pa.binary()), pa.array(sizes, pa.int64())], names=["_node", "_set", "_map", "_n"])
 
     return full
 
@@ -152,13 +167,11 @@ class Node:
         self.group = None
 
     @classmethod
-    def leaf(cls, name: int, group: int, own: np.ndarray) -> Node:
+    def leaf(cls, name: int, group: int, size: int, bits: bytes, own: np.ndarray | None) -> Node:
         out = cls.__new__(cls)
-        marks = np.zeros(BITS, bool)
-        marks[(own >> U(64 - BITS.bit_length() + 1)).astype(np.int64)] = True
-        out.bits = int.from_bytes(np.packbits(marks).tobytes(), "big")
-        out.low = out.high = len(own)
-        out.excess = len(own) - out.bits.bit_count()
+        out.bits = int.from_bytes(bytes(bits), "big")
+        out.low = out.high = size
+        out.excess = size - out.bits.bit_count()
         out.group, out.below, out.own, out.name = group, [], own, name
         return out
 
@@ -203,7 +216,9 @@ def walk(a: Node, b: Node, groups: Groups, percent: int, links: list[tuple[int,
         if not reachable(a, b, percent):
             continue
         if not a.below and not b.below:
-            if alike(a.own, b.own, percent):
+            if a.own is None:
+                links.append((a.name, b.name))
+            elif alike(a.own, b.own, percent):
                 groups.join(a.group, b.group)
                 links.append((a.name, b.name))
         elif a.below and (a.high - a.low >= b.high - b.low or not b.below):
@@ -238,19 +253,47 @@ def tree_of(leaves: list[Node], groups: Groups, percent: int, links: list[tuple[
             return level[0]
 
 
-def _join(percent: int):
+def meeting_members(keyed: DataFrame, percent: int, block: int) -> DataFrame:
+    """Of ``keyed`` (_key, _node, _n, _id, _in_core) the rows that may link inside their bucket.
+
+    A pair meets in a bucket only if the smaller of its sets has the shingle in its core, and only if their sizes are
+    near.  Sizes are compared with the next ones in the bucket, in a bucket beyond ``block`` rows of a part of it only.
+    """
+    core = lambda f: f(F.when(F.col("_in_core"), F.col("_n")))
+    shared = keyed.groupBy("_key").agg(F.min("_node").alias("_lo"), F.max("_node").alias("_hi"), core(F.min).alias("_a"), core(F.max).alias("_b"), F.count("*").alias("_m"))
+    shared = shared.where("_lo <> _hi and _a is not null").select("_key", "_a", "_b", "_m")
+    size = F.col("_n")
+    rows = keyed.join(shared, "_key").where(F.col("_in_core") | ((size >= F.col("_a")) & (percent * size <= 100 * F.col("_b"))))
+    crowd = F.when(F.col("_m") > block, F.xxhash64("_node")).otherwise(F.lit(0))
+    by_size = Window.partitionBy("_key", crowd).orderBy("_n", "_node")
+    near = (percent * size <= 100 * F.lag("_n").over(by_size)) | (percent * F.lead("_n").over(by_size) <= 100 * size)
+    rows = rows.withColumn("_near", (F.col("_m") > block) | F.coalesce(near, F.lit(False))).where("_near")
+    return rows.select("_key", "_node", "_n", "_id").distinct()
+
+
+def often_met(members: DataFrame, percent: int) -> DataFrame:
+    """Rows of the nodes that share at least as many shingles as their prefix has with one at the threshold (see ``prefix``)."""
+    least = F.ceil(F.lit(percent) * F.col("_n") / 100)  # the smallest size that may link
+    enough = 1 + F.floor((least - F.ceil(percent * least / 100)) / 4)
+    shared = members.groupBy("_key").agg(F.min("_node").alias("_lo"), F.max("_node").alias("_hi")).where("_lo <> _hi").select("_key")
+    rows = members.join(shared, "_key")
+    nodes = rows.groupBy("_node", "_n").agg(F.count("*").alias("_k")).where(F.col("_k") >= enough).select("_node")
+    return rows.join(nodes, "_node", "left_semi")
+
+
+def _join(percent: int, full: bool):
     """Links of every ``_meeting`` of a task: of its rows, or where it has two sides, between them."""
 
     def join(table: pa.Table) -> pa.Table:
-        columns = [table[c].to_pylist() for c in ("_meeting", "_side", "_node", "_c")]
-        sets = table["_set"].combine_chunks()
+        columns = [table[c].to_pylist() for c in ("_meeting", "_side", "_node", "_c", "_n", "_map")]
+        sets = table["_set"].combine_chunks() if full else None
         meetings: dict[int, tuple[list, list]] = {}
-        for i, (meeting, side, name, group) in enumerate(zip(*columns, strict=True)):
-            meetings.setdefault(meeting, ([], []))[side].append((name, group, i))
+        for i, (meeting, side, *leaf) in enumerate(zip(*columns, strict=True)):
+            meetings.setdefault(meeting, ([], []))[side].append((*leaf, np.frombuffer(sets[i].as_buffer(), U) if full else None))
         links: list[tuple[int, int]] = []
         for sides in meetings.values():
             groups = Groups()
-            leaves = [[Node.leaf(name, group, np.frombuffer(sets[i].as_buffer(), U)) for name, group, i in side] for side in sides]
+            leaves = [[Node.leaf(*x) for x in side] for side in sides]
             if leaves[0] and leaves[1]:
                 walk(*[tree_of(x, groups, percent, None) for x in leaves], groups, percent, links)
             else:
@@ -260,31 +303,31 @@ def _join(percent: int):
     return join
 
 
-def meeting_members(keyed: DataFrame, percent: int, block: int) -> DataFrame:
-    """Of ``keyed`` (_key, _node, _n, _id, _in_core) the rows that may link inside their bucket.
+def tree_links(rows: DataFrame, sets: DataFrame, percent: int, per_task: int, full: bool = True) -> DataFrame:
+    """Links (_x, _y) from ``rows`` (_meeting, _side, _node, _c): enough to join all groups that links join.
 
-    A pair meets in a bucket only if the smaller of its sets has the shingle in its core, and only if their sizes are
-    near.  Sizes are compared with the next ones in the bucket, in a bucket beyond ``block`` rows of a part of it only.
+    Meetings are dealt to tasks of about ``per_task`` rows.  Rows go with their sets; unless ``full``, with their bitmaps
+    only, and all pairs of leaves that trees reach are returned.
     """
-    core = lambda f: f(F.when(F.col("_in_core"), F.col("_n")))
-    shared = keyed.groupBy("_key").agg(F.min("_node").alias("_lo"), F.max("_node").alias("_hi"), core(F.min).alias("_a"), core(F.max).alias("_b"), F.count("*").alias("_m"))
-    shared = shared.where("_lo <> _hi and _a is not null").select("_key", "_a", "_b", "_m")
-    size = F.col("_n")
-    rows = keyed.join(shared, "_key").where(F.col("_in_core") | ((size >= F.col("_a")) & (percent * size <= 100 * F.col("_b"))))
-    crowd = F.when(F.col("_m") > block, F.xxhash64("_node")).otherwise(F.lit(0))
-    by_size = Window.partitionBy("_key", crowd).orderBy("_n", "_node")
-    near = (percent * size <= 100 * F.lag("_n").over(by_size)) | (percent * F.lead("_n").over(by_size) <= 100 * size)
-    return rows.withColumn("_near", (F.col("_m") > block) | F.coalesce(near, F.lit(False))).where("_near").select("_key", "_node", "_n", "_id")
+    tasks = max(1, -(-rows.count() // per_task))
+    dealt = rows.withColumn("_task", F.pmod(F.xxhash64("_meeting"), F.lit(tasks))).join(sets if full else sets.drop("_set"), "_node")
+    return dealt.groupBy("_task").applyInArrow(_join(percent, full), "_x long, _y long")
 
 
-def tree_links(rows: DataFrame, sets: DataFrame, percent: int, per_task: int) -> DataFrame:
-    """Links (_x, _y) from ``rows`` (_meeting, _side, _node, _c): enough to join all groups that links join.
+def _compared(percent: int):
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [alike(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["_x", "_y"]).filter(pa.array(good, pa.bool_()))
 
-    Meetings are dealt to tasks of about ``per_task`` rows, each of which goes with its set once.
-    """
-    tasks = max(1, -(-rows.count() // per_task))
-    dealt = rows.withColumn("_task", F.pmod(F.xxhash64("_meeting"), F.lit(tasks))).join(sets, "_node")
-    return dealt.groupBy("_task").applyInArrow(_join(percent), "_x long, _y long")
+    return compare
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (_x, _y) whose full sets reach the threshold."""
+    side = lambda c: sets.select(F.col("_node").alias(c), F.col("_set").alias(f"_s{c}"))
+    both = pairs.join(side("_x"), "_x").join(side("_y"), "_y").select("_x", "_y", "_s_x", "_s_y")
+    return both.mapInArrow(tidy(_compared(percent)), "_x long, _y long")
 
 
 def block_meetings(rows: DataFrame, percent: int, block: int) -> DataFrame:
@@ -328,10 +371,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     copied = cut(usable.groupBy("_node").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")).where("_copies > 1").select("_node", "_rep"), "copies")
     one = usable.join(small(copied, most_rows), "_node", "left").where("_rep is null or _id = _rep")
     keyed = one.select("_node", "_n", "_id", "_core", F.posexplode("_keys").alias("_at", "_key")).withColumn("_in_core", F.col("_at") < F.col("_core")).drop("_at", "_core")
-    members = cut(meeting_members(keyed, percent, block).distinct(), "members")
+    members = cut(meeting_members(keyed, percent, block), "members")
+    for _ in range(2):
+        members = cut(often_met(members, percent), "members")
     met = cut(members.select("_id").distinct(), "met")
-    picked = plain.join(small(met, most_rows), "_id", "left_semi").select("_text").mapInArrow(tidy(_sets(width)), "_node long, _set binary")
-    sets = cut(picked.dropDuplicates(["_node"]), "sets", texts=True)
+    picked = plain.join(small(met, most_rows), "_id", "left_semi").select("_text")
+    sets = cut(picked.mapInArrow(tidy(_sets(width)), "_node long, _set binary, _map binary, _n long"), "sets", texts=True)
 
     members = members.select("_key", "_node", "_n")
     links = None
@@ -358,7 +403,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             fresh = fresh.unionByName(groups.select(F.col("node").alias("_x"), F.col("component").alias("_y")))
         links = cut(fresh, "tree-links")
     rows = cut(block_meetings(cut(grouped, "grouped"), percent, block), "meetings")
-    whole = components(cut(tree_links(rows, sets, percent, per_task), "tree-links").unionByName(links), "_x", "_y")
+    met = F.struct(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
+    reached = cut(tree_links(rows, sets, percent, per_task, full=False).select(met.alias("_p")).select("_p.*").distinct(), "reached")
+    whole = components(links.unionByName(cut(verified(reached, sets, percent), "verified")), "_x", "_y")
 
     # Rows with copies or links; all others stand for themselves.
     rep = usable.join(whole.select(F.col("node").alias("_node"), "component"), "_node").groupBy("component").agg(F.min("_id").alias("_first"))

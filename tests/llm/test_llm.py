@@ -111,20 +111,24 @@ def some_sets(seed, n=120):
     return sets, {(a, b) for a in range(len(sets)) for b in range(a + 1, len(sets)) if 100 * (i := len(sets[a] & sets[b])) >= 80 * (len(sets[a]) + len(sets[b]) - i)}
 
 
+def leaf_of(i, own):
+    return ngram_join.Node.leaf(i, i, len(own), ngram_join.bitmap(own), own)
+
+
 def test_signature_trees_find_all_groups(monkeypatch):
     sets, links = some_sets(3)
     values = [np.array(sorted(s), np.uint64) for s in sets]
     compared = []
     real = ngram_join.alike
     monkeypatch.setattr(ngram_join, "alike", lambda x, y, percent: compared.append(1) or real(x, y, percent))
-    leaves = [ngram_join.Node.leaf(i, i, v) for i, v in enumerate(values)]
+    leaves = [leaf_of(i, v) for i, v in enumerate(values)]
     found = []
     ngram_join.tree_of(leaves, ngram_join.Groups(), 80, found)
     whole = brute_components(dict.fromkeys(range(len(sets))), links)
     assert {(min(e), max(e)) for e in found} <= links and brute_components(dict.fromkeys(range(len(sets))), found) == whole
     assert len(compared) < len(links) + 200
     half, groups, across = len(sets) // 2, ngram_join.Groups(), []
-    sides = [ngram_join.tree_of([ngram_join.Node.leaf(i, i, values[i]) for i in part], groups, 80, None) for part in (range(half), range(half, len(sets)))]
+    sides = [ngram_join.tree_of([leaf_of(i, values[i]) for i in part], groups, 80, None) for part in (range(half), range(half, len(sets)))]
     ngram_join.walk(*sides, groups, 80, across)
     split = {(a, b) for a, b in links if a < half <= b}
     assert brute_components(dict.fromkeys(range(len(sets))), across) == brute_components(dict.fromkeys(range(len(sets))), split)
@@ -137,7 +141,7 @@ def test_trees_of_near_copies_compare_few(monkeypatch):
     compared = []
     real = ngram_join.alike
     monkeypatch.setattr(ngram_join, "alike", lambda x, y, percent: compared.append(1) or real(x, y, percent))
-    leaves = [ngram_join.Node.leaf(i, i, np.unique(np.append(base[rng.random(300) > 0.02], rng.integers(0, 2**63, 3).astype(np.uint64)))) for i in range(500)]
+    leaves = [leaf_of(i, np.unique(np.append(base[rng.random(300) > 0.02], rng.integers(0, 2**63, 3).astype(np.uint64)))) for i in range(500)]
     found = []
     ngram_join.tree_of(leaves, ngram_join.Groups(), 80, found)
     assert len(found) == 499 and len(compared) < 600
@@ -151,7 +155,8 @@ def test_prefixes_of_linked_sets_meet():
     assert links
     for a, b in links:
         a, b = sorted((a, b), key=lambda i: len(sets[i]))
-        assert set(first[a][0][: first[a][1]].tolist()) & set(first[b][0].tolist())
+        least = -(-80 * len(sets[b]) // 100)
+        assert len(set(first[a][0][: first[a][1]].tolist()) & set(first[b][0].tolist())) >= 1 + ngram_join.spare(least, 80) // 4
 
 
 def test_all_links_come_from_trees(spark, docs):
@@ -163,7 +168,7 @@ def test_all_links_come_from_trees(spark, docs):
     got = []
     real = ngram_join.tree_links
     try:
-        ngram_join.tree_links = lambda *a: got.append(ngram_join.cut(real(*a), "kept")) or got[-1]
+        ngram_join.tree_links = lambda *a, full=True: got.append((ngram_join.cut(real(*a, full=full), "kept"), full)) or got[-1][0]
         near = near_rows(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16))
     finally:
         ngram_join.tree_links = real
@@ -171,7 +176,8 @@ def test_all_links_come_from_trees(spark, docs):
     for i, t in rows:
         sets.setdefault(frozenset(shingles(t)), []).append(i)
     joined = len(sets) - (frozenset() in sets) - len({c for i, (n, c) in near.items() if n})
-    links = [(r["_x"], r["_y"]) for t in got for r in t.collect()]
+    assert [full for _, full in got] == [True, True, False]
+    links = [(r["_x"], r["_y"]) for t, full in got if full or t.isEmpty() for r in t.collect()]
     whole = brute_components({x: 0 for e in links for x in e}, links)
     assert joined > 0 and len(whole) - len(set(whole.values())) == joined
 
