@@ -254,31 +254,29 @@ def tree_of(leaves: list[Node], groups: Groups, percent: int, links: list[tuple[
 
 
 def meeting_members(keyed: DataFrame, percent: int, block: int) -> DataFrame:
-    """Of ``keyed`` (_key, _node, _n, _id, _in_core) the rows that may link inside their bucket.
+    """Of ``keyed`` (_key, _node, _n, _in_core) the rows (_key, _node, _n) that may link inside their bucket.
 
     A pair meets in a bucket only if the smaller of its sets has the shingle in its core, and only if their sizes are
     near.  Sizes are compared with the next ones in the bucket, in a bucket beyond ``block`` rows of a part of it only.
+    Rows are moved once, to their bucket.
     """
-    core = lambda f: f(F.when(F.col("_in_core"), F.col("_n")))
-    shared = keyed.groupBy("_key").agg(F.min("_node").alias("_lo"), F.max("_node").alias("_hi"), core(F.min).alias("_a"), core(F.max).alias("_b"), F.count("*").alias("_m"))
-    shared = shared.where("_lo <> _hi and _a is not null").select("_key", "_a", "_b", "_m")
-    size = F.col("_n")
-    rows = keyed.join(shared, "_key").where(F.col("_in_core") | ((size >= F.col("_a")) & (percent * size <= 100 * F.col("_b"))))
+    bucket, size = Window.partitionBy("_key"), F.col("_n")
+    core = F.when(F.col("_in_core"), size)
+    rows = keyed.withColumns({"_m": F.count("*").over(bucket), "_a": F.min(core).over(bucket), "_b": F.max(core).over(bucket)})
+    rows = rows.where((F.col("_m") > 1) & F.col("_a").isNotNull() & (F.col("_in_core") | ((size >= F.col("_a")) & (percent * size <= 100 * F.col("_b")))))
     crowd = F.when(F.col("_m") > block, F.xxhash64("_node")).otherwise(F.lit(0))
     by_size = Window.partitionBy("_key", crowd).orderBy("_n", "_node")
     near = (percent * size <= 100 * F.lag("_n").over(by_size)) | (percent * F.lead("_n").over(by_size) <= 100 * size)
     rows = rows.withColumn("_near", (F.col("_m") > block) | F.coalesce(near, F.lit(False))).where("_near")
-    return rows.select("_key", "_node", "_n", "_id").distinct()
+    return rows.select("_key", "_node", F.col("_n").cast("long").alias("_n"))
 
 
 def often_met(members: DataFrame, percent: int) -> DataFrame:
     """Rows of the nodes that share at least as many shingles as their prefix has with one at the threshold (see ``prefix``)."""
     least = F.ceil(F.lit(percent) * F.col("_n") / 100)  # the smallest size that may link
     enough = 1 + F.floor((least - F.ceil(percent * least / 100)) / 4)
-    shared = members.groupBy("_key").agg(F.min("_node").alias("_lo"), F.max("_node").alias("_hi")).where("_lo <> _hi").select("_key")
-    rows = members.join(shared, "_key")
-    nodes = rows.groupBy("_node", "_n").agg(F.count("*").alias("_k")).where(F.col("_k") >= enough).select("_node")
-    return rows.join(nodes, "_node", "left_semi")
+    nodes = members.groupBy("_node", "_n").agg(F.count("*").alias("_k")).where(F.col("_k") >= enough).select("_node")
+    return members.join(nodes, "_node", "left_semi")
 
 
 def _join(percent: int, full: bool):
@@ -303,15 +301,15 @@ def _join(percent: int, full: bool):
     return join
 
 
-def tree_links(rows: DataFrame, sets: DataFrame, percent: int, per_task: int, full: bool = True) -> DataFrame:
+def tree_links(rows: DataFrame, sets: DataFrame, percent: int, per_task: int, most_rows: int, full: bool = True) -> DataFrame:
     """Links (_x, _y) from ``rows`` (_meeting, _side, _node, _c): enough to join all groups that links join.
 
     Meetings are dealt to tasks of about ``per_task`` rows.  Rows go with their sets; unless ``full``, with their bitmaps
     only, and all pairs of leaves that trees reach are returned.
     """
     tasks = max(1, -(-rows.count() // per_task))
-    dealt = rows.withColumn("_task", F.pmod(F.xxhash64("_meeting"), F.lit(tasks))).join(sets if full else sets.drop("_set"), "_node")
-    return dealt.groupBy("_task").applyInArrow(_join(percent, full), "_x long, _y long")
+    dealt = small(rows.withColumn("_task", F.pmod(F.xxhash64("_meeting"), F.lit(tasks))), most_rows)
+    return (sets if full else sets.drop("_set")).join(dealt, "_node").groupBy("_task").applyInArrow(_join(percent, full), "_x long, _y long")
 
 
 def _compared(percent: int):
@@ -361,7 +359,7 @@ def block_meetings(rows: DataFrame, percent: int, block: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, block: int = 1024, passes: int = 2, per_task: int = 8192, most_rows: int = 1_000_000) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (the smallest id that links reach).  Ids are whole numbers.
 
-    Tables of up to ``most_rows`` rows of two numbers are broadcast; beyond it Spark shuffles.
+    Tables of up to ``most_rows`` rows of a few numbers are broadcast; beyond it Spark shuffles.
     """
     plain = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     with text_batches(docs.sparkSession):
@@ -369,16 +367,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut(plain.mapInArrow(tidy(_signer(width, percent, common)), "_id long, _node long, _n long, _keys array<long>, _core int"), "signed", texts=True)
     usable = signed.where("_n > 0 and _id is not null")
     copied = cut(usable.groupBy("_node").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")).where("_copies > 1").select("_node", "_rep"), "copies")
-    one = usable.join(small(copied, most_rows), "_node", "left").where("_rep is null or _id = _rep")
-    keyed = one.select("_node", "_n", "_id", "_core", F.posexplode("_keys").alias("_at", "_key")).withColumn("_in_core", F.col("_at") < F.col("_core")).drop("_at", "_core")
-    members = cut(meeting_members(keyed, percent, block), "members")
-    for _ in range(2):
-        members = cut(often_met(members, percent), "members")
-    met = cut(members.select("_id").distinct(), "met")
-    picked = plain.join(small(met, most_rows), "_id", "left_semi").select("_text")
+    one = usable.join(small(copied, most_rows), "_node", "left")
+    one = one.where("_rep is null").unionByName(one.where("_id = _rep").dropDuplicates(["_node"]))  # rows may repeat
+    keyed = one.select("_node", F.col("_n").cast("int").alias("_n"), "_core", F.posexplode("_keys").alias("_at", "_key"))
+    keyed = keyed.select("_key", "_node", "_n", (F.col("_at") < F.col("_core")).alias("_in_core"))
+    members = cut(meeting_members(keyed, percent, block), "buckets")
+    members = cut(often_met(members, percent), "members")
+    met = one.select("_id", "_node").join(small(cut(members.select("_node").distinct(), "met"), most_rows), "_node", "left_semi").select("_id")
+    picked = plain.join(small(cut(met, "met-ids"), most_rows), "_id", "left_semi").select("_text")
     sets = cut(picked.mapInArrow(tidy(_sets(width)), "_node long, _set binary, _map binary, _n long"), "sets", texts=True)
 
-    members = members.select("_key", "_node", "_n")
     links = None
     for turn in range(passes + 1):
         grouped = members.withColumn("_c", F.col("_node"))
@@ -398,13 +396,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         full = home.groupBy("_key").agg(F.count("*").alias("_m")).where("_m > 1")
         part = F.pmod(F.xxhash64("_node"), F.ceil(F.col("_m") / block))
         rows = cut(home.join(full, "_key").select(F.xxhash64("_key", part).alias("_meeting"), F.lit(0).alias("_side"), "_node", "_c"), "meetings")
-        fresh = tree_links(rows, sets, percent, per_task)
+        fresh = tree_links(rows, sets, percent, per_task, most_rows)
         if links is not None:
             fresh = fresh.unionByName(groups.select(F.col("node").alias("_x"), F.col("component").alias("_y")))
         links = cut(fresh, "tree-links")
     rows = cut(block_meetings(cut(grouped, "grouped"), percent, block), "meetings")
     met = F.struct(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
-    reached = cut(tree_links(rows, sets, percent, per_task, full=False).select(met.alias("_p")).select("_p.*").distinct(), "reached")
+    reached = cut(tree_links(rows, sets, percent, per_task, most_rows, full=False).select(met.alias("_p")).select("_p.*").distinct(), "reached")
     whole = components(links.unionByName(cut(verified(reached, sets, percent), "verified")), "_x", "_y")
 
     # Rows with copies or links; all others stand for themselves.

@@ -159,25 +159,23 @@ def test_prefixes_of_linked_sets_meet():
         assert len(set(first[a][0][: first[a][1]].tolist()) & set(first[b][0].tolist())) >= 1 + ngram_join.spare(least, 80) // 4
 
 
-def test_all_links_come_from_trees(spark, docs):
+def test_all_links_come_from_trees(spark, docs, monkeypatch):
     """Copies aside, every component is joined by links that trees returned."""
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     rng = random.Random(6)
     base = [f"b{rng.randrange(300)}" for _ in range(120)]
     rows += [(10_000 + i, edited(base, rng.randrange(5), rng)) for i in range(60)]
-    got = []
-    real = ngram_join.tree_links
-    try:
-        ngram_join.tree_links = lambda *a, full=True: got.append((ngram_join.cut(real(*a, full=full), "kept"), full)) or got[-1][0]
-        near = near_rows(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16))
-    finally:
-        ngram_join.tree_links = real
+    got, real, check = [], ngram_join.tree_links, ngram_join.verified
+    keep = lambda t: got.append(ngram_join.cut(t, "kept")) or got[-1]
+    monkeypatch.setattr(ngram_join, "tree_links", lambda *a, full=True: keep(real(*a)) if full else real(*a, full=False))
+    monkeypatch.setattr(ngram_join, "verified", lambda *a: keep(check(*a)))
+    near = near_rows(ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=16))
     sets = {}
     for i, t in rows:
         sets.setdefault(frozenset(shingles(t)), []).append(i)
     joined = len(sets) - (frozenset() in sets) - len({c for i, (n, c) in near.items() if n})
-    assert [full for _, full in got] == [True, True, False]
-    links = [(r["_x"], r["_y"]) for t, full in got if full or t.isEmpty() for r in t.collect()]
+    assert len(got) == 3
+    links = [(r["_x"], r["_y"]) for t in got for r in t.collect()]
     whole = brute_components({x: 0 for e in links for x in e}, links)
     assert joined > 0 and len(whole) - len(set(whole.values())) == joined
 
