@@ -1,8 +1,9 @@
 """Chat formatting with typed content parts.
 
-A conversation's turns hold parts of the types text, image, audio and document.  The visitor below maps each part by
-its type: text is escaped and kept, other parts become a numbered placeholder, an attachment reference and a number of
-tokens that the placeholder expands to.  Native: DataFrame functions only.
+A conversation's turns hold parts of the types text, image, audio and document; a turn of plain text is one text part.
+Parts are flattened to rows, and the visitor below maps each by its type: text is escaped and kept, other parts become a
+numbered placeholder, an attachment reference and a number of tokens that the placeholder expands to.  Numbers and
+offsets are running sums over a conversation's parts, so work grows with their number.  Native: DataFrame functions only.
 
 Template: ``<|turn|>role<|text|>content<|end|>`` per turn.  Inside roles and texts, ``\\`` is written ``\\\\`` and ``|``
 is written ``\\|``, so no control string can come from texts, even side by side, and ``unescape`` gives the text back.
@@ -15,7 +16,7 @@ A conversation is one output row, so it must fit one row; conversations are spre
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -64,30 +65,27 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     order, type, ref, placeholder number and expanded tokens of every part that is not text.
     """
     parts = F.col(parts_col).cast(f"array<{PART}>") if parts_col else text_part(F.col(text_col))
-    row = F.struct(F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(parts, F.array().cast(f"array<{PART}>")).alias("parts"))
-    chats = turns.select(F.col(conv_col).alias("conv_id"), row.alias("row")).groupBy("conv_id").agg(F.sort_array(F.collect_list("row")).alias("turns"))
-    if parts_col is None:  # no placeholder to number
-        content = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), escape(t["parts"][0]["text"]).alias("content")))
-        chats = chats.withColumns({"turns": content, "attachments": F.array().cast("array<struct<type:string,ref:string,number:int,tokens:bigint>>")})
-    else:
-        others = lambda a: F.filter(a, lambda p: _kind(p) != "text")
-        before = lambda i: F.aggregate(F.slice("turns", F.lit(1), i), F.lit(0), lambda n, t: n + F.size(others(t["parts"])))
-        body = lambda t, i: F.array_join(F.transform(t["parts"], lambda p, k: _content(p, before(i) + F.size(others(F.slice(t["parts"], F.lit(1), k))))), "")
-        found = F.transform(others(F.flatten(F.transform("turns", lambda t: t["parts"]))), lambda p, k: F.struct(_kind(p).alias("type"), p["ref"].alias("ref"), k.alias("number"), _expansion(p).alias("tokens")))
-        chats = chats.withColumn("attachments", found).withColumn("turns", F.transform("turns", lambda t, i: F.struct(t["role"].alias("role"), body(t, i).alias("content"))))
-    head = F.transform("turns", lambda t: F.concat(F.lit(TURN), escape(t["role"]), F.lit(TEXT)))
-    chats = chats.withColumn("heads", head)
-    pieces = F.zip_with("heads", "turns", lambda h, t: F.concat(h, t["content"], F.lit(END)))
-    sizes = F.zip_with("heads", "turns", lambda h, t: F.struct(F.length(h).alias("head"), F.length(t["content"]).alias("body"), (t["role"] == loss_role).alias("loss")))
-    chats = chats.withColumns({"formatted": F.array_join(pieces, ""), "sizes": sizes})
-    none = F.array().cast("array<struct<start:bigint,length:bigint,loss:boolean>>")
-    step = lambda acc, s: F.struct(
-        (acc["at"] + s["head"] + s["body"] + len(END)).alias("at"),
-        F.concat(acc["spans"], F.array(F.struct((acc["at"] + s["head"]).alias("start"), s["body"].cast("bigint").alias("length"), s["loss"].alias("loss")))).alias("spans"),
+    rows = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("_turn"), F.coalesce(F.col(role_col), F.lit("")).alias("_role"), F.coalesce(parts, F.array().cast(f"array<{PART}>")).alias("_parts"))
+    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("conv_id").orderBy("_turn", "_role", "_parts")))
+    rows = rows.select("conv_id", "_row", "_role", F.size("_parts").alias("_k"), F.posexplode_outer("_parts").alias("_pos", "_part"))
+    part, first, last = F.col("_part"), F.coalesce(F.col("_pos"), F.lit(0)) == 0, F.coalesce(F.col("_pos"), F.lit(0)) == F.greatest(F.col("_k"), F.lit(1)) - 1
+    before = Window.partitionBy("conv_id").orderBy("_row", "_pos").rowsBetween(Window.unboundedPreceding, -1)
+    whole_turn = Window.partitionBy("conv_id", "_row")
+    rows = rows.withColumn("_other", (_kind(part) != "text").cast("int"))
+    rows = rows.withColumn("_number", F.coalesce(F.sum("_other").over(before), F.lit(0)).cast("int"))
+    rows = rows.withColumns({"_body": _content(part, F.col("_number")), "_head": F.when(first, F.concat(F.lit(TURN), escape(F.col("_role")), F.lit(TEXT))).otherwise("")})
+    rows = rows.withColumn("_piece", F.concat("_head", "_body", F.when(last, END).otherwise("")))
+    rows = rows.withColumns({"_at": F.coalesce(F.sum(F.length("_piece")).over(before), F.lit(0)), "_size": F.sum(F.length("_body")).over(whole_turn)})
+    span = F.when(first & (F.col("_role") == loss_role), F.struct("_row", (F.col("_at") + F.length("_head")).alias("start"), F.col("_size").alias("length")))
+    found = F.when(F.col("_other") == 1, F.struct(F.col("_number").alias("number"), _kind(part).alias("type"), F.col("_part.ref").alias("ref"), _expansion(part).alias("tokens")))
+    chats = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("_row", "_pos", "_piece"))).alias("_pieces"), F.sort_array(F.collect_list(span)).alias("_spans"), F.sort_array(F.collect_list(found)).alias("_found"))
+    return chats.select(
+        "conv_id",
+        F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "").alias("formatted"),
+        F.transform("_spans", lambda s: F.struct(s["start"], s["length"])).alias("loss_spans"),
+        F.transform("_found", lambda a: F.struct(a["type"], a["ref"], a["number"], a["tokens"])).alias("attachments"),
+        F.aggregate("_found", F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]).alias("expanded_tokens"),
     )
-    spans = F.aggregate("sizes", F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans")), step, lambda acc: F.filter(acc["spans"], lambda s: s["loss"]))
-    tokens = F.aggregate("attachments", F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"])
-    return chats.select("conv_id", "formatted", F.transform(spans, lambda s: F.struct(s["start"], s["length"])).alias("loss_spans"), "attachments", tokens.alias("expanded_tokens"))
 
 
 def read_back(chats: DataFrame) -> DataFrame:

@@ -27,30 +27,33 @@ def digest(text: str) -> Column:
     return F.sha2(normalised(text), 256)
 
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, most_keys: int = 1_000_000) -> DataFrame:
-    """Groups of two or more equal texts: ``text_sha256``, ``keep_id``, ``group_size``.
+def suspects(docs: DataFrame, id_col: str, text_col: str, prefix: int, most_ids: int) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of the texts whose length and start are shared, and (id) of all rows.
 
-    ``prefix`` is the length of the start that is hashed.  Up to ``most_keys`` (length, start) keys are broadcast to
-    choose the rows to read in full; beyond that, rows are hashed where they lie, since moving their texts for a
-    shuffled join costs more than hashing them.  The groups are the same.
+    Length and start of every text are written once.  Starts are hashed where the length is shared, whole texts where the
+    hash of the start is shared too; the texts of those are picked by id.  Up to ``most_ids`` lengths, starts or ids are
+    broadcast; beyond it Spark shuffles.
     """
-    whole = docs.select(F.col(id_col).alias("_id"), normalised(text_col).alias("_text")).withColumn("_len", F.octet_length("_text"))
-    head = F.xxhash64(F.substring("_text", 1, prefix)).alias("_head")
-    heads = cut(whole.select("_len", head).groupBy("_len", "_head").agg(F.count("*").alias("_n")), "heads")
-    lengths = heads.groupBy("_len").agg(F.sum("_n").alias("_m")).where("_m > 1").select("_len")
-    shared = cut(heads.join(lengths, "_len", "left_semi").where("_n > 1").select("_len", "_head"), "shared-heads")
-    suspects = whole.withColumn("_head", F.xxhash64(F.substring("_text", 1, prefix)))
-    if shared.limit(most_keys + 1).count() <= most_keys:
-        suspects = suspects.join(F.broadcast(shared), ["_len", "_head"], "left_semi")
-    by_text = suspects.select("_id", F.sha2("_text", 256).alias("text_sha256")).groupBy("text_sha256")
-    return cut(by_text.agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "copies")
-
-
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One row per document: its id, keep_id, group_size, kept, text_sha256."""
+    whole = normalised(text_col)
+    first = cut(docs.select(F.col(id_col).alias("_id"), F.octet_length(whole).alias("_len"), F.substring(whole, 1, prefix).alias("_start")), "lengths")
+    lengths = cut(first.groupBy("_len").agg(F.count("*").alias("_n")).where("_n > 1").select("_len"), "shared-lengths")
+    heads = cut(first.join(small(lengths, most_ids), "_len", "left_semi").select("_id", "_len", F.xxhash64("_start").alias("_head")), "heads")
+    shared = cut(heads.groupBy("_len", "_head").agg(F.count("*").alias("_n")).where("_n > 1").select("_len", "_head"), "shared-heads")
+    ids = cut(heads.join(small(shared, most_ids), ["_len", "_head"], "left_semi").select(F.col("_id").alias("_suspect")).distinct(), "suspects")
+    picked = docs.join(small(ids, most_ids), F.col(id_col).eqNullSafe(F.col("_suspect")), "left_semi")
+    return cut(picked.select(F.col(id_col).alias("_id"), digest(text_col).alias("text_sha256")), "digests"), first.select("_id")
+
+
+def groups_of(digests: DataFrame) -> DataFrame:
+    """Groups of two or more equal texts: ``text_sha256``, ``keep_id``, ``group_size``."""
+    return cut(digests.groupBy("text_sha256").agg(F.min("_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1"), "copies")
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, most_ids: int = 1_000_000) -> DataFrame:
+    """One row per document: its id, keep_id, group_size, kept, text_sha256 (which is asked for every row, so each text is hashed here)."""
     rows = docs.select(F.col(id_col), digest(text_col).alias("text_sha256"))
     # A group may hold a third of all rows; the join's own exchanges let Spark split it.
-    placed = rows.join(copies(docs, id_col, text_col, **options), "text_sha256", "left")
+    placed = rows.join(groups_of(suspects(docs, id_col, text_col, prefix, most_ids)[0]), "text_sha256", "left")
     alone = F.col("group_size").isNull()
     return placed.select(
         id_col,
@@ -61,9 +64,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most_ids: int = 2_000_000, **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were."""
-    groups = copies(docs, id_col, text_col, **options)
-    marked = docs.select(F.col(id_col).alias("_id"), digest(text_col).alias("text_sha256"))
-    losers = cut(marked.join(groups, "text_sha256").where("_id > keep_id").select(F.col("_id").alias("_gw_id")).distinct(), "copies-to-drop")
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix: int = 64, most_ids: int = 1_000_000) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they were.  Only texts with a shared length and start are hashed in full.
+
+    Rows that repeat an id are told apart by no column, so they go only if all of them are copies of rows with smaller ids.
+    Rows without an id can't be picked by it and stay.
+    """
+    digests, rows = suspects(docs, id_col, text_col, prefix, most_ids)
+    losing = digests.join(groups_of(digests), "text_sha256").where("_id > keep_id").groupBy("_id").agg(F.count("*").alias("_lost"))
+    losing = cut(losing, "losing")
+    times = rows.join(small(losing.select("_id"), most_ids), "_id", "left_semi").groupBy("_id").agg(F.count("*").alias("_times"))
+    losers = cut(losing.join(times, "_id").where("_lost = _times").select(F.col("_id").alias("_gw_id")), "copies-to-drop")
     return docs.join(small(losers, most_ids), F.col(id_col) == F.col("_gw_id"), "left_anti")

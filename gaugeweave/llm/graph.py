@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, forget
 from .textbytes import tidy
 
 
@@ -60,7 +60,8 @@ def components(links: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataF
         large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct(), "links")
+        old, edges = edges, cut(small.where("u <> v").distinct(), "links")
+        forget(old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -3,29 +3,17 @@
 from __future__ import annotations
 
 import contextlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: White space of the word contracts: \x20 and \x09-\x0D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-_own: dict[str, str] = {}
+from ..functions import lineage
 
+shared_dir, forget = lineage.shared_dir, lineage.forget
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; only where it is unset (tests), a folder of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="gaugeweave-")
-    return _own[app]
-
+#: White space of the word contracts: \x20 and \x09-\x0D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bytes of rows that go to a Python worker at a time where rows hold whole texts; a longer row goes alone.
 TEXT_BATCH = 4 << 20
@@ -44,19 +32,16 @@ def text_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def cut(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: later jobs survive lost executors without redoing it.
+    """Write ``df`` once to the shared folder and read it back (see ``lineage.cut``).
 
     ``texts``: Python steps of ``df`` get whole texts, and so smaller batches.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with text_batches(spark) if texts else contextlib.nullcontext():
-        df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with text_batches(df.sparkSession) if texts else contextlib.nullcontext():
+        return lineage.cut(df, name)
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
-    """``df`` marked for broadcast if it was counted to hold at most ``most`` rows; else as it is, so that Spark shuffles."""
+    """``df``, whose rows hold a few numbers, marked for broadcast if at most ``most`` rows were counted; else as it is, so that Spark shuffles."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
