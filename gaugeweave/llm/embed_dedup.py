@@ -9,8 +9,8 @@ Equal vectors are one class from the start, so copies cost one vector.  Large bu
 joined block by block, on as many tasks.
 
 Defined results: null vectors, zero vectors and vectors with null or non-finite components link with nothing; vectors of
-different lengths don't link; repeated rows link as copies do, with the row count as their number; a null id gets a null
-component; an empty table gives an empty table; further columns are untouched.
+different lengths don't link; repeated rows link as copies do, with the row count as their number; rows that repeat an id
+with different vectors are vectors of their own under one id; a null id links with nothing and gets a null component; an empty table gives an empty table; further columns are untouched.
 """
 
 from __future__ import annotations
@@ -51,6 +51,12 @@ def e8(x: np.ndarray) -> np.ndarray:
     return np.where(nearer[:, None], a, b)
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; divided by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def keys(x: np.ndarray, tables: int, parts: int, probes: int, scale: float) -> Iterator[tuple[int, np.ndarray]]:
     """(table, keys) with a row per unit vector: its own bucket, then the probed ones."""
     around = e8_neighbours()
@@ -76,8 +82,7 @@ def _hasher(tables: int, parts: int, probes: int, scale: float):
             first = np.append(0, np.cumsum(width))
             for d in np.unique(width):
                 own = np.flatnonzero(width == d)
-                x = flat[first[own][:, None] + np.arange(d)]
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(flat[first[own][:, None] + np.arange(d)])
                 for _, k in keys(x, tables, parts, probes, scale):
                     home = np.zeros(k.shape, bool)
                     home[:, 0] = True
@@ -100,8 +105,7 @@ def _pairs(threshold: float):
         for lo, hi in zip(edge, np.append(edge[1:], len(order)), strict=True):
             for d in np.unique(width[order[lo:hi]]):
                 own = lo + np.flatnonzero(width[order[lo:hi]] == d)
-                x = flat[first[order[own]][:, None] + np.arange(d)]
-                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                x = unit(flat[first[order[own]][:, None] + np.arange(d)])
                 i, j = bucket[1, lo], bucket[2, lo]
                 a, b = (own[part[own] == i], own[part[own] == j])
                 good = (x[part[own] == i] @ x[part[own] == j].T >= threshold) & (home[a][:, None] | home[b][None, :]) & (ids[a][:, None] != ids[b][None, :])
@@ -120,11 +124,10 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     plain = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).cast("array<double>").alias("_x"))
     bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     usable = v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda c: c != 0) & F.col("_id").isNotNull()
-    marked = cut(plain.select("_id", F.when(usable, F.xxhash64("_x")).alias("_f"), F.when(usable, F.sha2(F.to_json(F.struct("_x")), 256)).alias("_g"), F.when(usable, v).alias("_x")), "vectors")
-    classes = marked.where("_f is not null").groupBy("_f", "_g").agg(F.min("_id").alias("_rep"), F.count("*").alias("_size"))
-    classes = cut(classes, "vector-classes")
-    reps = marked.join(classes.select("_f", "_g", "_rep"), ["_f", "_g"]).where("_id = _rep").select("_id", "_x").dropDuplicates(["_id"])
-    reps = cut(reps, "vector-reps")
+    node = F.when(usable, F.conv(F.substring(F.sha2(F.to_json(F.struct("_x")), 256), 1, 15), 16, 10).cast("long"))
+    marked = cut(plain.select("_id", node.alias("_node"), F.when(usable, v).alias("_x")), "vectors")
+    classes = cut(marked.where("_node is not null").groupBy("_node").agg(F.min("_id").alias("_rep"), F.count("*").alias("_size")), "vector-classes")
+    reps = cut(marked.where("_node is not null").select(F.col("_node").alias("_id"), "_x").dropDuplicates(["_id"]), "vector-reps")
     rows = reps.mapInArrow(_hasher(tables, parts, probes, scale), "_id long, _key long, _home boolean")
     rows = cut(rows, "vector-keys")
     met = rows.groupBy("_key").agg(F.min("_id").alias("_lo"), F.max("_id").alias("_hi"), F.max("_home").alias("_any"), F.count("*").alias("_m")).where("_lo <> _hi and _any")
@@ -137,11 +140,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     joined = shared.join(reps, "_id").withColumn("_task", F.pmod(F.xxhash64("_key", "_i", "_j"), F.lit(tasks)))
     links = cut(joined.groupBy("_task").applyInArrow(_pairs(threshold), "_a long, _b long").distinct(), "vector-links")
 
-    size = classes.select(F.col("_rep").alias("_b"), "_size")
+    size = classes.select(F.col("_node").alias("_b"), "_size")
     both = links.unionByName(links.select(F.col("_b").alias("_a"), F.col("_a").alias("_b")))
-    degree = both.join(size, "_b").groupBy(F.col("_a").alias("_rep")).agg(F.sum("_size").alias("_others"))
-    whole = components(links, "_a", "_b").withColumnRenamed("node", "_rep")
-    per_class = cut(classes.join(degree, "_rep", "left").join(whole, "_rep", "left"), "class-links")
-    out = marked.select("_id", "_f", "_g").join(per_class, ["_f", "_g"], "left")
-    component = F.coalesce("component", "_rep", "_id")
+    degree = both.join(size, "_b").groupBy(F.col("_a").alias("_node")).agg(F.sum("_size").alias("_others"))
+    whole = components(links, "_a", "_b").withColumnRenamed("node", "_node")
+    least = whole.join(classes, "_node").groupBy("component").agg(F.min("_rep").alias("_first"))
+    linked = whole.join(least, "component").select("_node", "_first")
+    per_class = cut(classes.join(degree, "_node", "left").join(linked, "_node", "left"), "class-links")
+    out = marked.select("_id", "_node").join(per_class, "_node", "left")
+    component = F.coalesce("_first", "_rep", "_id")
     return out.select(F.col("_id").alias(id_col), (F.coalesce("_size", F.lit(1)) - 1 + F.coalesce("_others", F.lit(0))).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("_id") == component, F.lit(True)).alias("kept"))

@@ -5,7 +5,8 @@ comparisons, a rule.  A lasso logistic regression keeps few rules, which are com
 over the statistics.  Statistics are counted over whole texts by Spark tasks.
 
 Defined results: null and empty texts have all statistics 0 and get the score that the rules give for that; repeated
-rows are scored alike; without usable labels, or with labels of one kind only, every score is the share of label 1
+rows are scored alike; a null id is scored and has no fold (``held_out`` is null); of rows that repeat a labelled id one
+is learnt from; without usable labels, or with labels of one kind only, every score is the share of label 1
 (0.5 without any); an empty table gives an empty table; further columns are kept.
 """
 
@@ -189,8 +190,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on at most ``sample`` labelled documents that are not held out, those with the smallest hashes of their id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold))
     known = known.groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label_col).cast("int").alias("_label")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample)
-    rows = with_statistics(docs.select(id_col, text_col).join(F.broadcast(known), F.col(id_col) == F.col("_label_id")).select(text_col, "_label"), text_col)
-    rows = rows.select("_label", *[F.col(f"_gw_stats.{k}").alias(k) for k in STATS]).orderBy(*STATS, "_label").limit(2 * sample).toPandas()
+    picked = docs.select(id_col, text_col).join(F.broadcast(known), F.col(id_col) == F.col("_label_id")).select(text_col, "_label_id", "_label")
+    # One row per labelled id, also where rows repeat it; so there are at most ``sample``.
+    one = with_statistics(picked, text_col).groupBy("_label_id", "_label").agg(F.min("_gw_stats").alias("_s"))
+    rows = one.select("_label", *[F.col(f"_s.{k}").alias(k) for k in STATS]).toPandas().sort_values([*STATS, "_label"])
     return fit(rows[STATS].to_numpy(float), rows["_label"].to_numpy(float))
 
 

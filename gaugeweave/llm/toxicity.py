@@ -2,8 +2,9 @@
 
 Tokens are words and, as languages inflect, word stems: the first 4 and the first 5 bytes.  Training counts, over a
 bounded sample of labelled documents (equal texts once), in how many documents of each class each token occurs.  Tokens
-that mark label 1 beyond chance, whatever its share, are candidates; the lexicon takes the most telling one, leaves aside the documents that
-hold two chosen ones already, and goes on, so that what copies of a toxic text share by accident is not learnt.  A
+that mark label 1 beyond chance, whatever its share, are candidates; the lexicon takes the most telling one, leaves
+aside the documents that hold two chosen ones already, and goes on, so that what copies of a toxic text share by accident
+is not learnt.  A
 token's score is its log-odds with a Dirichlet prior in proportion to the whole (Monroe et al. 2008), a word's the
 largest among its tokens, and words without a token score ``-drift``.  A linear scan (Ruzzo and Tompa
 1999) finds all maximal segments of a text.  In texts of n words without toxic passages the best of them follows
@@ -12,7 +13,7 @@ clean documents, and K is fitted to the segments found there.  Segments with a p
 A logistic curve through -log of the p-value and the passages' number turns this into a score.
 
 Defined results: null and empty texts have no segment and get the score of a text without one; repeated rows are scored
-alike; without labels of both classes the lexicon is empty and all scores are the share of label 1 (0.5 without any);
+alike; a null id is scored and has no fold (``held_out`` is null); of rows that repeat a labelled id one is learnt from; without labels of both classes the lexicon is empty and all scores are the share of label 1 (0.5 without any);
 an empty table gives an empty table; further columns are untouched.
 """
 
@@ -110,13 +111,13 @@ def _surplus(a, b, rate: float):
     return np.where(q > rate, n * (q * np.log(q / rate) + (1 - q) * np.log((1 - q) / (1 - rate))), 0.0)
 
 
-def lexicon(rows: DataFrame, toxic: int, clean: int, prior: float, least: float, most_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and log-odds of the tokens that mark label 1, from the ``most_words`` most telling candidates."""
+def lexicon(rows: DataFrame, toxic: int, clean: int, prior: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and log-odds of the tokens that mark label 1.  Candidates are tokens of the bounded sample ``rows``."""
     rate = toxic / (toxic + clean)
     n = rows.select("text", "label").mapInArrow(_counts, "word long, label int, n long").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
     q = F.col("a") / (F.col("a") + F.col("b"))
     over = F.col("a") * F.log(q / rate) + F.when(F.col("b") > 0, F.col("b") * F.log((1 - q) / (1 - rate))).otherwise(0.0)
-    best = n.where((F.col("a") > 2) & (q > rate)).withColumn("over", over).where(F.col("over") >= least).orderBy(F.desc("over"), "word").limit(most_words).collect()
+    best = n.where((F.col("a") > 2) & (q > rate)).withColumn("over", over).where(F.col("over") >= least).select("word", "a", "b").collect()
     hashes = np.array([r["word"] for r in best], np.int64).view(U)
     order = np.argsort(hashes)
     hashes, a, b = hashes[order], np.array([r["a"] for r in best], float)[order], np.array([r["b"] for r in best], float)[order]
@@ -226,18 +227,20 @@ def _curve(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, sample: int = 20_000, prior_share: float = 0.02, least: float = 10.0, most_words: int = 20_000, drift: float = 0.05, significant: float = 0.05) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, sample: int = 20_000, prior_share: float = 0.02, least: float = 10.0, drift: float = 0.05, significant: float = 0.05) -> Model:
     """Fit on at most ``sample`` labelled documents that are not held out, those with the smallest hashes of their id."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col, folds, fold))
     known = known.groupBy(F.col(id_col).alias("_label_id")).agg(F.max(label_col).cast("int").alias("label")).orderBy(F.xxhash64("_label_id"), "_label_id").limit(sample)
-    rows = cut(docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(known), F.col(id_col) == F.col("_label_id")).select("text", "label").dropDuplicates(["text", "label"]), "toxic-sample")
+    rows = docs.select(F.col(id_col), F.col(text_col).alias("text")).join(F.broadcast(known), F.col(id_col) == F.col("_label_id"))
+    # One text per labelled id, also where rows repeat it; so there are at most ``sample``.
+    rows = cut(rows.groupBy("_label_id", "label").agg(F.min("text").alias("text")).select("text", "label").dropDuplicates(["text", "label"]), "toxic-sample")
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = size.get(1, 0), size.get(0, 0)
     share = min(max(toxic / (toxic + clean), 1e-6), 1 - 1e-6) if size else 0.5
     model = Model(np.zeros(0, U), np.zeros(0), drift, 1.0, 0.1, np.array([np.log(share / (1 - share)), 0.0, 0.0]), significant)
     if not toxic or not clean:
         return model
-    model.hashes, model.scores = lexicon(rows, toxic, clean, prior_share * (toxic + clean), least, most_words)
+    model.hashes, model.scores = lexicon(rows, toxic, clean, prior_share * (toxic + clean), least)
     if not len(model.hashes):
         return model
 
@@ -267,7 +270,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # K from the share of clean texts with a segment of at least the mean lexicon score: 1 - exp(-K n exp(-lambda s)).
     with_one = np.clip((x[:, 1] >= s).mean(), 0.5 / len(x), 0.99)
     model.k = float(-np.log1p(-with_one) * np.exp(model.lam * s) / max(x[:, 0].mean(), 1))
-    f = rows.select("text", "label").mapInArrow(_features(model), "x double, m double, label int").orderBy("x", "m", "label").toPandas()
+    f = rows.select("text", "label").mapInArrow(_features(model), "x double, m double, label int").toPandas().sort_values(["x", "m", "label"])
     model.curve = _curve(f[["x", "m"]].to_numpy(), f["label"].to_numpy(float))
     return model
 

@@ -17,7 +17,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, forget
 
 #: Absolute and protocol-relative link targets.
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^"'\s<>]+)"""
@@ -57,6 +57,9 @@ SMALLEST = 1e-300
 def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
     """(host, trust, distrust) from ``links`` (src, dst) and ``seeds`` (host, good, bad: seed weights).
 
+    Both scores are divided by their sum at the end, so that they compare.  That is the personalised PageRank in which
+    what a host without links holds goes back to the seeds: going back only scales all scores alike.
+
     Ends when a round changes no host's trust or distrust by more than ``tolerance`` of that value (at least by more
     than rounding does).  A host that is reached for the first time changes by its whole value; and since scores flow
     in fixed shares, after a round without a larger change none follows.  Raises where that takes more than ``rounds``
@@ -69,6 +72,7 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     base = seeds.select("host", "good", "bad").unionByName(ends.distinct().select("host", zero.alias("good"), zero.alias("bad")))
     base = cut(base.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "host-seeds")
     scores = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+    before: list[DataFrame] = []
     for k in itertools.count(1):
         forth = links.join(scores.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("trust") / F.col("n_out")).alias("t"), zero.alias("d"))
         back = links.join(scores.withColumnRenamed("host", "dst"), "dst").select(F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") / F.col("n_in")).alias("d"))
@@ -77,6 +81,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
         new = base.join(flow, "host", "left").select("host", mixed("good", "t").alias("trust"), mixed("bad", "d").alias("distrust"))
         old = scores.select("host", F.col("trust").alias("_t"), F.col("distrust").alias("_d"))
         new = cut(new.join(old, "host"), "host-scores")
+        forget(*before)
+        before = [new]
         moved = lambda v, was: F.abs(F.col(v) - F.col(was)) > max(tolerance, 1e-12) * F.col(v)
         small = lambda v: (F.col(v) > 0) & (F.col(v) < SMALLEST)
         left, lost = new.agg(F.count_if(moved("trust", "_t") | moved("distrust", "_d")), F.count_if(small("trust") | small("distrust"))).first()
@@ -87,7 +93,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
             break
         if k == rounds:
             raise RuntimeError(f"scores of {left} hosts did not settle in {rounds} rounds")
-    return scores
+    trust, distrust = scores.agg(F.sum("trust"), F.sum("distrust")).first()
+    return scores.select("host", (F.col("trust") / (trust or 1.0)).alias("trust"), (F.col("distrust") / (distrust or 1.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5, **walk) -> DataFrame:
