@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import draw
+
 
 def lookup(df: DataFrame, table: DataFrame, key: str, source: str, value: str, name: str) -> DataFrame:
     """``name``: the table's value for ``key`` (the smallest, if it has several), or the key itself."""
@@ -45,6 +47,19 @@ def finest_match(df: DataFrame, fine: DataFrame, coarse: DataFrame, fine_key: st
     return out.withColumn(name, F.when(F.col("_a").isNotNull(), "fine").when(F.col("_b").isNotNull(), "coarse").otherwise("none")).drop("_a", "_b")
 
 
+def paired(left: DataFrame, right: DataFrame, key: str, id_col: str, left_values: list[str], right_values: list[str], seed: int) -> DataFrame:
+    """Best-effort pairs of two data sets by a shared key: rows complete in their values, one of each key and side, joined.
+
+    The row of a key is drawn by a hash of seed and id; blank keys don't pair.  One row per key is left by an aggregate
+    before the join, so that rows never multiply.
+    """
+    def one(df: DataFrame, values: list[str]) -> DataFrame:
+        whole = df.where(F.coalesce(F.col(key), F.lit("")) != "").dropna(subset=values)
+        return whole.groupBy(key).agg(F.min_by(F.struct(*values), draw(id_col, seed)).alias("_v")).select(key, "_v.*")
+
+    return one(left, left_values).join(one(right, right_values), key)
+
+
 def counts_by_rank(df: DataFrame, ranks: list[str], totals: DataFrame) -> DataFrame:
     """(rank, taxon, n) over all rank columns at once, with the external totals (rank, taxon, total) where known."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.col(r).cast("string").alias("taxon")) for r in ranks])).alias("x")).select("x.*")

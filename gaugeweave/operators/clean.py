@@ -103,12 +103,47 @@ def checked(df: DataFrame, entry: str) -> DataFrame:
     return df.withColumn("status", F.when(done == "sqky", done).otherwise(stage))
 
 
+def reordered(entry) -> Column:
+    """Halves of disordered pairs changed for each other: deviation and mean, least and most."""
+    e = col(entry)
+    swapped = [F.when((number(e, low + s) >= number(e, high + s)), F.array(F.lit(low + s), F.lit(high + s))) for s in SIDES for low, high in ("da", "mx")]
+    wrong = F.flatten(F.array_compact(F.array(*swapped)))
+    other = lambda k: F.concat(F.translate(F.substring(k, 1, 1), "damx", "adxm"), F.substring(k, 2, 1))
+    return F.transform_values(e, lambda k, v: F.when(F.array_contains(wrong, k), F.element_at(e, other(k))).otherwise(v))
+
+
+def _fixed(joined: DataFrame, entry: str) -> DataFrame:
+    """Apply the map ``_fix`` to the entry and mark it as double-checked; entries without one stay."""
+    kept = F.map_filter(entry, lambda k, v: ~F.map_contains_key("_fix", k) & (k != "dbl_chk"))
+    whole = F.map_concat(kept, F.map_filter("_fix", lambda k, v: k != "dbl_chk"), F.create_map(F.lit("dbl_chk"), F.lit("y")))
+    return joined.withColumn(entry, F.when(F.col("_fix").isNotNull(), whole).otherwise(F.col(entry)))
+
+
+def _fixes(corrections: DataFrame, keys: list[str]) -> DataFrame:
+    """One map per keys; of several new values of one key the largest holds."""
+    one = corrections.groupBy(*keys, "key").agg(F.max("new_value").alias("new_value"))
+    return one.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("key", "new_value"))).alias("_fix"))
+
+
 def corrected(df: DataFrame, entry: str, corrections: DataFrame) -> DataFrame:
     """Apply (ID, key, new_value) rows to the records with that ID and mark them as double-checked."""
-    fix = corrections.groupBy(F.col("ID").alias("_id")).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "new_value")))).alias("_fix"))
-    joined = df.join(fix, F.element_at(entry, "ID") == F.col("_id"), "left")
-    kept = F.map_filter(entry, lambda k, v: ~F.map_contains_key("_fix", k) & (k != "dbl_chk"))
-    return joined.withColumn(entry, F.when(F.col("_fix").isNotNull(), F.map_concat(kept, F.map_filter("_fix", lambda k, v: k != "dbl_chk"), F.create_map(F.lit("dbl_chk"), F.lit("y")))).otherwise(F.col(entry))).drop("_id", "_fix")
+    fix = _fixes(corrections, ["ID"]).withColumnRenamed("ID", "_id")
+    return _fixed(df.join(fix, F.element_at(entry, "ID") == F.col("_id"), "left"), entry).drop("_id", "_fix")
+
+
+def corrected_by_taxon(df: DataFrame, entry: str, corrections: DataFrame) -> DataFrame:
+    """Apply (b, taxon, key, new_value) rows to the records of that reference whose matched name, or genus and species, is the taxon.
+
+    Underscores of the taxon are spaces; a matched name comes before genus and species.
+    """
+    name = F.translate("taxon", "_", " ")
+    fix = _fixes(corrections.withColumn("taxon", name), ["b", "taxon"]).select(F.col("b").alias("_b"), F.col("taxon").alias("_t"), "_fix")
+    part = lambda k: F.coalesce(F.element_at(entry, k), F.lit(""))
+    full = F.concat(part("g"), F.lit(" "), part("s"))
+    by_match = fix.select("_b", "_t", F.col("_fix").alias("_one"))
+    joined = df.join(by_match, (F.element_at(entry, "b") == F.col("_b")) & (F.element_at(entry, "tax_matched") == F.col("_t")), "left").drop("_b", "_t")
+    joined = joined.join(fix.withColumnRenamed("_fix", "_two"), (F.element_at(entry, "b") == F.col("_b")) & (full == F.col("_t")), "left").drop("_b", "_t")
+    return _fixed(joined.withColumn("_fix", F.coalesce("_one", "_two")), entry).drop("_one", "_two", "_fix")
 
 
 def dimension_is_good(entry, side: str) -> Column:

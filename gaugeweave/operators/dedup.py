@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.nulls import poisoned
+from .keys import numbered
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -19,7 +21,10 @@ def first_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def random_per(df: DataFrame, key: str, id_col: str, seed: int) -> DataFrame:
-    return first_per(df, key, draw(id_col, seed))
+    """One row per key, by an aggregate: a key may hold most rows.  Equal draws are settled by the other columns."""
+    rest = [c for c in df.columns if c != key]
+    drawn = df.groupBy(key).agg(F.min(F.struct(draw(id_col, seed).alias("_d"), *rest)).alias("_r"))
+    return drawn.select(*[F.col(c) if c == key else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
 def sample_fraction(df: DataFrame, key: str, id_col: str, share: float, seed: int) -> DataFrame:
@@ -49,6 +54,7 @@ def repeat_split(df: DataFrame, name: str, value: str, tolerance: float = 1e-6)
 
 
 def level_codes(df: DataFrame, column: str, name: str) -> DataFrame:
-    """1, 2, ... in the order of the sorted distinct values, of which there are few."""
-    levels = df.select(column).where(F.col(column).isNotNull()).distinct().withColumn(name, F.row_number().over(Window.orderBy(column)))
-    return df.join(F.broadcast(levels), column, "left")
+    """1, 2, ... in the order of the sorted distinct values; numbered by ranges, so there may be any number of them."""
+    levels = cut(df.select(column).where(F.col(column).isNotNull()).distinct(), "levels")
+    none = levels.limit(0).select(F.lit(0).alias("_id"))
+    return df.join(numbered(levels, [column], none, "_id", name), column, "left")

@@ -1,6 +1,7 @@
 """Trees as edge tables (tree_id, parent, child, length): roll-ups, clades, and the fold that regressions need.
 
-All trees are worked on at once; the number of shuffles is the depth of the deepest tree.
+All trees are worked on at once.  A tree that fits a task is folded there, however deep; over larger ones the fold takes
+a round per level, so as many as the deepest of them has levels.
 """
 
 from __future__ import annotations
@@ -8,10 +9,12 @@ from __future__ import annotations
 import functools
 import itertools
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, forget
 
 #: Stands for an edge of length 0, whose weight would be infinite.
 FLOOR = 1e-9
@@ -62,22 +65,52 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return all_up.unionByName(own.select("tree_id", "node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")))
 
 
-def tip_counts(edges: DataFrame) -> DataFrame:
-    """(tree_id, node, tips): tips at or below each node."""
-    tips = tips_of(edges)
-    above = ancestors(edges)
-    return above.join(tips, ["tree_id", "node"], "left_semi").groupBy("tree_id", F.col("ancestor").alias("node")).agg(F.count("*").alias("tips"))
+def tip_counts(edges: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """(tree_id, node, tips): tips at or below each node.  ``above``: the ancestors, where they are known already."""
+    above = ancestors(edges) if above is None else above
+    return above.join(tips_of(edges), ["tree_id", "node"], "left_semi").groupBy("tree_id", F.col("ancestor").alias("node")).agg(F.count("*").alias("tips"))
 
 
 def clades(edges: DataFrame, most: int) -> DataFrame:
     """(tree_id, clade, tip): the largest subtrees of at most ``most`` tips; a tip without one is its own clade."""
-    n = tip_counts(edges)
-    tips = tips_of(edges)
-    above = ancestors(edges).join(tips, ["tree_id", "node"], "left_semi")
-    fits = above.join(n.withColumnRenamed("node", "ancestor"), ["tree_id", "ancestor"]).where(F.col("tips") <= most)
+    above = cut(ancestors(edges).join(tips_of(edges), ["tree_id", "node"], "left_semi"), "above-tips")
+    n = above.groupBy("tree_id", "ancestor").agg(F.count("*").alias("tips")).where(F.col("tips") <= most).select("tree_id", "ancestor")
+    fits = above.join(n, ["tree_id", "ancestor"])
     return fits.groupBy("tree_id", "node").agg(F.max_by("ancestor", "steps").alias("clade")).select("tree_id", "clade", F.col("node").alias("tip"))
 
 
+def large_clades(cut_up: DataFrame, families: DataFrame, more_than: int) -> DataFrame:
+    """(tree_id, clade, n, families): clades of ``clades`` with more tips than the limit, and the sorted families that only they hold.
+
+    ``families`` has (node, family).  A family of several clades belongs to none.
+    """
+    named = cut_up.join(families.select(F.col("node").alias("tip"), "family"), "tip", "left")
+    own = named.where("family is not null").groupBy("tree_id", "family").agg(F.min("clade").alias("clade"), F.max("clade").alias("_other")).where("clade = _other").drop("_other")
+    lists = own.groupBy("tree_id", "clade").agg(F.sort_array(F.collect_list("family")).alias("families"))
+    sizes = cut_up.groupBy("tree_id", "clade").agg(F.count("*").alias("n")).where(F.col("n") > more_than)
+    return sizes.join(lists, ["tree_id", "clade"], "left").withColumn("families", F.coalesce("families", F.array().cast("array<string>")))
+
+
+def representatives(cut_up: DataFrame, orders: DataFrame) -> DataFrame:
+    """(tree_id, clade, tip, label): of each clade its smallest tip, labelled ``clade_order``; ``orders`` has (node, order1)."""
+    one = cut_up.groupBy("tree_id", "clade").agg(F.min("tip").alias("tip"))
+    return one.join(orders.select(F.col("node").alias("tip"), "order1"), "tip", "left").select("tree_id", "clade", "tip", F.concat_ws("_", "clade", "order1").alias("label"))
+
+
+def state_changes(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """(tree_id, node, change, tips, nodes): edges with a gain (1) or reversal (-1), the tips and inner nodes below them.
+
+    ``tips`` is sorted; ``nodes`` counts the inner nodes strictly below.
+    """
+    s = states.select("tree_id", "node", "state")
+    by = edges.join(s.select("tree_id", F.col("node").alias("parent"), F.col("state").alias("_p")), ["tree_id", "parent"]).join(s.select("tree_id", F.col("node").alias("child"), "state"), ["tree_id", "child"])
+    by = by.withColumn("change", F.col("state") - F.col("_p")).where("change in (1, -1)").select("tree_id", F.col("child").alias("ancestor"), "change")
+    tips = tips_of(edges).withColumn("_tip", F.lit(True))
+    below = ancestors(edges).join(by, ["tree_id", "ancestor"]).join(tips, ["tree_id", "node"], "left")
+    out = below.groupBy("tree_id", F.col("ancestor").alias("node"), "change").agg(F.sort_array(F.collect_list(F.when(F.col("_tip"), F.col("node")))).alias("tips"), F.count_if(F.col("_tip").isNull() & (F.col("steps") > 0)).alias("nodes"))
+    return out
+
+
 def pruned(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Edges above the tips of ``keep`` (tree_id, node); single-child nodes stay, which the fold passes through."""
     used = ancestors(edges).join(keep, ["tree_id", "node"], "left_semi").select("tree_id", F.col("ancestor").alias("child")).distinct()
@@ -93,33 +126,124 @@ def shifts(edges: DataFrame, states: DataFrame) -> DataFrame:
     return near.groupBy("tree_id", "node").agg(F.min_by("ancestor", F.when(F.col("_x"), F.col("steps"))).alias("_near"), F.max("_x").alias("_any")).select("tree_id", "node", F.when(F.col("_any"), F.col("_near")).alias("shift"))
 
 
-def fold(edges: DataFrame, tips: DataFrame) -> DataFrame:
+SUMS = "slope double, intercept double, sxx double, sxy double, syy double, logdet double, n int"
+
+
+def fold(edges: DataFrame, tips: DataFrame, most: int = 500_000) -> DataFrame:
     """Regression sums of every fit (tree_id, fit): (slope, intercept, sxx, sxy, syy, logdet, n) along the tree.
 
     ``tips`` has (tree_id, fit, node, x, y).  A node's children i weigh 1 / v_i; their weighted means go up with the
     node's own edge plus 1 / (sum of weights); the squares around the means add up (independent contrasts, Felsenstein
-    1985).  One groupBy per level serves all trees and fits together.
+    1985).  Trees of at most ``most`` edges and tip rows are folded in a task each; over all larger ones one groupBy
+    per level serves all trees and fits together.
     """
+    tips = tips.where("x is not null and y is not null")
+    sizes = edges.select("tree_id").unionByName(tips.select("tree_id")).groupBy("tree_id").agg(F.count("*").alias("_n"))
+    sizes = cut(sizes, "tree-sizes")
+    small = sizes.where(F.col("_n") <= most).select("tree_id")
+    kind = dict(tips.dtypes)
+    schema = f"tree_id {dict(edges.dtypes)['tree_id']}, fit {kind['fit']}, {SUMS}"
+    near_edges = edges.select("tree_id", "parent", "child", "length").join(small, "tree_id", "left_semi")
+    near_tips = tips.select("tree_id", "fit", "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(small, "tree_id", "left_semi")
+    out = near_edges.groupBy("tree_id").cogroup(near_tips.groupBy("tree_id")).applyInPandas(_folded, schema)
+    large = sizes.where(F.col("_n") > most).select("tree_id")
+    if large.isEmpty():
+        return out
+    return out.unionByName(fold_by_levels(edges.join(large, "tree_id", "left_semi"), tips.join(large, "tree_id", "left_semi")))
+
+
+def _folded(edges: pd.DataFrame, tips: pd.DataFrame) -> pd.DataFrame:
+    """The fold of one tree and all its fits, level by level."""
+    if not len(edges) or not len(tips):
+        return pd.DataFrame({"tree_id": [], "fit": [], **{c.split()[0]: [] for c in SUMS.split(", ")}})
+    names = pd.unique(pd.concat([edges["parent"], edges["child"]], ignore_index=True))
+    place = pd.Series(np.arange(len(names)), index=names)
+    parent, child = place[edges["parent"]].to_numpy(), place[edges["child"]].to_numpy()
+    up, own = np.full(len(names), -1), np.zeros(len(names))
+    up[child], own[child] = parent, np.maximum(edges["length"].to_numpy(float), FLOOR)
+    open_children = np.bincount(parent, minlength=len(names))
+    level, levels = np.flatnonzero(open_children == 0), []
+    while len(level):  # all nodes whose children are done
+        levels.append(level)
+        above = up[level][up[level] >= 0]
+        gone = np.bincount(above, minlength=len(names)) if len(above) * 8 > len(names) else None
+        if gone is None:
+            np.subtract.at(open_children, above, 1)
+            level = np.unique(above)[open_children[np.unique(above)] == 0]
+        else:
+            open_children -= gone
+            level = np.flatnonzero((gone > 0) & (open_children == 0))
+    if sum(map(len, levels)) < len(names):
+        raise ValueError(f"{len(names) - sum(map(len, levels))} nodes are on or above a cycle")
+    rows = []
+    for fit, of in tips.groupby("fit", dropna=False, sort=False):
+        of = of[of["node"].isin(place.index)]
+        at = place[of["node"]].to_numpy()
+        n = np.bincount(at, minlength=len(names))
+        w, wx, wy, logs = (np.zeros(len(names)) for _ in range(4))
+        x, y = (np.bincount(at, of[c].to_numpy(float), len(names)) / np.maximum(n, 1) for c in ("x", "y"))
+        if (n > 1).any():
+            raise ValueError("a node of a fit has several rows")
+        v, sxx, sxy, syy = own.copy(), np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
+        count, root = n.copy(), None
+        for k, nodes in enumerate(levels):
+            if k:
+                inner = nodes[w[nodes] > 0]
+                x[inner], y[inner] = wx[inner] / w[inner], wy[inner] / w[inner]
+            for stage in (0, 1):
+                there = nodes[count[nodes] > 0]
+                if stage == 0 and k:
+                    # Two steps keep precision: means first, then squares around them, child by child.
+                    kids = held[np.isin(up[held], there)] if len(there) else held[:0]
+                    z = 1 / v[kids]
+                    dx, dy, to = x[kids] - x[up[kids]], y[kids] - y[up[kids]], up[kids]
+                    np.add.at(sxx, to, sxx[kids] + z * dx * dx), np.add.at(sxy, to, sxy[kids] + z * dx * dy), np.add.at(syy, to, syy[kids] + z * dy * dy)
+                    np.add.at(logs, to, logs[kids] + np.log(v[kids]))
+                    logs[there] += np.log(w[there])
+                    held = np.setdiff1d(held, kids, assume_unique=True)
+                    top = there[up[there] < 0]
+                    for r in top:
+                        root = r
+                    inner = there[up[there] >= 0]
+                    v[inner] = own[inner] + 1 / w[inner]
+                elif stage == 1:
+                    going = there[up[there] >= 0]
+                    z, to = 1 / v[going], up[going]
+                    np.add.at(w, to, z), np.add.at(wx, to, z * x[going]), np.add.at(wy, to, z * y[going]), np.add.at(count, to, count[going])
+                    held = going if k == 0 else np.concatenate([held, going])
+        if root is not None:
+            slope = sxy[root] / sxx[root] if sxx[root] else None
+            rows.append((edges["tree_id"].iloc[0], fit, slope, None if slope is None else y[root] - slope * x[root], sxx[root], sxy[root], syy[root], logs[root] - np.log(w[root]), int(count[root])))
+    return pd.DataFrame(rows, columns=["tree_id", "fit", *[c.split()[0] for c in SUMS.split(", ")]])
+
+
+def fold_by_levels(edges: DataFrame, tips: DataFrame) -> DataFrame:
+    """``fold`` over trees of any size: a round of joins and sums per level, over the rows of that level alone."""
     edges = cut(edges, "edges")
     high = cut(heights(edges), "heights")
     lengths = edges.select("tree_id", F.col("child").alias("node"), "parent", F.greatest("length", F.lit(FLOOR)).alias("v"))
+    above = high.select("tree_id", F.col("node").alias("parent"), F.col("height").alias("to"))
+    lengths = cut(lengths.join(above, ["tree_id", "parent"]), "lengths")
     top = high.agg(F.max("height")).first()[0] or 0
-    up = tips.where("x is not null and y is not null").join(lengths, ["tree_id", "node"]).select("tree_id", "fit", F.col("parent").alias("node"), "x", "y", "v", *[F.lit(0.0).alias(c) for c in ("sxx", "sxy", "syy", "logdet")], F.lit(1).alias("n"))
-    done = None
+    start = tips.where("x is not null and y is not null").join(lengths, ["tree_id", "node"])
+    start = start.select("tree_id", "fit", F.col("parent").alias("node"), "to", "x", "y", "v", *[F.lit(0.0).alias(c) for c in ("sxx", "sxy", "syy", "logdet")], F.lit(1).alias("n"))
+    waiting, done = [cut(start, "fold")], None
     for h in range(1, top + 1):
-        up = cut(up, "fold")
-        at = up.join(high, ["tree_id", "node"])
-        now, later = at.where(F.col("height") == h).drop("height"), at.where(F.col("height") != h).drop("height")
+        now = functools.reduce(DataFrame.unionByName, [w.where(F.col("to") == h) for w in waiting])
         w = 1 / F.col("v")
         mean = now.groupBy("tree_id", "fit", "node").agg(F.sum(w).alias("w"), (F.sum(w * F.col("x")) / F.sum(w)).alias("mx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("my"))
         dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
         sums = now.join(mean, ["tree_id", "fit", "node"]).groupBy("tree_id", "fit", "node", "w", "mx", "my").agg(
             F.sum(F.col("sxx") + w * dx * dx).alias("sxx"), F.sum(F.col("sxy") + w * dx * dy).alias("sxy"), F.sum(F.col("syy") + w * dy * dy).alias("syy"),
-            (F.sum(F.col("logdet") + F.log("v")) + F.log("w")).alias("logdet"), F.sum("n").alias("n"))
+            (F.sum(F.col("logdet") + F.log("v")) + F.log("w")).alias("logdet"), F.sum("n").cast("int").alias("n"))
         joined = cut(sums.join(lengths, ["tree_id", "node"], "left"), "fold")
         root = joined.where("parent is null").select("tree_id", "fit", F.col("mx").alias("x"), F.col("my").alias("y"), "sxx", "sxy", "syy", (F.col("logdet") - F.log("w")).alias("logdet"), "n")
         done = root if done is None else done.unionByName(root)
-        onward = joined.where("parent is not null").select("tree_id", "fit", F.col("parent").alias("node"), F.col("mx").alias("x"), F.col("my").alias("y"), (F.col("v") + 1 / F.col("w")).alias("v"), "sxx", "sxy", "syy", "logdet", "n")
-        up = later.unionByName(onward)
+        onward = joined.where("parent is not null").select("tree_id", "fit", F.col("parent").alias("node"), "to", F.col("mx").alias("x"), F.col("my").alias("y"), (F.col("v") + 1 / F.col("w")).alias("v"), "sxx", "sxy", "syy", "logdet", "n")
+        waiting.append(onward)
+        if len(waiting) > 16:  # rows that still wait, as one table
+            left = cut(functools.reduce(DataFrame.unionByName, waiting).where(F.col("to") > h), "fold")
+            forget(waiting[0])
+            waiting = [left]
     slope = F.try_divide(F.col("sxy"), F.col("sxx"))
     return done.select("tree_id", "fit", slope.alias("slope"), (F.col("y") - slope * F.col("x")).alias("intercept"), "sxx", "sxy", "syy", "logdet", "n")

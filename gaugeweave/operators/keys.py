@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 #: The steps that are added one after another to a repeated reference id.
 LADDER = ["a", "b", "c", "d", "e", "f", "g", "a1", "a2", "a3", "a4", "a5"]
 
@@ -20,7 +22,9 @@ def numbered(df: DataFrame, order: list[str], start: DataFrame, id_col: str, nam
     Ranks come from range partitions and their counts, so no window holds all rows.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()).withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
+    # Written once: evaluated again, the sampled bounds of the ranges might differ.
+    placed = cut(df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()), "numbered")
+    placed = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_pid").orderBy(*order)))
     counts = placed.groupBy("_pid").agg(F.count("*").alias("_n"))
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     top = start.agg(F.coalesce(F.max(F.col(id_col).cast("long")), F.lit(0)).alias("_top"))
@@ -28,18 +32,28 @@ def numbered(df: DataFrame, order: list[str], start: DataFrame, id_col: str, nam
 
 
 def unique_references(new: DataFrame, used: DataFrame, id_col: str, order: str, name: str = "unique_id") -> DataFrame:
-    """Make repeated ids differ by cumulative suffixes (x, xa, xab, ...); null where the ladder is used up.
+    """Make ids differ from those in use and from each other by cumulative suffixes (x, xa, xab, ...); null at the ladder's end.
 
-    The k-th row of an id takes the k-th free step; used ids are those of ``used``.
+    The first row of an id (by ``order``) that is not in use keeps it; every other row climbs one step a round, and of
+    rows that reach the same free step the first one takes it.  Rows x, x, xa become x, xab, xa: those that bring an id
+    themselves come before those that climb to it.  A round is a join and an aggregate over the rows that still climb.
     """
     steps = ["", *("".join(LADDER[: k + 1]) for k in range(len(LADDER)))]
-    ids = new.select(id_col).distinct()
-    ladder = ids.withColumn("_s", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("s")) for i, s in enumerate(steps)])))
-    ladder = ladder.select(id_col, F.col("_s.i").alias("_i"), F.concat(F.col(id_col), F.col("_s.s")).alias(name))
-    free = ladder.join(used.select(F.col(id_col).alias(name)), name, "left_anti")
-    free = free.withColumn("_k", F.row_number().over(Window.partitionBy(id_col).orderBy("_i"))).drop("_i")
-    ranked = new.withColumn("_k", F.row_number().over(Window.partitionBy(id_col).orderBy(order)))
-    return ranked.join(free, [id_col, "_k"], "left").drop("_k")
+    taken = used.select(F.col(id_col).alias(name)).where(F.col(name).isNotNull()).distinct()
+    left, done = new, []
+    for k, step in enumerate(steps):
+        here = left.withColumn(name, F.concat(F.col(id_col), F.lit(step)))
+        first = here.join(taken, name, "left_anti").groupBy(name).agg(F.min(F.struct(order, id_col)).alias("_first"))
+        first = first.select(name, F.col(f"_first.{order}").alias("_order"), F.col(f"_first.{id_col}").alias("_id"))
+        marked = cut(here.join(first, name, "left").withColumn("_won", F.coalesce((F.col(order) == F.col("_order")) & (F.col(id_col) == F.col("_id")), F.lit(False))).drop("_order", "_id"), f"references-{k}")
+        won = marked.where("_won").drop("_won")
+        done.append(won.select(*new.columns, name))
+        taken = taken.unionByName(won.select(name))
+        left = marked.where("not _won").select(*new.columns)
+    out = left.withColumn(name, F.lit(None).cast("string"))
+    for rows in done:
+        out = out.unionByName(rows)
+    return out
 
 
 def with_references(entries: DataFrame, references: DataFrame, keys: list[str], attached: str, overwrite: bool = False) -> tuple[DataFrame, DataFrame]:

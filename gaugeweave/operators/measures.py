@@ -40,6 +40,11 @@ def ellipticity(length, width) -> Column:
     return ratio(length, width) - 1
 
 
+def image_aspect(length, width, length_px, width_px) -> Column:
+    """Aspect ratio in mm where a length in mm is there, else in pixels."""
+    return F.when(col(length).isNotNull(), ratio(length, width)).otherwise(ratio(length_px, width_px))
+
+
 def void_unless(value, condition: Column) -> Column:
     """Null unless the condition is true; an unknown condition voids too."""
     return F.when(condition, col(value))
@@ -99,13 +104,19 @@ def temperature_normalised(time, kelvin, reference: float = 293.15, energy: floa
     return ratio(time, F.exp(-energy * (1 / F.lit(reference) - ratio(F.lit(1.0), kelvin))))
 
 
+def quartile_ratio(x) -> Column:
+    """Ratio of the widths at the quartiles from a fitted lambda x: with r = (1 - x) / (1 + x), 0.5^r * 1.5^-r."""
+    r = ratio(1 - col(x), 1 + col(x))
+    return F.pow(F.lit(0.5), r) * F.pow(F.lit(1.5), -r)
+
+
 def converted(length_cm, ellipt, asym) -> dict[str, Column]:
-    """Another data set's parameters in our units: mm, length / width ratio, width, volume."""
+    """Another data set's parameters in our units: mm, length / width ratio, width, volume, asymmetry as quartile ratio less 1."""
     length = 10 * col(length_cm)
     aspect = col(ellipt) + 1
     width = ratio(length, aspect)
     none = F.lit(None).cast("double")
-    return {"length_mm": length, "aspect": aspect, "width_mm": width, "volume": ellipsoid_volume(none, length, width, none), "asymmetry": col(asym) + 1}
+    return {"length_mm": length, "aspect": aspect, "width_mm": width, "volume": ellipsoid_volume(none, length, width, none), "asymmetry": quartile_ratio(col(asym) + 1) - 1}
 
 
 def relabelled(value: str, groups: dict[str, list[str]]) -> Column:

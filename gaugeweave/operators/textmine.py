@@ -14,8 +14,8 @@ TERMS = [(("egg",), 5), (("mature oocyte",), 2), (("long", "length"), 1), (("wid
 
 
 def cleaned(text) -> Column:
-    """Non-printable ASCII as ``?``, every white-space character as a space."""
-    return F.regexp_replace(F.regexp_replace(col(text), r"[\x00-\x08\x0E-\x1F\x7F]", "?"), r"[\t\n\x0B\f\r]", " ")
+    """Every white-space character as a space, every other one that is not printable ASCII as ``?``."""
+    return F.regexp_replace(F.regexp_replace(col(text), r"[^\x20-\x7E\t\n\x0B\f\r]", "?"), r"[\t\n\x0B\f\r]", " ")
 
 
 def collapsed(text) -> Column:
@@ -46,22 +46,33 @@ def routed(sample, first, second) -> tuple[Column, Column]:
     return text, n < 150
 
 
+def plain_word(word) -> Column:
+    """Without ASCII punctuation at either end, lower case."""
+    return F.lower(F.regexp_replace(word, f"^{PUNCTUATION}+|{PUNCTUATION}+$", ""))
+
+
 def corpus_frequencies(docs: DataFrame, text: str) -> DataFrame:
     """(word, freq): words that occur more than once, as a share of all words; punctuation stripped, lower case."""
-    words = docs.select(F.explode(word_list(text)).alias("w")).select(F.lower(F.regexp_replace("w", f"^{PUNCTUATION}+|{PUNCTUATION}+$", "")).alias("word"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n"))
-    total = counted.agg(F.sum("n").alias("total"))
-    return counted.where("n > 1").crossJoin(F.broadcast(total)).select("word", (F.col("n") / F.col("total")).alias("freq"))  # one row
+    words = docs.select(F.explode(word_list(text)).alias("w")).select(plain_word(F.col("w")).alias("word"))
+    total = docs.agg(F.sum(F.size(word_list(text))).alias("total"))
+    counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    return counted.crossJoin(F.broadcast(total)).select("word", (F.col("n") / F.col("total")).alias("freq"))  # one row
+
+
+#: The letters that a distinctive term ends with.
+ENDINGS = "aeimnorsx"
 
 
 def distinctive_terms(docs: DataFrame, id_col: str, text: str, corpus: DataFrame, least: int = 5, top: int = 5) -> DataFrame:
-    """(id, word, n, rel, place): a document's words that are frequent in it and rare in the corpus; 100000 if unseen."""
-    words = docs.select(id_col, F.explode(word_list(text)).alias("word"))
-    total = words.groupBy(id_col).agg(F.count("*").alias("total"))
-    good = words.where(F.col("word").rlike("^[a-z][A-Za-z]{4,}$") & F.right("word", F.lit(1)).isin(*"aeimnorsx"))
-    counted = good.groupBy(id_col, "word").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    """(id, word, n, rel, place): a document's words that are frequent in it and rare in the corpus; 100000 if unseen.
+
+    A word has over 4 letters, all of them letters, the first one small as written; it counts in lower case.
+    """
+    words = docs.select(id_col, F.explode(word_list(text)).alias("_w"), F.size(word_list(text)).alias("total"))
+    good = words.where(F.col("_w").rlike(f"^[a-z][A-Za-z]{{3,}}[{ENDINGS}]$")).withColumn("word", F.lower("_w"))
+    counted = good.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.max("total").alias("total")).where(F.col("n") > least)
     rel = F.coalesce(F.col("n") / F.col("total") / F.col("freq"), F.lit(100000.0))
-    ranked = counted.join(total, id_col).join(corpus, "word", "left").withColumn("rel", rel)
+    ranked = counted.join(corpus, "word", "left").withColumn("rel", rel)
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("rel"), F.desc("n"), "word"))
     return ranked.withColumn("place", place).where(F.col("place") <= top).select(id_col, "word", "n", "rel", "place")
 
@@ -104,17 +115,19 @@ def keyword_position(text, keywords: list[str]) -> Column:
 
 
 def number_near(text, position) -> Column:
-    """The number whose start is nearest to the position, the left one of two equally near; null without a number."""
-    text, position = col(text), col(position)
-    pieces = F.regexp_extract_all(text, F.lit(r"([0-9]+(?:[.,][0-9]+)?|[^0-9]+)"), 1)
-    none = F.struct(F.lit(1).alias("at"), F.lit(None).cast("int").alias("far"), F.lit(None).cast("string").alias("best"))
+    """The number whose nearest digit is closest to the position (from 1), the left one of two equally near; null without a digit.
 
-    def step(acc, piece):
-        far = F.abs(acc["at"] - position)
-        take = piece.rlike("^[0-9]") & (acc["far"].isNull() | (far < acc["far"]))
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(take, far).otherwise(acc["far"]).alias("far"), F.when(take, piece).otherwise(acc["best"]).alias("best"))
-
-    return F.aggregate(pieces, none, step, lambda acc: F.replace(acc["best"], F.lit(","), F.lit(".")))
+    The position's own character is not looked at.  From that digit the number goes on, away from the position, up to a
+    letter, so that "2.5 - 3" stays together; white space and punctuation at its ends are dropped.
+    """
+    text, position = col(text), col(position)
+    left, right = F.substring(text, F.lit(1), position - 1), F.substring(text, position + 1, F.length(text))
+    far = lambda part, pattern: F.when(part.rlike("[0-9]"), F.length(F.regexp_extract(part, pattern, 1)))
+    on_left, on_right = far(left, r"(?s)[0-9]([^0-9]*)$"), far(right, r"(?s)^([^0-9]*)[0-9]")
+    found = F.when(on_left.isNotNull() & (on_right.isNull() | (on_left <= on_right)), F.regexp_extract(left, r"(?s)([^A-Za-z]*[0-9])[^0-9]*$", 1))
+    found = F.when(on_left.isNull() & on_right.isNull(), None).otherwise(F.coalesce(found, F.regexp_extract(right, r"(?s)^[^0-9]*([0-9][^A-Za-z]*)", 1)))
+    edge = r"[\s!-/:-@\[-`{-~]+"
+    return F.regexp_replace(found, f"^{edge}|{edge}$", "")
 
 
 def two_numbers(text) -> tuple[Column, Column]:

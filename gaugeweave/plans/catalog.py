@@ -110,11 +110,12 @@ def two_quantile_trims(spark, sf_dir):
 
 @query(_RAW + """
 SELECT l_returnflag, count(*) AS n, round(avg(abs(xl - ml) / ((xl + ml) / 2)), 6) AS spread, round(avg(100 * (wide - narrow) / wide), 6) AS gap,
-  round(avg(100 * (wide - narrow) / wide), 6) AS volume_gap FROM m GROUP BY 1
+  round(avg(100 * (v2 - v3) / v2), 6) AS volume_gap FROM (
+    SELECT *, 4 / 3.0::DOUBLE * pi() * (len / 2) * (wide / 2) * (wide / 2) AS v2, 4 / 3.0::DOUBLE * pi() * (len / 2) * (wide / 2) * (narrow / 2) AS v3 FROM m) GROUP BY 1
 """)
 def agreement(spark, sf_dir):
     gap, volume_gap = measures.shape_gap("w", "b", "len")
-    rows = _measured(spark, sf_dir).where("1 = 1").withColumns({"s": measures.relative_spread("xl", "ml"), "g": gap, "v": F.when(F.col("b").isNotNull(), gap)})
+    rows = _measured(spark, sf_dir).withColumns({"s": measures.relative_spread("xl", "ml"), "g": gap, "v": F.when(F.col("b").isNotNull(), volume_gap)})
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.round(F.avg("s"), 6).alias("spread"), F.round(F.avg("g"), 6).alias("gap"), F.round(F.avg("v"), 6).alias("volume_gap"))
 
 
@@ -331,15 +332,24 @@ def repeated_tags(spark, sf_dir):
     return keys.repeated_tags(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"]).select("o_orderkey")
 
 
-@query("""
-WITH n AS (SELECT o_orderkey, 'ref' || (o_custkey % 400) AS id FROM orders WHERE o_orderkey % 4 = 0),
-s AS (SELECT unnest(['', 'a', 'ab', 'abc', 'abcd', 'abcde', 'abcdef', 'abcdefg', 'abcdefga1', 'abcdefga1a2', 'abcdefga1a2a3', 'abcdefga1a2a3a4', 'abcdefga1a2a3a4a5']) AS s, unnest(range(13)) AS i),
-f AS (SELECT id, id || s AS u, row_number() OVER (PARTITION BY id ORDER BY i) AS k FROM (SELECT DISTINCT id FROM n) CROSS JOIN s WHERE id || s NOT IN (SELECT 'ref' || c_custkey || 'a' FROM customer WHERE c_custkey < 100))
-SELECT o_orderkey, u AS unique_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o_orderkey) AS k FROM n) LEFT JOIN f USING (id, k)
-""")
+def _ladder_sql() -> str:
+    """The rounds of ``keys.unique_references`` one after another."""
+    steps = ["", *("".join(keys.LADDER[: k + 1]) for k in range(len(keys.LADDER)))]
+    parts = ["used AS MATERIALIZED (SELECT 'ref' || c_custkey || 'a' AS u FROM customer)", "l0 AS MATERIALIZED (SELECT o_orderkey AS o, 'ref' || o_custkey || CASE WHEN o_orderkey % 5 = 0 THEN 'ab' ELSE '' END AS id FROM orders)"]
+    for k, step in enumerate(steps):
+        taken = " UNION ALL ".join(["SELECT u FROM used", *(f"SELECT u FROM w{i}" for i in range(k))])
+        parts.append(f"w{k} AS MATERIALIZED (SELECT id || '{step}' AS u, min(o) AS o FROM l{k} WHERE id || '{step}' NOT IN ({taken}) GROUP BY 1)")
+        parts.append(f"l{k + 1} AS MATERIALIZED (SELECT o, id FROM l{k} WHERE o NOT IN (SELECT o FROM w{k}))")
+    won = " UNION ALL ".join(f"SELECT o, u FROM w{k}" for k in range(len(steps)))
+    return f"WITH {', '.join(parts)} SELECT o AS o_orderkey, u AS unique_id FROM ({won} UNION ALL SELECT o, NULL FROM l{len(steps)})"
+
+
+@query(_ladder_sql())
 def unique_references(spark, sf_dir):
-    new = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select("o_orderkey", F.concat(F.lit("ref"), (F.col("o_custkey") % 400).cast("string")).alias("id"))
-    used = table(spark, sf_dir, "customer").where("c_custkey < 100").select(F.concat(F.lit("ref"), F.col("c_custkey").cast("string"), F.lit("a")).alias("id"))
+    """All orders bring a reference id, some with a suffix of their own; the customers' ids with a suffix are in use."""
+    tail = F.when(F.col("o_orderkey") % 5 == 0, "ab").otherwise("")
+    new = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("ref"), F.col("o_custkey").cast("string"), tail).alias("id"))
+    used = table(spark, sf_dir, "customer").select(F.concat(F.lit("ref"), F.col("c_custkey").cast("string"), F.lit("a")).alias("id"))
     return keys.unique_references(new, used, "id", "o_orderkey").select("o_orderkey", "unique_id")
 
 
@@ -365,7 +375,7 @@ def word_frequencies(spark, sf_dir):
 
 @query(_FREQ + r""", d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS word FROM documents),
 t AS (SELECT doc_id, count(*) AS total FROM d GROUP BY 1),
-g AS (SELECT doc_id, word, count(*) AS n FROM d WHERE regexp_full_match(word, '[a-z][A-Za-z]{4,}') AND right(word, 1) IN ('a','e','i','m','n','o','r','s','x') GROUP BY 1, 2 HAVING count(*) > 5),
+g AS (SELECT doc_id, lower(word) AS word, count(*) AS n FROM d WHERE regexp_full_match(word, '[a-z][A-Za-z]{3,}[aeimnorsx]') GROUP BY ALL HAVING count(*) > 5),
 r AS (SELECT doc_id, word, n, coalesce(n::DOUBLE / total / freq, 100000) AS rel FROM g JOIN t USING (doc_id) LEFT JOIN f USING (word))
 SELECT doc_id, word, n, round(rel, 4) AS rel, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rel DESC, n DESC, word) AS place FROM r) WHERE place <= 5
 """)
@@ -432,20 +442,21 @@ _CUST = "SELECT n_regionkey, n_nationkey, c_custkey, count(o_orderkey) AS orders
 @query(f"""
 WITH c AS ({_CUST}) SELECT n_regionkey::VARCHAR AS tree_id, 'c' || c_custkey AS node, tips FROM c UNION ALL
 SELECT n_regionkey::VARCHAR, 'n' || n_nationkey, sum(tips)::BIGINT FROM c GROUP BY ALL UNION ALL
-SELECT n_regionkey::VARCHAR, 'r' || n_regionkey, sum(tips)::BIGINT FROM c GROUP BY ALL
+SELECT n_regionkey::VARCHAR, 'r' || n_regionkey, sum(tips)::BIGINT FROM c GROUP BY ALL UNION ALL
+SELECT n_regionkey::VARCHAR, 'o' || o_orderkey, 1 FROM c JOIN orders ON o_custkey = c_custkey
 """)
 def tips_below(spark, sf_dir):
-    return hierarchy.tip_counts(_edges(spark, sf_dir)).where("node not like 'o%'")
+    return hierarchy.tip_counts(_edges(spark, sf_dir))
 
 
 @query(f"""
 WITH c AS ({_CUST}), n AS (SELECT n_nationkey, sum(tips) AS t FROM c GROUP BY 1), r AS (SELECT n_regionkey, sum(tips) AS t FROM c GROUP BY 1)
 SELECT CASE WHEN r.t <= 20 THEN 'r' || n_regionkey WHEN n.t <= 20 THEN 'n' || n_nationkey WHEN c.tips <= 20 THEN 'c' || c_custkey END AS clade, sum(tips)::BIGINT AS n
 FROM c JOIN n USING (n_nationkey) JOIN r USING (n_regionkey) WHERE c.tips <= 20 GROUP BY 1
+UNION ALL SELECT 'o' || o_orderkey, 1 FROM orders JOIN c ON o_custkey = c_custkey WHERE c.tips > 20
 """)
 def clades_of_tips(spark, sf_dir):
-    cut = hierarchy.clades(_edges(spark, sf_dir), 20)
-    return cut.where("clade not like 'o%'").groupBy("clade").agg(F.count("*").alias("n"))
+    return hierarchy.clades(_edges(spark, sf_dir), 20).groupBy("clade").agg(F.count("*").alias("n"))
 
 
 def _tips(spark, sf_dir):
@@ -572,3 +583,73 @@ SELECT p_partkey, p_brand, g[1] AS least_size, g[2] AS least_type FROM part JOIN
 def named_groups(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     return reports.with_groups(part.select("p_partkey", "p_brand"), part.select("p_brand", F.col("p_size").alias("least_size"), F.col("p_type").alias("least_type")), "p_brand")
+
+
+@query("""
+WITH a AS (SELECT c_mktsegment AS name, arg_min(c_acctbal, md5('4/' || c_custkey)) AS v FROM customer WHERE c_acctbal IS NOT NULL AND coalesce(c_mktsegment, '') <> '' GROUP BY 1),
+b AS (SELECT CASE WHEN s_suppkey % 6 = 0 THEN '' WHEN s_suppkey % 6 = 1 THEN 'MACHINERY' WHEN s_suppkey % 6 = 2 THEN 'BUILDING' ELSE 'other' END AS name, arg_min(s_acctbal, md5('4/' || s_suppkey)) AS w
+  FROM supplier WHERE s_suppkey % 7 <> 0 GROUP BY 1)
+SELECT name, v, w FROM a JOIN b USING (name)
+""")
+def paired_sets(spark, sf_dir):
+    """Two data sets restricted to shared keys, one drawn row each."""
+    k = F.col("s_suppkey")
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("name"), F.col("c_acctbal").alias("v"))
+    name = F.when(k % 6 == 0, "").when(k % 6 == 1, "MACHINERY").when(k % 6 == 2, "BUILDING").otherwise("other")
+    b = table(spark, sf_dir, "supplier").select(k.alias("id"), name.alias("name"), F.when(k % 7 != 0, F.col("s_acctbal")).alias("w"))
+    return classify.paired(a, b, "name", "id", ["v"], ["w"], 4)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(10 * l_quantity, 6) AS length_mm, round(l_tax + 1, 6) AS aspect, round(10 * l_quantity / (l_tax + 1), 6) AS width_mm,
+  round(0.5::DOUBLE ** (-l_discount / (2 + l_discount)) * 1.5::DOUBLE ** (l_discount / (2 + l_discount)) - 1, 9) + 0 AS asymmetry,
+  round(CASE WHEN l_linenumber % 2 = 0 THEN l_quantity / l_extendedprice ELSE l_tax / 7 END, 9) AS image_aspect
+FROM lineitem
+""")
+def other_data_set(spark, sf_dir):
+    """Another data set's parameters in our units, and the aspect ratio with pixels where millimetres are missing."""
+    got = measures.converted("l_quantity", "l_tax", "l_discount")
+    image = measures.image_aspect(F.when(F.col("l_linenumber") % 2 == 0, F.col("l_quantity")), "l_extendedprice", "l_tax", F.lit(7.0))
+    r = lambda k, places: F.round(got[k], places).alias(k)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", r("length_mm", 6), r("aspect", 6), r("width_mm", 6), r("asymmetry", 9), F.round(image, 9).alias("image_aspect"))
+
+
+@query("""
+WITH t AS (SELECT p_partkey, cast(round(p_retailprice, 1) AS DECIMAL(12, 1))::VARCHAR AS x FROM part), d AS (SELECT *, x::DOUBLE AS v, length(replace(x, '.', '')) - CASE WHEN x::DOUBLE > 10 THEN 1 ELSE 0 END AS f FROM t)
+SELECT p_partkey, round(u, 9) AS unit, round(u / v, 12) AS precision FROM (SELECT *, 10.0::DOUBLE ** (1 - f) * CASE WHEN v > 10 THEN 0.1::DOUBLE ELSE 1 END AS u FROM d)
+""")
+def digit_precision(spark, sf_dir):
+    text = table(spark, sf_dir, "part").select("p_partkey", F.round("p_retailprice", 1).cast("decimal(12,1)").cast("string").alias("x"))
+    d = measures.digits("x")
+    return text.select("p_partkey", F.round(d["unit"], 9).alias("unit"), F.round(d["precision"], 12).alias("precision"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN s1 IS NULL THEN w WHEN s2 IS NULL OR s3 IS NULL THEN NULL ELSE greatest(s1, s2, s3) END AS widest, round(low, 6) AS log_low, round(mean_log, 6) AS mean_log, first_known,
+  diff, round(share, 9) AS share
+FROM (SELECT o_orderkey, o_totalprice AS w, CASE WHEN k % 2 = 0 THEN p END AS s1, CASE WHEN k % 3 <> 0 THEN p + 1 END AS s2, p - 1 AS s3,
+  log10(k + 1.0::DOUBLE) AS low, (log10(k + 1.0::DOUBLE) + log10(o_custkey + 1.0::DOUBLE)) / 2 AS mean_log, CASE WHEN k % 5 = 0 THEN -1.0 ELSE p END AS first_known,
+  p - (k + 1) AS diff, (p - (k + 1)) / (k + 1) AS share FROM (SELECT *, o_orderkey AS k, floor(o_totalprice) AS p FROM orders))
+""")
+def body_and_section_measures(spark, sf_dir):
+    """The widest of three sections, body measures, the first of two sources, and errors of a repeat measurement."""
+    k, p = F.col("o_orderkey"), F.floor("o_totalprice").cast("double")
+    rows = table(spark, sf_dir, "orders").withColumns({"p": p, "low": k + 1.0, "high": F.col("o_custkey") + 1.0})
+    s1, s2 = F.when(k % 2 == 0, F.col("p")), F.when(k % 3 != 0, F.col("p") + 1)
+    body = measures.body_measures("low", "high")
+    first = measures.first_source(F.when(k % 5 == 0, F.lit(-1.0)).otherwise(F.lit(float("nan"))), "p")
+    diff, share = measures.error_of("p", "low")
+    return rows.select("o_orderkey", measures.widest("o_totalprice", s1, s2, F.col("p") - 1).alias("widest"), F.round(body["log_low"], 6).alias("log_low"), F.round(body["mean_log"], 6).alias("mean_log"), first.alias("first_known"), diff.alias("diff"), F.round(share, 9).alias("share"))
+
+
+@query("""
+SELECT p_partkey, regexp_replace(regexp_replace('(' || p_name || ').', '^\\W+', ''), '\\W+$', '') AS bare, split_part(p_name, ' ', 1) AS head,
+  CASE WHEN p_partkey % 2 = 0 THEN (p_size || '.5')::DOUBLE ELSE p_size::DOUBLE END AS point, replace(p_name, ' ', '  ') AS spaced FROM part
+""")
+def text_fields(spark, sf_dir):
+    """Names without marks at their ends, first words, decimal commas, and white space put in and thinned again."""
+    part = table(spark, sf_dir, "part")
+    head, _ = textmine.name_parts(F.concat(F.col("p_name"), F.lit(" x")))
+    comma = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(",5"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(",0")))
+    spaced = textmine.thinned(F.regexp_replace(textmine.collapsed("p_name"), " ", "   "))
+    return part.select("p_partkey", clean.bare_name(F.concat(F.lit("("), F.col("p_name"), F.lit(")."))).alias("bare"), head.alias("head"), textmine.decimal_point(comma).alias("point"), spaced.alias("spaced"))

@@ -31,8 +31,13 @@ def read_entries(spark: SparkSession, path: str) -> DataFrame:
     return fast.unionByName(slow).withColumn("bad", F.col("entry").isNull())
 
 
-def widened(df: DataFrame, entry: str, keys: list[str]) -> DataFrame:
-    """One column per key."""
+def widened(df: DataFrame, entry: str, keys: list[str] | None = None, most: int = 1000) -> DataFrame:
+    """One column per key; without a list, of all keys that occur, sorted.  Raises beyond ``most`` of them."""
+    if keys is None:
+        found = df.select(F.explode(F.map_keys(entry)).alias("k")).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} keys")
+        keys = sorted(r["k"] for r in found)
     return df.select(*[F.element_at(entry, k).alias(k) for k in keys])
 
 
@@ -55,18 +60,26 @@ def read_texts(spark: SparkSession, path: str, columns: list[str], sep: str = "\
 
 
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """(bib_id, kind, fields, bad) of a BibTeX file, one row per reference; both ``key={v}`` and ``key = {v}``.
+    """(bib_id, kind, fields, bad, place) of a BibTeX file, one row per reference; both ``key={v}`` and ``key = {v}``.
 
-    Of a repeated id every row stays; ``last_reference`` picks one.
+    Of a repeated field the last value holds.  Of a repeated id every row stays; ``last_reference`` picks one.  ``place``
+    rises along the file.
     """
-    raw = spark.read.option("lineSep", "\n}").text(path).where(F.col("value").contains("@"))
-    names = F.regexp_extract_all("value", F.lit(r"(?m)^\s*([\w-]+)\s*=\s*\{.*\}"), 1)
-    values = F.regexp_extract_all("value", F.lit(r"(?m)^\s*[\w-]+\s*=\s*\{(.*)\}"), 1)
+    raw = spark.read.option("lineSep", "\n}").text(path).where(F.col("value").contains("@")).withColumn("place", F.monotonically_increasing_id())
+    field = r"(?m)^\s*([\w-]+)\s*=\s*\{(.*)\}"
+    pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(field), 1).alias("k"), F.regexp_extract_all("value", F.lit(field), 2).alias("v"))
+    last = F.transform(F.array_distinct(F.regexp_extract_all("value", F.lit(field), 1)), lambda k: F.struct(k, F.element_at(F.filter("_pairs", lambda p: p["k"] == k), -1)["v"]))
     head = r"@(\w+)\s*\{\s*([^,\s]*)\s*,"
-    out = raw.select(F.regexp_extract("value", head, 2).alias("bib_id"), F.regexp_extract("value", head, 1).alias("kind"), F.map_from_arrays(F.array_distinct(names), F.slice(values, F.lit(1), F.size(F.array_distinct(names)))).alias("fields"))
+    out = raw.withColumn("_pairs", pairs).select(F.regexp_extract("value", head, 2).alias("bib_id"), F.regexp_extract("value", head, 1).alias("kind"), F.map_from_entries(last).alias("fields"), "place")
     return out.withColumn("bad", (F.col("bib_id") == "") | (F.size("fields") == 0))
 
 
+def last_reference(references: DataFrame) -> DataFrame:
+    """Of each id the reference that comes last in its file."""
+    rest = [c for c in references.columns if c != "bib_id"]
+    return references.groupBy("bib_id").agg(F.max_by(F.struct(*rest), "place").alias("_r")).select("bib_id", "_r.*")
+
+
 def read_done(spark: SparkSession, path: str) -> DataFrame:
     """(bib_id, comment) of a list with optional ``id : #comment`` lines."""
     lines = spark.read.text(path).where(F.trim("value") != "")

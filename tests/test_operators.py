@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeweave.operators import clean, hierarchy, hulls, keys, measures, regress, reports, textmine, treemodels
+from gaugeweave.operators import classify, clean, hierarchy, hulls, keys, measures, regress, reports, textmine, treemodels
 from gaugeweave.sources import files
 from gaugeweave.streaming import ingest
 
@@ -25,8 +25,80 @@ def test_trim_keeps_nulls_and_drops_the_limit(spark):
 
 
 def test_number_near(spark):
-    df = spark.createDataFrame([("a 1,5 mm 22 b", 6), ("12 x 34", 4), ("none", 1), (None, 1)], "t string, p int")
-    assert [r[0] for r in df.select(textmine.number_near("t", "p")).collect()] == ["1.5", "34", None, None]
+    rows = [("a 1,5 mm 22 b", 7, "1,5"), ("12 x 34", 4, "12"), ("12345678 kw 9", 10, "12345678"), ("x kw (2.5 - 3) mm", 3, "2.5 - 3"), ("7", 1, None), ("none", 1, None), (None, 1, None)]
+    df = spark.createDataFrame(rows, "t string, p int, want string")
+    assert [r[0] for r in df.select(textmine.number_near("t", "p")).collect()] == [r[2] for r in rows]
+
+
+def test_text_rules(spark):
+    df = spark.createDataFrame([("caf\u00e9 5\u00b5m\x07\tx \n y",), (None,)], "t string")
+    out = df.select(textmine.cleaned("t").alias("c"), textmine.collapsed("t"), textmine.thinned(F.lit("a  b c")), textmine.decimal_point(F.lit("1,5"))).collect()
+    assert out[0]["c"] == "caf? 5?m? x   y" and out[0][1] == "caf\u00e9 5\u00b5m\x07 x y" and out[0][2] == "a bc" and out[0][3] == 1.5 and out[1]["c"] is None
+    parts = spark.createDataFrame([("Apis mellifera",), ("Apis mellifera ligustica",), ("Apis",)], "t string").select(*textmine.name_parts("t")).collect()
+    assert [tuple(r) for r in parts] == [("Apis", "mellifera"), ("Apis", "mellifera ligustica"), ("Apis", "")]
+    words = spark.createDataFrame([("w " * 160, "first", "second"), ("abc " * 160, "first", "second"), ("short", "first", "second")], "s string, a string, b string")
+    assert [tuple(r) for r in words.select(*textmine.routed("s", "a", "b")).collect()] == [("first", False), ("first", False), ("second", True)]
+    assert spark.range(1).select(textmine.keyword_position(F.lit("long egg"), ["egg", "long"])).first()[0] == 6
+
+
+def test_words_count_in_lower_case(spark):
+    docs = spark.createDataFrame([(1, "fooBar " * 4 + "foobar " * 3 + "other words here"), (2, "foobar fooBar x")], "i long, t string")
+    got = textmine.distinctive_terms(docs, "i", "t", textmine.corpus_frequencies(docs, "t")).collect()
+    assert [(r["word"], r["n"]) for r in got] == [("foobar", 7)] and got[0]["rel"] == pytest.approx(7 / 10 / (9 / 13))
+
+
+def test_unique_references(spark):
+    new = spark.createDataFrame([(1, "x"), (2, "x"), (3, "xa"), (4, "x"), (5, None)] + [(10 + i, "y") for i in range(15)], "o long, i string")
+    got = {r["o"]: r["u"] for r in keys.unique_references(new, spark.createDataFrame([("xab",)], "i string"), "i", "o", "u").collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == ["x", "xabc", "xa", "xabcd"] and got[5] is None
+    ladder = [got[10 + i] for i in range(15)]
+    assert ladder[:3] == ["y", "ya", "yab"] and ladder[13:] == [None, None]
+    whole = [v for v in got.values() if v]
+    assert len(whole) == len(set(whole))
+
+
+def test_other_data_set(spark):
+    got = spark.range(1).select(*[v.alias(k) for k, v in measures.converted(F.lit(2.0), F.lit(0.25), F.lit(0.5)).items()]).first()
+    assert got["length_mm"] == 20 and got["width_mm"] == 16 and got["asymmetry"] == pytest.approx(0.5 ** (-0.5 / 2.5) * 1.5 ** (0.5 / 2.5) - 1)
+
+
+def test_large_clades_and_state_changes(spark):
+    edges = spark.createDataFrame([("t", "r", "a", 1.0), ("t", "r", "b", 1.0), *[("t", "a", f"a{i}", 1.0) for i in range(3)], ("t", "b", "b0", 1.0), ("t", "b", "b1", 1.0), ("t", "a", "c", 1.0), ("t", "c", "c0", 1.0)], EDGES)
+    parts = hierarchy.clades(edges, 4)
+    families = spark.createDataFrame([("a0", "F"), ("a1", "G"), ("b0", "G"), ("c0", "H")], "node string, family string")
+    assert [tuple(r) for r in hierarchy.large_clades(parts, families, 2).collect()] == [("t", "a", 4, ["F", "H"])]
+    orders = spark.createDataFrame([("a0", "O"), ("b0", "P")], "node string, order1 string")
+    assert sorted((r["clade"], r["tip"], r["label"]) for r in hierarchy.representatives(parts, orders).collect()) == [("a", "a0", "a_O"), ("b", "b0", "b_P")]
+    states = spark.createDataFrame([("t", x, int(x in ("a", "a0", "a1", "c", "b1"))) for x in ("r", "a", "b", "a0", "a1", "a2", "c", "c0", "b0", "b1")], "tree_id string, node string, state int")
+    got = sorted((r["node"], r["change"], r["tips"], r["nodes"]) for r in hierarchy.state_changes(edges, states).collect())
+    assert got == [("a", 1, ["a0", "a1", "a2", "c0"], 1), ("a2", -1, ["a2"], 0), ("b1", 1, ["b1"], 0), ("c0", -1, ["c0"], 0)]
+
+
+def test_best_effort_pairing(spark):
+    a = spark.createDataFrame([(1, "x", 1.0), (2, "x", 2.0), (3, "y", None), (4, "z", 4.0), (5, "", 5.0)], "id long, name string, v double")
+    b = spark.createDataFrame([(1, "x", 9.0), (2, "y", 8.0), (3, "x", 7.0), (4, "z", 6.0)], "id long, name string, w double")
+    rows = classify.paired(a, b, "name", "id", ["v"], ["w"], 3).collect()
+    assert sorted(r["name"] for r in rows) == ["x", "z"] and all(r["v"] is not None and r["w"] is not None for r in rows)
+    assert sorted(classify.paired(a, b, "name", "id", ["v"], ["w"], 3).collect()) == sorted(rows)
+
+
+def test_corrections_by_reference_and_taxon(spark):
+    df = spark.createDataFrame([({"ID": "1", "b": "r1", "g": "Apis", "s": "mel"},), ({"ID": "2", "b": "r1", "tax_matched": "Bombus x"},), ({"ID": "3", "b": "r2", "g": "Apis", "s": "mel"},)], "e map<string,string>")
+    fix = spark.createDataFrame([("r1", "Apis_mel", "al", "3"), ("r1", "Bombus x", "al", "4")], "b string, taxon string, key string, new_value string")
+    got = {r["e"]["ID"]: r["e"].get("al") for r in clean.corrected_by_taxon(df, "e", fix).collect()}
+    assert got == {"1": "3", "2": "4", "3": None}
+
+
+def test_swapped_halves(spark):
+    df = spark.createDataFrame([({"al": "1", "dl": "2", "mw": "5", "xw": "4", "ab": "3", "db": "1"},)], "e map<string,string>")
+    assert df.select(clean.reordered("e").alias("e")).first()["e"] == {"al": "2", "dl": "1", "mw": "4", "xw": "5", "ab": "3", "db": "1"}
+
+
+def test_repeated_fields_of_references(spark, tmp_path):
+    (tmp_path / "b.bib").write_text("@article{x1,\n author={A},\n author={B},\n year = {1999},\n title={T}\n}\n@book{x1,\n title = {last}\n}\n")
+    refs = files.read_references(spark, str(tmp_path / "b.bib"))
+    assert [r["fields"] for r in refs.collect()] == [{"author": "B", "year": "1999", "title": "T"}, {"title": "last"}]
+    assert [(r["bib_id"], r["fields"]) for r in files.last_reference(refs).collect()] == [("x1", {"title": "last"})]
 
 
 def test_number_pairs(spark):
@@ -112,24 +184,50 @@ def test_heights_of_deep_tree(spark):
     assert {r["node"]: r["height"] for r in hierarchy.heights(e).collect()} == {f"k{i}": 68 - i for i in range(69)}
 
 
-def test_unbalanced_tree_equals_dense_least_squares(spark):
+def ladder(n, rng):
+    """A path of n nodes with a tip at each and one more at its end, its tip rows, and the tips' covariance."""
     import numpy as np
 
-    rng, n = random.Random(3), 7
     edges = [("t", f"k{i}", f"k{i + 1}", rng.uniform(0.5, 2)) for i in range(n - 1)]
     edges += [("t", f"k{i}", f"t{i}", rng.uniform(0.5, 2)) for i in range(n)] + [("t", f"k{n - 1}", f"t{n}", 1.0)]
     tips = [("t", "f", f"t{i}", rng.gauss(0, 1), rng.gauss(0, 1)) for i in range(n + 1)]
-    e = spark.createDataFrame(edges, EDGES).coalesce(1)
-    got = hierarchy.fold(e, spark.createDataFrame(tips, TIPS)).collect()
     depth = np.cumsum([0.0, *(v for *_, v in edges[: n - 1])])  # of k0, k1, ...
     at = [min(i, n - 1) for i in range(n + 1)]
-    v = np.array([[depth[min(a, b)] for b in at] for a in at]) + np.diag([length for *_, length in edges[n - 1 :]])
+    return edges, tips, np.array([[depth[min(a, b)] for b in at] for a in at]) + np.diag([length for *_, length in edges[n - 1 :]])
+
+
+@pytest.mark.parametrize("n, most", [(3, 0), (70, 10_000), (500, 10_000)])
+def test_ladder_tree_equals_dense_least_squares(spark, n, most):
+    import numpy as np
+
+    edges, tips, v = ladder(n, random.Random(3))
+    e = spark.createDataFrame(edges, EDGES).coalesce(1)
+    got = hierarchy.fold(e, spark.createDataFrame(tips, TIPS), most=most).collect()
     x, y, inverse = np.array([[1.0, r[3]] for r in tips]), np.array([r[4] for r in tips]), np.linalg.inv(v)
     intercept, slope = np.linalg.solve(x.T @ inverse @ x, x.T @ inverse @ y)
     assert [r["n"] for r in got] == [n + 1]
     assert got[0]["slope"] == pytest.approx(slope) and got[0]["intercept"] == pytest.approx(intercept) and got[0]["logdet"] == pytest.approx(np.linalg.slogdet(v)[1])
 
 
+def test_folds_in_tasks_and_by_levels_agree(spark):
+    rng = random.Random(8)
+    edges, tips = [], []
+    for t in "ab":
+        kids = {f"{t}0"}
+        for i in range(1, 60):
+            p = f"{t}{rng.randrange(min(i, 1 if i < 4 else 4))}"
+            edges.append((t, p, f"{t}{i}", rng.choice([0.0, 0.5, 1.5])))
+            kids = (kids | {f"{t}{i}"}) - {p}
+        inner = {p for _, p, _, _ in edges}
+        tips += [(t, f, x, rng.random(), rng.random()) for f in ("f", "g") for x in sorted(kids - inner) if rng.random() < 0.8]
+    e, d = spark.createDataFrame(edges, EDGES), spark.createDataFrame(tips, TIPS)
+    one = {(r["tree_id"], r["fit"]): r for r in hierarchy.fold(e, d).collect()}
+    two = {(r["tree_id"], r["fit"]): r for r in hierarchy.fold_by_levels(e, d).collect()}
+    assert len(one) == 4 and set(one) == set(two)
+    for k, r in one.items():
+        assert all(r[c] == pytest.approx(two[k][c]) for c in ("slope", "intercept", "sxx", "sxy", "syy", "logdet", "n"))
+
+
 def test_cycles_raise(spark):
     for rows in ([("t", "a", "b", 1.0), ("t", "b", "a", 1.0)], [("t", "a", "b", 1.0), ("t", "b", "c", 1.0), ("t", "c", "a", 1.0), ("t", "c", "x", 1.0)]):
         e = spark.createDataFrame(rows, EDGES)
