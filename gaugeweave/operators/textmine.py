@@ -81,7 +81,8 @@ def preceding_name(docs: DataFrame, id_col: str, text: str, terms: DataFrame) ->
     """(id, first, second): the best candidate that follows a capitalised word of over 3 letters; else blank and the best."""
     words = docs.select(id_col, word_list(text).alias("ws"))
     at = terms.join(words, id_col).withColumn("i", F.array_position("ws", F.col("word")).cast("int"))
-    before = F.element_at("ws", F.when(F.col("i") > 1, F.col("i") - 1).otherwise(F.size("ws")))
+    # The first word's one before is the last; a word that the text holds in other letters only has none.
+    before = F.element_at("ws", F.when(F.col("i") > 1, F.col("i") - 1).when(F.col("i") == 1, F.size("ws")))
     at = at.withColumn("before", before).withColumn("named", (F.length("before") > 3) & F.col("before").rlike("^[A-Z]"))
     return at.groupBy(id_col).agg(
         F.coalesce(F.min_by("before", F.when(F.col("named"), F.col("place"))), F.lit("")).alias("first"),

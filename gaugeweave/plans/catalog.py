@@ -373,11 +373,14 @@ def word_frequencies(spark, sf_dir):
     return textmine.corpus_frequencies(table(spark, sf_dir, "documents"), "text").select("word", F.round("freq", 12).alias("freq"))
 
 
-@query(_FREQ + r""", d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS word FROM documents),
+_TERMS = _FREQ + r""", d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS word FROM documents),
 t AS (SELECT doc_id, count(*) AS total FROM d GROUP BY 1),
 g AS (SELECT doc_id, lower(word) AS word, count(*) AS n FROM d WHERE regexp_full_match(word, '[a-z][A-Za-z]{3,}[aeimnorsx]') GROUP BY ALL HAVING count(*) > 5),
 r AS (SELECT doc_id, word, n, coalesce(n::DOUBLE / total / freq, 100000) AS rel FROM g JOIN t USING (doc_id) LEFT JOIN f USING (word))
-SELECT doc_id, word, n, round(rel, 4) AS rel, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rel DESC, n DESC, word) AS place FROM r) WHERE place <= 5
+"""
+
+
+@query(_TERMS + r"""SELECT doc_id, word, n, round(rel, 4) AS rel, place FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rel DESC, n DESC, word) AS place FROM r) WHERE place <= 5
 """)
 def distinctive_terms(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -385,7 +388,13 @@ def distinctive_terms(spark, sf_dir):
     return out.select("doc_id", "word", "n", F.round("rel", 4).alias("rel"), F.col("place").cast("long").alias("place"))
 
 
-@query()
+@query(_TERMS + r""", p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rel DESC, n DESC, word) AS place FROM r),
+v AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM documents),
+i AS (SELECT doc_id, word, place, ws, list_position(ws, word) AS i FROM p JOIN v USING (doc_id) WHERE place <= 5),
+b AS (SELECT *, CASE WHEN i > 1 THEN ws[i - 1] WHEN i = 1 THEN ws[len(ws)] END AS before FROM i),
+n AS (SELECT *, coalesce(length(before) > 3 AND regexp_matches(before, '^[A-Z]'), false) AS named FROM b)
+SELECT doc_id, coalesce(arg_min(before, place) FILTER (named), '') AS first, coalesce(arg_min(word, place) FILTER (named), arg_min(word, place)) AS second FROM n GROUP BY 1
+""")
 def preceding_names(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return textmine.preceding_name(docs, "doc_id", "text", textmine.distinctive_terms(docs, "doc_id", "text", textmine.corpus_frequencies(docs, "text")))
@@ -405,7 +414,18 @@ def best_windows(spark, sf_dir):
     return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("score").cast("long").alias("score"))
 
 
-@query()
+@query(rf"""
+WITH d AS (SELECT doc_id, regexp_replace(regexp_replace(text, '[^\x20-\x7E\t\n\x0B\f\r]', '?', 'g'), '[ \t\n\x0B\f\r]+', ' ', 'g') AS text FROM documents),
+k AS (SELECT doc_id, text, unnest(range(greatest(length(text) // 20, 1))) * 20 AS start FROM d WHERE length(text) >= 400),
+s AS (SELECT doc_id, start, substr(text, start + 1, 400) AS s FROM k), c AS (
+  SELECT doc_id, start, s, {_SCORE} + CASE WHEN length(regexp_replace(s, '[^0-9]', '', 'g')) > 3 THEN 2 ELSE 0 END AS score FROM s),
+b AS (SELECT doc_id, arg_max(start, score * 1000000000 - start) AS start, max(score) AS score, arg_max(s, score * 1000000000 - start) AS p FROM c WHERE score > 0 GROUP BY 1),
+a AS (SELECT *, coalesce(nullif(instr(p, 'mm'), 0), nullif(instr(p, 'length'), 0), nullif(instr(p, 'egg'), 0), nullif(instr(p, 'the'), 0)) AS pos FROM b),
+h AS (SELECT *, substr(p, 1, pos - 1) AS l, substr(p, pos + 1) AS r FROM a),
+f AS (SELECT *, CASE WHEN regexp_matches(l, '[0-9]') THEN length(regexp_extract(l, '(?s)[0-9]([^0-9]*)$', 1)) END AS fl, CASE WHEN regexp_matches(r, '[0-9]') THEN length(regexp_extract(r, '(?s)^([^0-9]*)[0-9]', 1)) END AS fr FROM h),
+n AS (SELECT *, CASE WHEN fl IS NULL AND fr IS NULL THEN NULL WHEN fl IS NOT NULL AND (fr IS NULL OR fl <= fr) THEN regexp_extract(l, '(?s)([^A-Za-z]*[0-9])[^0-9]*$', 1) ELSE regexp_extract(r, '(?s)^[^0-9]*([0-9][^A-Za-z]*)', 1) END AS x FROM f)
+SELECT doc_id, start::INTEGER AS start, score::INTEGER AS score, pos::INTEGER AS "at", regexp_replace(x, '^[\s!-/:-@\[-`{{-~]+|[\s!-/:-@\[-`{{-~]+$', '', 'g') AS number FROM n
+""")
 def mined_documents(spark, sf_dir):
     return textmine.mined(table(spark, sf_dir, "documents"), "doc_id", "text", ["mm", "length", "egg", "the"])
 
@@ -459,6 +479,41 @@ def clades_of_tips(spark, sf_dir):
     return hierarchy.clades(_edges(spark, sf_dir), 20).groupBy("clade").agg(F.count("*").alias("n"))
 
 
+@query(f"""
+WITH c AS ({_CUST}), o AS (SELECT 'c' || c_custkey AS clade, o_orderkey, o_orderpriority AS family FROM orders JOIN c ON o_custkey = c_custkey WHERE c.tips BETWEEN 11 AND 20),
+n AS (SELECT n_nationkey, sum(tips) AS t FROM c GROUP BY 1 HAVING sum(tips) <= 20)
+SELECT clade, count(*)::BIGINT AS n, 'o' || min(o_orderkey::VARCHAR) AS tip FROM o
+WHERE clade NOT IN (SELECT 'c' || c_custkey FROM c JOIN n USING (n_nationkey)) GROUP BY 1
+""")
+def large_clades(spark, sf_dir):
+    """Customers as maximal clades of 11 to 20 orders, each with its first tip."""
+    parts = hierarchy.clades(_edges(spark, sf_dir), 20)
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.col("o_orderpriority").alias("family"))
+    large = hierarchy.large_clades(parts, orders, 10)
+    tips = hierarchy.representatives(parts, orders.withColumnRenamed("family", "order1"))
+    return large.join(tips, ["tree_id", "clade"]).where("clade like 'c%'").select("clade", "n", "tip")
+
+
+_STATE = "CASE WHEN {} % 3 = 0 THEN 1 ELSE 0 END"
+
+
+@query(f"""
+WITH o AS (SELECT o_orderkey, o_custkey, {_STATE.format("o_orderkey")} AS s, {_STATE.format("o_custkey")} AS p FROM orders),
+k AS (SELECT c_custkey, {_STATE.format("c_custkey")} AS s, {_STATE.format("c_nationkey")} AS p FROM customer),
+n AS (SELECT n_nationkey, {_STATE.format("n_nationkey")} AS s FROM nation)
+SELECT 'o' || o_orderkey AS node, s - p AS change, 1::BIGINT AS tips, 0::BIGINT AS nodes FROM o WHERE s <> p UNION ALL
+SELECT 'c' || c_custkey, s - p, greatest(count(o_orderkey), 1), 0 FROM k LEFT JOIN orders ON o_custkey = c_custkey WHERE s <> p GROUP BY ALL UNION ALL
+SELECT 'n' || n_nationkey, s, sum(tips)::BIGINT, count(*) FILTER (orders > 0) FROM n JOIN ({_CUST}) USING (n_nationkey) WHERE s = 1 GROUP BY ALL
+""")
+def gains_and_reversals(spark, sf_dir):
+    """Edges of the places' tree along which a state made from keys appears or goes, with what lies below."""
+    edges = _edges(spark, sf_dir)
+    nodes = edges.select("tree_id", F.col("child").alias("node")).unionByName(edges.select("tree_id", F.col("parent").alias("node"))).distinct()
+    number = F.regexp_extract("node", "[0-9]+", 0).cast("long")
+    states = nodes.withColumn("state", F.when(F.col("node").startswith("r"), 0).otherwise(F.when(number % 3 == 0, 1).otherwise(0)))
+    return hierarchy.state_changes(edges, states).select("node", "change", F.size("tips").cast("long").alias("tips"), "nodes")
+
+
 def _tips(spark, sf_dir):
     x = table(spark, sf_dir, "orders")
     edges = _edges(spark, sf_dir)

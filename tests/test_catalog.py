@@ -38,6 +38,17 @@ def test_query_equals_sql(spark, duck, name):
     assert rows == other
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
-def test_query_without_sql_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_tests_of_slopes_agree_with_the_fits(spark):
+    fits = {r["tree_id"]: r for r in catalog.QUERIES["tree_regressions"](spark, SF).collect()}
+    rows = catalog.QUERIES["tree_regression_tests"](spark, SF).collect()
+    assert {r["tree_id"] for r in rows} == set(fits)
+    for r in rows:
+        assert r["slope"] == pytest.approx(fits[r["tree_id"]]["slope"], abs=1e-6) and 0 <= r["p"] <= 1 and r["n"] == fits[r["tree_id"]]["n"]
+
+
+def test_models_and_hulls_of_the_tables(spark):
+    best = catalog.QUERIES["tree_models"](spark, SF).collect()
+    assert len(best) == 5 and {r["model"] for r in best} <= {"brownian", "white", "lambda", "early", "pull"} and all(math.isfinite(r["aicc"]) for r in best)
+    labels = spark.read.parquet(f"{SF}/embeddings.parquet").select("label").distinct().count()
+    corners = catalog.QUERIES["vector_hulls"](spark, SF).collect()
+    assert len({r["label"] for r in corners}) == labels
