@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import cut, forget
@@ -43,24 +43,25 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(links: DataFrame, a: str, b: str, most_rounds: int = 40) -> DataFrame:
     """``node``, ``component`` (its smallest node) for every node of the links; loops and repeats don't matter.
 
-    Links are kept as (larger, smaller).  A round joins every node to the smallest neighbour of its neighbours; joins
-    and sums can be split by Spark, so one node may hold most links.  It ends when a round changes nothing.
+    Links are kept as (larger, smaller).  A round points every link to the smallest neighbour of its smaller end, then joins
+    all smaller neighbours of a node to the smallest one.  As tasks write forests, a node has at most one smaller
+    neighbour from each HELD nodes of a task, so windows stay small; the join on the smaller end, where one
+    node may hold most links, can be split by Spark.  It ends when a round changes nothing, which only stars do.
     """
     edges = links.select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).where("u <> v")
-    edges = cut(edges.mapInArrow(tidy(_forest), "u long, v long").distinct(), "links")
+    edges = cut(edges.mapInArrow(tidy(_forest), "u long, v long"), "links")
     seen = None
     for _ in range(most_rounds):
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark["n"] == 0 or mark == seen:
             break
         seen = mark
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        old, edges = edges, cut(small.where("u <> v").distinct(), "links")
+        low = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"))
+        large = edges.join(low, "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        large = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        both = large.select(F.inline(ends)).where("u <> v").distinct()
+        old, edges = edges, cut(both.mapInArrow(tidy(_forest), "u long, v long"), "links")
         forget(old)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
