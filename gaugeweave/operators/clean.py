@@ -91,6 +91,21 @@ def disordered(entry) -> Column:
     return F.array_compact(F.array(*[F.when((number(e, "d" + s) >= number(e, "a" + s)) | (number(e, "m" + s) >= number(e, "x" + s)), F.lit(s)) for s in SIDES]))
 
 
+def in_order(entry) -> Column:
+    """The repair of ``disordered``: deviation and mean, least and most change places where they are in the wrong order."""
+    e = col(entry)
+    pairs = [(low + s, high + s) for s in SIDES for low, high in (("d", "a"), ("m", "x"))]
+
+    def value(key: Column, own: Column) -> Column:
+        out = own
+        for low, high in pairs:
+            wrong = number(e, low) >= number(e, high)
+            out = F.when(wrong & (key == low), F.element_at(e, high)).when(wrong & (key == high), F.element_at(e, low)).otherwise(out)
+        return out
+
+    return F.transform_values(e, value)
+
+
 def checked(df: DataFrame, entry: str) -> DataFrame:
     """Add ``status``: the last stage that a record passes ('' none, rnsd, comp, cols, sqky); finished ones stay."""
     df = df.withColumn(entry, rinsed(entry))

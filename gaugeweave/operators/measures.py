@@ -159,3 +159,49 @@ def not_in_keys(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
 def large_groups(df: DataFrame, key: str, more_than: int) -> DataFrame:
     """Rows of keys with more rows than the limit."""
     return df.join(df.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > more_than).select(key), key, "left_semi")
+
+
+def without_pairs(df: DataFrame, first: str, second: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Drop the rows whose two levels are one of the pairs; rows without a level stay."""
+    hit = F.lit(False)
+    for a, b in pairs:
+        hit = hit | (F.col(first).eqNullSafe(F.lit(a)) & F.col(second).eqNullSafe(F.lit(b)))
+    return df.where(~hit)
+
+
+def by_levels(df: DataFrame, column: str, levels: list[str], *then: Column, name: str = "level") -> DataFrame:
+    """Rows in the order of given levels, then by ``then``; ``name`` is the level's place from 1, values not listed come last without one."""
+    place = F.nullif(F.array_position(F.array(*map(F.lit, levels)), F.col(column)), F.lit(0))
+    return df.withColumn(name, place).orderBy(F.col(name).asc_nulls_last(), *then)
+
+
+def selected(df: DataFrame, names: dict[str, str], joined_name: str | None = None) -> DataFrame:
+    """The columns of ``names`` under their new names; ``joined_name`` is written with ``_`` for spaces."""
+    out = df.select(*[F.col(old).alias(new) for old, new in names.items()])
+    return out.withColumn(joined_name, F.translate(joined_name, " ", "_")) if joined_name else out
+
+
+def stacked(*tables: DataFrame) -> DataFrame:
+    """All rows of all tables by column name; a column that a table lacks is null there."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def key_differences(left: DataFrame, right: DataFrame, key: str, names: tuple[str, str]) -> DataFrame:
+    """(key, only_in): the distinct keys that one side lacks."""
+    a, b = (t.select(key).where(F.col(key).isNotNull()).distinct() for t in (left, right))
+    return a.join(b, key, "left_anti").withColumn("only_in", F.lit(names[0])).unionByName(b.join(a, key, "left_anti").withColumn("only_in", F.lit(names[1])))
+
+
+def unique_to_one(df: DataFrame, family: str, group: str) -> DataFrame:
+    """Distinct (family, group) of the families that occur in one group only."""
+    pairs = df.select(family, group).dropna().distinct()
+    return pairs.groupBy(family).agg(F.count("*").alias("_n"), F.first(group).alias(group)).where("_n = 1").select(family, group)
+
+
+def direction(x, y) -> tuple[Column, Column]:
+    """Angle of (x, y) in radians and in degrees."""
+    angle = F.atan2(col(y), col(x))
+    return angle, F.degrees(angle)

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.nulls import log10, present
 
 
-def grouped_means(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    return df.groupBy(key).agg(*[F.avg(present(c)).alias(c) for c in columns])
+def grouped_means(df: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
+    """Means per key, or per several factors at once."""
+    return df.groupBy(*([key] if isinstance(key, str) else key)).agg(*[F.avg(present(c)).alias(c) for c in columns])
 
 
 def distinct_per(df: DataFrame, key: str, column: str) -> DataFrame:
@@ -17,6 +18,31 @@ def distinct_per(df: DataFrame, key: str, column: str) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("n"), F.count_distinct(F.coalesce(F.col(column), F.lit("\0null"))).alias("n_distinct"))
 
 
+def distinct_overall(df: DataFrame, key: str, column: str, whole: str = "all") -> DataFrame:
+    """``distinct_per`` each key, and one row over all keys; null and blank keys are one key."""
+    rows = df.select(F.coalesce(F.col(key).cast("string"), F.lit("")).alias(key), column)
+    return distinct_per(rows, key, column).unionByName(distinct_per(rows.withColumn(key, F.lit(whole)), key, column))
+
+
+def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(columns, n, share): how often each combination of values occurs, nulls as a value; the most frequent first."""
+    counted = df.groupBy(*columns).agg(F.count("*").alias("n"))
+    whole = counted.agg(F.sum("n").alias("_all"))
+    return counted.crossJoin(F.broadcast(whole)).select(*columns, "n", (F.col("n") / F.col("_all")).alias("share")).orderBy(F.desc("n"), *columns)  # one row
+
+
+def with_group_size(df: DataFrame, key: str, value: str) -> DataFrame:
+    """Rows with their group's size and ends: by an aggregate and a join, so that a key may hold most rows."""
+    groups = df.groupBy(key).agg(F.count("*").alias("group_n"), F.min(value).alias("group_min"), F.max(value).alias("group_max"))
+    return df.join(groups.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+
+
+def members(df: DataFrame, keys: list[str], member: str) -> DataFrame:
+    """(keys, member, n_members): which members each fit used, a row each, and how many; a list of them would be unbounded."""
+    each = df.where(F.col(member).isNotNull()).select(*keys, member).distinct()
+    return each.join(each.groupBy(*keys).agg(F.count("*").alias("n_members")), keys)
+
+
 def report(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
     """(what, n): rows that meet each condition, in one pass."""
     one = df.agg(*[F.count_if(c).alias(k) for k, c in conditions.items()])
@@ -63,15 +89,42 @@ def model_choice(df: DataFrame, keys: list[str], model: str, value: str, models:
     return wide.withColumns({"choice": choice, "lead": second - best})
 
 
+def model_wins(choices: DataFrame, keys: list[str], models: list[str]) -> DataFrame:
+    """(keys, model, wins, share, mean_gap) over the replicates of ``model_choice``: how often each model leads clearly, and
+    how far it is from the row's best one on average.  Rows that lack a model count for none."""
+    best = F.least(*models)
+    each = [F.struct(F.lit(m).alias("model"), (F.col("choice") == m).alias("won"), (F.col(m) - best).alias("gap")) for m in models]
+    long = choices.dropna(subset=models).select(*keys, F.inline(F.array(*each)))
+    return long.groupBy(*keys, "model").agg(F.count_if("won").alias("wins"), F.avg(F.col("won").cast("double")).alias("share"), F.avg("gap").alias("mean_gap"))
+
+
 def tail_share(simulated: DataFrame, observed: DataFrame, key: str, value: str) -> DataFrame:
     """Per key: share of simulated values above the smallest observed one."""
     least = observed.groupBy(key).agg(F.min(value).alias("_t"))
     return simulated.join(least, key).groupBy(key).agg(F.avg((F.col(value) > F.col("_t")).cast("double")).alias("share"))
 
 
+def joint_tail_share(simulated: DataFrame, observed: DataFrame, replicate: str, key: str, value: str) -> DataFrame:
+    """(n, share): of the replicates, those whose simulated values are above the smallest observed one for every key."""
+    least = observed.groupBy(key).agg(F.min(value).alias("_t"))
+    each = simulated.join(least, key).groupBy(replicate).agg(F.min((F.col(value) > F.col("_t")).cast("double")).alias("_all"))
+    return each.agg(F.count("*").alias("n"), F.avg("_all").alias("share"))
+
+
 def long_to_wide(df: DataFrame, keys: list[str], name: str, value: str, names: list[str]) -> DataFrame:
     return df.groupBy(*keys).pivot(name, names).agg(F.first(value))
 
 
 def wide_to_long(df: DataFrame, keys: list[str], columns: list[str], name: str = "what", value: str = "value") -> DataFrame:
     return df.unpivot(keys, columns, name, value)
+
+
+def parsed_long(df: DataFrame, keys: list[str], columns: list[str], pattern: str, parts: list[str], value: str = "value") -> DataFrame:
+    """``wide_to_long``, with the groups of ``pattern`` in the columns' names as columns ``parts``; blank where it doesn't fit."""
+    long = wide_to_long(df, keys, columns, "_name", value)
+    return long.select(*keys, *[F.regexp_extract("_name", pattern, k).alias(p) for k, p in enumerate(parts, 1)], value)
+
+
+def melted(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """(keys, place, value): a row per element of a vector, places from 0; null and empty vectors have none."""
+    return df.select(*keys, F.posexplode(vector).alias("place", "value"))

@@ -708,3 +708,154 @@ def text_fields(spark, sf_dir):
     comma = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.col("p_size").cast("string"), F.lit(",5"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(",0")))
     spaced = textmine.thinned(F.regexp_replace(textmine.collapsed("p_name"), " ", "   "))
     return part.select("p_partkey", clean.bare_name(F.concat(F.lit("("), F.col("p_name"), F.lit(")."))).alias("bare"), head.alias("head"), textmine.decimal_point(comma).alias("point"), spaced.alias("spaced"))
+
+
+_WINS = """
+WITH v AS (SELECT o_orderstatus AS trait, o_custkey % 20 AS rep, lower(substr(o_orderpriority, 3)) AS model, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
+w AS (SELECT trait, rep, max(v) FILTER (model = 'urgent') AS u, max(v) FILTER (model = 'high') AS h, max(v) FILTER (model = 'medium') AS m FROM v GROUP BY ALL),
+l AS (SELECT trait, unnest(['urgent', 'high', 'medium']) AS model, unnest([u, h, m]) AS v, list_sort([u, h, m]) AS l FROM w WHERE u IS NOT NULL AND h IS NOT NULL AND m IS NOT NULL)
+"""
+
+
+@query(_WINS + """
+SELECT trait, model, count(*) FILTER (v = l[1] AND l[2] - l[1] > 2)::BIGINT AS wins, round(avg((v = l[1] AND l[2] - l[1] > 2)::INT::DOUBLE), 6) AS share, round(avg(v - l[1]), 3) AS mean_gap
+FROM l GROUP BY ALL
+""")
+def model_wins(spark, sf_dir):
+    """Over 20 replicates of each trait: how often each model wins, and its mean gap to the best."""
+    models = ["urgent", "high", "medium"]
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_orderstatus").alias("trait"), (F.col("o_custkey") % 20).alias("rep"), F.lower(F.substring("o_orderpriority", 3, 20)).alias("model")).agg(F.avg("o_totalprice").alias("v"))
+    out = stats.model_wins(stats.model_choice(rows, ["trait", "rep"], "model", "v", models), ["trait"], models)
+    return out.select("trait", "model", "wins", F.round("share", 6).alias("share"), F.round("mean_gap", 3).alias("mean_gap"))
+
+
+@query("""
+WITH s AS (SELECT o_orderstatus AS s, o_custkey % 50 AS rep, avg(o_totalprice) AS v FROM orders GROUP BY ALL),
+t AS (SELECT s, min(v) AS t FROM (SELECT o_orderstatus AS s, o_orderpriority, avg(o_totalprice) AS v FROM orders GROUP BY ALL) GROUP BY 1),
+e AS (SELECT rep, bool_and(v > t) AS a FROM s JOIN t USING (s) GROUP BY 1)
+SELECT count(*)::BIGINT AS n, round(avg(a::INT::DOUBLE), 6) AS share FROM e
+""")
+def joint_tail_share(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumnRenamed("o_orderstatus", "s")
+    mean = lambda *by: orders.groupBy("s", *by).agg(F.avg("o_totalprice").alias("v"))
+    out = stats.joint_tail_share(mean((F.col("o_custkey") % 50).alias("rep")), mean("o_orderpriority"), "rep", "s", "v")
+    return out.select("n", F.round("share", 6).alias("share"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*)::BIGINT AS n, round(count(*) / (SELECT count(*) FROM lineitem), 9) AS share FROM lineitem GROUP BY 1, 2")
+def status_frequencies(spark, sf_dir):
+    return stats.frequencies(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"]).withColumn("share", F.round("share", 9))
+
+
+@query("""
+SELECT coalesce(o_orderpriority, '') AS o_orderpriority, count(*)::BIGINT AS n, count(DISTINCT coalesce(o_orderstatus, '-'))::BIGINT AS n_distinct FROM orders GROUP BY 1
+UNION ALL SELECT 'all', count(*)::BIGINT, count(DISTINCT coalesce(o_orderstatus, '-'))::BIGINT FROM orders
+""")
+def distinct_overall(spark, sf_dir):
+    return stats.distinct_overall(table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderstatus")
+
+
+@query("SELECT l_returnflag, l_linestatus, l_linenumber, round(avg(l_discount), 8) AS l_discount, round(avg(l_tax), 8) AS l_tax FROM lineitem GROUP BY 1, 2, 3")
+def means_by_three_factors(spark, sf_dir):
+    by = ["l_returnflag", "l_linestatus", "l_linenumber"]
+    out = stats.grouped_means(table(spark, sf_dir, "lineitem"), by, ["l_discount", "l_tax"])
+    return out.select(*by, F.round("l_discount", 8).alias("l_discount"), F.round("l_tax", 8).alias("l_tax"))
+
+
+@query("""
+SELECT o_orderkey, o_custkey, count(*) OVER w AS group_n, min(o_totalprice) OVER w AS group_min, max(o_totalprice) OVER w AS group_max FROM orders WINDOW w AS (PARTITION BY o_custkey)
+""")
+def group_sizes(spark, sf_dir):
+    return stats.with_group_size(table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice").select("o_orderkey", "o_custkey", "group_n", "group_min", "group_max")
+
+
+@query("""
+WITH e AS (SELECT DISTINCT o_orderpriority, o_orderstatus, o_custkey FROM orders WHERE o_custkey IS NOT NULL)
+SELECT *, count(*) OVER (PARTITION BY o_orderpriority, o_orderstatus) AS n_members FROM e
+""")
+def members_of_fits(spark, sf_dir):
+    """The customers that each comparison (priority) of each group (status) used."""
+    return stats.members(table(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_custkey")
+
+
+@query("""
+WITH w AS (SELECT c_mktsegment, min(c_acctbal) AS balance_least, max(c_acctbal) AS balance_most, min(c_custkey)::DOUBLE AS key_least, max(c_custkey)::DOUBLE AS key_most FROM customer GROUP BY 1)
+SELECT c_mktsegment, split_part(n, '_', 1) AS trait, split_part(n, '_', 2) AS optimum, value FROM w UNPIVOT (value FOR n IN (balance_least, balance_most, key_least, key_most))
+""")
+def parsed_columns(spark, sf_dir):
+    names = [f"{a}_{b}" for a in ("balance", "key") for b in ("least", "most")]
+    b, k = F.col("c_acctbal"), F.col("c_custkey").cast("double")
+    wide = table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(*[f(v).alias(n) for n, (v, f) in zip(names, [(b, F.min), (b, F.max), (k, F.min), (k, F.max)], strict=True)])
+    return stats.parsed_long(wide, ["c_mktsegment"], names, "^([^_]*)_(.*)$", ["trait", "optimum"])
+
+
+@query("""
+WITH m AS (SELECT label, unnest(range(len(embedding))) AS place, unnest(embedding)::DOUBLE AS value FROM embeddings)
+SELECT label, place::INTEGER AS place, count(value)::BIGINT AS n, round(avg(value), 7) AS value FROM m GROUP BY 1, 2
+""")
+def vector_means(spark, sf_dir):
+    """Vectors as rows, averaged by label and place."""
+    long = stats.melted(table(spark, sf_dir, "embeddings").select("label", F.col("embedding").cast("array<double>").alias("embedding")), ["label"], "embedding")
+    return long.groupBy("label", "place").agg(F.count("value").alias("n"), F.round(F.avg("value"), 7).alias("value"))
+
+
+@query("SELECT vec_id, round(atan2(b, a), 9) AS radians, round(degrees(atan2(b, a)), 6) AS degrees FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b FROM embeddings)")
+def vector_angles(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("a"), F.get("embedding", F.lit(1)).cast("double").alias("b"))
+    radians, degrees = measures.direction("a", "b")
+    return e.select("vec_id", F.round(radians, 9).alias("radians"), F.round(degrees, 6).alias("degrees"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS id, replace(c_name, ' ', '_') AS name, c_acctbal AS balance, c_nationkey AS k, c_mktsegment AS segment FROM customer WHERE c_mktsegment <> 'BUILDING'
+  UNION ALL SELECT s_suppkey, replace(s_name, ' ', '_'), s_acctbal, s_nationkey, NULL FROM supplier)
+SELECT id, name, balance, segment, n_name AS nation FROM s JOIN nation ON k = n_nationkey
+""")
+def stacked_sets(spark, sf_dir):
+    """Two sets under common names, one without a segment, stacked and merged with their nations."""
+    names = {"custkey": "id", "name": "name", "acctbal": "balance", "nationkey": "k"}
+    customers = measures.selected(table(spark, sf_dir, "customer").where("c_mktsegment <> 'BUILDING'"), {f"c_{k}": v for k, v in names.items()} | {"c_mktsegment": "segment"}, "name")
+    suppliers = measures.selected(table(spark, sf_dir, "supplier"), {f"s_{k}": v for k, v in ({"suppkey": "id"} | names).items() if k != "custkey"}, "name")
+    nations = measures.selected(table(spark, sf_dir, "nation"), {"n_nationkey": "k", "n_name": "nation"})
+    return measures.stacked(customers, suppliers).join(nations, "k").select("id", "name", "balance", "segment", "nation")
+
+
+@query("""
+SELECT o_orderkey, o_orderpriority, o_orderstatus, nullif(coalesce(list_position(['3-MEDIUM', '1-URGENT', '2-HIGH'], o_orderpriority), 0), 0)::BIGINT AS level FROM orders
+WHERE regexp_matches(o_orderpriority, '^[1-4]') AND NOT (o_orderpriority = '1-URGENT' AND o_orderstatus = 'F') AND NOT (o_orderpriority = '2-HIGH' AND o_orderstatus = 'O')
+""")
+def ordered_levels(spark, sf_dir):
+    """Orders whose priority fits a pattern, without two pairs of levels, in the order of given levels and falling price."""
+    rows = table(spark, sf_dir, "orders").where(F.col("o_orderpriority").rlike("^[1-4]"))
+    rows = measures.without_pairs(rows, "o_orderpriority", "o_orderstatus", [("1-URGENT", "F"), ("2-HIGH", "O")])
+    out = measures.by_levels(rows, "o_orderpriority", ["3-MEDIUM", "1-URGENT", "2-HIGH"], F.desc("o_totalprice"), F.col("o_orderkey"))
+    return out.select("o_orderkey", "o_orderpriority", "o_orderstatus", "level")
+
+
+@query("""
+WITH a AS (SELECT DISTINCT c_custkey AS custkey FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT DISTINCT o_custkey AS custkey FROM orders WHERE o_totalprice > 200000)
+SELECT custkey, 'segment' AS only_in FROM a ANTI JOIN b USING (custkey) UNION ALL SELECT custkey, 'orders' FROM b ANTI JOIN a USING (custkey) WHERE custkey IS NOT NULL
+""")
+def key_differences(spark, sf_dir):
+    """Customers of a segment without a large order, and those with one outside the segment."""
+    a = table(spark, sf_dir, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("custkey"))
+    b = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("custkey"))
+    return measures.key_differences(a, b, "custkey", ("segment", "orders"))
+
+
+@query("SELECT l_orderkey, min(l_returnflag) AS l_returnflag FROM lineitem WHERE l_orderkey IS NOT NULL AND l_returnflag IS NOT NULL GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1")
+def unique_families(spark, sf_dir):
+    """Orders whose line items all carry one flag."""
+    return measures.unique_to_one(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag")
+
+
+@query("""
+WITH p AS (SELECT p_partkey, p_size::DOUBLE AS a, (p_partkey % 40)::DOUBLE AS d, CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey % 30)::DOUBLE END AS m, (p_partkey % 25)::DOUBLE AS x FROM part)
+SELECT p_partkey, least(a, d) AS dl, greatest(a, d) AS al, CASE WHEN m IS NOT NULL THEN least(m, x) END AS ml, CASE WHEN m IS NULL THEN x ELSE greatest(m, x) END AS xl FROM p
+""")
+def swapped_pairs(spark, sf_dir):
+    """Records whose deviation or least value was entered in the place of its partner, put in order."""
+    k = F.col("p_partkey")
+    entry = F.create_map(F.lit("al"), F.col("p_size").cast("string"), F.lit("dl"), (k % 40).cast("string"), F.lit("xl"), (k % 25).cast("string"), F.lit("ml"), F.when(k % 3 != 0, (k % 30).cast("string")))
+    rows = table(spark, sf_dir, "part").select("p_partkey", clean.in_order(F.map_filter(entry, lambda _, v: v.isNotNull())).alias("e"))
+    return rows.select("p_partkey", *[clean.number(F.col("e"), n).alias(n) for n in ("dl", "al", "ml", "xl")])

@@ -9,7 +9,7 @@ import pytest
 from gaugeweave.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings".split()
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeweave.operators import classify, clean, hierarchy, hulls, keys, measures, regress, reports, textmine, treemodels
+from gaugeweave.operators import classify, clean, hierarchy, hulls, keys, measures, regress, reports, stats, textmine, treemodels
 from gaugeweave.sources import files
 from gaugeweave.streaming import ingest
 
@@ -303,3 +303,37 @@ def test_fan_out_and_missing_sides(spark):
     assert reports.with_groups(a, groups, "genus").count() == 3 and reports.with_groups(a, groups, "genus", fan_out=True).count() == 4
     rows = reports.progress(a, a.limit(0).withColumn("mark", F.lit("")), a.withColumn("sp", F.lit(None).cast("string")), "genus", "mark", "genus", "sp").collect()
     assert {r.genus: r.examined for r in rows} == {"g": "-", "h": "-", "i": "-", "total": "-"}
+
+
+def test_wrong_orders_change_places(spark):
+    e = {"al": "1", "dl": "2.5", "ml": "3", "xl": "4", "mw": "9", "xw": "x", "db": "1", "ab": "1", "g": "z"}
+    df = spark.createDataFrame([(e,), ({},), (None,)], "e map<string,string>")
+    out = [r[0] for r in df.select(clean.in_order("e")).collect()]
+    assert out == [e | {"al": "2.5", "dl": "1"}, {}, None]
+
+
+def test_groups_with_nulls_and_stacks(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", None), (None, 5.0)], "k string, v double")
+    sizes = {(r["k"], r["v"]): (r["group_n"], r["group_min"], r["group_max"]) for r in stats.with_group_size(df, "k", "v").collect()}
+    assert sizes == {("a", 1.0): (2, 1.0, 1.0), ("a", None): (2, 1.0, 1.0), (None, 5.0): (1, 5.0, 5.0)}
+    assert [tuple(r) for r in stats.frequencies(df, ["k"]).collect()] == [("a", 2, 2 / 3), (None, 1, 1 / 3)]
+    assert stats.frequencies(df.limit(0), ["k"]).count() == 0
+    both = measures.stacked(df, spark.createDataFrame([(7, "a")], "w int, k string"))
+    assert both.columns == ["k", "v", "w"] and both.where("w = 7 and v is null and k = 'a'").count() == 1
+    kept = measures.without_pairs(spark.createDataFrame([("x", "y"), ("x", None), (None, None)], "a string, b string"), "a", "b", [("x", "y")])
+    assert {tuple(r) for r in kept.collect()} == {("x", None), (None, None)} and kept.count() == 2
+    ranked = measures.by_levels(spark.createDataFrame([("b", 1), ("z", 2), ("a", 3), ("b", 4), (None, 5)], "g string, n int"), "g", ["b", "a"], F.desc("n")).collect()
+    assert [r["n"] for r in ranked] == [4, 1, 3, 5, 2] and [r["level"] for r in ranked] == [1, 1, 2, None, None]
+
+
+def test_cascade_joins_states_of_one_name(spark):
+    rules = spark.createDataFrame([("order", "O", "1"), ("family", "F", "1"), ("family", "F", "2"), ("family", "G", "3")], "rank string, name string, state string")
+    rows = spark.createDataFrame([(1, "O", "F"), (2, "O", "x"), (3, "x", "G"), (4, None, None)], "id int, order string, family string")
+    out = classify.cascade(rows, rules, ["order", "family"], {"1": "one", "2": "both", "3": "three"}, "none", "kind").orderBy("id").collect()
+    assert [r["kind"] for r in out] == ["both", "one", "three", "none"]
+
+
+def test_bootstrap_shares(spark):
+    simulated = spark.createDataFrame([(1, "a", 5.0), (1, "b", 5.0), (2, "a", 5.0), (2, "b", 1.0), (3, "a", 0.0), (3, "b", 9.0)], "rep int, key string, v double")
+    observed = spark.createDataFrame([("a", 4.0), ("a", 9.0), ("b", 2.0)], "key string, v double")
+    assert tuple(stats.joint_tail_share(simulated, observed, "rep", "key", "v").first()) == (3, pytest.approx(1 / 3))
