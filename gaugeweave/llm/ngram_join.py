@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import cut, small, text_batches
+from .shared import cut, forget, small, text_batches
 from .textbytes import U, blocks, mix, stream, tidy, words
 
 BITS = 4096
@@ -365,17 +365,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with text_batches(docs.sparkSession):
         common = rarity(plain.select("_text"), width)
     signed = cut(plain.mapInArrow(tidy(_signer(width, percent, common)), "_id long, _node long, _n long, _keys array<long>, _core int"), "signed", texts=True)
-    usable = signed.where("_n > 0 and _id is not null")
-    copied = cut(usable.groupBy("_node").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")).where("_copies > 1").select("_node", "_rep"), "copies")
-    one = usable.join(small(copied, most_rows), "_node", "left")
-    one = one.where("_rep is null").unionByName(one.where("_id = _rep").dropDuplicates(["_node"]))  # rows may repeat
-    keyed = one.select("_node", F.col("_n").cast("int").alias("_n"), "_core", F.posexplode("_keys").alias("_at", "_key"))
+    usable = "_n > 0 and _id is not null"
+    copied = cut(signed.where(usable).groupBy("_node").agg(F.min("_id").alias("_rep"), F.count("*").alias("_copies")).where("_copies > 1").select("_node", "_rep"), "copies")
+
+    def one_each(rows: DataFrame) -> DataFrame:
+        rows = rows.where(usable).join(small(copied, most_rows), "_node", "left")
+        return rows.where("_rep is null").unionByName(rows.where("_id = _rep").dropDuplicates(["_node"]))  # rows may repeat
+
+    keyed = one_each(signed).select("_node", F.col("_n").cast("int").alias("_n"), "_core", F.posexplode("_keys").alias("_at", "_key"))
     keyed = keyed.select("_key", "_node", "_n", (F.col("_at") < F.col("_core")).alias("_in_core"))
-    members = cut(meeting_members(keyed, percent, block), "buckets")
-    members = cut(often_met(members, percent), "members")
-    met = one.select("_id", "_node").join(small(cut(members.select("_node").distinct(), "met"), most_rows), "_node", "left_semi").select("_id")
-    picked = plain.join(small(cut(met, "met-ids"), most_rows), "_id", "left_semi").select("_text")
+    buckets = cut(meeting_members(keyed, percent, block), "buckets")
+    placed = cut(signed.select("_id", "_node", "_n"), "nodes")
+    forget(signed)  # its lists of shingles
+    members = cut(often_met(buckets, percent), "members")
+    met = cut(members.select("_node").distinct(), "met")
+    met_ids = cut(one_each(placed).join(small(met, most_rows), "_node", "left_semi").select("_id"), "met-ids")
+    picked = plain.join(small(met_ids, most_rows), "_id", "left_semi").select("_text")
     sets = cut(picked.mapInArrow(tidy(_sets(width)), "_node long, _set binary, _map binary, _n long"), "sets", texts=True)
+    forget(buckets, met, met_ids)
 
     links = None
     for turn in range(passes + 1):
@@ -400,16 +407,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if links is not None:
             fresh = fresh.unionByName(groups.select(F.col("node").alias("_x"), F.col("component").alias("_y")))
         links = cut(fresh, "tree-links")
-    rows = cut(block_meetings(cut(grouped, "grouped"), percent, block), "meetings")
+        forget(home, rows)
+    grouped = cut(grouped, "grouped")
+    forget(members)
+    rows = cut(block_meetings(grouped, percent, block), "meetings")
+    forget(grouped)
     met = F.struct(F.least("_x", "_y").alias("_x"), F.greatest("_x", "_y").alias("_y"))
     reached = cut(tree_links(rows, sets, percent, per_task, most_rows, full=False).select(met.alias("_p")).select("_p.*").distinct(), "reached")
-    whole = components(links.unionByName(cut(verified(reached, sets, percent), "verified")), "_x", "_y")
+    links = links.unionByName(cut(verified(reached, sets, percent), "verified"))
+    forget(rows, reached, sets)
+    whole = components(links, "_x", "_y")
 
     # Rows with copies or links; all others stand for themselves.
-    rep = usable.join(whole.select(F.col("node").alias("_node"), "component"), "_node").groupBy("component").agg(F.min("_id").alias("_first"))
+    rep = placed.where(usable).join(whole.select(F.col("node").alias("_node"), "component"), "_node").groupBy("component").agg(F.min("_id").alias("_first"))
     linked = whole.select(F.col("node").alias("_node"), "component").join(rep, "component").select("_node", "_first")
     known = cut(copied.join(linked, "_node", "full_outer").select("_node", F.coalesce("_first", "_rep").alias("_first")), "placed")
-    placed = signed.select("_id", "_node", "_n").join(small(known, most_rows), "_node", "left")
+    placed = placed.join(small(known, most_rows), "_node", "left")
     component = F.when(F.col("_id").isNotNull(), F.when(F.col("_n") > 0, F.coalesce("_first", "_id")).otherwise(F.col("_id")))
     return placed.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), component.alias("component_id"))
 
