@@ -1,4 +1,4 @@
-"""The queries op1 to op10: thin views of the operators, with production parameters, over whole tables."""
+"""The queries op1 to op13: thin views of the operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, embed_dedup, exact_dedup, langid, mixing, ngram_join, packing, quality, toxicity, url_filter
+from . import chat_format, embed_dedup, exact_dedup, filter_audit, html_extract, langid, mixing, ngram_join, packing, period_runs, quality, toxicity, url_filter
+from .shared import WORD
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +88,33 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): the contract's planted runs; words from ``a`` on repeat the ``p`` words that begin there."""
+    h, words = F.crc32(F.col("doc_id").cast("string")), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), 0)
+    n, g = F.size(words), F.floor(h / 10)
+    a = F.pmod(g, n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int"))), 1, n - a)
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), F.concat_ws(" ", F.slice(words, 1, a), again)).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = period_runs.find_runs(planted(_table(spark, sf_dir, "documents")))
+    longer = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), lambda best, r: F.when(longer(best, r), r).otherwise(best))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("_best"), F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "_best.*", F.floor(1000 * F.col("_best.length") / F.col("_best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_chat_format": op2_chat_format,
@@ -98,4 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_periodic_runs": op13_periodic_runs,
 }
