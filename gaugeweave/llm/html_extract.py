@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
@@ -35,7 +36,7 @@ from .shared import cut, text_batches
 from .textbytes import tidy
 from .url_filter import host_of
 
-TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*>?""", re.S)
+TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>?""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
 
 #: Elements whose content is no markup; all are left out of texts.
@@ -49,10 +50,10 @@ ASIDE = {"head", "nav", "footer", "aside", "form", "menu", "dialog", "search", "
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "tablist"}
 #: Words of class and id that name what is no part of an article.
 NAMES = set(
-    "ad ads adv advert adverts advertisement advertising advertorial adsense adslot adbox adunit banner banners billboard breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright "
+    "ad ads adv advert adverts advertisement advertising advertorial adsense adslot adbox adunit banner banners billboard breadcrumb breadcrumbs captcha comment comments commentlist consent cookie cookies copyright "
     "discussion disclaimer disqus dropdown footer footnav gdpr header hidden login masthead megamenu menu menus modal nav navbar navigation newsletter notice notices notification notifications overlay pager pagination paywall "
     "popup promo promos promoted promotion recommendations recommended register related replies reply respond search share sharing sidebar sidebars signup skip skiplink social socials sponsor sponsored sponsors sponsorship "
-    "subscribe subscription tags toolbar topbar widget widgets".split()
+    "subscribe subscription toolbar topbar widget widgets".split()
 )
 #: Where one word says nothing, a pair or the whole does.
 PAIRS = re.compile(r"(?i)(?:^|[^a-z])(?:side[-_]?bar|news[-_]?letter|nav[-_]?bar|pop[-_]?up|log[-_]?in|sign[-_]?up|read[-_]?more|see[-_]?also|site[-_]?(?:header|footer|nav|menu|notice)|page[-_]?(?:header|footer)|top[-_]?(?:bar|nav)|user[-_]?comments?)(?:$|[^a-z])")
@@ -66,8 +67,8 @@ SCOPE = {"table", "td", "th", "caption", "button", "html", "template"}
 class Page:
     """A parsed page: its elements in the order of their start tags, and its texts with the element that holds each.
 
-    ``parent``, ``tag``, ``dropped`` (named as no article text), ``digest``, ``size`` (characters other than white space),
-    ``headline`` (holds an h1), ``bare`` (has neither class nor id) are lists by element; element 0 is the document.
+    ``parent``, ``tag``, ``attrs``, ``digest``, ``size`` (characters other than white space) and ``headline`` (holds an h1)
+    are lists by element; element 0 is the document.  A text "" marks the edge of a block.
     """
 
     def __init__(self, text: str):
@@ -75,7 +76,7 @@ class Page:
         self.digest: list[int] = [0]
         self.texts: list[tuple[int, str]] = []
         self.hashers = [blake2b(digest_size=8)]
-        self.open = [0]
+        self.open, self.count = [0], Counter()  # open elements, and how many of each tag
         at, raw, skip = 0, "", re.compile("")
         while at < len(text):
             if raw:
@@ -112,13 +113,14 @@ class Page:
             self.close_to({"p"}, SCOPE)
         if name in SAME:
             self.close_to(*SAME[name])
-        if name in ("html", "body") and name in (self.tag[e] for e in self.open):
+        if name in ("html", "body") and self.count[name]:
             return
         if name == "body":
             self.close_to({"head"}, set())
         self.parent.append(self.open[-1]), self.tag.append(name), self.attrs.append(attrs)
         self.size.append(0), self.headline.append(name == "h1"), self.digest.append(0)
         self.open.append(len(self.tag) - 1)
+        self.count[name] += 1
         self.hashers.append(blake2b(b"<" + name.encode("utf-8", "replace") + b"\0", digest_size=8))
         if name in BLOCKS or name == "br":
             self.texts.append((self.open[-1], ""))
@@ -127,6 +129,7 @@ class Page:
 
     def close(self) -> None:
         e, own = self.open.pop(), self.hashers.pop().digest()
+        self.count[self.tag[e]] -= 1
         self.digest[e] = int.from_bytes(own, "big", signed=True)
         if self.open:
             up = self.open[-1]
@@ -137,7 +140,9 @@ class Page:
                 self.texts.append((up, ""))
 
     def close_to(self, names: set[str], scope: set[str]) -> None:
-        """Close up to and with the outermost element of ``names`` that is open inside the scope."""
+        """Close up to and with the innermost element of ``names`` that is open inside the scope."""
+        if not any(self.count[x] for x in names):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.tag[self.open[k]] in names:
                 while len(self.open) > k:
@@ -148,6 +153,8 @@ class Page:
 
     def end(self, name: str) -> None:
         """Close the nearest open element of that name; ends of inline elements don't reach out of their block."""
+        if not self.count[name]:
+            return
         for k in range(len(self.open) - 1, 0, -1):
             tag = self.tag[self.open[k]]
             if tag == name:
