@@ -1,7 +1,8 @@
-"""Trees as edge tables (tree_id, parent, child, length): roll-ups, clades, and the fold that regressions need.
+"""Trees as edge tables (tree_id, parent, child, length): numbering, roll-ups, clades, pruning.
 
-All trees are worked on at once.  A tree that fits a task is folded there, however deep; over larger ones the fold takes
-a round per level, so as many as the deepest of them has levels.
+All trees are worked on at once.  ``intervals`` numbers the nodes of a tree so that what lies below a node is a range of
+numbers: counts below a node are differences and sets below it are range joins, without a row per node and ancestor.
+Walks from a node upwards (``climbed``) double their step each round, so a tree may be as deep as it has nodes.
 """
 
 from __future__ import annotations
@@ -11,13 +12,26 @@ import itertools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, forget
 
-#: Stands for an edge of length 0, whose weight would be infinite.
-FLOOR = 1e-9
+
+def sound(edges: DataFrame) -> DataFrame:
+    """(tree_id, parent, child, length) with every child once, which all operators on trees start from.
+
+    Edges that repeat are one; a node with two parents or two lengths raises when the job runs; rows without tree, parent or
+    child are left out; a length that is null, NaN or below 0 counts as 0.
+    """
+    length = F.col("length").cast("double")
+    length = F.greatest(F.coalesce(F.when(~F.isnan(length), length), F.lit(0.0)), F.lit(0.0))
+    plain = edges.dropna(subset=["tree_id", "parent", "child"]).select("tree_id", "parent", "child", length.alias("length"))
+    end = F.struct("parent", "length")
+    one = plain.groupBy("tree_id", "child").agg(F.min(end).alias("_a"), F.max(end).alias("_b"))
+    wrong = F.raise_error(F.concat(F.lit("two parents or lengths of node "), F.col("child").cast("string")))
+    up = F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise(wrong)
+    return one.withColumn("_a", up).select("tree_id", "_a.parent", "child", "_a.length")
 
 
 def tips_of(edges: DataFrame) -> DataFrame:
@@ -65,30 +79,169 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return all_up.unionByName(own.select("tree_id", "node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")))
 
 
-def tip_counts(edges: DataFrame, above: DataFrame | None = None) -> DataFrame:
-    """(tree_id, node, tips): tips at or below each node.  ``above``: the ancestors, where they are known already."""
-    above = ancestors(edges) if above is None else above
-    return above.join(tips_of(edges), ["tree_id", "node"], "left_semi").groupBy("tree_id", F.col("ancestor").alias("node")).agg(F.count("*").alias("tips"))
+def _in_order(nodes: pd.DataFrame) -> pd.DataFrame:
+    """The numbers of one tree's nodes (see ``intervals``), children in the order of their names."""
+    nodes = nodes.sort_values("node", ignore_index=True)
+    place = pd.Series(np.arange(len(nodes)), index=nodes["node"])
+    up = np.full(len(nodes), -1)
+    up[nodes["parent"].notna()] = place[nodes["parent"].dropna()].to_numpy()
+    by_parent = np.argsort(up, kind="stable")
+    first = np.searchsorted(up[by_parent], np.arange(-1, len(nodes) + 1))
+    below = by_parent.tolist()
+    starts, ends, above = first[1:-1].tolist(), first[2:].tolist(), up.tolist()
+    waiting, walk, level = below[: first[1]][::-1], [], [0] * len(nodes)
+    while waiting:
+        v = waiting.pop()
+        walk.append(v)
+        if above[v] >= 0:
+            level[v] = level[above[v]] + 1
+        waiting.extend(reversed(below[starts[v] : ends[v]]))
+    if len(walk) < len(nodes):
+        raise ValueError(f"{len(nodes) - len(walk)} nodes are on or below a cycle")
+    size = [1] * len(nodes)
+    for v in reversed(walk):
+        if above[v] >= 0:
+            size[above[v]] += size[v]
+    at = np.array(walk, int)
+    enter, leave = np.arange(1, len(at) + 1), np.arange(len(at)) + np.array(size, int)[at]
+    tips = np.append(0, np.cumsum(enter == leave))
+    marks = np.append(0, np.cumsum(nodes["_marked"].to_numpy(int)[at]))
+    out = nodes.iloc[at][["tree_id", "node", "parent", "length"]].reset_index(drop=True)
+    return out.assign(enter=enter, leave=leave, level=np.array(level, int)[at], first_tip=tips[enter - 1] + 1, tips=tips[leave] - tips[enter - 1], marked=marks[leave] - marks[enter - 1])
+
+
+NUMBERS = ["enter", "leave", "level", "first_tip", "tips", "marked"]
+
+
+def intervals(edges: DataFrame, marks: DataFrame | None = None, most: int = 500_000) -> DataFrame:
+    """(tree_id, node, parent, length, enter, leave, level, first_tip, tips, marked) of every node.
+
+    A walk through the tree, children by name, numbers nodes from 1 (``enter``) and tips from 1 (``first_tip`` is the first
+    at or below the node); ``leave`` is the last number below the node, ``level`` the edges from the root, ``marked`` how many
+    nodes of ``marks`` (tree_id, node) are at or below it.  Roots have no parent; several roots of a tree follow each other.
+    Raises on a cycle.
+
+    Trees of at most ``most`` nodes are walked in a task each; larger ones are numbered by list ranking.  Both ways give the
+    same numbers.
+    """
+    edges = cut(sound(edges), "edges")
+    roots = edges.select("tree_id", F.col("parent").alias("node")).distinct().join(edges.select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_anti")
+    nodes = edges.select("tree_id", F.col("child").alias("node"), "parent", "length").unionByName(roots, allowMissingColumns=True)
+    marked = F.lit(0)
+    if marks is not None:
+        nodes = nodes.join(marks.select("tree_id", "node").distinct().withColumn("_m", F.lit(1)), ["tree_id", "node"], "left")
+        marked = F.coalesce("_m", F.lit(0))
+    nodes = cut(nodes.select("tree_id", "node", "parent", "length", marked.alias("_marked")), "nodes")
+    sizes = cut(nodes.groupBy("tree_id").agg(F.count("*").alias("_n")), "tree-sizes")
+    kind = dict(nodes.dtypes)
+    schema = f"tree_id {kind['tree_id']}, node {kind['node']}, parent {kind['node']}, length double, {', '.join(c + ' long' for c in NUMBERS)}"
+    near = nodes.join(sizes.where(F.col("_n") <= most).select("tree_id"), "tree_id", "left_semi").groupBy("tree_id").applyInPandas(_in_order, schema)
+    # A tree all of whose nodes have a parent has no root: a cycle, which the walk would not see.
+    large = sizes.where(F.col("_n") > most).select("tree_id")
+    return near if large.isEmpty() else near.unionByName(_ranked(nodes.join(large, "tree_id", "left_semi")).select(near.columns))
 
 
-def clades(edges: DataFrame, most: int) -> DataFrame:
-    """(tree_id, clade, tip): the largest subtrees of at most ``most`` tips; a tip without one is its own clade."""
-    above = cut(ancestors(edges).join(tips_of(edges), ["tree_id", "node"], "left_semi"), "above-tips")
-    n = above.groupBy("tree_id", "ancestor").agg(F.count("*").alias("tips")).where(F.col("tips") <= most).select("tree_id", "ancestor")
-    fits = above.join(n, ["tree_id", "ancestor"])
-    return fits.groupBy("tree_id", "node").agg(F.max_by("ancestor", "steps").alias("clade")).select("tree_id", "clade", F.col("node").alias("tip"))
+def _next_siblings(nodes: DataFrame) -> DataFrame:
+    """(tree_id, node, _next): the next child of the same parent by name.
+
+    One parent may have most nodes, so rows are range-partitioned by (tree, parent, name), looked at inside a partition,
+    and the last one of a partition gets the first one of the parent's next partition.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(nodes.select("tree_id", "parent", "node").repartitionByRange(parts, "tree_id", "parent", "node").withColumn("_pid", F.spark_partition_id()), "siblings")
+    inside = Window.partitionBy("_pid", "tree_id", "parent").orderBy("node")
+    placed = placed.withColumn("_next", F.lead("node").over(inside))
+    across = Window.partitionBy("tree_id", "parent").orderBy("_pid")  # a row per partition
+    firsts = placed.groupBy("tree_id", "parent", "_pid").agg(F.min("node").alias("_first")).withColumn("_after", F.lead("_first").over(across))
+    ends = firsts.where("_after is not null").select(F.col("tree_id").alias("_t"), F.col("parent").alias("_p"), F.col("_pid").alias("_q"), "_after")
+    same = (F.col("tree_id") == F.col("_t")) & F.col("parent").eqNullSafe(F.col("_p")) & (F.col("_pid") == F.col("_q"))
+    return placed.join(ends, same, "left").select("tree_id", "node", F.coalesce("_next", "_after").alias("_next"))
+
+
+def _ranked(nodes: DataFrame) -> DataFrame:
+    """``intervals`` by list ranking: every node is entered and left once, each step knows the next one, and steps double."""
+    first = nodes.where("parent is not null").groupBy("tree_id", F.col("parent").alias("node")).agg(F.min("node").alias("_child"))
+    known = cut(nodes.join(first, ["tree_id", "node"], "left").join(_next_siblings(nodes), ["tree_id", "node"]), "walk-nodes")
+    leaf = F.col("_child").isNull()
+    one = lambda c: c.cast("long")
+    down = known.select("tree_id", "node", F.lit(0).alias("side"), F.coalesce("_child", "node").alias("to"), F.when(leaf, 1).otherwise(0).alias("to_side"), F.lit(1).cast("long").alias("n"), one(leaf).alias("t"), one(F.col("_marked")).alias("m"), F.lit(1).cast("long").alias("l"))
+    none = [F.lit(0).cast("long").alias(c) for c in "ntm"]
+    left = known.select("tree_id", "node", F.lit(1).alias("side"), F.coalesce("_next", "parent").alias("to"), F.when(F.col("_next").isNotNull(), 0).otherwise(1).alias("to_side"), *none, F.lit(-1).cast("long").alias("l"))
+    steps = cut(down.unionByName(left), "walk")
+    total = steps.count()
+    for k in itertools.count():
+        if steps.where("to is not null").isEmpty():
+            break
+        if 1 << k > 2 * total:
+            raise ValueError("nodes are on or below a cycle")
+        ahead = steps.select("tree_id", F.col("node").alias("to"), F.col("side").alias("to_side"), F.col("to").alias("_to"), F.col("to_side").alias("_side"), *[F.col(c).alias(f"_{c}") for c in "ntml"])
+        going = steps.where("to is not null").join(ahead, ["tree_id", "to", "to_side"])
+        going = going.select("tree_id", "node", "side", F.col("_to").alias("to"), F.col("_side").alias("to_side"), *[(F.col(c) + F.col(f"_{c}")).alias(c) for c in "ntml"])
+        before, steps = steps, cut(steps.where("to is null").unionByName(going), "walk")
+        forget(before)
+    end = steps.where("side = 1").select("tree_id", "node", *[F.col(c).alias(f"_{c}") for c in "ntm"])
+    whole = steps.groupBy("tree_id").agg(F.max("n").alias("_all"), F.max("t").alias("_tips"))
+    both = steps.where("side = 0").join(end, ["tree_id", "node"]).join(whole, "tree_id").join(nodes.select("tree_id", "node", "parent", "length"), ["tree_id", "node"])
+    return both.select("tree_id", "node", "parent", "length", (F.col("_all") - F.col("n") + 1).alias("enter"), (F.col("_all") - F.col("_n")).alias("leave"), (-F.col("l")).alias("level"), (F.col("_tips") - F.col("t") + 1).alias("first_tip"), (F.col("t") - F.col("_t")).alias("tips"), (F.col("m") - F.col("_m")).alias("marked"))
+
+
+def climbed(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
+    """(tree_id, node, top, distance, steps) of every node with a parent: the nearest of ``stops`` (tree_id, node) above it, else its root.
+
+    ``distance`` adds the lengths of the edges up to there.  Each round doubles the ways that go on.  Raises on a cycle.
+    """
+    edges = sound(edges)
+    halt = edges.select("tree_id", F.col("child").alias("top"), F.lit(True).alias("_up"))
+    ways = edges.select("tree_id", F.col("child").alias("node"), F.col("parent").alias("top"), F.col("length").alias("distance"), F.lit(1).cast("long").alias("steps")).join(halt, ["tree_id", "top"], "left")
+    going = F.col("_up").isNotNull()
+    if stops is not None:
+        ways = ways.join(stops.select("tree_id", F.col("node").alias("top"), F.lit(True).alias("_stop")).distinct(), ["tree_id", "top"], "left")
+        going = going & F.col("_stop").isNull()
+    columns = ["tree_id", "node", "top", "distance", "steps"]
+    ways = cut(ways.select(*columns, going.alias("_open")), "ways")
+    total = ways.count()
+    for k in itertools.count():
+        if ways.where("_open").isEmpty():
+            return ways.select(*columns)
+        if 1 << k > 2 * total:
+            raise ValueError("nodes are on or below a cycle")
+        ahead = ways.select("tree_id", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("distance").alias("_distance"), F.col("steps").alias("_steps"), F.col("_open").alias("_on"))
+        onward = ways.where("_open").join(ahead, ["tree_id", "top"])
+        onward = onward.select("tree_id", "node", F.col("_top").alias("top"), (F.col("distance") + F.col("_distance")).alias("distance"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_on").alias("_open"))
+        before, ways = ways, cut(ways.where("not _open").unionByName(onward), "ways")
+        forget(before)
+
+
+def tip_counts(edges: DataFrame) -> DataFrame:
+    """(tree_id, node, tips): tips at or below each node."""
+    return intervals(edges).select("tree_id", "node", "tips")
 
 
-def large_clades(cut_up: DataFrame, families: DataFrame, more_than: int) -> DataFrame:
-    """(tree_id, clade, n, families): clades of ``clades`` with more tips than the limit, and the sorted families that only they hold.
+def clades(edges: DataFrame, most: int) -> DataFrame:
+    """(tree_id, clade, tip): the largest subtrees of at most ``most`` tips; a tip without one is its own clade.
 
-    ``families`` has (node, family).  A family of several clades belongs to none.
+    A clade's tips are a range of at most ``most`` numbers, which lies in two blocks of that many numbers at the most.
     """
-    named = cut_up.join(families.select(F.col("node").alias("tip"), "family"), "tip", "left")
-    own = named.where("family is not null").groupBy("tree_id", "family").agg(F.min("clade").alias("clade"), F.max("clade").alias("_other")).where("clade = _other").drop("_other")
-    lists = own.groupBy("tree_id", "clade").agg(F.sort_array(F.collect_list("family")).alias("families"))
-    sizes = cut_up.groupBy("tree_id", "clade").agg(F.count("*").alias("n")).where(F.col("n") > more_than)
-    return sizes.join(lists, ["tree_id", "clade"], "left").withColumn("families", F.coalesce("families", F.array().cast("array<string>")))
+    nodes = cut(intervals(edges), "intervals")
+    above = nodes.select("tree_id", F.col("node").alias("parent"), F.col("tips").alias("_above"))
+    top = nodes.join(above, ["tree_id", "parent"], "left").where((F.col("tips") <= most) & (F.col("_above").isNull() | (F.col("_above") > most)))
+    last = F.col("first_tip") + F.col("tips") - 1
+    block = F.explode(F.sequence(F.floor(F.col("first_tip") / most), F.floor(last / most)))
+    top = top.select("tree_id", F.col("node").alias("clade"), F.col("first_tip").alias("_from"), last.alias("_to"), block.alias("_block"))
+    tips = nodes.where("enter = leave").select("tree_id", F.col("node").alias("tip"), F.col("first_tip").alias("_at"), F.floor(F.col("first_tip") / most).alias("_block"))
+    return tips.join(top, ["tree_id", "_block"]).where("_at between _from and _to").select("tree_id", "clade", "tip")
+
+
+def large_clades(cut_up: DataFrame, more_than: int) -> DataFrame:
+    """(tree_id, clade, n): clades of ``clades`` with more tips than the limit."""
+    return cut_up.groupBy("tree_id", "clade").agg(F.count("*").alias("n")).where(F.col("n") > more_than)
+
+
+def own_families(cut_up: DataFrame, families: DataFrame) -> DataFrame:
+    """(tree_id, clade, family): the families that only this clade holds; ``families`` has (node, family)."""
+    named = cut_up.join(families.select(F.col("node").alias("tip"), "family"), "tip").where("family is not null")
+    one = named.groupBy("tree_id", "family").agg(F.min("clade").alias("clade"), F.max("clade").alias("_other"))
+    return one.where("clade = _other").select("tree_id", "clade", "family")
 
 
 def representatives(cut_up: DataFrame, orders: DataFrame) -> DataFrame:
@@ -97,153 +250,60 @@ def representatives(cut_up: DataFrame, orders: DataFrame) -> DataFrame:
     return one.join(orders.select(F.col("node").alias("tip"), "order1"), "tip", "left").select("tree_id", "clade", "tip", F.concat_ws("_", "clade", "order1").alias("label"))
 
 
+def _changes(nodes: DataFrame, states: DataFrame) -> DataFrame:
+    """Nodes whose state differs from their parent's, with ``change``, the difference; both states must be known."""
+    s = states.select("tree_id", "node", "state")
+    both = nodes.join(s, ["tree_id", "node"]).join(s.select("tree_id", F.col("node").alias("parent"), F.col("state").alias("_before")), ["tree_id", "parent"])
+    return both.withColumn("change", F.col("state") - F.col("_before")).where("change <> 0").drop("state", "_before")
+
+
 def state_changes(edges: DataFrame, states: DataFrame) -> DataFrame:
-    """(tree_id, node, change, tips, nodes): edges with a gain (1) or reversal (-1), the tips and inner nodes below them.
+    """(tree_id, node, change, tips, nodes): edges with a gain (1) or reversal (-1); how many tips are at or below, inner nodes strictly below."""
+    rest = F.when(F.col("enter") == F.col("leave"), 0).otherwise(F.col("leave") - F.col("enter") - F.col("tips"))
+    return _changes(intervals(edges), states).where("change in (1, -1)").select("tree_id", "node", "change", "tips", rest.alias("nodes"))
 
-    ``tips`` is sorted; ``nodes`` counts the inner nodes strictly below.
-    """
-    s = states.select("tree_id", "node", "state")
-    by = edges.join(s.select("tree_id", F.col("node").alias("parent"), F.col("state").alias("_p")), ["tree_id", "parent"]).join(s.select("tree_id", F.col("node").alias("child"), "state"), ["tree_id", "child"])
-    by = by.withColumn("change", F.col("state") - F.col("_p")).where("change in (1, -1)").select("tree_id", F.col("child").alias("ancestor"), "change")
-    tips = tips_of(edges).withColumn("_tip", F.lit(True))
-    below = ancestors(edges).join(by, ["tree_id", "ancestor"]).join(tips, ["tree_id", "node"], "left")
-    out = below.groupBy("tree_id", F.col("ancestor").alias("node"), "change").agg(F.sort_array(F.collect_list(F.when(F.col("_tip"), F.col("node")))).alias("tips"), F.count_if(F.col("_tip").isNull() & (F.col("steps") > 0)).alias("nodes"))
-    return out
 
+def tips_of_changes(edges: DataFrame, states: DataFrame) -> DataFrame:
+    """(tree_id, node, change, tip): the tips at or below each gain or reversal, a row each.
 
-def pruned(edges: DataFrame, keep: DataFrame) -> DataFrame:
-    """Edges above the tips of ``keep`` (tree_id, node); single-child nodes stay, which the fold passes through."""
-    used = ancestors(edges).join(keep, ["tree_id", "node"], "left_semi").select("tree_id", F.col("ancestor").alias("child")).distinct()
-    return edges.join(used, ["tree_id", "child"], "left_semi").select(*edges.columns)
+    A range of up to 2 ** (k + 1) tip numbers meets at most three blocks of 2 ** k; every tip is in one block of each k that
+    occurs, so rows meet by equal blocks.
+    """
+    nodes = cut(intervals(edges), "intervals")
+    found = _changes(nodes, states).where("change in (1, -1)")
+    last = F.col("first_tip") + F.col("tips") - 1
+    found = found.withColumn("_k", F.floor(F.log2(F.col("tips").cast("double"))).cast("int"))
+    block = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("_k"))).cast("long")
+    found = cut(found.select("tree_id", "node", "change", F.col("first_tip").alias("_from"), last.alias("_to"), "_k", F.explode(F.sequence(block(F.col("first_tip")), block(last))).alias("_block")), "changes")
+    sizes = F.broadcast(found.select("_k").distinct())  # at most 63 rows
+    tips = nodes.where("enter = leave").select("tree_id", F.col("node").alias("tip"), F.col("first_tip").alias("_at")).crossJoin(sizes)
+    return tips.withColumn("_block", block(F.col("_at"))).join(found, ["tree_id", "_k", "_block"]).where("_at between _from and _to").select("tree_id", "node", "change", "tip")
 
 
 def shifts(edges: DataFrame, states: DataFrame) -> DataFrame:
     """(tree_id, node, shift): the nearest node at or above whose state differs from its parent's; null before any shift."""
-    s = states.select("tree_id", "node", "state")
-    changed = edges.join(s.select("tree_id", F.col("node").alias("parent"), F.col("state").alias("_p")), ["tree_id", "parent"]).join(s.select("tree_id", F.col("node").alias("child"), "state"), ["tree_id", "child"])
-    changed = changed.where(F.col("_p") != F.col("state")).select("tree_id", F.col("child").alias("ancestor"), F.lit(True).alias("_x"))
-    near = ancestors(edges).join(changed, ["tree_id", "ancestor"], "left")
-    return near.groupBy("tree_id", "node").agg(F.min_by("ancestor", F.when(F.col("_x"), F.col("steps"))).alias("_near"), F.max("_x").alias("_any")).select("tree_id", "node", F.when(F.col("_any"), F.col("_near")).alias("shift"))
+    edges = cut(sound(edges), "edges")
+    changed = cut(_changes(edges.select("tree_id", F.col("child").alias("node"), "parent"), states).select("tree_id", "node"), "changed")
+    mark = changed.withColumn("_own", F.lit(True))
+    near = climbed(edges, changed).join(mark, ["tree_id", "node"], "left").join(mark.select("tree_id", F.col("node").alias("top"), F.lit(True).alias("_above")), ["tree_id", "top"], "left")
+    near = near.select("tree_id", "node", F.when(F.col("_own"), F.col("node")).when(F.col("_above"), F.col("top")).alias("shift"))
+    roots = edges.select("tree_id", F.col("parent").alias("node")).join(edges.select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_anti").distinct()
+    return near.unionByName(roots, allowMissingColumns=True)
 
 
-SUMS = "slope double, intercept double, sxx double, sxy double, syy double, logdet double, n int"
+def pruned(edges: DataFrame, keep: DataFrame) -> DataFrame:
+    """Edges at or above the nodes of ``keep`` (tree_id, node); single-child nodes stay (see ``contracted``)."""
+    return intervals(edges, keep).where("marked > 0 and parent is not null").select("tree_id", "parent", F.col("node").alias("child"), "length")
 
 
-def fold(edges: DataFrame, tips: DataFrame, most: int = 500_000) -> DataFrame:
-    """Regression sums of every fit (tree_id, fit): (slope, intercept, sxx, sxy, syy, logdet, n) along the tree.
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges without single-child nodes: along a chain lengths add up; a root with one child gives way to the first node with several.
 
-    ``tips`` has (tree_id, fit, node, x, y).  A node's children i weigh 1 / v_i; their weighted means go up with the
-    node's own edge plus 1 / (sum of weights); the squares around the means add up (independent contrasts, Felsenstein
-    1985).  Trees of at most ``most`` edges and tip rows are folded in a task each; over all larger ones one groupBy
-    per level serves all trees and fits together.
+    A tree without a fork has no edge left.
     """
-    tips = tips.where("x is not null and y is not null")
-    sizes = edges.select("tree_id").unionByName(tips.select("tree_id")).groupBy("tree_id").agg(F.count("*").alias("_n"))
-    sizes = cut(sizes, "tree-sizes")
-    small = sizes.where(F.col("_n") <= most).select("tree_id")
-    kind = dict(tips.dtypes)
-    schema = f"tree_id {dict(edges.dtypes)['tree_id']}, fit {kind['fit']}, {SUMS}"
-    near_edges = edges.select("tree_id", "parent", "child", "length").join(small, "tree_id", "left_semi")
-    near_tips = tips.select("tree_id", "fit", "node", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).join(small, "tree_id", "left_semi")
-    out = near_edges.groupBy("tree_id").cogroup(near_tips.groupBy("tree_id")).applyInPandas(_folded, schema)
-    large = sizes.where(F.col("_n") > most).select("tree_id")
-    if large.isEmpty():
-        return out
-    return out.unionByName(fold_by_levels(edges.join(large, "tree_id", "left_semi"), tips.join(large, "tree_id", "left_semi")))
-
-
-def _folded(edges: pd.DataFrame, tips: pd.DataFrame) -> pd.DataFrame:
-    """The fold of one tree and all its fits, level by level."""
-    if not len(edges) or not len(tips):
-        return pd.DataFrame({"tree_id": [], "fit": [], **{c.split()[0]: [] for c in SUMS.split(", ")}})
-    names = pd.unique(pd.concat([edges["parent"], edges["child"]], ignore_index=True))
-    place = pd.Series(np.arange(len(names)), index=names)
-    parent, child = place[edges["parent"]].to_numpy(), place[edges["child"]].to_numpy()
-    up, own = np.full(len(names), -1), np.zeros(len(names))
-    up[child], own[child] = parent, np.maximum(edges["length"].to_numpy(float), FLOOR)
-    open_children = np.bincount(parent, minlength=len(names))
-    level, levels = np.flatnonzero(open_children == 0), []
-    while len(level):  # all nodes whose children are done
-        levels.append(level)
-        above = up[level][up[level] >= 0]
-        gone = np.bincount(above, minlength=len(names)) if len(above) * 8 > len(names) else None
-        if gone is None:
-            np.subtract.at(open_children, above, 1)
-            level = np.unique(above)[open_children[np.unique(above)] == 0]
-        else:
-            open_children -= gone
-            level = np.flatnonzero((gone > 0) & (open_children == 0))
-    if sum(map(len, levels)) < len(names):
-        raise ValueError(f"{len(names) - sum(map(len, levels))} nodes are on or above a cycle")
-    rows = []
-    for fit, of in tips.groupby("fit", dropna=False, sort=False):
-        of = of[of["node"].isin(place.index)]
-        at = place[of["node"]].to_numpy()
-        n = np.bincount(at, minlength=len(names))
-        w, wx, wy, logs = (np.zeros(len(names)) for _ in range(4))
-        x, y = (np.bincount(at, of[c].to_numpy(float), len(names)) / np.maximum(n, 1) for c in ("x", "y"))
-        if (n > 1).any():
-            raise ValueError("a node of a fit has several rows")
-        v, sxx, sxy, syy = own.copy(), np.zeros(len(names)), np.zeros(len(names)), np.zeros(len(names))
-        count, root = n.copy(), None
-        for k, nodes in enumerate(levels):
-            if k:
-                inner = nodes[w[nodes] > 0]
-                x[inner], y[inner] = wx[inner] / w[inner], wy[inner] / w[inner]
-            for stage in (0, 1):
-                there = nodes[count[nodes] > 0]
-                if stage == 0 and k:
-                    # Two steps keep precision: means first, then squares around them, child by child.
-                    kids = held[np.isin(up[held], there)] if len(there) else held[:0]
-                    z = 1 / v[kids]
-                    dx, dy, to = x[kids] - x[up[kids]], y[kids] - y[up[kids]], up[kids]
-                    np.add.at(sxx, to, sxx[kids] + z * dx * dx), np.add.at(sxy, to, sxy[kids] + z * dx * dy), np.add.at(syy, to, syy[kids] + z * dy * dy)
-                    np.add.at(logs, to, logs[kids] + np.log(v[kids]))
-                    logs[there] += np.log(w[there])
-                    held = np.setdiff1d(held, kids, assume_unique=True)
-                    top = there[up[there] < 0]
-                    for r in top:
-                        root = r
-                    inner = there[up[there] >= 0]
-                    v[inner] = own[inner] + 1 / w[inner]
-                elif stage == 1:
-                    going = there[up[there] >= 0]
-                    z, to = 1 / v[going], up[going]
-                    np.add.at(w, to, z), np.add.at(wx, to, z * x[going]), np.add.at(wy, to, z * y[going]), np.add.at(count, to, count[going])
-                    held = going if k == 0 else np.concatenate([held, going])
-        if root is not None:
-            slope = sxy[root] / sxx[root] if sxx[root] else None
-            rows.append((edges["tree_id"].iloc[0], fit, slope, None if slope is None else y[root] - slope * x[root], sxx[root], sxy[root], syy[root], logs[root] - np.log(w[root]), int(count[root])))
-    return pd.DataFrame(rows, columns=["tree_id", "fit", *[c.split()[0] for c in SUMS.split(", ")]])
-
-
-def fold_by_levels(edges: DataFrame, tips: DataFrame) -> DataFrame:
-    """``fold`` over trees of any size: a round of joins and sums per level, over the rows of that level alone."""
-    edges = cut(edges, "edges")
-    high = cut(heights(edges), "heights")
-    lengths = edges.select("tree_id", F.col("child").alias("node"), "parent", F.greatest("length", F.lit(FLOOR)).alias("v"))
-    above = high.select("tree_id", F.col("node").alias("parent"), F.col("height").alias("to"))
-    lengths = cut(lengths.join(above, ["tree_id", "parent"]), "lengths")
-    top = high.agg(F.max("height")).first()[0] or 0
-    start = tips.where("x is not null and y is not null").join(lengths, ["tree_id", "node"])
-    start = start.select("tree_id", "fit", F.col("parent").alias("node"), "to", "x", "y", "v", *[F.lit(0.0).alias(c) for c in ("sxx", "sxy", "syy", "logdet")], F.lit(1).alias("n"))
-    waiting, done = [cut(start, "fold")], None
-    for h in range(1, top + 1):
-        now = functools.reduce(DataFrame.unionByName, [w.where(F.col("to") == h) for w in waiting])
-        w = 1 / F.col("v")
-        mean = now.groupBy("tree_id", "fit", "node").agg(F.sum(w).alias("w"), (F.sum(w * F.col("x")) / F.sum(w)).alias("mx"), (F.sum(w * F.col("y")) / F.sum(w)).alias("my"))
-        dx, dy = F.col("x") - F.col("mx"), F.col("y") - F.col("my")
-        sums = now.join(mean, ["tree_id", "fit", "node"]).groupBy("tree_id", "fit", "node", "w", "mx", "my").agg(
-            F.sum(F.col("sxx") + w * dx * dx).alias("sxx"), F.sum(F.col("sxy") + w * dx * dy).alias("sxy"), F.sum(F.col("syy") + w * dy * dy).alias("syy"),
-            (F.sum(F.col("logdet") + F.log("v")) + F.log("w")).alias("logdet"), F.sum("n").cast("int").alias("n"))
-        joined = cut(sums.join(lengths, ["tree_id", "node"], "left"), "fold")
-        root = joined.where("parent is null").select("tree_id", "fit", F.col("mx").alias("x"), F.col("my").alias("y"), "sxx", "sxy", "syy", (F.col("logdet") - F.log("w")).alias("logdet"), "n")
-        done = root if done is None else done.unionByName(root)
-        onward = joined.where("parent is not null").select("tree_id", "fit", F.col("parent").alias("node"), "to", F.col("mx").alias("x"), F.col("my").alias("y"), (F.col("v") + 1 / F.col("w")).alias("v"), "sxx", "sxy", "syy", "logdet", "n")
-        waiting.append(onward)
-        if len(waiting) > 16:  # rows that still wait, as one table
-            left = cut(functools.reduce(DataFrame.unionByName, waiting).where(F.col("to") > h), "fold")
-            forget(waiting[0])
-            waiting = [left]
-    slope = F.try_divide(F.col("sxy"), F.col("sxx"))
-    return done.select("tree_id", "fit", slope.alias("slope"), (F.col("y") - slope * F.col("x")).alias("intercept"), "sxx", "sxy", "syy", "logdet", "n")
+    edges = cut(sound(edges), "edges")
+    kids = edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("_n"))
+    forks = cut(kids.where("_n > 1").select("tree_id", "node"), "forks")
+    chains = kids.where("_n = 1").select("tree_id", "node")
+    ways = climbed(edges, forks).join(chains, ["tree_id", "node"], "left_anti")
+    return ways.join(forks.withColumnRenamed("node", "top"), ["tree_id", "top"], "left_semi").select("tree_id", F.col("top").alias("parent"), F.col("node").alias("child"), F.col("distance").alias("length"))

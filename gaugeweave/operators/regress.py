@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hierarchy import fold
+from ..functions.lineage import cut
+from ..functions.nulls import finite
+from .treefold import fold
 
 
 def plain(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -46,6 +48,42 @@ def residuals(edges: DataFrame, tips: DataFrame) -> DataFrame:
     return tips.join(f, ["tree_id", "fit"]).select("tree_id", "fit", "node", (F.col("y") - F.col("intercept") - F.col("slope") * F.col("x")).alias("residual"))
 
 
+def sweep(trees: DataFrame, traits: DataFrame, catalogue: list[tuple[str, str, str, str | None]], group: str, least: int = 3, label: str = "ALL") -> DataFrame:
+    """Every comparison for the whole and each group along every tree: (tree_id, comparison, group, slope, intercept, t, p, loglik, n).
+
+    ``traits`` has (node, the group column, traits).  ``catalogue`` lists (comparison, x, y, given): with ``given``, x and y
+    are first replaced by their residuals on that trait along the same tree, for the same rows.  Each fit takes the nodes
+    that are in its tree and complete in its traits, and sees the tree pruned to them; fits of fewer than ``least`` nodes
+    are left out.  Rows without a group count for the whole only.
+
+    All fits of all trees go through one fold (and one before it, for residuals), whatever their number.
+    """
+    cells = []
+    for comparison, x, y, given in catalogue:
+        values = [F.col(c).cast("double") if c else F.lit(None).cast("double") for c in (x, y, given)]
+        cells.append(F.struct(F.lit(comparison).alias("comparison"), *[v.alias(k) for k, v in zip("xyz", values, strict=True)], F.lit(given is not None).alias("given")))
+    groups = F.array_compact(F.array(F.lit(label), F.col(group).cast("string")))
+    rows = traits.withColumn("_group", F.explode(groups)).select("node", "_group", F.inline(F.array(*cells)))
+    rows = rows.withColumns({c: finite(c) for c in "xyz"}).where("x is not null and y is not null and (z is not null or not given)")
+    names = F.struct("comparison", "_group", "given")
+    tips = trees.select("tree_id", F.col("child").alias("node")).distinct()
+    rows = cut(rows.join(tips, "node").select("tree_id", names.alias("_name"), "node", "x", "y", "z"), "sweep-rows")
+    sizes = rows.groupBy("tree_id", "_name").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("tree_id", "_name")
+    rows = rows.join(F.broadcast(sizes) if sizes.limit(100_001).count() <= 100_000 else sizes, ["tree_id", "_name"], "left_semi")
+    key = F.to_json(F.struct(F.col("_name.comparison").alias("c"), F.col("_name._group").alias("g")))
+    plain = rows.where("not _name.given").select("tree_id", key.alias("fit"), "node", "x", "y")
+    given = rows.where("_name.given")
+    if any(g for *_, g in catalogue):
+        onto = given.select("tree_id", "_name", "node", F.inline(F.array(F.struct(F.lit("x").alias("which"), F.col("x").alias("y"), F.col("z").alias("x")), F.struct(F.lit("y").alias("which"), F.col("y").alias("y"), F.col("z").alias("x")))))
+        left = residuals(trees, onto.select("tree_id", F.concat(key, F.col("which")).alias("fit"), "node", "x", "y"))
+        left = left.withColumns({"which": F.right("fit", F.lit(1)), "fit": F.expr("substring(fit, 1, length(fit) - 1)")})
+        both = left.groupBy("tree_id", "fit", "node").agg(*[F.max(F.when(F.col("which") == c, F.col("residual"))).alias(c) for c in "xy"])
+        plain = plain.unionByName(both)
+    out = along_tree(trees, plain)
+    parts = F.from_json("fit", "c string, g string")
+    return out.withColumn("_f", parts).select("tree_id", F.col("_f.c").alias("comparison"), F.col("_f.g").alias("group"), "slope", "intercept", "t", "p", "loglik", "n")
+
+
 def beta_fraction(a: np.ndarray, b: float, x: np.ndarray) -> np.ndarray:
     """Continued fraction of the incomplete beta function (modified Lentz)."""
     c, d = np.ones_like(x), 1 - (a + b) * x / (a + 1)

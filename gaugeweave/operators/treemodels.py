@@ -7,13 +7,15 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .hierarchy import ancestors, fold, tips_of
+from ..functions.lineage import cut
+from .hierarchy import climbed, sound, tips_of
+from .treefold import fold
 
 
 def depths(edges: DataFrame) -> DataFrame:
     """``edges`` with ``top`` and ``bottom``, the distances of parent and child from the root, and ``deepest``, the tree's largest."""
-    own = edges.select("tree_id", F.col("child").alias("ancestor"), "length")
-    far = ancestors(edges).join(own, ["tree_id", "ancestor"]).groupBy("tree_id", F.col("node").alias("child")).agg(F.sum("length").alias("bottom"))
+    edges = cut(sound(edges), "edges")
+    far = cut(climbed(edges).select("tree_id", F.col("node").alias("child"), F.col("distance").alias("bottom")), "depths")
     most = far.groupBy("tree_id").agg(F.max("bottom").alias("deepest"))
     return edges.join(far, ["tree_id", "child"]).withColumn("top", F.col("bottom") - F.col("length")).join(most, "tree_id")
 

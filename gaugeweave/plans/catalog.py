@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.nulls import finite, log10
-from ..operators import classify, clean, dedup, hierarchy, hulls, keys, measures, regress, reports, stats, textmine, treemodels
+from ..operators import classify, clean, dedup, hierarchy, hulls, keys, measures, regress, reports, stats, textmine, treefold, treemodels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -480,18 +481,21 @@ def clades_of_tips(spark, sf_dir):
 
 
 @query(f"""
-WITH c AS ({_CUST}), o AS (SELECT 'c' || c_custkey AS clade, o_orderkey, o_orderpriority AS family FROM orders JOIN c ON o_custkey = c_custkey WHERE c.tips BETWEEN 11 AND 20),
-n AS (SELECT n_nationkey, sum(tips) AS t FROM c GROUP BY 1 HAVING sum(tips) <= 20)
-SELECT clade, count(*)::BIGINT AS n, 'o' || min(o_orderkey::VARCHAR) AS tip FROM o
-WHERE clade NOT IN (SELECT 'c' || c_custkey FROM c JOIN n USING (n_nationkey)) GROUP BY 1
+WITH c AS ({_CUST}), n AS (SELECT n_nationkey, sum(tips) AS t FROM c GROUP BY 1), r AS (SELECT n_regionkey, sum(tips) AS t FROM c GROUP BY 1),
+p AS (SELECT n_regionkey AS tree, coalesce('o' || o_orderkey, 'c' || c_custkey) AS tip, o_orderstatus AS ord, floor(o_totalprice / 7)::BIGINT::VARCHAR AS family,
+  CASE WHEN r.t <= 20 THEN 'r' || n_regionkey WHEN n.t <= 20 THEN 'n' || n_nationkey WHEN c.tips <= 20 THEN 'c' || c_custkey ELSE 'o' || o_orderkey END AS clade
+  FROM c JOIN n USING (n_nationkey) JOIN r USING (n_regionkey) LEFT JOIN orders ON o_custkey = c_custkey),
+s AS (SELECT clade, count(*) AS n, min(tip) AS tip FROM p GROUP BY 1 HAVING count(*) > 10),
+f AS (SELECT family, min(clade) AS clade FROM p WHERE family IS NOT NULL GROUP BY tree, family HAVING min(clade) = max(clade))
+SELECT s.clade, s.n, s.tip, concat_ws('_', s.clade, p.ord) AS label, f.family FROM s JOIN p USING (tip) LEFT JOIN f ON f.clade = s.clade
 """)
 def large_clades(spark, sf_dir):
-    """Customers as maximal clades of 11 to 20 orders, each with its first tip."""
-    parts = hierarchy.clades(_edges(spark, sf_dir), 20)
-    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.col("o_orderpriority").alias("family"))
-    large = hierarchy.large_clades(parts, orders, 10)
-    tips = hierarchy.representatives(parts, orders.withColumnRenamed("family", "order1"))
-    return large.join(tips, ["tree_id", "clade"]).where("clade like 'c%'").select("clade", "n", "tip")
+    """Maximal clades of 11 to 20 tips, each with its first tip, and a row for every family that only it holds."""
+    parts = cut(hierarchy.clades(_edges(spark, sf_dir), 20), "clades")
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("node"), F.floor(F.col("o_totalprice") / 7).cast("string").alias("family"), F.col("o_orderstatus").alias("order1"))
+    tips = hierarchy.representatives(parts, orders)
+    large = hierarchy.large_clades(parts, 10).join(tips, ["tree_id", "clade"])
+    return large.join(hierarchy.own_families(parts, orders), ["tree_id", "clade"], "left").select("clade", "n", "tip", "label", "family")
 
 
 _STATE = "CASE WHEN {} % 3 = 0 THEN 1 ELSE 0 END"
@@ -508,10 +512,58 @@ SELECT 'n' || n_nationkey, s, sum(tips)::BIGINT, count(*) FILTER (orders > 0) FR
 def gains_and_reversals(spark, sf_dir):
     """Edges of the places' tree along which a state made from keys appears or goes, with what lies below."""
     edges = _edges(spark, sf_dir)
+    return hierarchy.state_changes(edges, _states(edges)).select("node", "change", "tips", "nodes")
+
+
+def _states(edges):
     nodes = edges.select("tree_id", F.col("child").alias("node")).unionByName(edges.select("tree_id", F.col("parent").alias("node"))).distinct()
     number = F.regexp_extract("node", "[0-9]+", 0).cast("long")
-    states = nodes.withColumn("state", F.when(F.col("node").startswith("r"), 0).otherwise(F.when(number % 3 == 0, 1).otherwise(0)))
-    return hierarchy.state_changes(edges, states).select("node", "change", F.size("tips").cast("long").alias("tips"), "nodes")
+    return nodes.withColumn("state", F.when(F.col("node").startswith("r"), 0).otherwise(F.when(number % 3 == 0, 1).otherwise(0)))
+
+
+_PLACED = f"""
+WITH t AS (SELECT coalesce('o' || o_orderkey, 'c' || c_custkey) AS tip, 'o' || o_orderkey AS o, 'c' || c_custkey AS c, 'n' || n_nationkey AS n, 'r' || n_regionkey AS r,
+    {_STATE.format("o_orderkey")} AS so, {_STATE.format("c_custkey")} AS sc, {_STATE.format("n_nationkey")} AS sn
+  FROM customer JOIN nation ON c_nationkey = n_nationkey LEFT JOIN orders ON o_custkey = c_custkey)
+"""
+
+
+@query(_PLACED + """
+SELECT o AS node, so - sc AS change, tip FROM t WHERE o IS NOT NULL AND so <> sc UNION ALL
+SELECT c, sc - sn, tip FROM t WHERE sc <> sn UNION ALL SELECT n, sn, tip FROM t WHERE sn = 1
+""")
+def tips_of_gains(spark, sf_dir):
+    """A row for every tip below each gain or reversal of the state."""
+    edges = _edges(spark, sf_dir)
+    return hierarchy.tips_of_changes(edges, _states(edges)).select("node", "change", "tip")
+
+
+@query(_PLACED + """
+, k AS (SELECT DISTINCT r, n, c, sc, sn FROM t), m AS (SELECT DISTINCT r, n, sn FROM t)
+SELECT o AS node, CASE WHEN so <> sc THEN o WHEN sc <> sn THEN c WHEN sn = 1 THEN n END AS shift FROM t WHERE o IS NOT NULL UNION ALL
+SELECT c, CASE WHEN sc <> sn THEN c WHEN sn = 1 THEN n END FROM k UNION ALL SELECT n, CASE WHEN sn = 1 THEN n END FROM m UNION ALL SELECT DISTINCT r, NULL FROM m
+""")
+def nearest_shifts(spark, sf_dir):
+    """Every node with the nearest change of state at or above it."""
+    edges = _edges(spark, sf_dir)
+    return hierarchy.shifts(edges, _states(edges)).select("node", "shift")
+
+
+@query("""
+WITH RECURSIVE k AS (SELECT o_orderkey, c_custkey, c_nationkey, n_regionkey FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 450000),
+e AS (SELECT 'c' || c_custkey AS parent, 'o' || o_orderkey AS child, o_orderkey % 5 + 1.0::DOUBLE AS v FROM k UNION
+  SELECT 'n' || c_nationkey, 'c' || c_custkey, c_custkey % 7 + 1.0::DOUBLE FROM k UNION SELECT 'r' || n_regionkey, 'n' || c_nationkey, c_nationkey + 1.0::DOUBLE FROM k),
+one AS (SELECT parent FROM e GROUP BY 1 HAVING count(*) = 1),
+up AS (SELECT child, parent, v FROM e WHERE child NOT IN (SELECT * FROM one) UNION ALL
+  SELECT up.child, e.parent, up.v + e.v FROM up JOIN e ON e.child = up.parent WHERE up.parent IN (SELECT * FROM one))
+SELECT child, parent, v AS length FROM up WHERE parent NOT IN (SELECT * FROM one)
+""")
+def contracted_tree(spark, sf_dir):
+    """The places' tree pruned to the dearest orders, its single-child chains merged."""
+    dear = table(spark, sf_dir, "orders").where("o_totalprice > 450000").select(F.concat(F.lit("o"), "o_orderkey").alias("node"))
+    edges = _edges(spark, sf_dir)
+    keep = dear.join(edges.select("tree_id", F.col("child").alias("node")), "node")
+    return hierarchy.contracted(hierarchy.pruned(edges, keep)).select("child", "parent", "length")
 
 
 def _tips(spark, sf_dir):
@@ -536,10 +588,53 @@ g AS (WITH {_level("k", "r", "0.0::DOUBLE", "r").strip()})
 SELECT r::VARCHAR AS tree_id, round(sxy / sxx, 6) AS slope, round(y - sxy / sxx * x, 4) AS intercept, n::BIGINT AS n FROM g
 """)
 def tree_regressions(spark, sf_dir):
-    fits = hierarchy.fold(_edges(spark, sf_dir), _tips(spark, sf_dir))
+    fits = treefold.fold(_edges(spark, sf_dir), _tips(spark, sf_dir))
     return fits.select("tree_id", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
 
 
+def _sweep_sql() -> str:
+    """Nested sums over region > nation > customer, for fits on the traits and, before, for those on the third trait."""
+    def fold(name: str, src: str, keys: str) -> str:
+        return f"""
+{name}1 AS (WITH {_level(src, f"{keys}, r, k", "k % 5 + 1 + t * 0.5::DOUBLE", f"{keys}, r, k").strip()}),
+{name}2 AS (WITH {_level(f"{name}1", f"{keys}, r", "r + 1.0::DOUBLE + t", f"{keys}, r").strip()}),
+{name}3 AS (WITH {_level(f"{name}2", keys, "0.0::DOUBLE", keys).strip()})"""
+
+    zero = "0.0::DOUBLE AS sxx, 0.0::DOUBLE AS sxy, 1 AS n"
+    return f"""
+WITH b AS (
+  SELECT t, n_regionkey AS r, n_nationkey AS k, c_custkey AS c, c_custkey % 7 + 1 + t % 2 + 0.0::DOUBLE AS v, unnest(['ALL', c_mktsegment]) AS grp, (c_custkey % 97)::DOUBLE AS p,
+    CASE WHEN c_custkey % 11 <> 0 THEN c_acctbal / 1000 END AS q, (c_custkey % 31)::DOUBLE AS z FROM customer JOIN nation ON c_nationkey = n_nationkey, (SELECT unnest(range(5)) AS t)),
+g AS (SELECT t, grp, r, k, c, v, p, q, z FROM b WHERE q IS NOT NULL),
+ox AS (SELECT t, grp, r, k, c, v, z AS x, p AS y, {zero} FROM g), oy AS (SELECT t, grp, r, k, c, v, z AS x, q AS y, {zero} FROM g), {fold("ax", "ox", "t, grp")}, {fold("ay", "oy", "t, grp")},
+s AS (SELECT t, grp, ax3.sxy / ax3.sxx AS slope_x, ax3.y - ax3.sxy / ax3.sxx * ax3.x AS ix, ay3.sxy / ay3.sxx AS slope_y, ay3.y - ay3.sxy / ay3.sxx * ay3.x AS iy FROM ax3 JOIN ay3 USING (t, grp)),
+o AS (SELECT 'parts' AS cmp, t, grp, r, k, c, v, z AS x, p AS y, {zero} FROM b UNION ALL SELECT 'balance', t, grp, r, k, c, v, p, q, {zero} FROM g UNION ALL
+  SELECT 'given', t, grp, r, k, c, v, p - ix - slope_x * z, q - iy - slope_y * z, {zero} FROM g JOIN s USING (t, grp)), {fold("f", "o", "cmp, t, grp")}
+SELECT t::VARCHAR AS tree_id, cmp AS comparison, grp AS "group", round(sxy / sxx, 6) + 0 AS slope, round(y - sxy / sxx * x, 4) + 0 AS intercept, n::BIGINT AS n FROM f3
+"""
+
+
+def _place_trees(spark, sf_dir):
+    """Five trees over the same customers, whose lengths differ by tree."""
+    nation, customer, t = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer"), F.col("t")
+    of = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    region = nation.select(F.lit("root").alias("parent"), of("r", "n_regionkey").alias("child"), F.col("n_regionkey").alias("i"), F.lit(0).alias("kind")).distinct()
+    below = nation.select(of("r", "n_regionkey").alias("parent"), of("n", "n_nationkey").alias("child"), F.col("n_nationkey").alias("i"), F.lit(1).alias("kind"))
+    tips = customer.select(of("n", "c_nationkey").alias("parent"), of("c", "c_custkey").alias("child"), F.col("c_custkey").alias("i"), F.lit(2).alias("kind"))
+    every = region.unionByName(below).unionByName(tips).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    length = F.when(F.col("kind") == 0, F.col("i") + 1 + t).when(F.col("kind") == 1, F.col("i") % 5 + 1 + t * 0.5).otherwise(F.col("i") % 7 + 1 + t % 2)
+    return every.select(t.cast("string").alias("tree_id"), "parent", "child", length.cast("double").alias("length"))
+
+
+@query(_sweep_sql())
+def tree_sweep(spark, sf_dir):
+    """Three comparisons, one of them given a third trait, for all customers and each segment along five trees."""
+    k = F.col("c_custkey")
+    traits = table(spark, sf_dir, "customer").select(F.concat(F.lit("c"), k.cast("string")).alias("node"), F.col("c_mktsegment").alias("segment"), (k % 97).alias("p"), F.when(k % 11 != 0, F.col("c_acctbal") / 1000).alias("q"), (k % 31).alias("z"))
+    out = regress.sweep(_place_trees(spark, sf_dir), traits, [("parts", "z", "p", None), ("balance", "p", "q", None), ("given", "p", "q", "z")], "segment")
+    return out.select("tree_id", "comparison", "group", (F.round("slope", 6) + 0).alias("slope"), (F.round("intercept", 4) + 0).alias("intercept"), F.col("n").cast("long").alias("n"))
+
+
 @query()
 def tree_regression_tests(spark, sf_dir):
     return regress.along_tree(_edges(spark, sf_dir), _tips(spark, sf_dir))
@@ -563,7 +658,7 @@ g AS (WITH {_level("k", "r", "0.0::DOUBLE", "r").strip()})
 SELECT r::VARCHAR AS tree_id, round(sxy / sxx, 6) AS slope, round(y - sxy / sxx * x, 4) AS intercept, n::BIGINT AS n FROM g
 """)
 def accelerated_regressions(spark, sf_dir):
-    fits = hierarchy.fold(treemodels.accelerated(_edges(spark, sf_dir)), _tips(spark, sf_dir))
+    fits = treefold.fold(treemodels.accelerated(_edges(spark, sf_dir)), _tips(spark, sf_dir))
     return fits.select("tree_id", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"), "n")
 
 

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gaugeweave.operators import classify, clean, hierarchy, hulls, keys, measures, regress, reports, stats, textmine, treemodels
+from gaugeweave.operators import classify, clean, hierarchy, hulls, keys, measures, regress, reports, stats, textmine, treefold, treemodels
 from gaugeweave.sources import files
 from gaugeweave.streaming import ingest
 
@@ -66,12 +66,15 @@ def test_large_clades_and_state_changes(spark):
     edges = spark.createDataFrame([("t", "r", "a", 1.0), ("t", "r", "b", 1.0), *[("t", "a", f"a{i}", 1.0) for i in range(3)], ("t", "b", "b0", 1.0), ("t", "b", "b1", 1.0), ("t", "a", "c", 1.0), ("t", "c", "c0", 1.0)], EDGES)
     parts = hierarchy.clades(edges, 4)
     families = spark.createDataFrame([("a0", "F"), ("a1", "G"), ("b0", "G"), ("c0", "H")], "node string, family string")
-    assert [tuple(r) for r in hierarchy.large_clades(parts, families, 2).collect()] == [("t", "a", 4, ["F", "H"])]
+    assert [tuple(r) for r in hierarchy.large_clades(parts, 2).collect()] == [("t", "a", 4)]
+    assert sorted(tuple(r) for r in hierarchy.own_families(parts, families).collect()) == [("t", "a", "F"), ("t", "a", "H")]
     orders = spark.createDataFrame([("a0", "O"), ("b0", "P")], "node string, order1 string")
     assert sorted((r["clade"], r["tip"], r["label"]) for r in hierarchy.representatives(parts, orders).collect()) == [("a", "a0", "a_O"), ("b", "b0", "b_P")]
     states = spark.createDataFrame([("t", x, int(x in ("a", "a0", "a1", "c", "b1"))) for x in ("r", "a", "b", "a0", "a1", "a2", "c", "c0", "b0", "b1")], "tree_id string, node string, state int")
     got = sorted((r["node"], r["change"], r["tips"], r["nodes"]) for r in hierarchy.state_changes(edges, states).collect())
-    assert got == [("a", 1, ["a0", "a1", "a2", "c0"], 1), ("a2", -1, ["a2"], 0), ("b1", 1, ["b1"], 0), ("c0", -1, ["c0"], 0)]
+    assert got == [("a", 1, 4, 1), ("a2", -1, 1, 0), ("b1", 1, 1, 0), ("c0", -1, 1, 0)]
+    tips = sorted((r["node"], r["change"], r["tip"]) for r in hierarchy.tips_of_changes(edges, states).collect())
+    assert tips == [*[("a", 1, x) for x in ("a0", "a1", "a2", "c0")], ("a2", -1, "a2"), ("b1", 1, "b1"), ("c0", -1, "c0")]
 
 
 def test_best_effort_pairing(spark):
@@ -173,8 +176,8 @@ def test_single_child_nodes_and_missing_tips(spark):
     edges = [("t", "r", "a", 1.0), ("t", "a", "b", 2.0), ("t", "b", "x", 0.5), ("t", "b", "y", 0.5), ("t", "r", "z", 1.0), ("t", "r", "w", 0.0)]
     tips = [("t", "f", "x", 1.0, 2.0), ("t", "f", "y", 2.0, 1.0), ("t", "f", "z", 3.0, 5.0)]
     e, d = spark.createDataFrame(edges, EDGES), spark.createDataFrame(tips, TIPS)
-    whole = hierarchy.fold(e, d).first()
-    less = hierarchy.fold(hierarchy.pruned(e, d.select("tree_id", "node")), d).first()
+    whole = treefold.fold(e, d).first()
+    less = treefold.fold(hierarchy.pruned(e, d.select("tree_id", "node")), d).first()
     assert whole["slope"] == pytest.approx(less["slope"]) and whole["logdet"] == pytest.approx(less["logdet"]) and whole["n"] == 3
     assert {r["node"]: r["height"] for r in hierarchy.heights(e).collect()} == {"x": 0, "y": 0, "z": 0, "w": 0, "b": 1, "a": 2, "r": 3}
 
@@ -202,7 +205,7 @@ def test_ladder_tree_equals_dense_least_squares(spark, n, most):
 
     edges, tips, v = ladder(n, random.Random(3))
     e = spark.createDataFrame(edges, EDGES).coalesce(1)
-    got = hierarchy.fold(e, spark.createDataFrame(tips, TIPS), most=most).collect()
+    got = treefold.fold(e, spark.createDataFrame(tips, TIPS), most=most).collect()
     x, y, inverse = np.array([[1.0, r[3]] for r in tips]), np.array([r[4] for r in tips]), np.linalg.inv(v)
     intercept, slope = np.linalg.solve(x.T @ inverse @ x, x.T @ inverse @ y)
     assert [r["n"] for r in got] == [n + 1]
@@ -221,8 +224,8 @@ def test_folds_in_tasks_and_by_levels_agree(spark):
         inner = {p for _, p, _, _ in edges}
         tips += [(t, f, x, rng.random(), rng.random()) for f in ("f", "g") for x in sorted(kids - inner) if rng.random() < 0.8]
     e, d = spark.createDataFrame(edges, EDGES), spark.createDataFrame(tips, TIPS)
-    one = {(r["tree_id"], r["fit"]): r for r in hierarchy.fold(e, d).collect()}
-    two = {(r["tree_id"], r["fit"]): r for r in hierarchy.fold_by_levels(e, d).collect()}
+    one = {(r["tree_id"], r["fit"]): r for r in treefold.fold(e, d).collect()}
+    two = {(r["tree_id"], r["fit"]): r for r in treefold.fold(e, d, most=0).collect()}
     assert len(one) == 4 and set(one) == set(two)
     for k, r in one.items():
         assert all(r[c] == pytest.approx(two[k][c]) for c in ("slope", "intercept", "sxx", "sxy", "syy", "logdet", "n"))
