@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from ..functions.nulls import poisoned
 from .keys import numbered
+from .select import at_ranks
 
 
 def draw(id_col: str, seed: int) -> Column:
@@ -28,10 +29,11 @@ def random_per(df: DataFrame, key: str, id_col: str, seed: int) -> DataFrame:
 
 
 def sample_fraction(df: DataFrame, key: str, id_col: str, share: float, seed: int) -> DataFrame:
-    """The rounded share of each key's rows."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumns({"_r": F.row_number().over(w.orderBy(draw(id_col, seed))), "_n": F.count("*").over(w)})
-    return ranked.where(F.col("_r") <= F.round(F.col("_n") * share)).drop("_r", "_n")
+    """The rounded share of each key's rows: those whose draw is at most the key's k-th smallest; rows of one id go together."""
+    drawn = df.withColumn("_d", draw(id_col, seed))
+    least = at_ranks(drawn, [key], "_d", lambda n: {"_limit": F.round(n * share) - 1}).select(F.col(key).alias("_k"), "_limit")
+    rows = drawn.join(least, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_d") <= F.col("_limit")), "left_semi")
+    return rows.drop("_d")
 
 
 def repeats(df: DataFrame, name: str, value: str, tolerance: float = 1e-6) -> DataFrame:
@@ -41,10 +43,16 @@ def repeats(df: DataFrame, name: str, value: str, tolerance: float = 1e-6) -> Da
 
 
 def newest_of_repeats(df: DataFrame, name: str, value: str, year: str, id_col: str) -> DataFrame:
-    """Of repeats keep the newest row (no year last, then smallest id); all other rows stay."""
-    again = repeats(df, name, value)
-    ranked = first_per(df.join(again, name, "left_semi"), name, F.col(year).desc_nulls_last(), F.col(id_col))
-    return df.join(again, name, "left_anti").unionByName(ranked.select(*df.columns))
+    """Of repeats keep the newest row (no year last, then smallest id); all other rows stay.
+
+    By aggregates and joins, as a name may have most rows; of rows equal in year and id the least by their other columns.
+    """
+    again = df.join(repeats(df, name, value), name, "left_semi")
+    last = again.groupBy(F.col(name).alias("_name")).agg(F.max(year).alias("_year"))
+    newest = again.join(last, (F.col(name) == F.col("_name")) & F.col(year).eqNullSafe(F.col("_year"))).select(*df.columns)
+    rest = [c for c in df.columns if c not in (name, id_col)]
+    kept = newest.groupBy(name).agg(F.min(F.struct(id_col, *rest)).alias("_r")).select(*[F.col(c) if c == name else F.col(f"_r.{c}").alias(c) for c in df.columns])
+    return df.join(again.select(name).distinct(), name, "left_anti").select(*df.columns).unionByName(kept)
 
 
 def repeat_split(df: DataFrame, name: str, value: str, tolerance: float = 1e-6) -> DataFrame:

@@ -36,21 +36,21 @@ def unique_references(new: DataFrame, used: DataFrame, id_col: str, order: str,
 
     The first row of an id (by ``order``) that is not in use keeps it; every other row climbs one step a round, and of
     rows that reach the same free step the first one takes it.  Rows x, x, xa become x, xab, xa: those that bring an id
-    themselves come before those that climb to it.  A round is a join and an aggregate over the rows that still climb.
+    themselves come before those that climb to it; of rows equal in order and id any one comes first.  A round is a join and an aggregate over the rows that still climb.
     """
     steps = ["", *("".join(LADDER[: k + 1]) for k in range(len(LADDER)))]
     taken = used.select(F.col(id_col).alias(name)).where(F.col(name).isNotNull()).distinct()
-    left, done = new, []
+    left, done = cut(new.withColumn("_tie", F.monotonically_increasing_id()), "references"), []
     for k, step in enumerate(steps):
         here = left.withColumn(name, F.concat(F.col(id_col), F.lit(step)))
-        first = here.join(taken, name, "left_anti").groupBy(name).agg(F.min(F.struct(order, id_col)).alias("_first"))
-        first = first.select(name, F.col(f"_first.{order}").alias("_order"), F.col(f"_first.{id_col}").alias("_id"))
-        marked = cut(here.join(first, name, "left").withColumn("_won", F.coalesce((F.col(order) == F.col("_order")) & (F.col(id_col) == F.col("_id")), F.lit(False))).drop("_order", "_id"), f"references-{k}")
+        first = here.join(taken, name, "left_anti").groupBy(name).agg(F.min(F.struct(order, id_col, "_tie")).alias("_first"))
+        first = first.select(name, F.col("_first._tie").alias("_winner"))
+        marked = cut(here.join(first, name, "left").withColumn("_won", F.coalesce(F.col("_tie") == F.col("_winner"), F.lit(False))).drop("_winner"), f"references-{k}")
         won = marked.where("_won").drop("_won")
         done.append(won.select(*new.columns, name))
         taken = taken.unionByName(won.select(name))
-        left = marked.where("not _won").select(*new.columns)
-    out = left.withColumn(name, F.lit(None).cast("string"))
+        left = marked.where("not _won").select(*new.columns, "_tie")
+    out = left.drop("_tie").withColumn(name, F.lit(None).cast("string"))
     for rows in done:
         out = out.unionByName(rows)
     return out

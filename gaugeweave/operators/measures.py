@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import all_present, col, finite, log10, present, ratio, root
+from .select import quantiles
 
 
 def estimate(mean, low, high, point) -> Column:
@@ -139,8 +140,9 @@ def without_codes(df: DataFrame, column: str, codes: list[str]) -> DataFrame:
 
 def trim_above(df: DataFrame, column: str, share: float) -> DataFrame:
     """Keep rows below the column's quantile (linear interpolation) and rows without a value."""
-    limit = df.agg(F.percentile(column, share).alias("_limit"))
-    return df.crossJoin(F.broadcast(limit)).where(F.col(column).isNull() | (F.col(column) < F.col("_limit"))).drop("_limit")  # one row
+    limit = quantiles(df, [], column, {"_limit": share}).select("_limit")
+    rows = df.join(F.broadcast(limit), F.col(column) < F.col("_limit"), "left")  # at most one row
+    return rows.where(F.col(column).isNull() | F.col("_limit").isNotNull()).drop("_limit")
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:

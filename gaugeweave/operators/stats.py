@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import log10, present
+from .select import quantiles
 
 
 def grouped_means(df: DataFrame, key: str | list[str], columns: list[str]) -> DataFrame:
@@ -57,15 +58,18 @@ def envelope(df: DataFrame, keys: list[str], columns: list[str], n: str, places:
 
 
 def five_numbers(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    five = F.percentile(column, F.array(*map(F.lit, (0.0, 0.25, 0.5, 0.75, 1.0))))
-    out = df.groupBy(*keys).agg(five.alias("_q"))
-    return out.select(*keys, *[F.col("_q")[i].alias(x) for i, x in enumerate(("low", "q1", "mid", "q3", "high"))])
+    """(keys, low, q1, mid, q3, high) of each group with a value."""
+    return quantiles(df, keys, column, {"low": 0.0, "q1": 0.25, "mid": 0.5, "q3": 0.75, "high": 1.0}).drop("n")
+
+
+def medians(df: DataFrame, keys: list[str], column: str, name: str = "median") -> DataFrame:
+    """(keys, n, name): how many values and their median, of each group with a value."""
+    return quantiles(df, keys, column, {name: 0.5})
 
 
 def interval(df: DataFrame, columns: list[str], low: float = 0.025, high: float = 0.975) -> DataFrame:
-    """(what, low, high): percentile interval of every column over the replicates."""
-    one = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in columns])
-    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("what"), F.col(c)[0].alias("low"), F.col(c)[1].alias("high")) for c in columns])).alias("x")).select("x.*")
+    """(what, low, high): percentile interval of every column over the replicates; columns without a value have none."""
+    return quantiles(wide_to_long(df, [], columns), ["what"], "value", {"low": low, "high": high}).drop("n")
 
 
 def histogram(df: DataFrame, column: str, low: float, width: float, bins: int, keys: tuple[str, ...] = (), logs: bool = True) -> DataFrame:

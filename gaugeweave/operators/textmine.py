@@ -66,13 +66,14 @@ ENDINGS = "aeimnorsx"
 def distinctive_terms(docs: DataFrame, id_col: str, text: str, corpus: DataFrame, least: int = 5, top: int = 5) -> DataFrame:
     """(id, word, n, rel, place): a document's words that are frequent in it and rare in the corpus; 100000 if unseen.
 
-    A word has over 4 letters, all of them letters, the first one small as written; it counts in lower case.
+    A word has over 4 letters, all of them letters, the first one small as written, the last one of ENDINGS in lower case;
+    it counts in lower case.  Totals are counted per document, apart from the words.
     """
-    words = docs.select(id_col, F.explode(word_list(text)).alias("_w"), F.size(word_list(text)).alias("total"))
-    good = words.where(F.col("_w").rlike(f"^[a-z][A-Za-z]{{3,}}[{ENDINGS}]$")).withColumn("word", F.lower("_w"))
-    counted = good.groupBy(id_col, "word").agg(F.count("*").alias("n"), F.max("total").alias("total")).where(F.col("n") > least)
+    words = docs.select(id_col, F.explode(word_list(text)).alias("_w")).where(F.col("_w").rlike("^[a-z][A-Za-z]{4,}$")).select(id_col, F.lower("_w").alias("word"))
+    counted = words.where(F.col("word").rlike(f"[{ENDINGS}]$")).groupBy(id_col, "word").agg(F.count("*").alias("n")).where(F.col("n") > least)
+    totals = docs.select(id_col, F.size(word_list(text)).alias("_k")).groupBy(id_col).agg(F.sum("_k").alias("total"))
     rel = F.coalesce(F.col("n") / F.col("total") / F.col("freq"), F.lit(100000.0))
-    ranked = counted.join(corpus, "word", "left").withColumn("rel", rel)
+    ranked = counted.join(totals, id_col).join(corpus, "word", "left").withColumn("rel", rel)
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("rel"), F.desc("n"), "word"))
     return ranked.withColumn("place", place).where(F.col("place") <= top).select(id_col, "word", "n", "rel", "place")
 
@@ -90,6 +91,9 @@ def preceding_name(docs: DataFrame, id_col: str, text: str, terms: DataFrame) ->
     )
 
 
+DIGITS = 4  # so many digits in a window count, by 2
+
+
 def window_score(text) -> Column:
     text = col(text)
     score = F.lit(0)
@@ -98,15 +102,49 @@ def window_score(text) -> Column:
         for t in terms:
             hit = hit | text.contains(t)
         score = score + F.when(hit, weight).otherwise(0)
-    return score + F.when(F.regexp_count(text, F.lit("[0-9]")) > 3, 2).otherwise(0)
+    return score + F.when(F.regexp_count(text, F.lit("[0-9]")) >= DIGITS, 2).otherwise(0)
+
+
+def events(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(id, _size, _at, _what): a positional index, a row for every place (from 0) where a term or a digit begins; found once a text."""
+    terms = sorted({t for group, _ in TERMS for t in group}, key=lambda t: (-len(t), t))
+    first = "".join(sorted({t[0] for t in terms}))  # most places are passed by one look at a letter
+    ahead = f"(?=[0-9{first}])(?=({'|'.join(terms)}|[0-9]))"
+    pieces, what = F.split(F.col(text), ahead), F.regexp_extract_all(F.col(text), F.lit(ahead), 1)
+    sizes = F.transform(pieces, F.length)
+    # A text that begins with an event has no piece before it.
+    led = docs.select(id_col, F.length(text).alias("_size"), sizes.alias("_sizes"), what.alias("_whats"))
+    lead = F.when(F.size("_sizes") > F.size("_whats"), F.concat(F.array(F.lit("")), F.col("_whats"))).otherwise(F.col("_whats"))
+    rows = led.where(F.size("_whats") > 0).select(id_col, "_size", F.posexplode(F.arrays_zip(F.col("_sizes").alias("n"), lead.alias("what"))).alias("_i", "_e"))
+    before = Window.partitionBy(id_col).orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(id_col, "_size", F.coalesce(F.sum("_e.n").over(before), F.lit(0)).alias("_at"), F.col("_e.what").alias("_what")).where("_what <> ''")
 
 
 def best_windows(docs: DataFrame, id_col: str, text: str, size: int = 400, step: int = 20) -> DataFrame:
-    """(id, start, score): the first window of the best score above 0; texts shorter than a window have none."""
-    # A window scores only with a rewarded term or digits, which its document then holds too.
-    may = F.col(text).rlike("|".join(t for terms, weight in TERMS if weight > 0 for t in terms)) | (F.regexp_count(text, F.lit("[0-9]")) > 3)
-    starts = docs.where((F.length(text) >= size) & may).select(id_col, text, F.explode(F.sequence(F.lit(0), F.floor(F.length(text) / step).cast("int") - 1)).alias("k"))
-    scored = starts.select(id_col, (F.col("k") * step).alias("start"), window_score(F.substring(F.col(text), F.col("k") * step + 1, F.lit(size))).alias("score")).where("score > 0")
+    """(id, start, score): the first window of the best score above 0; texts shorter than a window have none.
+
+    An event counts in a range of windows.  So scores change only where a range begins or ends, and running sums over these
+    places give them all: work grows with the events of a text, not with its windows' letters.  Ids must differ.
+    """
+    found = events(docs.where(F.length(text) >= size), id_col, text)
+    last = F.floor(F.col("_size") / step) - 1
+    kinds = [(f"_g{i}", F.array(*[F.struct(F.lit(t).alias("t"), F.lit(len(t)).alias("n")) for t in group])) for i, (group, _) in enumerate(TERMS)]
+    hit = lambda c: F.filter(c, lambda t: F.startswith(F.col("_what"), t["t"]))
+    # Of a group's terms that begin here the shortest fits most windows.
+    spans = [F.struct(F.lit(k).alias("kind"), F.array_min(F.transform(hit(c), lambda t: t["n"])).alias("n")) for k, c in kinds]
+    spans.append(F.struct(F.lit("_digits").alias("kind"), F.when(F.col("_what").rlike("^[0-9]"), 1).alias("n")))
+    each = found.withColumn("_last", last).select(id_col, "_last", "_at", F.inline(F.array(*spans))).where("n is not null")
+    low = F.greatest(F.lit(0), F.ceil((F.col("_at") + F.col("n") - size) / step))
+    ends = F.array(F.struct(low.alias("k"), F.lit(1).alias("d")), F.struct((F.floor(F.col("_at") / step) + 1).alias("k"), F.lit(-1).alias("d")))
+    names = [*(k for k, _ in kinds), "_digits"]
+    moves = each.select(id_col, "_last", "kind", F.inline(ends)).where("k <= _last")
+    moves = moves.groupBy(id_col, "k").agg(*[F.sum(F.when(F.col("kind") == k, F.col("d")).otherwise(0)).alias(k) for k in names])
+    so_far = Window.partitionBy(id_col).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    sums = moves.select(id_col, "k", *[F.sum(k).over(so_far).alias(k) for k in names])
+    score = F.when(F.col("_digits") >= DIGITS, 2).otherwise(0)
+    for (name, _), (_, weight) in zip(kinds, TERMS, strict=True):
+        score = score + F.when(F.col(name) > 0, weight).otherwise(0)
+    scored = sums.select(id_col, (F.col("k") * step).cast("int").alias("start"), score.alias("score")).where("score > 0")
     return scored.groupBy(id_col).agg(F.max(F.struct("score", (-F.col("start")).alias("_s"))).alias("b")).select(id_col, (-F.col("b._s")).alias("start"), F.col("b.score").alias("score"))
 
 

@@ -376,7 +376,7 @@ def word_frequencies(spark, sf_dir):
 
 _TERMS = _FREQ + r""", d AS (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+')) AS word FROM documents),
 t AS (SELECT doc_id, count(*) AS total FROM d GROUP BY 1),
-g AS (SELECT doc_id, lower(word) AS word, count(*) AS n FROM d WHERE regexp_full_match(word, '[a-z][A-Za-z]{3,}[aeimnorsx]') GROUP BY ALL HAVING count(*) > 5),
+g AS (SELECT doc_id, lower(word) AS word, count(*) AS n FROM d WHERE regexp_full_match(word, '[a-z][A-Za-z]{4,}') AND regexp_matches(lower(word), '[aeimnorsx]$') GROUP BY ALL HAVING count(*) > 5),
 r AS (SELECT doc_id, word, n, coalesce(n::DOUBLE / total / freq, 100000) AS rel FROM g JOIN t USING (doc_id) LEFT JOIN f USING (word))
 """
 
@@ -702,7 +702,7 @@ b AS (SELECT o_orderpriority, median(o_totalprice) AS mid, count(*)::BIGINT AS n
 SELECT o_orderpriority, a.mid AS whole_mid, a.n AS whole_n, b.mid AS done_mid, b.n AS done_n FROM a LEFT JOIN b USING (o_orderpriority)
 """)
 def results_side_by_side(spark, sf_dir):
-    each = lambda t: t.groupBy("o_orderpriority").agg(F.median("o_totalprice").alias("mid"), F.count("*").alias("n"))
+    each = lambda t: stats.medians(t, ["o_orderpriority"], "o_totalprice", "mid")
     orders = table(spark, sf_dir, "orders")
     return reports.side_by_side(each(orders), each(orders.where("o_orderstatus = 'F'")), ["o_orderpriority"], ["mid", "n"], ("whole", "done"))
 
