@@ -65,3 +65,32 @@ def counts_by_rank(df: DataFrame, ranks: list[str], totals: DataFrame) -> DataFr
     long = df.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rank"), F.col(r).cast("string").alias("taxon")) for r in ranks])).alias("x")).select("x.*")
     counted = long.where(F.coalesce("taxon", F.lit("")) != "").groupBy("rank", "taxon").agg(F.count("*").alias("n"))
     return counted.join(totals.select("rank", "taxon", "total"), ["rank", "taxon"], "left")
+
+
+def lineage_counts(df: DataFrame, ranks: list[str], tip: str, totals: DataFrame) -> DataFrame:
+    """(rank, taxon, parent_rank, parent, parents, n, tips, total) of every taxon in the rank columns, coarse to fine.
+
+    ``n`` counts records, ``tips`` different values of ``tip`` below the taxon.  A record's parent of a taxon is its nearest
+    filled coarser rank; blank and null ranks are gaps.  ``parents`` counts the different ones: above 1 is a conflict, of
+    which the parent of most records is taken (of equal ones the smallest).  ``totals`` has (rank, taxon, total).
+    """
+    filled = [F.when(F.trim(F.col(r).cast("string")) != "", F.col(r).cast("string")) for r in ranks]
+    rows = []
+    for i, rank in enumerate(ranks):
+        above = F.coalesce(*[F.when(filled[k].isNotNull(), F.struct(F.lit(ranks[k]).alias("rank"), filled[k].alias("taxon"))) for k in reversed(range(i))]) if i else F.lit(None).cast("struct<rank:string,taxon:string>")
+        rows.append(F.struct(F.lit(rank).alias("rank"), filled[i].alias("taxon"), above.alias("up")))
+    long = df.select(F.col(tip).alias("_tip"), F.inline(F.array(*rows))).where("taxon is not null")
+    # By parent and tip first, so that a taxon may hold most records.
+    by_tip = long.groupBy("rank", "taxon", "up", "_tip").agg(F.count("*").alias("_n"))
+    by_parent = by_tip.groupBy("rank", "taxon", "up").agg(F.sum("_n").alias("_n"))
+    order = F.struct(F.col("up").isNotNull(), F.col("_n"))
+    most = by_parent.groupBy("rank", "taxon").agg(F.max(order).alias("_most"), F.count("up").alias("parents"), F.sum("_n").alias("n"))
+    chosen = by_parent.withColumn("_o", order).join(most, ["rank", "taxon"]).where("_o = _most").groupBy("rank", "taxon", "parents", "n").agg(F.min("up").alias("up"))
+    tips = by_tip.groupBy("rank", "taxon").agg(F.count_distinct("_tip").alias("tips"))
+    out = chosen.join(tips, ["rank", "taxon"]).join(totals.select("rank", "taxon", "total"), ["rank", "taxon"], "left")
+    return out.select("rank", "taxon", F.col("up.rank").alias("parent_rank"), F.col("up.taxon").alias("parent"), "parents", "n", "tips", "total")
+
+
+def sorted_taxa(df: DataFrame, ranks: list[str]) -> DataFrame:
+    """(taxon): the different names of all rank columns, sorted."""
+    return df.select(F.explode(F.array(*[F.col(r).cast("string") for r in ranks])).alias("taxon")).where("trim(taxon) <> ''").distinct().orderBy("taxon")

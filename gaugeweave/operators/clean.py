@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.nulls import col
 
-#: Two-letter keys: kind (mean, deviation, least, most, point) and dimension (length, width, breadth, volume).
+#: Two-letter keys of kind (mean, deviation, least, most, point) and dimension (length, width, breadth, volume).
 KINDS, SIDES = "admxp", "lwbv"
 NUMERIC = [k + d for d in SIDES for k in KINDS]
 EXPECTED = [*NUMERIC, "s", "g", "b", "cg", "cs", "order1", "cln", "i", "ID", "!", "W", "pd"]
+#: How further keys that may occur begin.
 PREFIXES = ("tax_", "bib_", "im_", "problem", "dbl")
 
 
@@ -118,15 +122,6 @@ def checked(df: DataFrame, entry: str) -> DataFrame:
     return df.withColumn("status", F.when(done == "sqky", done).otherwise(stage))
 
 
-def reordered(entry) -> Column:
-    """Halves of disordered pairs changed for each other: deviation and mean, least and most."""
-    e = col(entry)
-    swapped = [F.when((number(e, low + s) >= number(e, high + s)), F.array(F.lit(low + s), F.lit(high + s))) for s in SIDES for low, high in ("da", "mx")]
-    wrong = F.flatten(F.array_compact(F.array(*swapped)))
-    other = lambda k: F.concat(F.translate(F.substring(k, 1, 1), "damx", "adxm"), F.substring(k, 2, 1))
-    return F.transform_values(e, lambda k, v: F.when(F.array_contains(wrong, k), F.element_at(e, other(k))).otherwise(v))
-
-
 def _fixed(joined: DataFrame, entry: str) -> DataFrame:
     """Apply the map ``_fix`` to the entry and mark it as double-checked; entries without one stay."""
     kept = F.map_filter(entry, lambda k, v: ~F.map_contains_key("_fix", k) & (k != "dbl_chk"))
@@ -161,6 +156,44 @@ def corrected_by_taxon(df: DataFrame, entry: str, corrections: DataFrame) -> Dat
     return _fixed(joined.withColumn("_fix", F.coalesce("_one", "_two")), entry).drop("_one", "_two", "_fix")
 
 
+#: What the checks of a record are called, in the order of their stages.
+CHECKS = {"lone half": lone_halves, "conflict": conflicting, "required key": missing_keys, "unexpected key": unexpected, "no number": not_numbers, "out of range": out_of_range, "out of order": disordered}
+
+
+def failing(entry) -> Column:
+    """The names of the checks that a record fails, in the order of CHECKS; a record without a measurement or image fails ``nothing measured``."""
+    bad = [F.when(F.size(check(entry)) > 0, F.lit(name)) for name, check in CHECKS.items()]
+    return F.array_compact(F.array(*bad, F.when(~measured(entry), F.lit("nothing measured"))))
+
+
+def repaired(entry) -> Column:
+    """The suggested move of a stray number to its pair, then halves of pairs in their order."""
+    e, move = col(entry), suggestion(entry)
+    strays = unexpected(e)
+    moved = F.map_concat(F.map_filter(e, lambda k, v: ~(F.array_contains(strays, k) & v.try_cast("double").isNotNull())), F.create_map(move["key"], move["value"]))
+    return in_order(F.when(move.isNotNull(), moved).otherwise(e))
+
+
+def cleaning_loop(df: DataFrame, entry: str, corrections: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Check, correct and repair, check again: (good records, quarantined ones with ``failing``, counts by stage).
+
+    Corrections (ID, key, new_value) come first, then the repairs of ``repaired``, each to records that are not finished
+    yet.  Both results have ``before`` and ``status``.  The result is written once; ``counts`` are observed in that pass:
+    records, good before, corrected, good after, quarantined.
+    """
+    first = checked(df, entry).withColumnRenamed("status", "before")
+    fixed = corrected(first, entry, corrections)
+    todo = F.col("before") != "sqky"
+    e = F.col(entry)
+    was_fixed = has(e, "dbl_chk")
+    again = fixed.withColumn("_fixed", was_fixed).withColumn(entry, F.when(todo, repaired(entry)).otherwise(e))
+    again = checked(again, entry).withColumn("failing", failing(entry))
+    good = F.col("status") == "sqky"
+    seen = Observation(f"cleaning-{uuid.uuid4().hex}")
+    whole = cut(again.observe(seen, F.count("*").alias("records"), F.count_if(~todo).alias("good before"), F.count_if("_fixed").alias("corrected"), F.count_if(good).alias("good after"), F.count_if(~good).alias("quarantined")).drop("_fixed"), "cleaned")
+    return whole.where(good).drop("failing"), whole.where(~good), {k: int(v) for k, v in seen.get.items()}
+
+
 def dimension_is_good(entry, side: str) -> Column:
     """A point alone, a mean with deviation, or a least with most."""
     e = col(entry)

@@ -50,7 +50,7 @@ def at_ranks(df: DataFrame, keys: list[str], column: str, ranks: Callable[[Colum
 def quantiles(df: DataFrame, keys: list[str], column: str, shares: dict[str, float]) -> DataFrame:
     """(keys, n, a column per name): quantiles with linear interpolation; null for a group without a value.
 
-    NaN sorts above all numbers.  Without keys there is one row, or none where no value is.
+    NaN sorts above all numbers.  Without keys there is one row, of nulls where no value is.
     """
     def places(n: Column) -> dict[str, Column]:
         at = {k: (n - 1) * F.lit(q) for k, q in shares.items()}

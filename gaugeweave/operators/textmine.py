@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.nulls import col
 
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
@@ -80,14 +81,14 @@ def distinctive_terms(docs: DataFrame, id_col: str, text: str, corpus: DataFrame
 
 def preceding_name(docs: DataFrame, id_col: str, text: str, terms: DataFrame) -> DataFrame:
     """(id, first, second): the best candidate that follows a capitalised word of over 3 letters; else blank and the best."""
-    words = docs.select(id_col, word_list(text).alias("ws"))
-    at = terms.join(words, id_col).withColumn("i", F.array_position("ws", F.col("word")).cast("int"))
+    words = docs.select(id_col, word_list(text).alias("_ws"))
+    at = terms.join(words, id_col).withColumn("_i", F.array_position("_ws", F.col("word")).cast("int"))
     # The first word's one before is the last; a word that the text holds in other letters only has none.
-    before = F.element_at("ws", F.when(F.col("i") > 1, F.col("i") - 1).when(F.col("i") == 1, F.size("ws")))
-    at = at.withColumn("before", before).withColumn("named", (F.length("before") > 3) & F.col("before").rlike("^[A-Z]"))
+    before = F.element_at("_ws", F.when(F.col("_i") > 1, F.col("_i") - 1).when(F.col("_i") == 1, F.size("_ws")))
+    at = at.withColumn("_before", before).withColumn("_named", (F.length("_before") > 3) & F.col("_before").rlike("^[A-Z]"))
     return at.groupBy(id_col).agg(
-        F.coalesce(F.min_by("before", F.when(F.col("named"), F.col("place"))), F.lit("")).alias("first"),
-        F.coalesce(F.min_by("word", F.when(F.col("named"), F.col("place"))), F.min_by("word", "place")).alias("second"),
+        F.coalesce(F.min_by("_before", F.when(F.col("_named"), F.col("place"))), F.lit("")).alias("first"),
+        F.coalesce(F.min_by("word", F.when(F.col("_named"), F.col("place"))), F.min_by("word", "place")).alias("second"),
     )
 
 
@@ -207,3 +208,46 @@ def mined(docs: DataFrame, id_col: str, text: str, keywords: list[str], size: in
     passage = found.withColumn("passage", F.substring(F.col("_t"), F.col("start") + 1, F.lit(size)))
     at = passage.withColumn("at", keyword_position("passage", keywords))
     return at.select(id_col, "start", "score", "at", number_near("passage", "at").alias("number"))
+
+
+def mine_corpus(docs: DataFrame, id_col: str, sample: str, first: str, second: str, keywords: dict[str, list[str]], corpus: DataFrame | None = None, size: int = 400, little: int = 150) -> DataFrame:
+    """The whole chain, a row per document: route, low_text, first and second name, best window, numbers by keyword, status.
+
+    ``sample`` (the first pages) decides which text is used: ``first``, ``first`` without letter spacing, or ``second``.
+    Of each kind in ``keywords`` there are two columns, its place in the best window and the number nearest to it.
+    ``corpus`` has word frequencies; without it they are those of the used texts.  ``low_text`` tells that the used text has
+    fewer than ``little`` words.  ``status``: ``no window`` (nothing scores, or too short), ``no keyword``, ``no number``, or
+    ``mined``.  Used texts are written once and read by all steps.  Ids must differ; null texts are empty.
+    """
+    mean, n = word_stats(sample)
+    route = F.when((mean < 2) & (n > 150), "thinned").when((mean > 8) | (n < 150), "second").otherwise("first")
+    chosen, _ = routed(sample, first, second)
+    texts = docs.select(id_col, route.alias("route"), F.coalesce(chosen, F.lit("")).alias("_raw")).select(id_col, "route", collapsed(cleaned("_raw")).alias("_t"))
+    texts = cut(texts.withColumn("low_text", F.size(word_list("_t")) < little), "texts")
+    terms = cut(distinctive_terms(texts, id_col, "_t", corpus_frequencies(texts, "_t") if corpus is None else corpus), "terms")
+    named = preceding_name(texts, id_col, "_t", terms).withColumnsRenamed({"first": "first_name", "second": "second_name"})
+    out = texts.join(best_windows(texts, id_col, "_t", size), id_col, "left").withColumn("_p", F.substring(F.col("_t"), F.col("start") + 1, F.lit(size)))
+    for kind, words in keywords.items():
+        out = out.withColumn(f"{kind}_at", keyword_position("_p", words))
+        out = out.withColumn(f"{kind}_number", number_near("_p", f"{kind}_at"))
+    at, numbers = ([F.col(f"{k}_{x}") for k in keywords] for x in ("at", "number"))
+    status = F.when(F.col("start").isNull(), "no window").when(F.coalesce(*at).isNull(), "no keyword").when(F.coalesce(*numbers).isNull(), "no number").otherwise("mined")
+    pairs = [c for k in keywords for c in (f"{k}_at", f"{k}_number")]
+    return out.withColumn("status", status).join(named, id_col, "left").select(id_col, "route", "low_text", "first_name", "second_name", "start", "score", *pairs, "status")
+
+
+def merged_clips(clips: DataFrame, id_col: str, order: str, mode: str, side: str, text: str) -> DataFrame:
+    """(id, entry): captured clips as one record each, keys of a mode's letter and a side's; later clips win, key by key.
+
+    Two numbers: p gives length and width, a and d mean and deviation, m and x least and most of the side; else the text
+    as it is goes under the clip's own mode and side.  Of clips equal in order the larger value wins; clips without text,
+    mode or side say nothing.
+    """
+    one, two = two_numbers(text)
+    m, s, both = F.col(mode), F.col(side), two.isNotNull()
+    names = F.when(m == "p", F.array(F.lit("pl"), F.lit("pw"))).when(m.isin("a", "d"), F.array(F.concat(F.lit("a"), s), F.concat(F.lit("d"), s))).when(m.isin("m", "x"), F.array(F.concat(F.lit("m"), s), F.concat(F.lit("x"), s)))
+    pair = F.array(F.struct(names[0].alias("key"), one.alias("value")), F.struct(names[1].alias("key"), two.alias("value")))
+    alone = F.array(F.struct(F.concat(m, s).alias("key"), one.alias("value")))
+    rows = clips.select(id_col, F.col(order).alias("_o"), F.inline(F.when(both & names.isNotNull(), pair).otherwise(alone))).where("key is not null and value is not null")
+    last = rows.groupBy(id_col, "key").agg(F.max(F.struct("_o", "value"))["value"].alias("value"))
+    return last.groupBy(id_col).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("entry"))  # as many as there are keys

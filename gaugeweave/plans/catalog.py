@@ -954,3 +954,122 @@ def swapped_pairs(spark, sf_dir):
     entry = F.create_map(F.lit("al"), F.col("p_size").cast("string"), F.lit("dl"), (k % 40).cast("string"), F.lit("xl"), (k % 25).cast("string"), F.lit("ml"), F.when(k % 3 != 0, (k % 30).cast("string")))
     rows = table(spark, sf_dir, "part").select("p_partkey", clean.in_order(F.map_filter(entry, lambda _, v: v.isNotNull())).alias("e"))
     return rows.select("p_partkey", *[clean.number(F.col("e"), n).alias(n) for n in ("dl", "al", "ml", "xl")])
+
+
+_WS = r"[ \t\n\x0B\f\r]"
+_CHAIN = rf"""
+WITH v AS (SELECT doc_id, coalesce(text, '') AS t, CASE WHEN doc_id % 7 = 0 THEN regexp_replace(coalesce(text, ''), '([^ \t\n\x0B\f\r])', '\1 ', 'g') WHEN doc_id % 5 = 0 THEN substr(coalesce(text, ''), 1, 400) ELSE coalesce(text, '') END AS f FROM documents),
+w AS (SELECT *, substr(f, 1, 3000) AS p, len(regexp_extract_all(substr(f, 1, 3000), '[^ \t\n\x0B\f\r]+')) AS n FROM v),
+m AS (SELECT *, CASE WHEN n > 0 THEN length(regexp_replace(p, '{_WS}', '', 'g')) / n ELSE 0 END AS mean FROM w),
+q AS (SELECT doc_id, CASE WHEN mean < 2 AND n > 150 THEN 'thinned' WHEN mean > 8 OR n < 150 THEN 'second' ELSE 'first' END AS route, t, f FROM m),
+used AS MATERIALIZED (SELECT doc_id, route, regexp_replace(regexp_replace(CASE route WHEN 'thinned' THEN regexp_replace(f, '{_WS}({_WS}*)', '\1', 'g') WHEN 'second' THEN t ELSE f END, '[^\x20-\x7E\t\n\x0B\f\r]', '?', 'g'), '{_WS}+', ' ', 'g') AS text FROM q),
+"""
+_CHAIN += (_TERMS.replace("WITH w AS", "fw AS").replace("FROM w GROUP", "FROM fw GROUP").replace("documents", "used").strip() + r""",
+pt AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rel DESC, n DESC, word) AS place FROM r),
+vv AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS ws FROM used),
+ii AS (SELECT doc_id, word, place, ws, list_position(ws, word) AS i FROM pt JOIN vv USING (doc_id) WHERE place <= 5),
+bb AS (SELECT *, CASE WHEN i > 1 THEN ws[i - 1] WHEN i = 1 THEN ws[len(ws)] END AS before FROM ii),
+nn AS (SELECT *, coalesce(length(before) > 3 AND regexp_matches(before, '^[A-Z]'), false) AS named FROM bb),
+names AS (SELECT doc_id, coalesce(arg_min(before, place) FILTER (named), '') AS first_name, coalesce(arg_min(word, place) FILTER (named), arg_min(word, place)) AS second_name FROM nn GROUP BY 1),
+""" + rf"""
+kk AS (SELECT doc_id, text, unnest(range(greatest(length(text) // 20, 1))) * 20 AS start FROM used WHERE length(text) >= 400),
+ss AS (SELECT doc_id, start, substr(text, start + 1, 400) AS s FROM kk), cc AS (
+  SELECT doc_id, start, s, {_SCORE} + CASE WHEN length(regexp_replace(s, '[^0-9]', '', 'g')) > 3 THEN 2 ELSE 0 END AS score FROM ss),
+best AS (SELECT doc_id, arg_max(start, score * 1000000000 - start) AS start, max(score) AS score, arg_max(s, score * 1000000000 - start) AS p FROM cc WHERE score > 0 GROUP BY 1),
+""")
+
+
+def _near_sql(name: str, words: list[str]) -> str:
+    """Place of the first keyword in ``best.p`` and the number nearest to it."""
+    at = ", ".join(f"nullif(instr(p, '{w}'), 0)" for w in words)
+    return rf"""{name}h AS (SELECT doc_id, coalesce({at}) AS pos, substr(p, 1, pos - 1) AS l, substr(p, pos + 1) AS r FROM best),
+{name}f AS (SELECT *, CASE WHEN regexp_matches(l, '[0-9]') THEN length(regexp_extract(l, '(?s)[0-9]([^0-9]*)$', 1)) END AS fl, CASE WHEN regexp_matches(r, '[0-9]') THEN length(regexp_extract(r, '(?s)^([^0-9]*)[0-9]', 1)) END AS fr FROM {name}h),
+{name}n AS (SELECT doc_id, pos::INTEGER AS {name}_at, regexp_replace(CASE WHEN fl IS NULL AND fr IS NULL THEN NULL WHEN fl IS NOT NULL AND (fr IS NULL OR fl <= fr) THEN regexp_extract(l, '(?s)([^A-Za-z]*[0-9])[^0-9]*$', 1) ELSE regexp_extract(r, '(?s)^[^0-9]*([0-9][^A-Za-z]*)', 1) END, '^[\s!-/:-@\[-`{{-~]+|[\s!-/:-@\[-`{{-~]+$', '', 'g') AS {name}_number FROM {name}f),
+"""
+
+
+_KINDS = {"length": ["mm", "long", "length"], "width": ["wide", "width", "egg"]}
+
+
+@query(_CHAIN + "".join(_near_sql(k, w) for k, w in _KINDS.items()) + """
+last AS (SELECT 1)
+SELECT u.doc_id, route, len(regexp_extract_all(u.text, '[^ ]+')) < 150 AS low_text, first_name, second_name, start::INTEGER AS start, score::INTEGER AS score, length_at, length_number, width_at, width_number,
+  CASE WHEN start IS NULL THEN 'no window' WHEN coalesce(length_at, width_at) IS NULL THEN 'no keyword' WHEN coalesce(length_number, width_number) IS NULL THEN 'no number' ELSE 'mined' END AS status
+FROM used u LEFT JOIN names USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN lengthn USING (doc_id) LEFT JOIN widthn USING (doc_id)
+""")
+def mining_chain(spark, sf_dir):
+    """Documents through the whole chain; every seventh is letter-spaced and every fifth cut short in its first source."""
+    docs, text = table(spark, sf_dir, "documents"), F.coalesce("text", F.lit(""))
+    first = F.when(F.col("doc_id") % 7 == 0, F.regexp_replace(text, r"([^ \t\n\x0B\f\r])", "$1 ")).when(F.col("doc_id") % 5 == 0, F.substring(text, 1, 400)).otherwise(text)
+    docs = docs.select("doc_id", first.alias("first"), text.alias("second")).withColumn("sample", F.substring("first", 1, 3000))
+    return textmine.mine_corpus(docs, "doc_id", "sample", "first", "second", _KINDS)
+
+
+_CLIPS = """
+WITH c AS (SELECT p_partkey // 3 AS rec, p_partkey AS o, ['p', 'a', 'm', 'd', 'x'][p_partkey % 5 + 1] AS m, ['l', 'w', 'b'][p_size % 3 + 1] AS s,
+    CASE WHEN p_partkey % 4 = 0 THEN p_size || ',5' WHEN p_partkey % 11 = 0 THEN p_brand || ' none' ELSE p_size || ' mm x ' || (p_partkey % 9) || '.25' END AS t FROM part),
+n AS (SELECT *, regexp_extract(t, '^[^0-9]*([0-9]+[.,]?[0-9]*)[^0-9.,]+([0-9]+[.,]?[0-9]*)[^0-9]*$', ['a', 'b']) AS g, regexp_matches(t, '^[^0-9]*([0-9]+[.,]?[0-9]*)[^0-9.,]+([0-9]+[.,]?[0-9]*)[^0-9]*$') AS two FROM c),
+k AS (SELECT rec, o, CASE WHEN NOT two THEN m || s WHEN m = 'p' THEN 'pl' WHEN m IN ('a', 'd') THEN 'a' || s ELSE 'm' || s END AS key, CASE WHEN two THEN replace(g.a, ',', '.') ELSE t END AS value FROM n UNION ALL
+  SELECT rec, o, CASE WHEN m = 'p' THEN 'pw' WHEN m IN ('a', 'd') THEN 'd' || s ELSE 'x' || s END, replace(g.b, ',', '.') FROM n WHERE two),
+l AS (SELECT rec, key, arg_max(value, o) AS value FROM k GROUP BY 1, 2)
+SELECT rec, string_agg(key || '=' || value, ';' ORDER BY key) AS entry FROM l GROUP BY 1
+"""
+
+
+@query(_CLIPS)
+def clip_records(spark, sf_dir):
+    """Clips made from parts, three to a record."""
+    k = F.col("p_partkey")
+    size = F.col("p_size").cast("string")
+    text = F.when(k % 4 == 0, F.concat(size, F.lit(",5"))).when(k % 11 == 0, F.concat("p_brand", F.lit(" none"))).otherwise(F.concat(size, F.lit(" mm x "), (k % 9).cast("string"), F.lit(".25")))
+    pick = lambda letters, i: F.element_at(F.array(*map(F.lit, letters)), (i + 1).cast("int"))
+    clips = table(spark, sf_dir, "part").select(F.floor(k / 3).alias("rec"), k.alias("o"), pick("pamdx", k % 5).alias("m"), pick("lwb", F.col("p_size") % 3).alias("s"), text.alias("t"))
+    pairs = F.transform(F.array_sort(F.map_entries("entry")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return textmine.merged_clips(clips, "rec", "o", "m", "s", "t").select("rec", F.array_join(pairs, ";").alias("entry"))
+
+
+@query("""
+WITH p AS (SELECT r_name AS region, CASE WHEN n_nationkey % 4 <> 0 THEN n_name END AS nation, CASE WHEN c_custkey % 7 = 0 THEN '' ELSE c_mktsegment END AS segment, 'g' || c_custkey % 40 AS genus, c_name AS tip
+  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+f AS (SELECT region, nation, nullif(segment, '') AS segment, genus, tip FROM p),
+l AS (SELECT 'region' AS rank, region AS taxon, NULL AS ur, NULL AS ut, tip FROM f UNION ALL SELECT 'nation', nation, 'region', region, tip FROM f WHERE nation IS NOT NULL UNION ALL
+  SELECT 'segment', segment, CASE WHEN nation IS NULL THEN 'region' ELSE 'nation' END, coalesce(nation, region), tip FROM f WHERE segment IS NOT NULL UNION ALL
+  SELECT 'genus', genus, CASE WHEN segment IS NOT NULL THEN 'segment' WHEN nation IS NOT NULL THEN 'nation' ELSE 'region' END, coalesce(segment, nation, region), tip FROM f),
+u AS (SELECT rank, taxon, ur, ut, count(*) AS c FROM l GROUP BY ALL),
+b AS (SELECT *, row_number() OVER (PARTITION BY rank, taxon ORDER BY c DESC, ur, ut) AS i FROM u),
+n AS (SELECT rank, taxon, count(*) AS n, count(DISTINCT tip) AS tips FROM l GROUP BY 1, 2)
+SELECT n.rank, n.taxon, ur AS parent_rank, ut AS parent, (SELECT count(*) FROM u WHERE u.rank = n.rank AND u.taxon = n.taxon AND ut IS NOT NULL) AS parents, n, tips, total
+FROM n JOIN b ON b.rank = n.rank AND b.taxon = n.taxon AND i = 1 LEFT JOIN (SELECT 'nation' AS rank, n_name AS taxon, count(*) AS total FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 2) t ON t.rank = n.rank AND t.taxon = n.taxon
+""")
+def taxon_lineages(spark, sf_dir):
+    """Taxa of four ranks with gaps: parents through gaps, conflicts among them, records, tips and known totals."""
+    nation = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    k = F.col("c_custkey")
+    rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("r_name").alias("region"), F.when(F.col("n_nationkey") % 4 != 0, F.col("n_name")).alias("nation"), F.when(k % 7 == 0, "").otherwise(F.col("c_mktsegment")).alias("segment"), F.concat(F.lit("g"), (k % 40).cast("string")).alias("genus"), "c_name")
+    totals = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("taxon")).agg(F.count("*").alias("total")).withColumn("rank", F.lit("nation"))
+    return classify.lineage_counts(rows, ["region", "nation", "segment", "genus"], "c_name", totals)
+
+
+_LOOP = """
+WITH e AS (SELECT p_partkey AS k, p_size::DOUBLE AS s FROM part),
+b AS (SELECT k, s, CASE WHEN k % 5 = 0 OR k % 3 <> 0 OR k % 11 = 0 OR k % 13 = 0 THEN 'rnsd' WHEN k % 17 = 0 THEN 'comp' WHEN s > 30 OR k % 6 = 0 OR (0.5 >= s) THEN 'cols' ELSE 'sqky' END AS before,
+  k % 17 = 0 AND (k % 3 <> 0) <> (k % 5 = 0) AS moved FROM e),
+f AS (SELECT *, CASE WHEN k % 6 = 0 THEN 99 WHEN k % 3 = 0 THEN 0.5 WHEN moved THEN 7 END AS d FROM b),
+o AS (SELECT *, CASE WHEN d >= s THEN d ELSE s END AS al, CASE WHEN d >= s THEN s ELSE d END AS dl FROM f),
+a AS (SELECT k, before, CASE WHEN before = 'sqky' THEN 'sqky' WHEN (k % 3 <> 0 AND NOT moved) OR (k % 5 = 0 AND NOT moved) OR (moved AND k % 3 <> 0 AND k % 5 = 0) OR k % 13 = 0 THEN 'rnsd' WHEN k % 17 = 0 AND NOT moved THEN 'comp'
+  WHEN k % 5 = 0 OR al > 30 OR dl > 30 OR dl >= al THEN 'cols' ELSE 'sqky' END AS status FROM o)
+"""
+
+
+@query(_LOOP + """
+, c AS (SELECT count(*) AS n, count_if(before = 'sqky') AS g, count_if(k % 11 = 0) AS c, count_if(status = 'sqky') AS a, count_if(status <> 'sqky') AS q FROM a)
+SELECT before, status, count(*) AS n FROM a GROUP BY 1, 2 UNION ALL SELECT 'records', '', n FROM c UNION ALL SELECT 'good before', '', g FROM c UNION ALL SELECT 'corrected', '', c FROM c UNION ALL SELECT 'good after', '', a FROM c UNION ALL SELECT 'quarantined', '', q FROM c
+""")
+def cleaning_loop(spark, sf_dir):
+    """Records of parts with faults: missing references are corrected, stray halves moved, orders repaired, the rest quarantined."""
+    records = _entries(spark, sf_dir)
+    fixes = records.where("p_partkey % 11 = 0").select(F.col("p_partkey").cast("string").alias("ID"), F.lit("b").alias("key"), F.lit("r").alias("new_value"))
+    good, bad, counts = clean.cleaning_loop(records, "entry", fixes)
+    by_status = good.select("before", "status").unionByName(bad.select("before", "status")).groupBy("before", "status").agg(F.count("*").alias("n"))
+    return by_status.unionByName(spark.createDataFrame([(k, "", v) for k, v in counts.items()], "before string, status string, n long"))

@@ -94,7 +94,7 @@ def test_corrections_by_reference_and_taxon(spark):
 
 def test_swapped_halves(spark):
     df = spark.createDataFrame([({"al": "1", "dl": "2", "mw": "5", "xw": "4", "ab": "3", "db": "1"},)], "e map<string,string>")
-    assert df.select(clean.reordered("e").alias("e")).first()["e"] == {"al": "2", "dl": "1", "mw": "4", "xw": "5", "ab": "3", "db": "1"}
+    assert df.select(clean.in_order("e").alias("e")).first()["e"] == {"al": "2", "dl": "1", "mw": "4", "xw": "5", "ab": "3", "db": "1"}
 
 
 def test_repeated_fields_of_references(spark, tmp_path):
