@@ -988,7 +988,7 @@ def _near_sql(name: str, words: list[str]) -> str:
 """
 
 
-_KINDS = {"length": ["mm", "long", "length"], "width": ["wide", "width", "egg"]}
+_KINDS = {"length": ["mm", "long", "the"], "width": ["wide", "width", "de"]}
 
 
 @query(_CHAIN + "".join(_near_sql(k, w) for k, w in _KINDS.items()) + """
