@@ -59,7 +59,7 @@ def _expansion(part: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", parts_col: str | None = None, loss_role: str = "assistant") -> DataFrame:
-    """One row per conversation: ``formatted``, ``loss_spans`` (start, length in code points of each ``loss_role`` content), ``attachments`` and ``expanded_tokens``.
+    """One row per conversation: ``formatted``, ``loss_spans`` (start, length in code points of each ``loss_role`` content, and its turn from 0), ``attachments`` and ``expanded_tokens``.
 
     ``parts_col`` names an array of PART; without it, ``text_col`` is each turn's one text part.  ``attachments`` lists, in
     order, type, ref, placeholder number and expanded tokens of every part that is not text.
@@ -82,15 +82,20 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     return chats.select(
         "conv_id",
         F.array_join(F.transform("_pieces", lambda p: p["_piece"]), "").alias("formatted"),
-        F.transform("_spans", lambda s: F.struct(s["start"], s["length"])).alias("loss_spans"),
+        F.transform("_spans", lambda s: F.struct(s["start"], s["length"], (s["_row"] - 1).alias("turn"))).alias("loss_spans"),
         F.transform("_found", lambda a: F.struct(a["type"], a["ref"], a["number"], a["tokens"])).alias("attachments"),
         F.aggregate("_found", F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]).alias("expanded_tokens"),
     )
 
 
 def read_back(chats: DataFrame) -> DataFrame:
-    """From ``formatted`` and ``loss_spans`` alone: ``turns`` (role, text) and ``loss_text``, unescaped."""
+    """From ``formatted`` and ``loss_spans`` alone: ``turns`` (role, text) and ``loss_text``, unescaped.
+
+    The text is cut at its turns once, and each span is taken from the content of its own turn, so work grows with the length.
+    """
     pieces = F.filter(F.split("formatted", r"<\|end\|>"), lambda p: p != "")
     turn = lambda p: F.struct(unescape(F.substring_index(F.substring(p, len(TURN) + 1, 2**31 - 1), TEXT, 1)).alias("role"), unescape(F.substring_index(p, TEXT, -1)).alias("text"))
-    loss = F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return chats.withColumns({"turns": F.transform(pieces, turn), "loss_text": F.array_join(loss, "")})
+    spoken = lambda s: unescape(F.substring(F.substring_index(F.get("_pieces", s["turn"]), TEXT, -1), F.lit(1), s["length"].cast("int")))
+    # Named twice, so that the optimiser keeps the pieces as a column instead of cutting again for each span.
+    loss = F.when(F.size("_pieces") > 0, F.array_join(F.transform("loss_spans", spoken), "")).otherwise("")
+    return chats.withColumn("_pieces", pieces).withColumns({"turns": F.transform("_pieces", turn), "loss_text": loss}).drop("_pieces")

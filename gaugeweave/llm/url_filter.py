@@ -6,14 +6,15 @@ to those that link to it.  A page without a rule is blocked where distrust is at
 and distrust together, else allowed.
 
 Defined results: a null url or one without ``://`` has an empty host and path, no rule, and is allowed (no host can
-distrust it); null html has no links; links of a host to itself don't count; hosts reached by neither are allowed;
-repeated rows are judged alike and their links count once; an empty table gives an empty table.
+distrust it); null html has no links; links of a host to itself don't count; hosts reached by neither are allowed, as are
+those farther from every seed than ``rounds`` links; no graph raises, however deep or dense; further columns, whatever
+their names, are not looked at; repeated rows are judged alike and their links count once; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-import itertools
-
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,51 +51,101 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return links.where("src <> '' and dst <> '' and src <> dst").distinct()
 
 
-#: Scores above 0 and below this are about to lose their digits.
-SMALLEST = 1e-300
+COLUMNS = "host string, trust double, distrust double"
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int | None = None, tolerance: float = 1e-4) -> DataFrame:
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 10_000, tolerance: float = 1e-4, most: int = 1_000_000) -> DataFrame:
     """(host, trust, distrust) from ``links`` (src, dst) and ``seeds`` (host, good, bad: seed weights).
 
-    Both scores are divided by their sum at the end, so that they compare.  That is the personalised PageRank in which
+    The scores are natural logarithms, null for hosts that no trust or distrust reaches, so that they never get too small
+    for a float.  Both are divided by their sum at the end, so that they compare.  That is the personalised PageRank in which
     what a host without links holds goes back to the seeds: going back only scales all scores alike.
 
     Ends when a round changes no host's trust or distrust by more than ``tolerance`` of that value (at least by more
-    than rounding does).  A host that is reached for the first time changes by its whole value; and since scores flow
-    in fixed shares, after a round without a larger change none follows.  Raises where that takes more than ``rounds``
-    rounds (None: as many as it takes), or where a score gets too small for a float.  Only two numbers a round reach
-    the driver.
+    than rounding does), or after ``rounds`` rounds: then scores are left as they are, and a host more than ``rounds`` links
+    away from every seed is reached by none.  A host that is reached for the first time changes by its whole value; and
+    since scores flow in fixed shares, after a round without a larger change none follows.
+
+    A graph of up to ``most`` links (counted) is walked in one task, where rounds cost little; a larger one takes a Spark
+    job a round, of which one number reaches the driver.  Both ways give the same scores.
     """
-    links = cut(links.join(links.groupBy("src").agg(F.count("*").alias("n_out")), "src").join(links.groupBy("dst").agg(F.count("*").alias("n_in")), "dst"), "host-links")
+    links = links.join(links.groupBy("src").agg(F.count("*").alias("n_out")), "src").join(links.groupBy("dst").agg(F.count("*").alias("n_in")), "dst")
+    links = cut(links, "host-links")
     ends = links.select(F.col("src").alias("host")).unionByName(links.select(F.col("dst").alias("host")))
     zero = F.lit(0.0)
     base = seeds.select("host", "good", "bad").unionByName(ends.distinct().select("host", zero.alias("good"), zero.alias("bad")))
-    base = cut(base.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "host-seeds")
-    scores = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
-    before: list[DataFrame] = []
-    for k in itertools.count(1):
-        forth = links.join(scores.withColumnRenamed("host", "src"), "src").select(F.col("dst").alias("host"), (F.col("trust") / F.col("n_out")).alias("t"), zero.alias("d"))
-        back = links.join(scores.withColumnRenamed("host", "dst"), "dst").select(F.col("src").alias("host"), zero.alias("t"), (F.col("distrust") / F.col("n_in")).alias("d"))
-        flow = forth.unionByName(back).groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
-        mixed = lambda seed, got: (1 - damping) * F.col(seed) + damping * F.coalesce(F.col(got), zero)
-        new = base.join(flow, "host", "left").select("host", mixed("good", "t").alias("trust"), mixed("bad", "d").alias("distrust"))
-        old = scores.select("host", F.col("trust").alias("_t"), F.col("distrust").alias("_d"))
-        new = cut(new.join(old, "host"), "host-scores")
-        forget(*before)
-        before = [new]
-        moved = lambda v, was: F.abs(F.col(v) - F.col(was)) > max(tolerance, 1e-12) * F.col(v)
-        small = lambda v: (F.col(v) > 0) & (F.col(v) < SMALLEST)
-        left, lost = new.agg(F.count_if(moved("trust", "_t") | moved("distrust", "_d")), F.count_if(small("trust") | small("distrust"))).first()
-        scores = new.select("host", "trust", "distrust")
-        if lost:
-            raise ArithmeticError(f"scores of {lost} hosts are too small for a float after {k} rounds")
+    base = base.groupBy("host").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    # Hosts without links keep their seeds' share.
+    start = lambda c: F.when(F.col(c) > 0, F.log((1 - damping) * F.col(c)))
+    base = cut(base.select("host", start("good").alias("good"), start("bad").alias("bad")), "host-seeds")
+    linked = ends.distinct()
+    if links.limit(most + 1).count() <= most:
+        near = base.join(linked, "host", "left_semi")
+        walked = links.withColumn("_g", F.lit(0)).groupBy("_g").cogroup(near.withColumn("_g", F.lit(0)).groupBy("_g")).applyInPandas(_walker(damping, rounds, tolerance), COLUMNS)
+        alone = base.join(linked, "host", "left_anti").select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust"))
+        scores = cut(walked.unionByName(alone), "host-scores")
+    else:
+        scores = _by_rounds(links, base, damping, rounds, tolerance)
+    whole = scores.agg(*[F.log(F.sum(F.exp(c))).alias(f"_{c}") for c in ("trust", "distrust")])
+    return scores.crossJoin(F.broadcast(whole)).select("host", (F.col("trust") - F.col("_trust")).alias("trust"), (F.col("distrust") - F.col("_distrust")).alias("distrust"))  # one row
+
+
+def _walker(damping: float, rounds: int, tolerance: float):
+    """All rounds over the links of one task."""
+
+    def walk(links: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        place = pd.Series(np.arange(len(base)), index=base["host"])
+        scores = []
+        for seed, source, target, shares in (("good", "src", "dst", "n_out"), ("bad", "dst", "src", "n_in")):
+            own = base[seed].fillna(-np.inf).to_numpy(float)
+            if not len(links):
+                scores.append(own)
+                continue
+            at, to, keep = place[links[source]].to_numpy(), place[links[target]].to_numpy(), np.log(damping / links[shares].to_numpy(float))
+            order = np.argsort(to, kind="stable")
+            at, to, keep = at[order], to[order], keep[order]
+            first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+            size, there = np.diff(np.append(first, len(to))), to[first]
+            now = own.copy()
+            with np.errstate(invalid="ignore", divide="ignore"):
+                for _ in range(rounds):
+                    part = now[at] + keep
+                    top = np.maximum.reduceat(part, first)
+                    low = np.where(np.isfinite(top), top, 0.0)
+                    new = own.copy()
+                    new[there] = np.logaddexp(own[there], low + np.log(np.add.reduceat(np.exp(part - np.repeat(low, size)), first)))
+                    moved = np.where(new == now, 0.0, np.abs(new - now))
+                    now = new
+                    if not (moved > max(tolerance, 1e-12)).any():
+                        break
+            scores.append(now)
+        trust, distrust = (pd.Series(s).where(np.isfinite(s), None).astype(object) for s in scores)
+        return pd.DataFrame({"host": base["host"], "trust": trust, "distrust": distrust})
+
+    return walk
+
+
+def _by_rounds(links: DataFrame, base: DataFrame, damping: float, rounds: int, tolerance: float) -> DataFrame:
+    """A job a round; sums of logarithms are taken around the largest one of a host."""
+    scores, before = base.select("host", F.col("good").alias("trust"), F.col("bad").alias("distrust")), None
+    for _ in range(rounds):
+        flows = []
+        for c, source, target, shares in (("trust", "src", "dst", "n_out"), ("distrust", "dst", "src", "n_in")):
+            part = links.join(scores.where(F.col(c).isNotNull()).select(F.col("host").alias(source), F.col(c).alias("_v")), source)
+            part = part.select(F.col(target).alias("host"), (F.col("_v") + F.log(damping / F.col(shares))).alias("_v"))
+            top = part.groupBy("host").agg(F.max("_v").alias("_top"))
+            flows.append(part.join(top, "host").groupBy("host", "_top").agg(F.sum(F.exp(F.col("_v") - F.col("_top"))).alias("_s")).select("host", (F.col("_top") + F.log("_s")).alias(f"_{c}")))
+        plus = lambda a, b: F.when(a.isNull() | b.isNull(), F.coalesce(a, b)).otherwise(F.greatest(a, b) + F.log1p(F.exp(-F.abs(a - b))))
+        new = base.join(flows[0], "host", "left").join(flows[1], "host", "left").select("host", plus(F.col("good"), F.col("_trust")).alias("trust"), plus(F.col("bad"), F.col("_distrust")).alias("distrust"))
+        new = cut(new.join(scores.select("host", F.col("trust").alias("_t"), F.col("distrust").alias("_d")), "host"), "host-scores")
+        moved = lambda v, was: F.col(v).isNotNull() & (F.col(was).isNull() | (F.abs(F.col(v) - F.col(was)) > max(tolerance, 1e-12)))
+        left = not new.where(moved("trust", "_t") | moved("distrust", "_d")).isEmpty()
+        if before is not None:
+            forget(before)
+        before, scores = new, new.select("host", "trust", "distrust")
         if not left:
             break
-        if k == rounds:
-            raise RuntimeError(f"scores of {left} hosts did not settle in {rounds} rounds")
-    trust, distrust = scores.agg(F.sum("trust"), F.sum("distrust")).first()
-    return scores.select("host", (F.col("trust") / (trust or 1.0)).alias("trust"), (F.col("distrust") / (distrust or 1.0)).alias("distrust"))
+    return scores
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = 0.5, **walk) -> DataFrame:
@@ -103,5 +154,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], id_col: str = "page_id
     count = rows.where("host <> ''").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("a"), F.count_if(F.col("action") == "block").alias("b"))
     seeds = count.select("host", (F.col("a") > F.col("b")).cast("double").alias("good"), (F.col("b") > F.col("a")).cast("double").alias("bad"))
     scores = propagate(host_links(pages, url_col, html_col), seeds, **walk)
-    spread = F.when((F.col("distrust") > 0) & (F.col("distrust") >= threshold * (F.col("trust") + F.col("distrust"))), "block").otherwise("allow")
-    return rows.join(scores, "host", "left").select(id_col, "host", "path", "rule", F.coalesce("action", spread).alias("verdict"), "trust", "distrust")
+    share = F.when(F.col("trust").isNull(), 1.0).otherwise(1 / (1 + F.exp(F.col("trust") - F.col("distrust"))))
+    spread = F.when(F.col("distrust").isNotNull() & (share >= threshold), "block").otherwise("allow")
+    value = lambda c: F.coalesce(F.exp(c), F.lit(0.0)).alias(c)
+    return rows.join(scores, "host", "left").select(id_col, "host", "path", "rule", F.coalesce("action", spread).alias("verdict"), value("trust"), value("distrust"))

@@ -261,6 +261,21 @@ def brute_walk(links, good, bad, damping, rounds):
     return {x: (trust[x] / whole[0], distrust[x] / whole[1]) for x in nodes}
 
 
+def test_long_conversations_are_read_back_in_proportion(spark):
+    import time
+
+    def took(n):
+        rows = spark.range(n).selectExpr("id % 1 as conv_id", "id as turn", "if(id % 2 = 0, 'user', 'assistant') as role", "concat('say | ', id, repeat(' w\\\\', 20)) as text")
+        began = time.time()
+        row = chat_format.read_back(chat_format.format_chats(rows)).selectExpr("size(turns) as n", "loss_text", "formatted").first()
+        seconds = time.time() - began
+        assert row["n"] == n and row["loss_text"] == "".join(f"say | {i}" + " w\\" * 20 for i in range(1, n, 2))
+        return seconds
+
+    took(100)
+    assert took(16_000) < 10
+
+
 def test_urls(spark):
     urls = [None, "", "no host", "http://", "HTTP://A.Example.ORG/es/x?q", "https://example.org", "https://example.org/en/15#t", "http://x.com/fr/", "http://x.com/de/9", "http://y.net?p=/es/", "http://z.net/a", "ftp://q.net/b", "http://org/", "http://notexample.org/es/", "http://x.com/de/1"]
     html = {10: '<a href="http://x.com/de/9">', 11: "<A HREF='//z.net/q'> <a href=/own>", 7: '<a href="http://y.net">', 4: None}
@@ -303,8 +318,47 @@ def test_urls_far_from_few_seeds_among_many(spark):
     for h, (t, d) in want.items():
         assert got[h]["trust"] == pytest.approx(t, rel=1e-2) and got[h]["distrust"] == pytest.approx(d, rel=1e-2)
     assert {got[h]["verdict"] for h in chain} == {"block"} and got["s9.org"]["verdict"] == "allow"
-    with pytest.raises(RuntimeError, match="did not settle in 30 rounds"):
-        url_filter.judge(spark.createDataFrame(rows[:60], "page_id long, url string, html string"), RULES, rounds=30)
+    near = {r["host"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows[:60], "page_id long, url string, html string"), RULES, rounds=30).collect()}
+    assert (near["h0.net"], near["h5.net"], near["h8.net"], near["h35.net"]) == ("allow", "allow", "block", "block")  # beyond 30 links none is reached
+
+
+def page_rows(links, more=()):
+    """A page per host, with all its links, under a path that the rules leave to the method but for .com hosts."""
+    html = {}
+    for a, b in links:
+        html.setdefault(a, []).append(f'<a href="http://{b}/">')
+    hosts = [*dict.fromkeys([x for e in links for x in e] + list(more))]
+    return [(i, f"http://{h}/" + ("de/" if h.endswith(".com") else ""), "".join(html.get(h, []))) for i, h in enumerate(hosts)]
+
+
+def test_urls_of_long_chains_and_dense_hubs(spark):
+    """Chains of 5,000 hosts settle, and hubs of 300 links thin trust out below what a float holds, without raising."""
+    chain = [f"c{i}.net" for i in range(5000)] + ["bad.com"]
+    hubs = [f"hub{i}.net" for i in range(140)]
+    links = [*zip(chain, chain[1:]), ("good.org", hubs[0]), *zip(hubs, hubs[1:]), *((h, f"{h[:-4]}-{k}.net") for h in hubs for k in range(300)), (hubs[-1], "end.net"), (hubs[-1], "worse.com")]
+    rows = page_rows(links)
+    frame = spark.createDataFrame([*rows, *rows[:3]], "page_id long, url string, html string").withColumns({"host": F.lit("q"), "trust": F.lit(1), "src": F.lit(2)})
+    got = url_filter.judge(frame, RULES).collect()
+    assert len(got) == len(rows) + 3
+    verdict = {r["host"]: r["verdict"] for r in got}
+    assert {verdict[h] for h in chain} == {"block"} and {verdict[h] for h in hubs[10:]} == {"block"}
+    assert {verdict[x] for x in ("good.org", "end.net", "hub5-7.net", "hub139-299.net")} == {"allow"}
+
+
+def test_url_scores_are_one_at_every_size(spark):
+    rng = random.Random(4)
+    hosts = [f"h{i}.net" for i in range(25)] + ["x.com", "y.com", "a.org", "b.org"]
+    links = sorted({(a, b) for a in hosts for b in rng.sample(hosts, 3) if a != b} - {("h3.net", "a.org")})
+    frame = spark.createDataFrame(links, "src string, dst string")
+    seeds = spark.createDataFrame([("x.com", 0.0, 1.0), ("y.com", 0.0, 2.0), ("a.org", 1.0, 0.0), ("b.org", 3.0, 0.0), ("alone.org", 1.0, 0.0)], "host string, good double, bad double")
+    want = brute_walk(links, {"a.org": 1.0, "b.org": 3.0, "alone.org": 1.0}, {"x.com": 1.0, "y.com": 2.0}, 0.85, 200)
+    rows = [{r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(frame, seeds, rounds=8 if most == 0 else 10_000, tolerance=1e-9, most=most).collect()} for most in (10_000, 0)]
+    assert set(rows[0]) == set(rows[1]) == set(want)
+    for h, w in want.items():
+        for mine, true in zip(rows[0][h], w, strict=True):
+            assert (0.0 if mine is None else np.exp(mine)) == pytest.approx(true, rel=1e-6)
+    few = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(frame, seeds, rounds=8, tolerance=1e-9).collect()}
+    assert all((a is None) == (b is None) and (a is None or a == pytest.approx(b, abs=1e-9)) for h in want for a, b in zip(few[h], rows[1][h], strict=True))
 
 
 def check_pack(rows, texts, capacity):
