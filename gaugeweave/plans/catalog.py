@@ -6,14 +6,16 @@ each kind of estimate is missing for some rows by its key, so that every branch
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, shared_dir
 from ..functions.nulls import finite, log10
 from ..operators import classify, clean, dedup, hierarchy, hulls, keys, measures, regress, reports, stats, textmine, treefold, treemodels
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -1073,3 +1075,124 @@ def cleaning_loop(spark, sf_dir):
     good, bad, counts = clean.cleaning_loop(records, "entry", fixes)
     by_status = good.select("before", "status").unionByName(bad.select("before", "status")).groupBy("before", "status").agg(F.count("*").alias("n"))
     return by_status.unionByName(spark.createDataFrame([(k, "", v) for k, v in counts.items()], "before string, status string, n long"))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""
+SELECT p_partkey::VARCHAR AS "ID", 'it''s "' || p_type || '"' AS g, CASE WHEN p_partkey % 3 = 0 THEN p_size || '.50' END AS al, p_partkey % 7 = 0 AS literal FROM part WHERE p_partkey % 11 <> 0
+UNION ALL SELECT NULL, NULL, NULL, NULL FROM part WHERE p_partkey % 11 = 0
+""")
+def entry_files(spark, sf_dir):
+    """Records of parts written a dict a line, some as literals that are no JSON and some broken, read back and made wide."""
+    k = F.col("p_partkey")
+    pairs = F.filter(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in (("ID", k.cast("string")), ("g", F.concat(F.lit("it's \""), "p_type", F.lit("\""))), ("al", F.when(k % 3 == 0, F.concat(F.col("p_size").cast("string"), F.lit(".50")))))]), lambda e: e["value"].isNotNull())
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.map_from_entries(pairs).alias("entry"))
+    plain, literal, broken = (_folder(spark, n) for n in ("entries", "literals", "broken"))
+    files.write_entries(parts.where("p_partkey % 11 <> 0 and p_partkey % 7 <> 0"), "entry", plain)
+    # As another writer would put it: escaped single quotes, a trailing comma, a mark of its own.
+    text = F.array_join(F.transform(F.map_entries("entry"), lambda e: F.concat(F.lit("u'"), e["key"], F.lit("': u'"), F.replace(e["value"], F.lit("'"), F.lit("\\'")), F.lit("'"))), ", ")
+    parts.where("p_partkey % 11 <> 0 and p_partkey % 7 = 0").select(F.concat(F.lit("{"), text, F.lit(", u'lit': 'y',}"))).write.text(literal)
+    parts.where("p_partkey % 11 = 0").select(F.concat(F.lit("{'ID': "), F.col("p_partkey").cast("string"))).write.text(broken)
+    read = files.read_entries(spark, [plain, literal, broken])
+    wide = files.widened(read, "entry", ["ID", "g", "al", "lit"])
+    return wide.select("ID", "g", "al", F.when(F.col("ID").isNotNull(), F.col("lit").isNotNull()).alias("literal"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_totalprice END AS price, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE o_orderstatus END AS state, (o_orderkey % 90) || '.50' AS digits FROM orders
+""")
+def table_files(spark, sf_dir):
+    """Orders as tab-separated text with NA for missing numbers, read with types and once more all as text."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.when(k % 5 != 0, F.col("o_totalprice")).cast("string").alias("price"), F.when(k % 7 == 0, "").otherwise(F.col("o_orderstatus")).alias("state"), F.concat((k % 90).cast("string"), F.lit(".50")).alias("digits"))
+    with_head, headless = _folder(spark, "table"), _folder(spark, "ids")
+    files.write_table(rows.withColumn("price", F.coalesce("price", F.lit("NA"))), with_head)
+    files.write_table(rows.select("o_orderkey", "digits"), headless, header=False)
+    typed = files.read_table(spark, with_head, "o_orderkey long, price double, state string, digits double").drop("digits")
+    texts = files.read_texts(spark, headless, ["key", "digits"], header=False).select(F.col("key").cast("long").alias("o_orderkey"), "digits")
+    return typed.join(texts, "o_orderkey").select("o_orderkey", "price", F.coalesce("state", F.lit("")).alias("state"), "digits")
+
+
+@query("""
+WITH r AS (SELECT p_brand AS order1, 'b' || p_partkey // 2 AS b, max(p_partkey) AS k FROM part GROUP BY 1, 2),
+d AS (SELECT 'b' || p_partkey // 2 AS b FROM part WHERE p_partkey % 10 = 4),
+e AS (SELECT p_partkey AS k, p_brand AS order1, 'b' || p_partkey // 2 || CASE WHEN p_partkey % 9 = 0 THEN 'x' ELSE '' END AS b FROM part)
+SELECT e.k AS p_partkey, 'T ' || r.k AS title, r.k IS NOT NULL AS attached FROM e LEFT JOIN r USING (order1, b) WHERE e.b NOT IN (SELECT b FROM d)
+""")
+def reference_files(spark, sf_dir):
+    """A reference list per order, a done list, and entries that get the last reference of their order and id unless they are finished."""
+    part = table(spark, sf_dir, "part")
+    k, folder, done = F.col("p_partkey"), _folder(spark, "references"), _folder(spark, "done")
+    bib = F.concat(F.lit("b"), F.floor(k / 2).cast("string"))
+    # Both ways of writing a field; of two parts with one id the later line holds.
+    field = F.when(k % 2 == 0, F.concat(F.lit(" title={T "), k.cast("string"), F.lit("},"))).otherwise(F.concat(F.lit(" title = {T "), k.cast("string"), F.lit("},")))
+    entry = F.concat_ws("\n", F.concat(F.lit("@article{"), bib, F.lit(",")), field, F.lit(" year = {1999}"), F.lit("}"))
+    part.select(F.col("p_brand").alias("order1"), k, entry.alias("value")).repartition(1, "order1").sortWithinPartitions("order1", "p_partkey").select("order1", "value").write.partitionBy("order1").text(folder)
+    part.where("p_partkey % 10 = 4").select(F.when(k % 20 == 4, bib).otherwise(F.concat(bib, F.lit(" : #NO pdf")))).write.text(done)
+    refs = files.last_reference(files.read_references(spark, folder), ("order1", "bib_id"))
+    refs = refs.select("order1", F.col("bib_id").alias("b"), F.element_at("fields", "title").alias("title"))
+    entries = part.select(k, F.col("p_brand").alias("order1"), F.concat(bib, F.when(k % 9 == 0, "x").otherwise("")).alias("b"), F.lit(None).cast("string").alias("title"))
+    todo = measures.not_in_keys(entries, files.read_done(spark, done).select(F.col("bib_id").alias("b")), "b")
+    attached, without = keys.with_references(todo, refs, ["order1", "b"], "title")
+    return measures.stacked(attached.withColumn("attached", F.lit(True)), without.withColumn("attached", F.lit(False))).select("p_partkey", "title", "attached")
+
+
+@query("""
+WITH v AS (SELECT c_nationkey AS rep, c_mktsegment AS trait, avg(c_acctbal) AS mean, max(c_acctbal) AS most FROM customer GROUP BY 1, 2)
+SELECT trait, what, round(quantile_cont(value, 0.025), 4) AS low, round(quantile_cont(value, 0.975), 4) AS high FROM (SELECT trait, 'mean' AS what, mean AS value FROM v UNION ALL SELECT trait, 'most', most FROM v) GROUP BY 1, 2
+""")
+def replicate_files(spark, sf_dir):
+    """A file per replicate, a column per trait and figure; read with the replicate from the path, made long by the columns' names, intervals of each."""
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("rep"), F.col("c_mktsegment").alias("trait")).agg(F.avg("c_acctbal").alias("mean"), F.max("c_acctbal").alias("most"))
+    traits = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+    long = rows.select("rep", F.inline(F.array(*[F.struct(F.concat("trait", F.lit(f".{c}")).alias("name"), F.col(c).alias("value")) for c in ("mean", "most")])))
+    names = [f"{t}.{c}" for t in traits for c in ("mean", "most")]
+    wide = stats.long_to_wide(long, ["rep"], "name", "value", names)
+    folder = _folder(spark, "replicates")
+    wide.withColumnsRenamed({n: n.replace(".", "_") for n in names}).repartition(1, "rep").write.partitionBy("rep").option("sep", "\t").option("header", True).option("nullValue", "NA").csv(folder)
+    columns = [n.replace(".", "_") for n in names]
+    read = files.read_replicates(spark, f"{folder}/rep=*", ", ".join(f"{c} double" for c in columns), "rep=([0-9]+)")
+    parsed = stats.parsed_long(read, ["replicate"], columns, "^(.*)_(.*)$", ["trait", "what"])
+    out = stats.quantiles(parsed, ["trait", "what"], "value", {"low": 0.025, "high": 0.975})
+    return out.select("trait", "what", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
+
+
+@query("""
+WITH v AS (SELECT n_name AS analysis, c_mktsegment AS model, round(avg(c_acctbal), 3) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+SELECT analysis, model, value FROM v WHERE model IN ('BUILDING', 'FURNITURE', 'MACHINERY')
+""")
+def result_files(spark, sf_dir):
+    """A text file per analysis whose lines after the first end with a model's figure."""
+    models = ["BUILDING", "FURNITURE", "MACHINERY"]
+    mean = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("analysis")).pivot("c_mktsegment", models).agg(F.round(F.avg("c_acctbal"), 3))
+    lines = [F.lit("models")] + [F.concat(F.lit(f"{m} criterion "), F.coalesce(F.col(m).cast("decimal(12,3)").cast("string"), F.lit("NA"))) for m in models]
+    folder = _folder(spark, "results")
+    mean.select("analysis", F.concat_ws("\n", *lines).alias("value")).repartition(1, "analysis").write.partitionBy("analysis").text(folder)
+    return files.read_results(spark, f"{folder}/analysis=*", models, "analysis=([^/]+)/").where("value is not null")
+
+
+@query("""
+WITH o AS (SELECT o_custkey, o_orderkey, CASE o_orderstatus WHEN 'F' THEN 2 WHEN 'P' THEN 1 ELSE 0 END AS s FROM orders),
+b AS (SELECT o_custkey, o_orderkey, s, row_number() OVER (PARTITION BY o_custkey ORDER BY s DESC, md5('9/' || o_orderkey)) AS i FROM o)
+SELECT c_custkey, o_orderkey, s, CASE WHEN c_mktsegment = 'MACHINERY' THEN 'both' WHEN n_name = 'NATION_3' THEN 'third' WHEN r_name = 'ASIA' THEN 'first' ELSE 'none' END AS kind,
+  CASE WHEN c_acctbal > 5000 THEN 'rich' ELSE 'other' END AS mark, c_acctbal::DECIMAL(12, 1)::VARCHAR AS shown
+FROM customer JOIN b ON o_custkey = c_custkey AND i = 1 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 0) AND c_custkey NOT IN (SELECT p_partkey FROM part WHERE p_size = 7)
+""".replace("c_acctbal::DECIMAL(12, 1)::VARCHAR AS shown", "printf('%.2f - %.2f', c_custkey % 50 / 4.0, c_custkey % 50 / 4.0 + 1) AS shown"))
+def states_and_marks(spark, sf_dir):
+    """One order per customer preferring the higher state, a cascade of several states, an overlay, key filters, a printed span."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.when(F.col("o_orderstatus") == "F", 2).when(F.col("o_orderstatus") == "P", 1).otherwise(0).alias("s"))
+    best = dedup.first_per(orders, "o_custkey", F.desc("s"), dedup.draw("o_orderkey", 9))
+    rules = spark.createDataFrame([("region", "ASIA", "1"), ("nation", "NATION_3", "3"), ("segment", "MACHINERY", "1"), ("segment", "MACHINERY", "2")], "rank string, name string, state string")
+    kinds = classify.cascade(_places(spark, sf_dir), rules, ["region", "nation", "segment"], {"1": "first", "2": "both", "3": "third"}, "none", "kind")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    customers = classify.overlay(customers, customers.where("c_acctbal > 5000"), "c_custkey", "mark", "rich", "other")
+    rich = table(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("c_nationkey"))
+    kept = measures.in_keys(customers, rich, "c_nationkey")
+    kept = measures.not_in_keys(kept, table(spark, sf_dir, "part").where("p_size = 7").select(F.col("p_partkey").alias("c_custkey")), "c_custkey")
+    at = (F.col("c_custkey") % 50 / 4).cast("decimal(8,3)")
+    out = kept.join(best.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").join(kinds.select("c_custkey", "kind"), "c_custkey")
+    return out.select("c_custkey", "o_orderkey", "s", "kind", "mark", measures.span_text(at, at + 1).alias("shown"))

@@ -22,7 +22,7 @@ def _literal(lines):
     return lines.map(one, na_action="ignore")
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
+def read_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(line, entry, bad): one dict per line as a map; only lines that JSON can't read go through Python."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "line")
     parsed = lines.withColumn("entry", F.from_json("line", "map<string,string>", {"allowSingleQuotes": "true"}))
@@ -63,21 +63,22 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     """(bib_id, kind, fields, bad, place) of a BibTeX file, one row per reference; both ``key={v}`` and ``key = {v}``.
 
     Of a repeated field the last value holds.  Of a repeated id every row stays; ``last_reference`` picks one.  ``place``
-    rises along the file.
+    rises along the file.  Columns from folders' names (``order1=...``) stay.
     """
     raw = spark.read.option("lineSep", "\n}").text(path).where(F.col("value").contains("@")).withColumn("place", F.monotonically_increasing_id())
     field = r"(?m)^\s*([\w-]+)\s*=\s*\{(.*)\}"
     pairs = F.arrays_zip(F.regexp_extract_all("value", F.lit(field), 1).alias("k"), F.regexp_extract_all("value", F.lit(field), 2).alias("v"))
     last = F.transform(F.array_distinct(F.regexp_extract_all("value", F.lit(field), 1)), lambda k: F.struct(k, F.element_at(F.filter("_pairs", lambda p: p["k"] == k), -1)["v"]))
     head = r"@(\w+)\s*\{\s*([^,\s]*)\s*,"
-    out = raw.withColumn("_pairs", pairs).select(F.regexp_extract("value", head, 2).alias("bib_id"), F.regexp_extract("value", head, 1).alias("kind"), F.map_from_entries(last).alias("fields"), "place")
+    folders = [c for c in raw.columns if c not in ("value", "place")]
+    out = raw.withColumn("_pairs", pairs).select(*folders, F.regexp_extract("value", head, 2).alias("bib_id"), F.regexp_extract("value", head, 1).alias("kind"), F.map_from_entries(last).alias("fields"), "place")
     return out.withColumn("bad", (F.col("bib_id") == "") | (F.size("fields") == 0))
 
 
-def last_reference(references: DataFrame) -> DataFrame:
-    """Of each id the reference that comes last in its file."""
-    rest = [c for c in references.columns if c != "bib_id"]
-    return references.groupBy("bib_id").agg(F.max_by(F.struct(*rest), "place").alias("_r")).select("bib_id", "_r.*")
+def last_reference(references: DataFrame, keys: tuple[str, ...] = ("bib_id",)) -> DataFrame:
+    """Of each id (or keys) the reference that comes last in its file."""
+    rest = [c for c in references.columns if c not in keys]
+    return references.groupBy(*keys).agg(F.max_by(F.struct(*rest), "place").alias("_r")).select(*keys, "_r.*")
 
 
 def read_done(spark: SparkSession, path: str) -> DataFrame:
@@ -93,7 +94,7 @@ def read_by_order(spark: SparkSession, glob: str, pattern: str, name: str = "ord
 
 def read_results(spark: SparkSession, glob: str, models: list[str], name_pattern: str) -> DataFrame:
     """(analysis, model, value): the number that ends each of the lines after the first."""
-    whole = spark.read.option("wholetext", True).text(glob).select(F.regexp_extract("_metadata.file_path", name_pattern, 1).alias("analysis"), F.split("value", "\n").alias("l"))
+    whole = spark.read.text(glob, wholetext=True).select(F.regexp_extract("_metadata.file_path", name_pattern, 1).alias("analysis"), F.split("value", "\n").alias("l"))
     rows = whole.select("analysis", F.posexplode(F.slice("l", 2, len(models))).alias("i", "line"))
     return rows.select("analysis", F.element_at(F.array(*map(F.lit, models)), F.col("i") + 1).alias("model"), F.regexp_extract("line", r"(-*[0-9]+\.*[0-9]*)\s*$", 1).try_cast("double").alias("value"))
 
