@@ -40,9 +40,13 @@ def standard_filters() -> dict[str, Column]:
 
 
 def later_copies(rows: DataFrame) -> DataFrame:
-    """(id): of ``rows`` (id, digest) those with a smaller id of the same digest."""
-    first = rows.groupBy("digest").agg(F.min("id").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("digest", "_first")
-    return rows.join(first, "digest").where("id > _first").select("id")
+    """(id): of ``rows`` (id, digest) those with a smaller id of the same digest.
+
+    First ids come from an aggregate, and all other rows are those without a match in (digest, id), so that the copies of one
+    text spread over tasks.
+    """
+    first = rows.groupBy("digest").agg(F.min("id").alias("id"))
+    return rows.where("id is not null").join(first, ["digest", "id"], "left_anti").select("id")
 
 
 def failing_ids(docs: DataFrame, filters: dict[str, Column], copies: str | None) -> tuple[DataFrame, dict[str, DataFrame]]:
