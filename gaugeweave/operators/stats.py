@@ -132,3 +132,20 @@ def parsed_long(df: DataFrame, keys: list[str], columns: list[str], pattern: str
 def melted(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
     """(keys, place, value): a row per element of a vector, places from 0; null and empty vectors have none."""
     return df.select(*keys, F.posexplode(vector).alias("place", "value"))
+
+
+def grid(df: DataFrame, columns: list[str], most: int = 10_000) -> DataFrame:
+    """Every combination of the columns' distinct values that are there, nulls left out.  Raises beyond ``most`` combinations.
+
+    Levels are few, so each column's are counted first; rows don't multiply.
+    """
+    levels = [df.select(c).where(F.col(c).isNotNull()).distinct() for c in columns]
+    size = 1
+    for level in levels:
+        size *= level.limit(most + 1).count()
+    if size > most:
+        raise ValueError(f"more than {most} combinations")
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.crossJoin(F.broadcast(level))  # at most ``most`` rows
+    return out

@@ -1196,3 +1196,56 @@ def states_and_marks(spark, sf_dir):
     at = (F.col("c_custkey") % 50 / 4).cast("decimal(8,3)")
     out = kept.join(best.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey").join(kinds.select("c_custkey", "kind"), "c_custkey")
     return out.select("c_custkey", "o_orderkey", "s", "kind", "mark", measures.span_text(at, at + 1).alias("shown"))
+
+
+@query("""
+WITH g AS (SELECT * FROM (SELECT DISTINCT c_mktsegment FROM customer), (SELECT DISTINCT c_nationkey FROM customer)),
+v AS (SELECT c_mktsegment, c_nationkey, count(*) AS n, median(c_acctbal) AS mid FROM customer WHERE c_acctbal > 5000 GROUP BY 1, 2)
+SELECT c_mktsegment, c_nationkey, coalesce(n, 0) AS n, round(mid, 6) AS mid FROM g LEFT JOIN v USING (c_mktsegment, c_nationkey)
+""")
+def result_grid(spark, sf_dir):
+    """All combinations of two parameters with the median of each, also where there is no result."""
+    rows = table(spark, sf_dir, "customer").select("c_mktsegment", "c_nationkey", "c_acctbal")
+    found = stats.medians(rows.where("c_acctbal > 5000"), ["c_mktsegment", "c_nationkey"], "c_acctbal", "mid")
+    return stats.grid(rows, ["c_mktsegment", "c_nationkey"]).join(found, ["c_mktsegment", "c_nationkey"], "left").select("c_mktsegment", "c_nationkey", F.coalesce("n", F.lit(0)).alias("n"), F.round("mid", 6).alias("mid"))
+
+
+@query("""
+WITH l AS (SELECT p_partkey AS k, concat('{ID: ', p_partkey, '}') AS line FROM part WHERE p_partkey % 3 <> 0 AND p_partkey % 7 <> 0)
+SELECT line FROM l UNION ALL SELECT line FROM l WHERE k % 5 = 0
+""")
+def new_record_lines(spark, sf_dir):
+    """Record lines of a batch that the table lacks; some lines are cut off, some repeat inside the batch."""
+    k = F.col("p_partkey")
+    line = F.concat(F.lit("{ID: "), k.cast("string"), F.lit("}"))
+    part = table(spark, sf_dir, "part").select("p_partkey", F.when(k % 7 == 0, F.substring_index(line, "}", 1)).otherwise(line).alias("line"))
+    batch = part.select("line").unionByName(part.where("p_partkey % 5 = 0").select("line"))
+    return keys.new_lines(batch, part.where("p_partkey % 3 = 0"), "line").select("line")
+
+
+@query("""
+WITH e AS (SELECT p_partkey AS k, p_size::VARCHAR AS al, p_partkey % 7 = 0 AS p, p_partkey % 3 <> 0 AS half_l, p_partkey % 5 = 0 AS half_w FROM part)
+SELECT k AS p_partkey, p AS conflict, NOT half_l AND NOT p AS good, CASE WHEN p THEN '3' WHEN half_l AND NOT half_w THEN al END AS point_l, CASE WHEN half_w AND NOT half_l THEN 'x1' END AS point_w FROM e
+""")
+def repaired_records(spark, sf_dir):
+    """Conflicting kinds, whole dimensions, and lone halves as single values."""
+    point = F.when(F.col("p_partkey") % 7 == 0, F.create_map(F.lit("pl"), F.lit("3"))).otherwise(F.create_map().cast("map<string,string>"))
+    rows = _entries(spark, sf_dir).select("p_partkey", F.map_concat("entry", point).alias("entry"))
+    fixed = rows.withColumn("fixed", clean.as_point("entry"))
+    return fixed.select("p_partkey", (F.size(clean.conflicting("entry")) > 0).alias("conflict"), clean.dimension_is_good("entry", "l").alias("good"), *[F.element_at("fixed", f"p{d}").alias(f"point_{d}") for d in "lw"])
+
+
+@query("""
+WITH e AS (SELECT p_partkey AS k, p_brand AS b, 'G' || p_size AS g, 's' || p_partkey % 3 AS s, CASE WHEN p_partkey % 4 = 0 THEN 'M' || p_partkey % 10 END AS m FROM part),
+f AS (SELECT p_brand AS b, 'G' || p_size || ' s1' AS t, max('n' || p_partkey) AS v FROM part WHERE p_partkey % 6 = 0 GROUP BY 1, 2 UNION ALL SELECT DISTINCT p_brand, 'M4', 'matched' FROM part WHERE p_size > 25)
+SELECT k AS p_partkey, coalesce(f.v, h.v) AS note, coalesce(f.v, h.v) IS NOT NULL AS checked FROM e LEFT JOIN f ON f.b = e.b AND f.t = m LEFT JOIN f h ON h.b = e.b AND h.t = g || ' ' || s
+""")
+def corrections_by_taxon(spark, sf_dir):
+    """Corrections that name a reference and a taxon: a matched name comes before genus and species."""
+    part, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    pairs = {"b": F.col("p_brand"), "g": F.concat(F.lit("G"), F.col("p_size").cast("string")), "s": F.concat(F.lit("s"), (k % 3).cast("string")), "tax_matched": F.when(k % 4 == 0, F.concat(F.lit("M"), (k % 10).cast("string")))}
+    entry = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(n).alias("key"), v.alias("value")) for n, v in pairs.items()]), lambda e: e["value"].isNotNull()))
+    plain = part.where("p_partkey % 6 = 0").select(F.col("p_brand").alias("b"), F.concat(F.lit("G"), F.col("p_size").cast("string"), F.lit("_s1")).alias("taxon"), F.lit("tax_note").alias("key"), F.concat(F.lit("n"), k.cast("string")).alias("new_value"))
+    matched = part.where("p_size > 25").select(F.col("p_brand").alias("b"), F.lit("M4").alias("taxon"), F.lit("tax_note").alias("key"), F.lit("matched").alias("new_value"))
+    out = clean.corrected_by_taxon(part.select("p_partkey", entry.alias("e")), "e", plain.unionByName(matched))
+    return out.select("p_partkey", F.element_at("e", "tax_note").alias("note"), F.map_contains_key("e", F.lit("dbl_chk")).alias("checked"))
