@@ -1,6 +1,12 @@
 """A corpus pipeline of five stages, each on all that the stage before it kept.
 
 Part of the training-data subpackage.  Every stage is written as Parquet and read again before the next one.
+
+Defined results: null and empty texts are scored like any other; where the classifier keeps them, the one with the
+smallest id stays (null counts as empty), and packing gives it its end token.  Rows that repeat an id and a text are copies
+and fall to one; those that repeat an id with different texts are documents of their own.  Very long texts go through
+whole and are cut into pieces by packing only.  Without usable labels all scores are equal, and all documents stay.  An
+empty table gives an empty table.  Further columns of documents are not looked at.
 """
 
 from __future__ import annotations
