@@ -166,28 +166,29 @@ def failing(entry) -> Column:
     return F.array_compact(F.array(*bad, F.when(~measured(entry), F.lit("nothing measured"))))
 
 
-def repaired(entry) -> Column:
-    """The suggested move of a stray number to its pair, then halves of pairs in their order."""
-    e, move = col(entry), suggestion(entry)
-    strays = unexpected(e)
-    moved = F.map_concat(F.map_filter(e, lambda k, v: ~(F.array_contains(strays, k) & v.try_cast("double").isNotNull())), F.create_map(move["key"], move["value"]))
-    return in_order(F.when(move.isNotNull(), moved).otherwise(e))
+def moved(entry, move) -> Column:
+    """The record with a stray number where ``move`` (see ``suggestion``) puts it; as it is without a move."""
+    e, move = col(entry), col(move)
+    stray = lambda k, v: (v == move["value"]) & ~k.isin(EXPECTED) & ~k.rlike("^(" + "|".join(PREFIXES) + ")")
+    whole = F.map_concat(F.map_filter(e, lambda k, v: ~stray(k, v)), F.create_map(move["key"], move["value"]))
+    return F.when(move.isNotNull(), whole).otherwise(e)
 
 
 def cleaning_loop(df: DataFrame, entry: str, corrections: DataFrame) -> tuple[DataFrame, DataFrame, dict[str, int]]:
     """Check, correct and repair, check again: (good records, quarantined ones with ``failing``, counts by stage).
 
-    Corrections (ID, key, new_value) come first, then the repairs of ``repaired``, each to records that are not finished
-    yet.  Both results have ``before`` and ``status``.  The result is written once; ``counts`` are observed in that pass:
+    Corrections (ID, key, new_value) come first, then the suggested moves of stray numbers, then halves of pairs in their
+    order; repairs are done to records that are not finished yet.  Both results have ``before`` and ``status``.  The result is written once; ``counts`` are observed in that pass:
     records, good before, corrected, good after, quarantined.
     """
-    first = checked(df, entry).withColumnRenamed("status", "before")
-    fixed = corrected(first, entry, corrections)
-    todo = F.col("before") != "sqky"
-    e = F.col(entry)
-    was_fixed = has(e, "dbl_chk")
-    again = fixed.withColumn("_fixed", was_fixed).withColumn(entry, F.when(todo, repaired(entry)).otherwise(e))
-    again = checked(again, entry).withColumn("failing", failing(entry))
+    # Tables between the steps keep the expressions over maps from being built into each other.
+    first = cut(checked(df, entry).withColumnRenamed("status", "before"), "checked")
+    fixed = cut(corrected(first, entry, corrections), "corrected")
+    todo, e = F.col("before") != "sqky", F.col(entry)
+    told = cut(fixed.withColumns({"_fixed": has(e, "dbl_chk"), "_move": F.when(todo, suggestion(entry))}), "suggested")
+    full = cut(told.withColumn(entry, moved(entry, "_move")).drop("_move"), "moved")
+    swapped = cut(full.withColumn(entry, F.when(todo, in_order(entry)).otherwise(e)), "ordered")
+    again = checked(swapped, entry).withColumn("failing", failing(entry))
     good = F.col("status") == "sqky"
     seen = Observation(f"cleaning-{uuid.uuid4().hex}")
     whole = cut(again.observe(seen, F.count("*").alias("records"), F.count_if(~todo).alias("good before"), F.count_if("_fixed").alias("corrected"), F.count_if(good).alias("good after"), F.count_if(~good).alias("quarantined")).drop("_fixed"), "cleaned")
