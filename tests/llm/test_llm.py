@@ -614,6 +614,35 @@ def test_embeddings(spark):
     assert embed_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_tight_groups_count_every_link_once(spark):
+    """Groups of different vectors that meet in most buckets, over many small blocks and tasks, and a chain beside them."""
+    rng = np.random.default_rng(12)
+    tight = [(c + rng.standard_normal((n, 24)) * 0.02).tolist() for c, n in ((rng.standard_normal(24), 150), (rng.standard_normal(24), 40))]
+    turn = np.arange(30) * np.arccos(0.97)
+    chain = np.concatenate([np.cos(turn)[:, None], np.sin(turn)[:, None], np.zeros((30, 22))], axis=1).tolist()
+    x = [*tight[0], *tight[1], *chain, tight[0][0], tight[1][3]]
+    links = brute_links(x)
+    frame = spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<double>")
+    for options in ({"block": 16, "per_task": 500}, {}):
+        rows = {r["vec_id"]: r for r in embed_dedup.near_vectors(frame, tables=24, probes=20, **options).collect()}
+        assert [rows[i]["n_links"] for i in range(len(x))] == [sum(i in e for e in links) for i in range(len(x))]
+        assert {i: r["component_id"] for i, r in rows.items()} == brute_components(dict.fromkeys(range(len(x))), links)
+
+
+def test_links_of_chunks_join_like_a_graph(monkeypatch):
+    monkeypatch.setattr(embed_dedup.Links, "CHUNK", 7)
+    rng = np.random.default_rng(3)
+    keys = np.arange(60, dtype=np.uint64).reshape(60, 1, 1)  # no two vectors share a bucket: every pair counts
+    held = embed_dedup.Links(keys, np.full(60, 2))
+    a, b = rng.integers(0, 60, 50), rng.integers(0, 60, 50)
+    held.add(a[:20], b[:20], 99)
+    held.add(a[20:], b[20:], 99)
+    held.flush()
+    pairs = [(int(p), int(q)) for p, q in zip(a, b, strict=True) if p != q]
+    assert held.others.tolist() == [2 * sum(i in e for e in pairs) for i in range(60)]
+    assert dict(enumerate(held.up.tolist())) == brute_components(dict.fromkeys(range(60)), set(pairs))
+
+
 def test_e8_points_are_nearest():
     rng = np.random.default_rng(9)
     y = rng.standard_normal((200, 8)) * 2
