@@ -29,7 +29,7 @@ def thinned(text) -> Column:
 
 
 def word_list(text) -> Column:
-    return F.filter(F.split(F.coalesce(col(text), F.lit("")), r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(col(text), F.lit("")), r"[ \t\n\x0B\f\r]+"), "")
 
 
 def word_stats(text) -> tuple[Column, Column]:
@@ -53,10 +53,13 @@ def plain_word(word) -> Column:
 
 
 def corpus_frequencies(docs: DataFrame, text: str) -> DataFrame:
-    """(word, freq): words that occur more than once, as a share of all words; punctuation stripped, lower case."""
-    words = docs.select(F.explode(word_list(text)).alias("w")).select(plain_word(F.col("w")).alias("word"))
-    total = docs.agg(F.sum(F.size(word_list(text))).alias("total"))
-    counted = words.groupBy("word").agg(F.count("*").alias("n")).where("n > 1")
+    """(word, freq): words that occur more than once, as a share of all words; punctuation stripped, lower case.
+
+    Words are counted as written first, so stripping looks at each spelling once, and the total comes from these counts.
+    """
+    written = docs.select(F.explode(word_list(text)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    total = written.agg(F.sum("n").alias("total"))
+    counted = written.groupBy(plain_word(F.col("w")).alias("word")).agg(F.sum("n").alias("n")).where("n > 1")
     return counted.crossJoin(F.broadcast(total)).select("word", (F.col("n") / F.col("total")).alias("freq"))  # one row
 
 
