@@ -1160,6 +1160,24 @@ def replicate_files(spark, sf_dir):
     return out.select("trait", "what", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"))
 
 
+@query("""
+SELECT lower(c_mktsegment) AS order1, c_custkey::VARCHAR AS "ID", CASE WHEN c_custkey % 5 <> 0 THEN c_name || ' ''s' END AS g,
+  round(CASE WHEN c_acctbal > 0 THEN log10(c_acctbal) END, 6) AS log_al, round(CASE WHEN c_nationkey > 0 THEN log10(c_nationkey) END, 6) AS log_aw
+FROM customer WHERE c_custkey % 13 <> 0
+""")
+def order_files(spark, sf_dir):
+    """Records in a folder per order as one table with the order from the path, then the logarithms of their figures; broken and blank lines fall."""
+    k = F.col("c_custkey")
+    pairs = F.create_map(F.lit("ID"), k.cast("string"), F.lit("g"), F.when(k % 5 != 0, F.concat("c_name", F.lit(" 's"))), F.lit("al"), F.col("c_acctbal").cast("string"), F.lit("aw"), F.col("c_nationkey").cast("string"))
+    line = F.when(k % 13 != 0, F.to_json(F.map_filter(pairs, lambda _, v: v.isNotNull()))).when(k % 2 == 0, F.lit(" ")).otherwise(F.lit("{'ID': "))
+    folder = _folder(spark, "orders")
+    table(spark, sf_dir, "customer").select(F.lower("c_mktsegment").alias("data"), line.alias("value")).write.partitionBy("data").text(folder)
+    read = files.parsed_entries(files.read_by_order(spark, f"{folder}/data=*", "data=([^/]+)/")).where("not bad")
+    wide = files.widened(read, "entry", ["ID", "g", "al", "aw"], keep=["order1"]).withColumns({c: F.col(c).try_cast("double") for c in ("al", "aw")})
+    logs = measures.log_family({"log_al": "al", "log_aw": "aw"})
+    return wide.select("order1", "ID", "g", *[F.round(v, 6).alias(n) for n, v in logs.items()])
+
+
 @query("""
 WITH v AS (SELECT n_name AS analysis, c_mktsegment AS model, round(avg(c_acctbal), 3) AS value FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
 SELECT analysis, model, value FROM v WHERE model IN ('BUILDING', 'FURNITURE', 'MACHINERY')

@@ -22,23 +22,27 @@ def _literal(lines):
     return lines.map(one, na_action="ignore")
 
 
-def read_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(line, entry, bad): one dict per line as a map; only lines that JSON can't read go through Python."""
-    lines = spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "line")
+def parsed_entries(lines: DataFrame) -> DataFrame:
+    """``lines`` (line, further columns) with ``entry``, the line's dict as a map, and ``bad``; only lines that JSON can't read go through Python."""
     parsed = lines.withColumn("entry", F.from_json("line", "map<string,string>", {"allowSingleQuotes": "true"}))
     fast = parsed.where(F.col("entry").isNotNull())
     slow = parsed.where(F.col("entry").isNull()).withColumn("entry", _literal("line"))
     return fast.unionByName(slow).withColumn("bad", F.col("entry").isNull())
 
 
-def widened(df: DataFrame, entry: str, keys: list[str] | None = None, most: int = 1000) -> DataFrame:
-    """One column per key; without a list, of all keys that occur, sorted.  Raises beyond ``most`` of them."""
+def read_entries(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(line, entry, bad): one dict per line as a map."""
+    return parsed_entries(spark.read.text(path).where(F.trim("value") != "").withColumnRenamed("value", "line"))
+
+
+def widened(df: DataFrame, entry: str, keys: list[str] | None = None, most: int = 1000, keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` and one column per key; without a list, of all keys that occur, sorted.  Raises beyond ``most`` of them."""
     if keys is None:
         found = df.select(F.explode(F.map_keys(entry)).alias("k")).distinct().limit(most + 1).collect()
         if len(found) > most:
             raise ValueError(f"more than {most} keys")
         keys = sorted(r["k"] for r in found)
-    return df.select(*[F.element_at(entry, k).alias(k) for k in keys])
+    return df.select(*(keep or []), *[F.element_at(entry, k).alias(k) for k in keys])
 
 
 def write_table(df: DataFrame, path: str, header: bool = True) -> None:
@@ -88,8 +92,8 @@ def read_done(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_by_order(spark: SparkSession, glob: str, pattern: str, name: str = "order1") -> DataFrame:
-    """Lines of many files with a key from each file's path."""
-    return spark.read.text(glob).select(F.regexp_extract("_metadata.file_path", pattern, 1).alias(name), F.col("value").alias("line"))
+    """(name, line): lines of many files, blank ones left out, with a key from each file's path; blank where the path has none."""
+    return spark.read.text(glob).where(F.trim("value") != "").select(F.regexp_extract("_metadata.file_path", pattern, 1).alias(name), F.col("value").alias("line"))
 
 
 def read_results(spark: SparkSession, glob: str, models: list[str], name_pattern: str) -> DataFrame:
