@@ -12,6 +12,8 @@ import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,8 +45,17 @@ def tips_of(edges: DataFrame) -> DataFrame:
 def heights(edges: DataFrame) -> DataFrame:
     """(tree_id, node, height): tips 0, every other node one above its highest child.  Raises on a cycle.
 
-    A node is done in the round after its last child, so each edge goes up once, however deep the tree.
+    Trees are peeled, the round of a node is its height; of those too deep for that a node is done in the round after its
+    last child.
     """
+    layers, _, aside = peeled(cut(with_roots(edges.select("tree_id", "parent", "child").distinct()), "nodes"), [])
+    aside = cut(aside, "deep-trees")
+    out = functools.reduce(DataFrame.unionByName, [layer.select("tree_id", "node", F.lit(h).alias("height")) for h, layer in enumerate(layers)])
+    return out if aside.isEmpty() else out.join(aside, "tree_id", "left_anti").unionByName(_heights_by_rounds(edges.join(aside, "tree_id", "left_semi")))
+
+
+def _heights_by_rounds(edges: DataFrame) -> DataFrame:
+    """``heights`` of deep trees."""
     edges = cut(edges.select("tree_id", "parent", "child").distinct(), "edges")
     level = tips_of(edges).withColumn("height", F.lit(0))
     done, left = [level], cut(edges.groupBy("tree_id", F.col("parent").alias("node")).agg(F.count("*").alias("open")), "open")
@@ -79,26 +90,33 @@ def ancestors(edges: DataFrame) -> DataFrame:
     return all_up.unionByName(own.select("tree_id", "node", F.col("node").alias("ancestor"), F.lit(0).alias("steps")))
 
 
-def _in_order(nodes: pd.DataFrame) -> pd.DataFrame:
-    """The numbers of one tree's nodes (see ``intervals``), children in the order of their names."""
-    nodes = nodes.sort_values("node", ignore_index=True)
+def _walk(nodes: pd.DataFrame) -> tuple[list[int], list[int]]:
+    """The place of every node's parent (or -1) and a walk through one tree's nodes, which are sorted by name."""
     place = pd.Series(np.arange(len(nodes)), index=nodes["node"])
     up = np.full(len(nodes), -1)
     up[nodes["parent"].notna()] = place[nodes["parent"].dropna()].to_numpy()
     by_parent = np.argsort(up, kind="stable")
     first = np.searchsorted(up[by_parent], np.arange(-1, len(nodes) + 1))
     below = by_parent.tolist()
-    starts, ends, above = first[1:-1].tolist(), first[2:].tolist(), up.tolist()
-    waiting, walk, level = below[: first[1]][::-1], [], [0] * len(nodes)
+    starts, ends = first[1:-1].tolist(), first[2:].tolist()
+    waiting, walk = below[: first[1]][::-1], []
     while waiting:
         v = waiting.pop()
         walk.append(v)
-        if above[v] >= 0:
-            level[v] = level[above[v]] + 1
         waiting.extend(reversed(below[starts[v] : ends[v]]))
     if len(walk) < len(nodes):
         raise ValueError(f"{len(nodes) - len(walk)} nodes are on or below a cycle")
-    size = [1] * len(nodes)
+    return up.tolist(), walk
+
+
+def _in_order(nodes: pd.DataFrame) -> pd.DataFrame:
+    """The numbers of one tree's nodes (see ``intervals``), children in the order of their names."""
+    nodes = nodes.sort_values("node", ignore_index=True)
+    above, walk = _walk(nodes)
+    size, level = [1] * len(nodes), [0] * len(nodes)
+    for v in walk:
+        if above[v] >= 0:
+            level[v] = level[above[v]] + 1
     for v in reversed(walk):
         if above[v] >= 0:
             size[above[v]] += size[v]
@@ -121,24 +139,139 @@ def intervals(edges: DataFrame, marks: DataFrame | None = None, most: int = 500_
     nodes of ``marks`` (tree_id, node) are at or below it.  Roots have no parent; several roots of a tree follow each other.
     Raises on a cycle.
 
-    Trees of at most ``most`` nodes are walked in a task each; larger ones are numbered by list ranking.  Both ways give the
-    same numbers.
+    Trees of at most ``most`` nodes are walked in a task each.  Larger ones are peeled (``peeled``) until the rest fits a task,
+    and the numbers come down again: every node is in a few joins.  Those too deep for that are numbered by list ranking.
+    All ways give the same numbers.
     """
-    edges = cut(sound(edges), "edges")
-    roots = edges.select("tree_id", F.col("parent").alias("node")).distinct().join(edges.select("tree_id", F.col("child").alias("node")), ["tree_id", "node"], "left_anti")
-    nodes = edges.select("tree_id", F.col("child").alias("node"), "parent", "length").unionByName(roots, allowMissingColumns=True)
+    nodes = with_roots(cut(sound(edges), "edges"))
     marked = F.lit(0)
     if marks is not None:
         nodes = nodes.join(marks.select("tree_id", "node").distinct().withColumn("_m", F.lit(1)), ["tree_id", "node"], "left")
         marked = F.coalesce("_m", F.lit(0))
-    nodes = cut(nodes.select("tree_id", "node", "parent", "length", marked.alias("_marked")), "nodes")
+    nodes = cut(nodes.select("tree_id", "node", "parent", "length", "leaf", marked.alias("_marked")), "nodes")
     sizes = cut(nodes.groupBy("tree_id").agg(F.count("*").alias("_n")), "tree-sizes")
     kind = dict(nodes.dtypes)
     schema = f"tree_id {kind['tree_id']}, node {kind['node']}, parent {kind['node']}, length double, {', '.join(c + ' long' for c in NUMBERS)}"
-    near = nodes.join(sizes.where(F.col("_n") <= most).select("tree_id"), "tree_id", "left_semi").groupBy("tree_id").applyInPandas(_in_order, schema)
+    near = nodes.drop("leaf").join(sizes.where(F.col("_n") <= most).select("tree_id"), "tree_id", "left_semi").groupBy("tree_id").applyInPandas(_in_order, schema)
     # A tree all of whose nodes have a parent has no root: a cycle, which the walk would not see.
     large = sizes.where(F.col("_n") > most).select("tree_id")
-    return near if large.isEmpty() else near.unionByName(_ranked(nodes.join(large, "tree_id", "left_semi")).select(near.columns))
+    return near if large.isEmpty() else near.unionByName(_from_peeled(nodes.join(large, "tree_id", "left_semi"), most, schema).select(near.columns))
+
+
+def with_roots(edges: DataFrame) -> DataFrame:
+    """(tree_id, node, parent, leaf) and the edges' other columns, a row per node; roots have nulls there."""
+    parents = edges.select("tree_id", F.col("parent").alias("node")).distinct().withColumn("_inner", F.lit(True))
+    return edges.withColumnRenamed("child", "node").join(parents, ["tree_id", "node"], "full").withColumn("leaf", F.col("_inner").isNull()).drop("_inner")
+
+
+def peeled(nodes: DataFrame, sums: list[str], most: int = 0) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+    """Layers of trees from the leaves inwards, the rests of at most ``most`` nodes a tree, and the ids of trees left aside.
+
+    ``nodes`` are those of ``with_roots``, already written.  Each round takes the leaves off and adds their ``sums`` to
+    their parents.  A round that leaves more than three quarters of a tree, and more than ``most`` nodes, puts the tree
+    aside (its layers are to be dropped), so the rounds of the others together read a few times their nodes.
+    """
+    layers, rests, aside = [], [], []
+    while True:
+        leaves, inner = nodes.where("leaf").drop("leaf"), nodes.where("not leaf").drop("leaf")
+        layers.append(leaves)
+        counts = cut(nodes.groupBy("tree_id").agg(F.count_if(~F.col("leaf")).alias("_left"), F.count("*").alias("_all")), "peeled-sizes")
+        if sums:
+            more = leaves.where("parent is not null").groupBy("tree_id", F.col("parent").alias("node")).agg(*[F.sum(c).alias(f"_more{c}") for c in sums])
+            inner = inner.join(more, ["tree_id", "node"], "left").select("tree_id", "node", *[c for c in inner.columns if c not in ("tree_id", "node", *sums)], *[(F.col(c) + F.coalesce(f"_more{c}", F.lit(0))).alias(c) for c in sums])
+        rests.append(inner.join(counts.where(F.col("_left") <= most).select("tree_id"), "tree_id", "left_semi"))
+        large = F.col("_left") > most
+        aside.append(counts.where(large & (F.col("_left") > 0.75 * F.col("_all"))).select("tree_id"))
+        going = counts.where(large & (F.col("_left") <= 0.75 * F.col("_all"))).select("tree_id")
+        if going.isEmpty():
+            return layers, functools.reduce(DataFrame.unionByName, rests), functools.reduce(DataFrame.unionByName, aside)
+        rest = cut(inner.join(going, "tree_id", "left_semi"), "rest")
+        parents = rest.where("parent is not null").select("tree_id", F.col("parent").alias("node")).distinct().withColumn("_inner", F.lit(True))
+        nodes = cut(rest.join(parents, ["tree_id", "node"], "left").withColumn("leaf", F.col("_inner").isNull()).drop("_inner"), "peeled")
+
+
+def _rest_sums(nodes: pd.DataFrame) -> pd.DataFrame:
+    """The sums at or below each node of what peeling left of one tree."""
+    nodes = nodes.sort_values("node", ignore_index=True)
+    up, walk = _walk(nodes)
+    for c in ("_n", "_t", "_m"):
+        total = nodes[c].tolist()
+        for v in reversed(walk):
+            if up[v] >= 0:
+                total[up[v]] += total[v]
+        nodes[c] = total
+    return nodes
+
+
+def _rest_numbers(nodes: pd.DataFrame) -> pd.DataFrame:
+    """The numbers of what peeling left of one tree, by the sums of each node's earlier siblings."""
+    nodes = nodes.sort_values("node", ignore_index=True)
+    up, walk = _walk(nodes)
+    enter, tip, level = (nodes["_n_before"] + 1).tolist(), nodes["_t_before"].tolist(), [0] * len(nodes)
+    for v in walk:
+        if up[v] >= 0:
+            enter[v], tip[v], level[v] = enter[v] + enter[up[v]], tip[v] + tip[up[v]], level[up[v]] + 1
+    out = nodes[["tree_id", "node", "parent", "length"]].assign(enter=enter, level=level, tips=nodes["_t"], marked=nodes["_m"])
+    return out.assign(leave=out["enter"] + nodes["_n"] - 1, first_tip=np.array(tip, int) + 1)[["tree_id", "node", "parent", "length", *NUMBERS]]
+
+
+def _running(batches):
+    """Adds to rows sorted by parent the sums over earlier rows of the same parent, as far as they are in this partition."""
+    last, carried = None, {"_n": 0, "_t": 0}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = [(batch["tree_id"][i].as_py(), batch["parent"][i].as_py()) for i in (0, -1)]
+        new = np.full(batch.num_rows, ends[0] != last)
+        same = [pc.or_(pc.fill_null(pc.equal(c[1:], c[:-1]), False), pc.and_(pc.is_null(c[1:]), pc.is_null(c[:-1]))) for c in (batch["tree_id"], batch["parent"])]
+        new[1:] = ~pc.and_(*same).to_numpy(zero_copy_only=False)
+        group, first = np.cumsum(new), np.flatnonzero(new)
+        for c in ("_n", "_t"):
+            values = batch[c].to_numpy()
+            before = np.cumsum(values) - values
+            before -= np.append(-carried[c], before[first])[group]
+            carried[c] = int(before[-1] + values[-1])
+            batch = batch.append_column(f"{c}_before", pa.array(before))
+        last = ends[1]
+        yield batch
+
+
+def _with_earlier_siblings(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``_n_before`` and ``_t_before``, the sums over the earlier children of the same parent by name.
+
+    As in ``_next_siblings`` rows are range-partitioned by (tree, parent, name), since one parent may have most nodes; a
+    parent that goes on in a later partition takes its sums there, at most a row per partition.
+    """
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = nodes.repartitionByRange(parts, "tree_id", "parent", "node").sortWithinPartitions("tree_id", "parent", "node").withColumn("_pid", F.spark_partition_id())
+    kinds = ", ".join(f"{c} {t}" for c, t in ranged.dtypes)
+    placed = cut(ranged.mapInArrow(_running, f"{kinds}, _n_before long, _t_before long"), "siblings")
+    earlier = Window.partitionBy("tree_id", "parent").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    pieces = placed.groupBy("tree_id", "parent", "_pid").agg(F.sum("_n").alias("_n"), F.sum("_t").alias("_t"))
+    pieces = pieces.select(F.col("tree_id").alias("_tree"), F.col("parent").alias("_p"), F.col("_pid").alias("_q"), *[F.sum(c).over(earlier).alias(f"_more{c}") for c in ("_n", "_t")]).where("_more_n is not null")
+    same = (F.col("tree_id") == F.col("_tree")) & F.col("parent").eqNullSafe(F.col("_p")) & (F.col("_pid") == F.col("_q"))
+    return placed.join(F.broadcast(pieces), same, "left").select(*nodes.columns, *[(F.col(f"{c}_before") + F.coalesce(f"_more{c}", F.lit(0))).alias(f"{c}_before") for c in ("_n", "_t")])
+
+
+def _from_peeled(nodes: DataFrame, most: int, schema: str) -> DataFrame:
+    """``intervals`` of large trees: sums go up while peeling, numbers come down layer by layer."""
+    one = lambda c: c.cast("long")
+    counted = nodes.select("tree_id", "node", "parent", "length", "leaf", F.lit(1).cast("long").alias("_n"), one(F.col("leaf")).alias("_t"), one(F.col("_marked")).alias("_m"))
+    layers, rest, aside = peeled(counted, ["_n", "_t", "_m"], most)
+    aside = cut(aside, "deep-trees")
+    rest = rest.groupBy("tree_id").applyInPandas(_rest_sums, rest.schema)
+    every = [layer.withColumn("_round", F.lit(r)) for r, layer in enumerate([*layers, rest])]
+    every = functools.reduce(DataFrame.unionByName, every).join(aside, "tree_id", "left_anti")
+    placed = _with_earlier_siblings(every)
+    done = cut(placed.where(F.col("_round") == len(layers)).groupBy("tree_id").applyInPandas(_rest_numbers, schema), "numbers")
+    for r in reversed(range(len(layers))):
+        up = done.select("tree_id", F.col("node").alias("parent"), F.col("enter").alias("_enter"), F.col("first_tip").alias("_tip"), F.col("level").alias("_level"))
+        enter = F.coalesce("_enter", F.lit(0)) + 1 + F.col("_n_before")
+        now = placed.where(F.col("_round") == r).join(up, ["tree_id", "parent"], "left").select(
+            "tree_id", "node", "parent", "length", enter.alias("enter"), (enter + F.col("_n") - 1).alias("leave"), F.coalesce(F.col("_level") + 1, F.lit(0).cast("long")).alias("level"),
+            (F.coalesce("_tip", F.lit(1)) + F.col("_t_before")).alias("first_tip"), F.col("_t").alias("tips"), F.col("_m").alias("marked"))
+        done = done.unionByName(cut(now, "numbers") if r else now)
+    return done if aside.isEmpty() else done.unionByName(_ranked(nodes.join(aside, "tree_id", "left_semi")).select(done.columns))
 
 
 def _next_siblings(nodes: DataFrame) -> DataFrame:

@@ -209,3 +209,31 @@ def test_depths_of_deep_trees(spark):
     e = spark.createDataFrame([("t", f"k{i}", f"k{i + 1}", 0.5) for i in range(300)], EDGES)
     rows = {r["child"]: r for r in treemodels.depths(e).collect()}
     assert rows["k300"]["bottom"] == 150.0 and rows["k300"]["top"] == 149.5 and rows["k1"]["deepest"] == 150.0
+
+
+def broad_trees():
+    """Families of very different sizes, chains between them, two roots; names order leaves among inner siblings."""
+    rng, rows = random.Random(21), []
+    for t in "ab":
+        for i in range(6):
+            rows.append((t, f"{t}root{i % 2}", f"{t}{i:02}", 1.0))
+            for j in range(rng.randrange(4)):
+                rows += [(t, f"{t}{i:02}", f"{t}{i:02}k{j}", 2.0), (t, f"{t}{i:02}k{j}", f"{t}{i:02}k{j}m", 0.5)]
+                rows += [(t, f"{t}{i:02}k{j}m", f"{t}{rng.randrange(10**6)}x{i}{j}{k}", 1.0) for k in range(rng.choice([1, 5, 60]))]
+    return rows
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 20, 100])
+def test_peeled_trees_number_alike(spark, monkeypatch, most):
+    monkeypatch.setattr(hierarchy, "_ranked", lambda nodes: pytest.fail("list ranking of a flat tree"))
+    rows = broad_trees()
+    rng = random.Random(3)
+    marks = spark.createDataFrame([(t, c) for t, _, c, _ in rows if rng.random() < 0.3], "tree_id string, node string")
+    e = spark.createDataFrame(rows, EDGES)
+    whole = sorted(map(tuple, hierarchy.intervals(e, marks).collect()), key=str)
+    assert sorted(map(tuple, hierarchy.intervals(e, marks, most).collect()), key=str) == whole
+
+
+def test_one_parent_with_most_nodes_over_many_partitions(spark):
+    e = spark.range(30_000).selectExpr("'t' as tree_id", "'r' as parent", "concat('x', id) as child", "1.0D as length")
+    assert sorted(map(tuple, hierarchy.intervals(e, most=10).select("node", "enter", "first_tip").collect())) == sorted(map(tuple, hierarchy.intervals(e).select("node", "enter", "first_tip").collect()))
