@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
 from .hierarchy import climbed, sound, tips_of
-from .treefold import fold
+from .treefold import fold_each
 
 
 def depths(edges: DataFrame) -> DataFrame:
@@ -43,20 +43,16 @@ def model_fits(edges: DataFrame, traits: DataFrame, grids: dict[str, list[float]
     """(tree_id, trait, model, value, loglik, aicc, n) of ``traits`` (tree_id, trait, node, y).
 
     ``brownian`` and ``white`` (no tree) are always fitted; ``grids`` lists the values tried for ``lambda``, ``early`` and
-    ``pull``.  Every (model, value) is a set of transformed edges, and one fold serves all of them.  Mean and variance
+    ``pull``.  Every (model, value) is a variant of the edges' lengths, and one fold serves all of them.  Mean and variance
     are at their maximum likelihood; the variance and a grid's value count as parameters.
     """
     tried = [("brownian", 0.0), *[(m, float(v)) for m, values in grids.items() for v in values]]
     tips = tips_of(edges).select("tree_id", F.col("node").alias("child"), F.lit(True).alias("_tip"))
     long = depths(edges).join(tips, ["tree_id", "child"], "left").withColumn("_tip", F.coalesce("_tip", F.lit(False)))
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(m).alias("model"), F.lit(v).alias("value")) for i, (m, v) in enumerate(tried)]))
-    long = long.withColumn("_m", each)
-    key = lambda tree, i: F.to_json(F.struct(tree.alias("tree_id"), i.alias("i")))
-    long = long.select(key(F.col("tree_id"), F.col("_m.i")).alias("tree_id"), "parent", "child", _length(F.col("_m.model"), F.col("_m.value")).alias("length"))
     known = traits.where("y is not null")
-    plans = edges.select("tree_id").distinct().withColumn("_m", each).select("tree_id", key(F.col("tree_id"), F.col("_m.i")).alias("_key"), "_m.model", "_m.value")
-    rows = known.join(plans.select("tree_id", "_key"), "tree_id").select(F.col("_key").alias("tree_id"), F.col("trait").alias("fit"), "node", F.lit(0.0).alias("x"), F.col("y").cast("double").alias("y"))
-    sums = fold(long, rows).select(F.col("tree_id").alias("_key"), F.col("fit").alias("trait"), "syy", "logdet", "n").join(plans, "_key")
+    rows = known.select("tree_id", F.col("trait").alias("fit"), "node", F.lit(0.0).alias("x"), F.col("y").cast("double").alias("y"))
+    named = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(v).alias("value")) for m, v in tried])[F.col("variant")]
+    sums = fold_each(long, rows, [_length(F.lit(m), F.lit(v)) for m, v in tried]).withColumn("_m", named).select("tree_id", F.col("fit").alias("trait"), "_m.model", "_m.value", "syy", "logdet", "n")
     white = known.groupBy("tree_id", "trait").agg((F.var_pop("y") * F.count("*")).alias("syy"), F.count("*").alias("n"))
     white = white.select("tree_id", "trait", F.lit("white").alias("model"), F.lit(0.0).alias("value"), "syy", F.lit(0.0).alias("logdet"), "n")
     both = sums.select("tree_id", "trait", "model", "value", "syy", "logdet", "n").unionByName(white)

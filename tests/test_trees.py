@@ -237,3 +237,26 @@ def test_peeled_trees_number_alike(spark, monkeypatch, most):
 def test_one_parent_with_most_nodes_over_many_partitions(spark):
     e = spark.range(30_000).selectExpr("'t' as tree_id", "'r' as parent", "concat('x', id) as child", "1.0D as length")
     assert sorted(map(tuple, hierarchy.intervals(e, most=10).select("node", "enter", "first_tip").collect())) == sorted(map(tuple, hierarchy.intervals(e).select("node", "enter", "first_tip").collect()))
+
+
+@pytest.mark.parametrize("most", [0, 10_000])
+def test_variants_of_lengths_are_folds_of_their_own(spark, most):
+    rows = broad_trees()
+    rng = random.Random(8)
+    tips = [(t, f, c, rng.random(), rng.random()) for t, _, c, _ in rows for f in "fg" if c[1] == "0" and rng.random() < 0.5]
+    roots = [(t, "top", f"{t}root{i}", 1.0) for t in "ab" for i in range(2)]
+    e, d = spark.createDataFrame(rows + roots, EDGES), spark.createDataFrame(tips, TIPS)
+    both = treefold.fold_each(hierarchy.sound(e), d, [hierarchy.F.col("length"), hierarchy.F.col("length") * 2 - 1], most=most).collect()
+    for variant, length in enumerate(("length", "length * 2 - 1")):
+        one = sorted(map(tuple, treefold.fold(e.selectExpr("tree_id", "parent", "child", f"{length} as length"), d).collect()))
+        got = sorted((*r[:2], *r[3:]) for r in map(tuple, both) if r[2] == variant)
+        assert len(one) == 4 and all(a[:2] == b[:2] and a[2:] == pytest.approx(b[2:], rel=1e-6) for a, b in zip(one, got, strict=True))
+
+
+def test_models_fold_every_edge_once(spark, monkeypatch):
+    seen, whole = [], treefold.fold_each
+    monkeypatch.setattr(treemodels, "fold_each", lambda edges, *more: seen.append(edges.count()) or whole(edges, *more))
+    e = spark.createDataFrame(broad_trees(), EDGES)
+    tips = hierarchy.tips_of(e).selectExpr("tree_id", "'trait' as trait", "node", "length(node) * 1.5 as y").where("node like '_0%'")
+    treemodels.model_fits(e, tips.limit(0), {"lambda": [0.5], "early": [0.1]}).collect()
+    assert seen == [e.count()]
