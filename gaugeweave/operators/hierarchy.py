@@ -321,21 +321,25 @@ def _ranked(nodes: DataFrame) -> DataFrame:
 def climbed(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
     """(tree_id, node, top, distance, steps) of every node with a parent: the nearest of ``stops`` (tree_id, node) above it, else its root.
 
-    ``distance`` adds the lengths of the edges up to there.  Each round doubles the ways that go on.  Raises on a cycle.
+    ``distance`` adds the lengths of the edges up to there.  Each round doubles the ways of inner nodes that go on; tips take
+    their parent's way in one join at the end.  Raises on a cycle.
     """
-    edges = sound(edges)
-    halt = edges.select("tree_id", F.col("child").alias("top"), F.lit(True).alias("_up"))
-    ways = edges.select("tree_id", F.col("child").alias("node"), F.col("parent").alias("top"), F.col("length").alias("distance"), F.lit(1).cast("long").alias("steps")).join(halt, ["tree_id", "top"], "left")
+    edges = cut(sound(edges), "edges")
+    inner = edges.select("tree_id", F.col("parent").alias("child")).distinct().withColumn("_inner", F.lit(True))
+    edges = cut(edges.join(inner, ["tree_id", "child"], "left").withColumn("_inner", F.col("_inner").isNotNull()), "edges")
+    halt = edges.where("_inner").select("tree_id", F.col("child").alias("top"), F.lit(True).alias("_up"))
+    ways = edges.where("_inner").select("tree_id", F.col("child").alias("node"), F.col("parent").alias("top"), F.col("length").alias("distance"), F.lit(1).cast("long").alias("steps")).join(halt, ["tree_id", "top"], "left")
     going = F.col("_up").isNotNull()
     if stops is not None:
-        ways = ways.join(stops.select("tree_id", F.col("node").alias("top"), F.lit(True).alias("_stop")).distinct(), ["tree_id", "top"], "left")
+        stops = stops.select("tree_id", F.col("node").alias("top"), F.lit(True).alias("_stop")).distinct()
+        ways = ways.join(stops, ["tree_id", "top"], "left")
         going = going & F.col("_stop").isNull()
     columns = ["tree_id", "node", "top", "distance", "steps"]
     ways = cut(ways.select(*columns, going.alias("_open")), "ways")
     total = ways.count()
     for k in itertools.count():
         if ways.where("_open").isEmpty():
-            return ways.select(*columns)
+            break
         if 1 << k > 2 * total:
             raise ValueError("nodes are on or below a cycle")
         ahead = ways.select("tree_id", F.col("node").alias("top"), F.col("top").alias("_top"), F.col("distance").alias("_distance"), F.col("steps").alias("_steps"), F.col("_open").alias("_on"))
@@ -343,6 +347,11 @@ def climbed(edges: DataFrame, stops: DataFrame | None = None) -> DataFrame:
         onward = onward.select("tree_id", "node", F.col("_top").alias("top"), (F.col("distance") + F.col("_distance")).alias("distance"), (F.col("steps") + F.col("_steps")).alias("steps"), F.col("_on").alias("_open"))
         before, ways = ways, cut(ways.where("not _open").unionByName(onward), "ways")
         forget(before)
+    above = ways.select("tree_id", F.col("node").alias("parent"), F.col("top").alias("_top"), F.col("distance").alias("_distance"), F.col("steps").alias("_steps"))
+    if stops is not None:
+        above = above.join(stops.select("tree_id", F.col("top").alias("parent")), ["tree_id", "parent"], "left_anti")
+    tips = edges.where("not _inner").join(above, ["tree_id", "parent"], "left").select("tree_id", F.col("child").alias("node"), F.coalesce("_top", "parent").alias("top"), (F.col("length") + F.coalesce("_distance", F.lit(0.0))).alias("distance"), (F.coalesce("_steps", F.lit(0)) + 1).cast("long").alias("steps"))
+    return ways.select(*columns).unionByName(tips)
 
 
 def tip_counts(edges: DataFrame) -> DataFrame:
